@@ -1,6 +1,6 @@
 """Registered queries, grouped by topic."""
 
-from granary.catalog import chunks, search, texts  # noqa: F401
+from granary.catalog import chunks, ranking, search, texts  # noqa: F401
 from granary.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

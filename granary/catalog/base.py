@@ -29,7 +29,7 @@ VIEWS: dict[str, str] = {
               ELSE concat('Section ', CAST(doc_id % 12 AS STRING)) END
             ELSE concat('Topic ', CAST(doc_id % 9 AS STRING)) END AS section_title,
           CASE source_type WHEN 'generated'
-              THEN concat('mod_', lang, '.Cls', CAST(doc_id % 7 AS STRING), '.op_',
+              THEN concat(CASE WHEN doc_id % 20 = 0 THEN 'Mod_' ELSE 'mod_' END, lang, '.Cls', CAST(doc_id % 7 AS STRING), '.op_',
                           CAST(doc_id % 50 AS STRING))
             WHEN 'narrative' THEN concat('narrative:', CAST(doc_id AS STRING))
             ELSE '' END AS symbol_id,
@@ -81,10 +81,42 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
     # A small keyword registry whose words occur in the prose.
     "v_families": """
-        SELECT * FROM (VALUES ('A', 'English', 0, 'the'), ('A', 'English', 1, 'of the'),
-          ('A', 'English', 2, 'that'), ('B', 'French', 0, 'une'), ('B', 'French', 1, 'de la'),
-          ('B', 'French', 2, 'pour'), ('C', 'German', 0, 'nicht'), ('C', 'German', 1, 'in der'),
-          ('C', 'German', 2, 'sich')) AS t(family_id, name, pos, keyword)""",
+        SELECT family_no, id, name, '' AS summary, split(words, ',') AS keywords
+        FROM (VALUES (0, 'A', 'English', 'the,of the,that'), (1, 'B', 'French', 'une,de la,pour'),
+          (2, 'C', 'German', 'nicht,in der,sich')) AS t(family_no, id, name, words)""",
+    # Workflows made of the nations; their words occur in the prose.
+    "v_workflows": """
+        SELECT CAST(n_nationkey AS INT) AS workflow_no,
+          concat('w', CAST(n_nationkey AS STRING)) AS id,
+          CASE n_regionkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS family_id,
+          concat('On ', lower(n_name)) AS title, '' AS summary,
+          split(CASE n_nationkey % 5 WHEN 0 THEN 'and that,of the that' WHEN 1 THEN 'une,de la'
+            WHEN 2 THEN 'nicht,in der die' WHEN 3 THEN 'compute that,pour'
+            ELSE 'sich und,for the' END, ',') AS keywords,
+          split(concat('op_', CAST(n_nationkey AS STRING), ',Cls',
+            CAST(n_nationkey % 7 AS STRING), '.op_', CAST(n_nationkey + 7 AS STRING),
+            ',mod_en.Cls1.op_', CAST(n_nationkey * 2 AS STRING)), ',') AS preferred_symbols,
+          split(concat('Rule of ', n_name), ',') AS prompt_rules,
+          split('order,degree', ',') AS tuning_params
+        FROM {nation}""",
+    # Result lists of 20 chunks, each with a question made of its shortest text.
+    "v_results": """
+        SELECT question_id, chunk_id, score,
+          row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank
+        FROM (SELECT CAST(floor(chunk_id / 20) AS BIGINT) AS question_id, chunk_id,
+            CAST((chunk_id * 37) % 101 AS DOUBLE) / 64 AS score FROM {v_chunks}) AS s""",
+    "v_asks": """
+        SELECT question_id, concat(CASE question_id % 4 WHEN 0 THEN 'Find the helper class op_'
+            WHEN 1 THEN 'Which method is op_' WHEN 2 THEN 'Class and method of cls op_'
+            ELSE 'What does mod op_' END, CAST((question_id * 20) % 50 AS STRING), ' series ',
+            text) AS text,
+          split(CASE question_id % 5 WHEN 0 THEN '' WHEN 1 THEN concat('none,Op_',
+              CAST(question_id % 50 AS STRING), ',x.op_21') WHEN 2 THEN 'Cls1.op_1,op_5,en'
+            WHEN 3 THEN 'a.OP_7,s2.op_9' ELSE 'mod_en.Cls4.op_4,op_2,op_3' END, ',') AS preferred,
+          concat('w', CAST(question_id % 27 AS STRING)) AS workflow_id
+        FROM (SELECT CAST(floor(doc_id / 20) AS BIGINT) AS question_id,
+            min_by(text, n_chars * 100000000 + doc_id) AS text
+          FROM {documents} GROUP BY floor(doc_id / 20)) AS q""",
     # Question texts with routing phrases worked in.
     "v_asked": """
         SELECT conv_id * 100 + turn AS question_id,

@@ -22,7 +22,9 @@ RESULT = "query_id bigint, chunk_id bigint, score double"
 SCORE_DIGITS = 9
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
+    if not parts:
+        return like.sparkSession.createDataFrame([], RESULT)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -55,6 +57,8 @@ def lexical_search(
         rows = query_weights(block, index.idf).toPandas()  # terms of one block
         terms = sorted(rows["term"].unique())
         ids = np.sort(rows["query_id"].unique()).astype(np.int64)
+        if not len(ids):
+            continue
         weights = np.zeros((len(terms), len(ids)))
         weights[
             np.searchsorted(np.array(terms, dtype=object), rows["term"].to_numpy(dtype=object)),
@@ -64,7 +68,7 @@ def lexical_search(
             sparse_kernel(ids, terms, weights, k, SCORE_DIGITS), RESULT
         )
         parts.append(local)
-    return take_top(_union(parts), k)
+    return take_top(_union(parts, queries), k)
 
 
 def dense_search(
@@ -75,12 +79,14 @@ def dense_search(
     for block in key_blocks(query_vectors, "query_id", block_rows):
         rows = block.select("query_id", F.col("embedding").cast("array<double>")).collect()
         ids = np.array([r[0] for r in rows], dtype=np.int64)
+        if not len(ids):
+            continue
         matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
         local = vectors.select("chunk_id", "embedding").mapInArrow(
             dense_kernel(ids, matrix, k, SCORE_DIGITS), RESULT
         )
         parts.append(local)
-    return take_top(_union(parts), k)
+    return take_top(_union(parts, query_vectors), k)
 
 
 def minmax_normalize(results: DataFrame, out: str = "score") -> DataFrame:

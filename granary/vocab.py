@@ -42,6 +42,7 @@ SYMBOL_QUERY_ALIASES = {
     "guess_rec": ("infer", "recover", "recurrence", "sample", "coefficients"),
     "numerical_solution": ("evaluate", "solution", "initial", "condition"),
     "numerical_transition_matrix": ("transition", "matrix", "path"),
+    "{constructor_lower}": ("derivation", "operator", "algebra"),
     "symmetric_power": ("square", "annihilator", "solution", "d-finite"),
     "symmetric_product": ("product", "annihilator"),
     "to_list": ("terms", "values", "sequence"),
@@ -61,10 +62,14 @@ SYMBOL_FOCUS_ALIASES = {
         "guess recurrence", "infer a recurrence", "recover recurrence", "sample coefficients",
     ),
     "groebner_basis": ("groebner basis", "buchberger", "left ideal"),
+    "ideal": ("left ideal", "annihilating ideal", "multivariate {algebra}"),
     "numerical_solution": (
         "evaluate the solution", "numerically", "initial condition", "initial conditions", "f(0)",
     ),
     "numerical_transition_matrix": ("transition matrix", "continue along a path", "path"),
+    "{constructor_lower}": (
+        "{algebra}", "multivariate {algebra}", "several variables", "several generators",
+    ),
     "symmetric_power": ("symmetric square", "square of", "square"),
     "to_list": ("first terms", "first values", "sequence terms"),
     "to_s": (
@@ -102,7 +107,7 @@ CONSTRAINT_MARKERS = (
     " must ",
 )
 KNOWN_API_MARKERS = (
-    "{constructor}", "differentialoperators", "annihilator", "telescoping", "recurrence",
+    "{constructor_lower}", "differentialoperators", "annihilator", "telescoping", "recurrence",
 )
 NOT_A_GAP = (
     "blocked import detected", "blocked builtin", "execution timed out", "timed out after",
@@ -139,13 +144,26 @@ EXAMPLE_PROMPT = "sage:"
 
 @dataclass(frozen=True)
 class Names:
-    """Names of the documented package, filled into the marker templates."""
+    """Names of the documented package, filled into the marker templates.
+
+    ``package`` is the import name, ``constructor`` its main class and
+    ``algebra`` what its users call the main object in prose.
+    """
 
     package: str = "package"
-    constructor: str = "constructor"
+    constructor: str = "Constructor"
+    algebra: str = "main algebra"
 
     def fill(self, text: str) -> str:
-        return text.replace("{package}", self.package).replace("{constructor}", self.constructor)
+        return (
+            text.replace("{package}", self.package)
+            .replace("{constructor}", self.constructor)
+            .replace("{constructor_lower}", self.constructor.lower())
+            .replace("{algebra}", self.algebra)
+        )
 
     def fill_all(self, items) -> tuple[str, ...]:
         return tuple(self.fill(item) for item in items)
+
+    def fill_map(self, table) -> dict[str, tuple[str, ...]]:
+        return {self.fill(key): self.fill_all(words) for key, words in table.items()}
