@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+CHECKS: dict[str, str] = {}
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -206,7 +206,7 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = lambda spark, folder: build(Source(spark, folder))
         if sql is not None:
-            ORACLES[name] = check_sql(sql)
+            CHECKS[name] = sql
         return build
 
     return wrap

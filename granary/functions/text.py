@@ -39,6 +39,14 @@ def strings(items: Iterable[str]) -> Column:
     return F.array(*[F.lit(item) for item in items])
 
 
+def row_array(fields: Iterable[str], *rows: Iterable[Column]) -> Column:
+    """Array of structs with the given field names, one per row."""
+    fields = list(fields)
+    return F.array(
+        *[F.struct(*[v.alias(f) for f, v in zip(fields, row, strict=True)]) for row in rows]
+    )
+
+
 def contains_any(haystack: Column, needles: Iterable[str]) -> Column:
     out = F.lit(False)
     for needle in needles:

@@ -74,11 +74,12 @@ def symbol_nodes(entries: DataFrame) -> DataFrame:
 def group_symbols(entries: DataFrame) -> DataFrame:
     """(group_kind, group_key, symbol): modules, owners, tails, class methods."""
     is_method = F.col("kind") == "method"
-    groups = F.array(
-        F.struct(F.lit("module").alias("group_kind"), F.col("module").alias("group_key")),
-        F.struct(F.lit("owner"), F.col("owner")),
-        F.struct(F.lit("tail"), F.lower("tail")),
-        F.struct(F.lit("method"), F.when(is_method, T.tail_of("owner")).otherwise("")),
+    groups = T.row_array(
+        ("group_kind", "group_key"),
+        (F.lit("module"), F.col("module")),
+        (F.lit("owner"), F.col("owner")),
+        (F.lit("tail"), F.lower("tail")),
+        (F.lit("method"), F.when(is_method, T.tail_of("owner")).otherwise("")),
     )
     return (
         entries.select(F.inline(groups), F.col("key").alias("symbol"))
@@ -98,13 +99,16 @@ def _node_texts(nodes: DataFrame) -> DataFrame:
             F.sequence(
                 F.lit(1), F.length(name) - F.length(F.substring_index(name, ".", -1))
             ),
-            lambda i: F.struct(F.expr("2").alias("priority"), F.substring(name, i, F.length(name))),
+            lambda i: F.struct(
+                F.lit(2).alias("priority"), F.substring(name, i, F.length(name)).alias("text")
+            ),
         ),
     ).otherwise(F.array().cast("array<struct<priority:int,text:string>>"))
-    exact = F.array(
-        F.struct(F.lit(0).alias("priority"), F.col("key").alias("text")),
-        F.struct(F.lit(1), name),
-        F.struct(F.lit(2), F.lower("tail")),
+    exact = T.row_array(
+        ("priority", "text"),
+        (F.lit(0), F.col("key")),
+        (F.lit(1), name),
+        (F.lit(2), F.lower("tail")),
     )
     return nodes.select("key", F.inline(F.concat(exact, dotted)))
 
@@ -143,9 +147,8 @@ def symbol_lookup(symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = symbols.select(
         "seq", T.strip("symbol_id").alias("symbol_id"), T.strip("qualname").alias("qualname")
     ).filter("symbol_id <> ''")
-    texts = F.array(
-        F.struct(F.lit(0).alias("nth"), F.lower("symbol_id").alias("text")),
-        F.struct(F.lit(1), F.lower("qualname")),
+    texts = T.row_array(
+        ("nth", "text"), (F.lit(0), F.lower("symbol_id")), (F.lit(1), F.lower("qualname"))
     )
     index = rows.select("seq", "symbol_id", F.inline(texts)).filter("text <> ''")
     exact = index.groupBy("text").agg(
@@ -206,13 +209,10 @@ def narrative_edges(narratives: DataFrame, nodes: DataFrame) -> DataFrame:
         .join(nodes.select("key"), "key", "left_semi")
         .distinct()
     )
-    both = F.array(
-        F.struct(
-            F.lit("refers").alias("edge_type"),
-            F.col("section_id").alias("src"),
-            F.col("key").alias("dst"),
-        ),
-        F.struct(F.lit("referred_by"), F.col("key"), F.col("section_id")),
+    both = T.row_array(
+        ("edge_type", "src", "dst"),
+        (F.lit("refers"), F.col("section_id"), F.col("key")),
+        (F.lit("referred_by"), F.col("key"), F.col("section_id")),
     )
     modules = rows.filter("module <> ''").select(
         F.lit("module").alias("edge_type"),
@@ -412,9 +412,10 @@ def graph_expand(
 
     seeds = preferred.unionByName(retrieved).distinct()
     homes = seeds.join(graph.nodes.select("key", "owner", "module"), "key")
-    groups = F.array(
-        F.struct(F.lit("owner").alias("group_kind"), F.col("owner").alias("group_key")),
-        F.struct(F.lit("module"), F.col("module")),
+    groups = T.row_array(
+        ("group_kind", "group_key"),
+        (F.lit("owner"), F.col("owner")),
+        (F.lit("module"), F.col("module")),
     )
     asked = (
         homes.select("question_id", F.inline(groups))
