@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -247,16 +248,12 @@ def safe_int(c: Column) -> Column:
     return strip(c.cast("string")).try_cast("int")
 
 
-def alias_map(aliases: Mapping[str, Iterable[str]]) -> Column:
-    """Alias table as a constant map column."""
-    if not aliases:
-        return F.expr("cast(map() as map<string,array<string>>)")
-    items = []
-    for key, words in aliases.items():
-        items += [F.lit(key), strings(words)]
-    return F.create_map(*items)
+def constant(value, ddl: str) -> Column:
+    """Nested configuration as one constant, folded before anything runs."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
 def aliases_of(key: Column, aliases: Mapping[str, Iterable[str]]) -> Column:
-    found = F.element_at(alias_map(aliases), key)
+    table = {k: list(words) for k, words in aliases.items()}
+    found = F.element_at(constant(table, "map<string,array<string>>"), key)
     return F.coalesce(found, F.array().cast("array<string>"))

@@ -471,9 +471,9 @@ def classify_intent(
             c("wants_algebra_setup"),
             decision(
                 "A", targets.setup, lit("create_or_choose_algebra"), 0.88,
-                F.coalesce(
-                    F.element_at(T.alias_map(methods_by_feature), feature),
-                    T.strings([names.constructor]),
+                let(
+                    T.aliases_of(feature, methods_by_feature),
+                    lambda m: F.when(F.size(m) > 0, m).otherwise(T.strings([names.constructor])),
                 ),
                 none, _texts(lit("algebra_setup"), c("algebra_feature")),
             ),
@@ -491,44 +491,49 @@ def classify_intent(
     return chosen.withColumns({f: c(f"__d.{f}") for f in fields}).drop("__d")
 
 
+_OVERRIDE_ROW = (
+    "struct<id:string,title:string,symbols:array<string>,rules:array<string>,params:array<string>>"
+)
+
+
 def selection_override(decided: DataFrame, registry: Registry) -> DataFrame:
     """Decided questions with their workflow's registry row: the intent's own
     methods come before the workflow's symbols. Undecided ones drop."""
     families = {f.id: f.name for f in registry.families}
     rows = [
-        F.struct(
-            F.lit(w.id).alias("id"),
-            F.lit(w.title).alias("title"),
-            T.strings(w.preferred_symbols).alias("symbols"),
-            T.strings(w.prompt_rules).alias("rules"),
-            T.strings(w.tuning_params).alias("params"),
-        )
+        {
+            "id": w.id,
+            "title": w.title,
+            "symbols": list(w.preferred_symbols),
+            "rules": list(w.prompt_rules),
+            "params": list(w.tuning_params),
+        }
         for w in registry.workflows
     ]
-    if not rows or not families:
-        return decided.limit(0)
-    names = F.create_map(*[F.lit(x) for pair in families.items() for x in pair])
-    workflow = F.try_element_at(
-        F.filter(F.array(*rows), lambda w: w["id"] == F.col("workflow_id")), F.lit(1)
-    )
-    known = decided.withColumn("__w", workflow).withColumn(
-        "__f", F.element_at(names, F.col("family_id"))
+    names = T.constant(families, "map<string,string>")
+    found = F.filter(
+        T.constant(rows, f"array<{_OVERRIDE_ROW}>"), lambda w: w["id"] == F.col("workflow_id")
     )
     extra = F.concat(
         _list_if(F.col("needs_base_ring"), OVERRIDE_RULES["base_ring"]),
         _list_if(F.col("point_source") == "leading_coefficient_root", OVERRIDE_RULES["root"]),
         _list_if(F.col("wants_first_element_only"), OVERRIDE_RULES["first"]),
     )
+    # Exploding the match (one row or none) keeps the rule list out of filters.
+    known = decided.select(
+        "*",
+        F.element_at(names, F.col("family_id")).alias("family_name"),
+        F.explode_outer(F.slice(found, 1, 1)).alias("__w"),
+    ).filter("__w IS NOT NULL")
     symbols = F.array_distinct(F.concat("preferred_methods", "__w.symbols"))
-    return known.filter("__w IS NOT NULL AND __f IS NOT NULL").withColumns(
+    return known.withColumns(
         {
-            "family_name": F.col("__f"),
             "workflow_title": F.col("__w.title"),
             "preferred_symbols": F.filter(symbols, lambda s: s != ""),
             "prompt_rules": F.concat("__w.rules", extra),
             "tuning_params": F.col("__w.params"),
         }
-    ).drop("__w", "__f")
+    ).drop("__w")
 
 
 # ---- obligations ---------------------------------------------------------------------------

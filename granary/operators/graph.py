@@ -1,5 +1,8 @@
 """Symbol graph: nodes, reference resolution, edges and expansion.
 
+Lookup sides are left to adaptive execution: it broadcasts them when their
+measured size allows and splits hot keys of the other side when not.
+
 The graph is a set of tables. ``entries`` holds one row per symbol id as
 first seen; ``nodes`` one row per lower-cased id (``key``). Groups (symbols of
 a module, methods of a class, ...) stay rows: a group of any size is never
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.functions import text as T
-from granary.runtime import broadcast_checked, let
+from granary.runtime import let, materialize
 
 NODE_FIELDS = ("symbol_id", "qualname", "module", "kind", "owner", "tail")
 
@@ -124,7 +127,7 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame, allow_spaces: bool = True) -
     wanted = wanted.filter(F.col("text") != "")
     if not allow_spaces:
         wanted = wanted.filter(~F.contains("text", F.lit(" ")))
-    found = _node_texts(nodes).join(broadcast_checked(wanted), "text")
+    found = _node_texts(nodes).join(wanted, "text")
     # A dotted reference never equals a tail, a plain one never a dotted suffix.
     best = found.groupBy("ref", "key").agg(F.min("priority").alias("priority"))
     order = Window.partitionBy("ref").orderBy("priority", "key")
@@ -134,7 +137,7 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame, allow_spaces: bool = True) -
 def first_resolved(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(ref, key): the best match only, by aggregation instead of ranking."""
     wanted = refs.select("ref", key_of("ref").alias("text")).distinct().filter("text <> ''")
-    found = _node_texts(nodes).join(broadcast_checked(wanted), "text")
+    found = _node_texts(nodes).join(wanted, "text")
     return found.groupBy("ref").agg(F.min(F.struct("priority", "key"))["key"].alias("key"))
 
 
@@ -238,10 +241,16 @@ class SymbolGraph:
 def symbol_graph(
     chunks: DataFrame, workflows: DataFrame, narratives: DataFrame | None = None
 ) -> SymbolGraph:
-    entries = symbol_entries(chunk_symbols(chunks))
-    nodes = symbol_nodes(entries)
-    edges = None if narratives is None else narrative_edges(narratives, nodes)
-    return SymbolGraph(entries, nodes, workflow_seeds(workflows, nodes), edges)
+    """Graph of a chunk table. Its tables are written once to the shared
+    folder, since every expansion reads each of them several times."""
+    entries = materialize(symbol_entries(chunk_symbols(chunks)), "entries")
+    nodes = materialize(symbol_nodes(entries), "nodes")
+    seeds = materialize(workflow_seeds(workflows, nodes), "seeds")
+    if narratives is None:
+        return SymbolGraph(entries, nodes, seeds)
+    return SymbolGraph(
+        entries, nodes, seeds, materialize(narrative_edges(narratives, nodes), "edges")
+    )
 
 
 def query_affinity(tokens: Column) -> Column:
@@ -263,7 +272,7 @@ def best_related(
     """
     groups = group_symbols(graph.entries).filter("group_kind IN ('module', 'owner')")
     members = groups.withColumnRenamed("symbol", "key").distinct().join(graph.nodes, "key")
-    wanted = broadcast_checked(asked.distinct())
+    wanted = asked.dropDuplicates(["question_id", "group_kind", "group_key"])
     scored = members.join(wanted, ["group_kind", "group_key"]).select(
         "question_id",
         "group_kind",
@@ -388,12 +397,16 @@ def graph_expand(
         "preferred_symbols",
         T.query_tokens("text", vocab.GRAPH_STOPWORDS).alias("tokens"),
     )
-    listed = results.select("question_id", "chunk_id", "rank", "score").join(
-        active.select("question_id"), "question_id", "left_semi"
+    results = materialize(
+        results.select("question_id", "chunk_id", "rank", "score"), "results"
+    )
+    active = materialize(
+        active.join(results.select("question_id").distinct(), "question_id", "left_semi"),
+        "active",
     )
-    active = active.join(listed.select("question_id").distinct(), "question_id", "left_semi")
+    listed = results.join(active.select("question_id"), "question_id", "left_semi")
     columns = ("chunk_id", "symbol_id", "qualname", "section_title", "source_type")
-    typed = listed.join(chunks.select(*columns), "chunk_id")
+    typed = materialize(listed.join(chunks.select(*columns), "chunk_id"), "typed")
 
     # Seeds: the workflow's symbols, else what its preferred symbols resolve to.
     by_workflow = active.join(graph.seeds, "workflow_id").select("question_id", "key")
@@ -401,8 +414,10 @@ def graph_expand(
         "question_id", F.explode("preferred_symbols").alias("ref")
     )
     by_symbol = unseeded.join(resolve_refs(unseeded, graph.nodes), "ref")
-    preferred = by_workflow.unionByName(by_symbol.select("question_id", "key"))
-    mapped = result_symbols(typed, graph.nodes)
+    preferred = materialize(
+        by_workflow.unionByName(by_symbol.select("question_id", "key")), "preferred"
+    )
+    mapped = materialize(result_symbols(typed, graph.nodes), "mapped")
     by_rank = Window.partitionBy("question_id").orderBy("rank")
     retrieved = (
         mapped.withColumn("n", F.row_number().over(by_rank))
@@ -422,7 +437,8 @@ def graph_expand(
         .filter("group_key <> ''")
         .join(active.select("question_id", "tokens"), "question_id")
     )
-    related = best_related(asked, graph, max(PREFERRED["owner"][0], PREFERRED["module"][0]))
+    most = max(PREFERRED["owner"][0], PREFERRED["module"][0])
+    related = materialize(best_related(asked, graph, most), "related")
     parts = _seed_parts(preferred, graph, related, PREFERRED) + _seed_parts(
         retrieved, graph, related, RETRIEVED
     )
@@ -440,10 +456,11 @@ def graph_expand(
     top = Window.partitionBy("question_id").orderBy(
         F.desc("value"), F.desc("affinity"), F.asc("key")
     )
-    scored = (
+    scored = materialize(
         summed.withColumn("nth", F.row_number().over(top))
         .filter(F.col("nth") <= GRAPH_CANDIDATES)
-        .select("question_id", "key", "value", "nth")
+        .select("question_id", "key", "value", "nth"),
+        "scored",
     )
     places = symbol_chunks(chunks, graph.nodes)
     gains = [scored.join(places, "key").select("question_id", "chunk_id", "value")]
@@ -466,9 +483,7 @@ def graph_expand(
     expanded = merged.withColumn("rank", F.row_number().over(final)).select(
         "question_id", "chunk_id", "rank", "score"
     )
-    same = results.select("question_id", "chunk_id", "rank", "score").join(
-        grown, "question_id", "left_anti"
-    )
+    same = results.join(grown, "question_id", "left_anti")
     return expanded.unionByName(same)
 
 
@@ -571,7 +586,7 @@ def lookup_by_tail(names: DataFrame, entries: DataFrame) -> DataFrame:
     """(name, seq, symbol_id): every record that ends in the name."""
     asked = names.select("name", T.strip("name").alias("tail")).distinct()
     return entries.select("seq", "symbol_id", "tail").join(
-        broadcast_checked(asked), "tail"
+        asked, "tail"
     ).select("name", "seq", "symbol_id")
 
 
@@ -586,7 +601,7 @@ def class_node(names: DataFrame, nodes: DataFrame) -> DataFrame:
         "first_seq", "symbol_id", F.explode(ends).alias("text")
     )
     asked = names.select("name", T.strip("name").alias("text")).distinct().filter("text <> ''")
-    found = classes.join(broadcast_checked(asked), "text")
+    found = classes.join(asked, "text")
     return found.groupBy("name").agg(
         F.min(F.struct("first_seq", "symbol_id"))["symbol_id"].alias("symbol_id")
     )
@@ -597,7 +612,7 @@ def methods_of(names: DataFrame, entries: DataFrame) -> DataFrame:
     asked = names.select("name", T.strip("name").alias("owner_class")).distinct()
     methods = entries.filter("kind = 'method' AND owner_class <> ''")
     return methods.select("seq", "symbol_id", "owner_class").join(
-        broadcast_checked(asked), "owner_class"
+        asked, "owner_class"
     ).select("name", "seq", "symbol_id")
 
 

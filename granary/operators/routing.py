@@ -91,49 +91,46 @@ def _plain(text: str) -> str:
 _KEYWORD = "struct<keyword:string,plain:string,words:array<string>>"
 
 
-def _keyword_table(keywords: Iterable[str]) -> Column:
-    rows = [
-        F.struct(
-            F.lit(k).alias("keyword"),
-            F.lit(_plain(k)).alias("plain"),
-            T.strings(_plain(k).split()).alias("words"),
-        )
+def _keyword_rows(keywords: Iterable[str]) -> list[dict]:
+    return [
+        {"keyword": k, "plain": _plain(k), "words": _plain(k).split()}
         for k in keywords
         if _plain(k)
     ]
-    return (F.array(*rows) if rows else F.array()).cast(f"array<{_KEYWORD}>")
 
 
-def _hits_in(haystack: Column, table: Column) -> Column:
-    """Keywords contained as a phrase, or with all their words."""
-    return F.filter(
-        table,
-        lambda k: F.contains(haystack, k["plain"])
-        | ((F.size(k["words"]) > 1) & F.forall(k["words"], lambda w: F.contains(haystack, w))),
-    )
+def _matches(haystack: Column, table: Column, weight: int) -> Column:
+    """Array of (keyword, points) that hit: as a phrase, or with all their words."""
+
+    def points(k):
+        several = F.size(k["words"]) > 1
+        whole = F.contains(haystack, k["plain"])
+        every = several & F.forall(k["words"], lambda w: F.contains(haystack, w))
+        return F.struct(
+            k["keyword"].alias("keyword"),
+            F.when(whole, F.lit(weight) + several.cast("int")).when(every, weight).alias("points"),
+        )
 
+    return F.filter(F.transform(table, points), lambda k: k["points"].isNotNull())
 
-def _score_of(haystack: Column, hits: Column, weight: int) -> Column:
-    return F.aggregate(
-        hits,
-        F.lit(0),
-        lambda total, k: total
-        + F.lit(weight)
-        + F.when(
-            (F.size(k["words"]) > 1) & F.contains(haystack, k["plain"]), 1
-        ).otherwise(0),
-    )
+
+def _total(matches: Column) -> Column:
+    return F.aggregate(matches, F.lit(0), lambda total, k: total + k["points"])
+
+
+def _words(matches: Column) -> Column:
+    return F.transform(matches, lambda k: k["keyword"])
 
 
 def keyword_hits(haystack: Column, keywords: Iterable[str], weight: int = 1) -> Column:
     """struct(score, hits) of a normalized text against a keyword list."""
+    table = T.constant(_keyword_rows(keywords), f"array<{_KEYWORD}>")
     return let(
         haystack,
         lambda text: let(
-            _hits_in(text, _keyword_table(keywords)),
-            lambda hits: F.struct(
-                _score_of(text, hits, weight).alias("score"),
-                F.transform(hits, lambda k: k["keyword"]).alias("hits"),
+            _matches(text, table, weight),
+            lambda found: F.struct(
+                _total(found).alias("score"), _words(found).alias("hits")
             ),
         ),
     )
@@ -169,9 +166,8 @@ def normalize_family_id(value: Column | str, registry: Registry) -> Column:
 
 # ---- workflow choice -------------------------------------------------------------------
 
-_FAMILY_ROW = f"struct<no:int,id:string,name:string,keywords:array<{_KEYWORD}>>"
-_WORKFLOW_ROW = (
-    "struct<no:int,id:string,family_id:string,family_name:string,title:string,"
+_ROW = (
+    "struct<no:int,id:string,family_id:string,name:string,title:string,"
     f"keywords:array<{_KEYWORD}>,symbols:array<{_KEYWORD}>,preferred_symbols:array<string>,"
     "prompt_rules:array<string>,tuning_params:array<string>>"
 )
@@ -179,63 +175,136 @@ _WORKFLOW_ROW = (
 
 def _family_table(registry: Registry) -> Column:
     rows = [
-        F.struct(
-            F.lit(no).alias("no"),
-            F.lit(f.id).alias("id"),
-            F.lit(f.name).alias("name"),
-            _keyword_table(f.keywords).alias("keywords"),
-        )
+        {"no": no, "id": f.id, "family_id": f.id, "name": f.name, "title": ""}
+        | {"keywords": _keyword_rows(f.keywords), "symbols": []}
+        | {"preferred_symbols": [], "prompt_rules": [], "tuning_params": []}
         for no, f in enumerate(registry.families)
     ]
-    return (F.array(*rows) if rows else F.array()).cast(f"array<{_FAMILY_ROW}>")
+    return T.constant(rows, f"array<{_ROW}>")
 
 
 def _workflow_table(registry: Registry) -> Column:
     names = {f.id: f.name for f in registry.families}
     rows = [
-        F.struct(
-            F.lit(no).alias("no"),
-            F.lit(w.id).alias("id"),
-            F.lit(w.family_id).alias("family_id"),
-            F.lit(names.get(w.family_id, "")).alias("family_name"),
-            F.lit(w.title).alias("title"),
-            _keyword_table(w.keywords).alias("keywords"),
-            _keyword_table(w.preferred_symbols).alias("symbols"),
-            T.strings(w.preferred_symbols).alias("preferred_symbols"),
-            T.strings(w.prompt_rules).alias("prompt_rules"),
-            T.strings(w.tuning_params).alias("tuning_params"),
-        )
+        {
+            "no": no,
+            "id": w.id,
+            "family_id": w.family_id if w.family_id in names else "",
+            "name": names.get(w.family_id, ""),
+            "title": w.title,
+            "keywords": _keyword_rows(w.keywords),
+            "symbols": _keyword_rows(w.preferred_symbols),
+            "preferred_symbols": list(w.preferred_symbols),
+            "prompt_rules": list(w.prompt_rules),
+            "tuning_params": list(w.tuning_params),
+        }
         for no, w in enumerate(registry.workflows)
     ]
-    return (F.array(*rows) if rows else F.array()).cast(f"array<{_WORKFLOW_ROW}>")
+    return T.constant(rows, f"array<{_ROW}>")
 
 
-def _new_hits(first: Column, more: Column) -> Column:
-    return F.concat(first, F.filter(more, lambda k: ~F.array_contains(first, k)))
+def _scored(row: Column, asked: Column, seen: Column) -> Column:
+    """struct(score, order, row, matched): hits of the question come first, then
+    what only the context adds."""
+    return let(
+        F.struct(asked.alias("asked"), seen.alias("seen")),
+        lambda m: F.struct(
+            (_total(m["asked"]) + _total(m["seen"])).alias("score"),
+            (-row["no"]).alias("order"),
+            row.alias("row"),
+            F.concat(
+                _words(m["asked"]),
+                F.filter(
+                    _words(m["seen"]), lambda k: ~F.array_contains(_words(m["asked"]), k)
+                ),
+            ).alias("matched"),
+        ),
+    )
 
 
-def _words(hits: Column) -> Column:
-    return F.transform(hits, lambda k: k["keyword"])
+def _selection(q: Column, c: Column, forced: Column, gates: dict, registry: Registry) -> Column:
+    """The selection struct of one question; every part is evaluated once."""
+    families = F.transform(
+        _family_table(registry),
+        lambda f: _scored(f, _matches(q, f["keywords"], 3), _matches(c, f["keywords"], 1)),
+    )
+    workflows = F.transform(
+        F.filter(
+            _workflow_table(registry), lambda w: (forced == "") | (w["family_id"] == forced)
+        ),
+        lambda w: _scored(
+            w,
+            _matches(q, w["keywords"], 4),
+            F.concat(_matches(c, w["keywords"], 2), _matches(c, w["symbols"], 3)),
+        ),
+    )
+    free = forced == ""
+    best = let(
+        families,
+        lambda fs: F.when(free, F.array_max(F.filter(fs, lambda f: f["score"] > 0))).otherwise(
+            F.try_element_at(F.filter(fs, lambda f: f["row"]["id"] == forced), F.lit(1))
+        ),
+    )
+    ranked = F.reverse(F.sort_array(F.filter(workflows, lambda w: w["score"] > 0)))
+    none, blank = F.array().cast("array<string>"), F.lit("")
+
+    def decide(s):
+        b, top = s["best"], s["top"]
+        only_family = free & b.isNotNull() & gates["family_meta"](q)
+        chosen = ~s["closed"] & ~only_family & top.isNotNull()
+        by_family = ~s["closed"] & b.isNotNull()
+        lead = F.greatest(top["score"] - F.coalesce(s["next"]["score"], F.lit(0)), F.lit(0))
+        confidence = F.least(
+            F.lit(0.98), F.lit(0.55) + lead / F.greatest(top["score"] + 6, F.lit(1))
+        )
+        home = top["row"]["family_id"] != ""
 
+        def field(name, of_workflow, of_family, empty):
+            value = F.when(chosen, of_workflow).when(by_family, of_family).otherwise(empty)
+            return value.alias(name)
 
-def _scored(question: Column, context: Column, row: Column, parts) -> Column:
-    """struct(score, -no, row, matched) of one registry row.
+        def family(name, source):
+            own = F.when(home, top["row"][source]).otherwise(F.coalesce(b["row"][source], blank))
+            return field(name, own, b["row"][source], blank)
 
-    ``parts``: (haystack, keyword table, weight), the question's first.
-    """
-    found = [_hits_in(text, row[field]) for text, field, _ in parts]
-    score = F.lit(0)
-    for (text, _, weight), hits in zip(parts, found, strict=True):
-        score = score + _score_of(text, hits, weight)
-    more = [_words(hits) for hits in found[1:]]
-    return F.struct(
-        score.alias("score"),
-        (-row["no"]).alias("order"),
-        row.alias("row"),
-        _new_hits(_words(found[0]), F.concat(*more)).alias("matched"),
+        return F.struct(
+            family("family_id", "family_id"),
+            family("family_name", "name"),
+            field("workflow_id", top["row"]["id"], blank, blank),
+            field("workflow_title", top["row"]["title"], blank, blank),
+            field(
+                "confidence",
+                confidence,
+                F.when(only_family, F.lit(0.4)).otherwise(F.lit(0.35)),
+                F.lit(0.0),
+            ),
+            field("preferred_symbols", top["row"]["preferred_symbols"], none, none),
+            field("prompt_rules", top["row"]["prompt_rules"], none, none),
+            field("tuning_params", top["row"]["tuning_params"], none, none),
+            field("matched_on", top["matched"], b["matched"], none),
+        )
+
+    closed = free & (gates["out_of_scope"](q) | gates["conceptual"](q))
+    return let(
+        ranked,
+        lambda r: let(
+            F.struct(
+                best.alias("best"),
+                closed.alias("closed"),
+                F.try_element_at(r, F.lit(1)).alias("top"),
+                F.try_element_at(r, F.lit(2)).alias("next"),
+            ),
+            decide,
+        ),
     )
 
 
+SELECTION_FIELDS = (
+    "family_id", "family_name", "workflow_id", "workflow_title", "confidence",
+    "preferred_symbols", "prompt_rules", "tuning_params", "matched_on",
+)
+
+
 def choose_workflow(
     questions: DataFrame, registry: Registry, names: vocab.Names = DEFAULT_NAMES
 ) -> DataFrame:
@@ -244,103 +313,24 @@ def choose_workflow(
     ``questions``: text, and optionally context (normalized or not) and
     family_hint.
     """
-    question = T.normalize_text("text")
     context = T.normalize_text("context") if "context" in questions.columns else F.lit("")
-    forced = (
-        normalize_family_id("family_hint", registry)
-        if "family_hint" in questions.columns
-        else F.lit("")
-    )
-    gates = scope_gates(F.col("__q"), names)
-    rows = (
-        questions.withColumn("__q", question)
-        .withColumn("__c", context)
-        .withColumn("__forced", forced)
-        .withColumn("__closed", gates["out_of_scope"] | gates["conceptual"])
-        .withColumn("__meta", gates["family_meta"])
-    )
-
-    def families(q, c):
-        return F.transform(
-            _family_table(registry),
-            lambda f: _scored(q, c, f, ((q, "keywords", 3), (c, "keywords", 1))),
-        )
-
-    def workflows(q, c):
-        scored = F.transform(
-            _workflow_table(registry),
-            lambda w: _scored(
-                q, c, w, ((q, "keywords", 4), (c, "keywords", 2), (c, "symbols", 3))
-            ),
-        )
-        return F.filter(scored, lambda w: w["score"] > 0)
-
-    def with_texts(body):
-        return let(F.col("__q"), lambda q: let(F.col("__c"), lambda c: body(q, c)))
-
-    free = F.col("__forced") == ""
-    all_families = F.col("__families")
-    best = F.when(
-        free, F.array_max(F.filter(all_families, lambda f: f["score"] > 0))
-    ).otherwise(
-        F.try_element_at(
-            F.filter(all_families, lambda f: f["row"]["id"] == F.col("__forced")), F.lit(1)
-        )
-    )
-    allowed = F.filter(
-        F.col("__workflows"), lambda w: free | (w["row"]["family_id"] == F.col("__forced"))
-    )
-    rows = (
-        rows.withColumn("__families", with_texts(families))
-        .withColumn("__workflows", with_texts(workflows))
-        .withColumn("__best", best)
-        .withColumn("__ranked", F.reverse(F.sort_array(allowed)))
-        .withColumn("__top", F.try_element_at("__ranked", F.lit(1)))
-        .withColumn("__next", F.try_element_at("__ranked", F.lit(2)))
-    )
-    open_ = ~(free & F.col("__closed"))
-    only_family = free & F.col("__best").isNotNull() & F.col("__meta")
-    chosen = open_ & ~only_family & F.col("__top").isNotNull()
-    family_only = open_ & ~chosen & F.col("__best").isNotNull()
-    top = F.col("__top.row")
-    lead = F.greatest(
-        F.col("__top.score") - F.coalesce("__next.score", F.lit(0)), F.lit(0)
+    hinted = "family_hint" in questions.columns
+    forced = normalize_family_id("family_hint", registry) if hinted else F.lit("")
+    gates = {
+        name: (lambda q, name=name: scope_gates(q, names)[name])
+        for name in ("out_of_scope", "conceptual", "family_meta")
+    }
+    selection = let(
+        T.normalize_text("text"),
+        lambda q: let(
+            context,
+            lambda c: let(forced, lambda f: _selection(q, c, f, gates, registry)),
+        ),
     )
-    confidence = F.least(
-        F.lit(0.98), F.lit(0.55) + lead / F.greatest(F.col("__top.score") + 6, F.lit(1))
+    chosen = questions.withColumn("__s", selection)
+    return chosen.select(
+        *questions.columns, *[F.col(f"__s.{field}") for field in SELECTION_FIELDS]
     )
-    known = [family.id for family in registry.families]
-    has_home = top["family_id"].isin(known)
-    none = F.array().cast("array<string>")
-
-    def of(workflow: Column, family: Column, empty: Column) -> Column:
-        return F.when(chosen, workflow).when(family_only, family).otherwise(empty)
-
-    blank = F.lit("")
-    best_row = F.col("__best.row")
-    selected = {
-        "family_id": of(
-            F.when(has_home, top["family_id"]).otherwise(F.coalesce(best_row["id"], blank)),
-            best_row["id"],
-            blank,
-        ),
-        "family_name": of(
-            F.when(has_home, top["family_name"]).otherwise(F.coalesce(best_row["name"], blank)),
-            best_row["name"],
-            blank,
-        ),
-        "workflow_id": of(top["id"], blank, blank),
-        "workflow_title": of(top["title"], blank, blank),
-        "confidence": of(
-            confidence, F.when(only_family, F.lit(0.4)).otherwise(F.lit(0.35)), F.lit(0.0)
-        ),
-        "preferred_symbols": of(top["preferred_symbols"], none, none),
-        "prompt_rules": of(top["prompt_rules"], none, none),
-        "tuning_params": of(top["tuning_params"], none, none),
-        "matched_on": of(F.col("__top.matched"), F.col("__best.matched"), none),
-    }
-    out = rows.withColumns(selected)
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 # ---- query expansion ----------------------------------------------------------------------
@@ -423,10 +413,10 @@ def expand_queries(
 
     rows = selected.withColumn("__focus", focused_symbol(F.col("text"), hints, names))
     queries = let(F.array_compact(candidates), distinct)
-    return (
-        rows.withColumn("__queries", queries)
-        .select(*selected.columns, F.posexplode("__queries").alias("sub_no", "query"))
-    )
+    # The outer form infers no filter on the expression it explodes.
+    return rows.select(
+        *selected.columns, F.posexplode_outer(queries).alias("sub_no", "query")
+    ).filter("sub_no IS NOT NULL")
 
 
 # ---- context ----------------------------------------------------------------------------
@@ -646,6 +636,7 @@ class Rule:
 
 
 RULE_LINES = 8
+_RULE_ROW = "struct<message:string,line:string,scope:string,needles:array<string>>"
 
 
 def rules_of(table: DataFrame) -> tuple[Rule, ...]:
@@ -685,12 +676,12 @@ def match_rules(
         scope = rule.scope.strip().lower()
         ident = rule.id.strip() or f"rule_{number}"
         rows.append(
-            F.struct(
-                F.lit(message).alias("message"),
-                F.lit(f"- [{ident}] {message}").alias("line"),
-                F.lit(scope if scope in ("question", "context") else "all").alias("scope"),
-                T.strings(needles).alias("needles"),
-            )
+            {
+                "message": message,
+                "line": f"- [{ident}] {message}",
+                "scope": scope if scope in ("question", "context") else "all",
+                "needles": needles,
+            }
         )
     head = T.strings([f"- {m}" for m in fixed])
     if not rows:
@@ -698,7 +689,7 @@ def match_rules(
 
     def matched(q, c, both):
         hit = F.filter(
-            F.array(*rows),
+            T.constant(rows, f"array<{_RULE_ROW}>"),
             lambda r: F.exists(
                 r["needles"],
                 lambda n: F.contains(
