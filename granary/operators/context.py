@@ -92,6 +92,12 @@ def context_block(
     return _joined(results, "rank", block, "context")
 
 
+def four_decimals(score: Column) -> Column:
+    """Score text with four decimals; exact halves go to the even digit."""
+    exact = score * 32 == F.floor(score * 32)
+    return F.format_string("%.4f", F.when(exact, F.bround(score, 4)).otherwise(score))
+
+
 def item_block(items: DataFrame) -> DataFrame:
     """(question_id, context): the same for context items, with scores."""
     block = F.concat_ws(
@@ -100,7 +106,7 @@ def item_block(items: DataFrame) -> DataFrame:
         F.concat(F.lit("source_type: "), F.col("source_type")),
         F.concat(F.lit("title: "), F.col("title")),
         F.concat(F.lit("location: "), F.col("location")),
-        F.concat(F.lit("score: "), F.format_string("%.4f", F.col("score"))),
+        F.concat(F.lit("score: "), four_decimals(F.col("score"))),
         F.lit("text:"),
         F.col("text"),
     )

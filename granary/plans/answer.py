@@ -56,29 +56,14 @@ def _retrieve(queries: DataFrame, index: CorpusIndex, k: int, options: Settings)
     )
 
 
-def workflow_retrieve(
-    questions: DataFrame,
-    index: CorpusIndex,
-    registry: routing.Registry,
-    options: Settings = Settings(),
-    graph: SymbolGraph | None = None,
+def retrieved_lists(
+    selected: DataFrame, index: CorpusIndex, options: Settings = Settings()
 ) -> DataFrame:
-    """(question_id, rank, chunk_id, score, mode_label).
-
-    Expands each question to its retrieval queries, retrieves all of them in
-    one batch, merges per question, expands along the graph if one is given,
-    reranks and keeps k. ``questions``: question_id, text, optionally
-    family_hint; rows that carry a selection (workflow_id, ...) keep it.
-    """
-    selected = (
-        questions
-        if "workflow_id" in questions.columns
-        else routing.choose_workflow(questions, registry, options.names)
-    )
-    expanded = routing.expand_queries(selected, options.names)
+    """(question_id, sub_no, queries, query_id, chunk_id, rank, score): one list
+    per retrieval query of each question, all searched in one batch."""
     several = Window.partitionBy("question_id")
     wanted = materialize(
-        expanded.select(
+        routing.expand_queries(selected, options.names).select(
             "question_id",
             "sub_no",
             "query",
@@ -96,8 +81,29 @@ def workflow_retrieve(
             ["query_id"]
         )
         lists.append(asking.join(_retrieve(distinct, index, depth, options), "query_id"))
-    found = reduce(DataFrame.unionByName, lists)
-    merged = S.merge_result_sets(found).select("question_id", "chunk_id", "rank", "score")
+    return reduce(DataFrame.unionByName, lists)
+
+
+def workflow_retrieve(
+    questions: DataFrame,
+    index: CorpusIndex,
+    registry: routing.Registry,
+    options: Settings = Settings(),
+    graph: SymbolGraph | None = None,
+) -> DataFrame:
+    """(question_id, rank, chunk_id, score, mode_label).
+
+    Expands each question to its retrieval queries, retrieves all of them in
+    one batch, merges per question, expands along the graph if one is given,
+    reranks and keeps k. ``questions``: question_id, text, optionally
+    family_hint; rows that carry a selection (workflow_id, ...) keep it.
+    """
+    selected = questions
+    if "workflow_id" not in questions.columns:
+        chosen = routing.choose_workflow(questions, registry, options.names)
+        selected = materialize(chosen, "selected")
+    lists = materialize(retrieved_lists(selected, index, options), "lists")
+    merged = S.merge_result_sets(lists).select("question_id", "chunk_id", "rank", "score")
     if graph is not None:
         merged = graph_expand(selected, merged, index.chunks, graph)
     asked_by = selected.select(
@@ -117,7 +123,7 @@ def workflow_retrieve(
         F.lit("+graph" if graph is not None else ""),
         F.lit("+ce" if options.scorer is not None else ""),
     )
-    counts = wanted.select("question_id", "queries").distinct()
+    counts = lists.select("question_id", "queries").distinct()
     kept = reranked.filter(F.col("rank") <= options.k)
     return kept.join(counts, "question_id").select(
         "question_id", "rank", "chunk_id", "score", label.alias("mode_label")

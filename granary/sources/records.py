@@ -45,7 +45,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole markdown files; missing or blank ones drop."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "path string, text string")
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(
         T.strip("text") != ""
     )
@@ -66,9 +66,7 @@ def scan_source_tree(
     """(path, source, modificationTime) of the files under a root, path relative."""
     suffixes = normalize_extensions(extensions)
     files = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True)
         .select(
             F.col("_metadata.file_path").alias("full"),
             F.col("_metadata.file_modification_time").alias("modificationTime"),
