@@ -212,8 +212,8 @@ WINDOWS_SQL = """
 )
 def fixed_windows(src):
     return src.table("documents").select(
-        "doc_id", F.posexplode(C.fixed_windows("text", 2400, 250)).alias("window_no", "piece")
-    ).withColumn("window_no", F.col("window_no").cast("bigint"))
+        "doc_id", F.posexplode_outer(C.fixed_windows("text", 2400, 250)).alias("window_no", "piece")
+    ).filter("piece IS NOT NULL").withColumn("window_no", F.col("window_no").cast("bigint"))
 
 
 @register("narrative_windows")
@@ -306,8 +306,8 @@ SECTIONS_SQL = r"""
 def split_doc_sections(src):
     sections = X.split_doc_sections("text", "module")
     return src.view("v_headed").select(
-        "doc_id", F.posexplode(sections).alias("section_no", "s")
-    ).select(
+        "doc_id", F.posexplode_outer(sections).alias("section_no", "s")
+    ).filter("s IS NOT NULL").select(
         "doc_id",
         (F.col("section_no") + 1).cast("bigint").alias("section_no"),
         "s.title",
@@ -332,7 +332,9 @@ def split_doc_sections(src):
 )
 def merge_short_sections(src):
     merged = X.merge_short_sections(X.split_doc_sections("text", "module"))
-    return src.view("v_headed").select("doc_id", F.inline(merged))
+    return src.view("v_headed").select("doc_id", F.inline_outer(merged)).filter(
+        "title IS NOT NULL"
+    )
 
 
 @register(
@@ -372,16 +374,13 @@ def filter_short_docs(src):
           AND NOT (kind = 3 AND NOT regexp_matches(ref, '^[A-Z]'))),
       o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(ref) ORDER BY kind, i, j)
           AS n FROM f)
-      SELECT doc_id, string_agg(ref, ' ' ORDER BY kind, i, j) AS refs FROM o WHERE n = 1
+      SELECT doc_id, coalesce(string_agg(ref, ' ' ORDER BY kind, i, j), '') AS refs
+      FROM {documents} LEFT JOIN (SELECT * FROM o WHERE n = 1) AS k USING (doc_id)
       GROUP BY doc_id""",
 )
 def extract_refs(src):
     refs = X.extract_refs("text", package="pack")
-    return (
-        src.view("v_narrative_text")
-        .select("doc_id", F.array_join(refs, " ").alias("refs"))
-        .filter("refs <> ''")
-    )
+    return src.view("v_narrative_text").select("doc_id", F.array_join(refs, " ").alias("refs"))
 
 
 @register(

@@ -84,36 +84,31 @@ def read_narratives_jsonl(src):
     )
 
 
-@register("read_markdown", "SELECT doc_id, text FROM {v_markdown}")
+@register("read_markdown", "SELECT text, length(text) AS chars FROM {v_markdown}")
 def read_markdown(src):
+    """Every document as a markdown file of its own, read back whole."""
     path = scratch_path(src.spark, "markdown")
-    docs = src.view("v_markdown")
-    docs.select(F.col("text").alias("value"), "doc_id").write.option("lineSep", "\x02").partitionBy(
-        "doc_id"
-    ).text(path)
-    read = records.read_markdown(src.spark, f"{path}/*/*.txt")
-    doc = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint")
-    return read.select(doc.alias("doc_id"), F.rtrim("text", F.lit("\x02")).alias("text"))
+    docs = src.view("v_markdown").select(F.col("text").alias("value"))
+    docs.write.option("maxRecordsPerFile", 1).option("lineSep", "\x02").text(path)
+    read = records.read_markdown(src.spark, f"{path}/*.txt")
+    text = F.rtrim("text", F.lit("\x02"))
+    return long(read.select(text.alias("text"), F.length(text).alias("chars")), "chars")
 
 
 @register(
     "scan_source_tree",
     """SELECT lang, count(*) AS files, sum(length(text) + 1) AS chars FROM {documents}
-       WHERE lang <> 'de' GROUP BY lang""",
+       GROUP BY lang""",
 )
 def scan_source_tree(src):
-    """One file per language and document; the suffix filter skips one language."""
+    """One file per document below a folder per language."""
     path = scratch_path(src.spark, "tree")
-    docs = src.table("documents").select(
-        F.when(F.col("lang") == "de", "txt").otherwise("py").alias("suffix"), "lang", "doc_id",
-        F.col("text").alias("value"),
-    )
-    for suffix in ("py", "txt"):
-        part = docs.filter(F.col("suffix") == suffix).select("lang", "doc_id", "value")
-        part.write.partitionBy("lang", "doc_id").text(f"{path}/{suffix}")
-    found = records.scan_source_tree(src.spark, path, "txt")
-    kept = found.filter(F.startswith("path", F.lit("py/"))).select(
-        F.regexp_extract("path", "lang=([a-z]+)/", 1).alias("lang"), F.length("source").alias("n")
+    docs = src.table("documents").select("lang", F.col("text").alias("value"))
+    docs.write.option("maxRecordsPerFile", 1).partitionBy("lang").text(f"{path}/src")
+    found = records.scan_source_tree(src.spark, path, "TXT, .md")
+    kept = found.select(
+        F.regexp_extract("path", r"\Asrc/lang=([a-z]+)/", 1).alias("lang"),
+        F.length("source").alias("n"),
     )
     return kept.groupBy("lang").agg(F.count("*").alias("files"), F.sum("n").alias("chars"))
 

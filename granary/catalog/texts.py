@@ -82,7 +82,8 @@ def query_tokens_graph(src):
         FROM (SELECT DISTINCT unnest({TOKENS}) AS token FROM {{documents}}) AS t""",
 )
 def token_forms(src):
-    tokens = src.table("documents").select(F.explode(T.tokenize("text")).alias("token")).distinct()
+    tokens = src.table("documents").select(F.explode_outer(T.tokenize("text")).alias("token"))
+    tokens = tokens.filter("token IS NOT NULL").distinct()
     return tokens.select("token", F.array_join(T.token_forms(F.col("token")), " ").alias("forms"))
 
 
@@ -187,18 +188,16 @@ def truncate_output(src):
 
 @register(
     "referenced_names",
-    """SELECT doc_id, string_agg(t, ' ' ORDER BY first) AS names FROM (
-         SELECT doc_id, t, min(i) AS first FROM (
+    """SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY first), '') AS names
+       FROM {documents} LEFT JOIN (SELECT doc_id, t, min(i) AS first FROM (
            SELECT doc_id, unnest(x) AS t, unnest(range(len(x))) AS i FROM (
              SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS x
              FROM {documents}) AS a) AS b
-         GROUP BY doc_id, t) AS c GROUP BY doc_id""",
+         GROUP BY doc_id, t) AS c USING (doc_id) GROUP BY doc_id""",
 )
 def referenced_names(src):
-    return (
-        src.table("documents")
-        .select("doc_id", F.array_join(T.referenced_names("text"), " ").alias("names"))
-        .filter("names <> ''")
+    return src.table("documents").select(
+        "doc_id", F.array_join(T.referenced_names("text"), " ").alias("names")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.functions import text as T
-from granary.runtime import let, with_position
+from granary.runtime import let, materialize, with_position
 from granary.schemas import CHUNK_COLUMNS, chunk_row
 
 CHUNK_CHARS = 3500
@@ -124,29 +125,31 @@ def page_ranges(
         ),
     )
 
-    def walk_table(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at")
-        base, count = int(key[1]) * block, len(frame)
-        inner = min(block, count)
-        end, nxt = _page_steps(frame["n"].to_numpy(), chunk_chars, overlap_chars)
-        leave = np.full(inner, -1, dtype=np.int64)
-        made = np.ones(inner, dtype=np.int64)
-        for i in range(inner - 1, -1, -1):
-            if end[i] >= count and count < block + ahead:
-                continue  # last chunk of the document
-            if nxt[i] >= inner:
-                leave[i] = base + nxt[i]
-            else:
-                leave[i], made[i] = leave[nxt[i]], 1 + made[nxt[i]]
-        size = min(inner, ahead + 1)
-        return pd.DataFrame(
-            {
-                "doc_id": [key[0]],
-                "block": [key[1]],
-                "leave": [leave[:size]],
-                "made": [made[:size]],
-            }
-        )
+    # One row per block: page lengths only, at most a block and its reach long.
+    ordered = F.array_sort(F.collect_list(F.struct("at", "n")))
+    blocks = materialize(
+        spans.groupBy("doc_id", "block").agg(ordered["n"].alias("lengths")), "page-blocks"
+    )
+
+    def walk_table(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc_id, number, lengths_ in frame.itertuples(index=False):
+                count = len(lengths_)
+                inner, last = min(block, count), count < block + ahead
+                end, nxt = _page_steps(np.asarray(lengths_), chunk_chars, overlap_chars)
+                leave = np.full(inner, -1, dtype=np.int64)
+                made = np.ones(inner, dtype=np.int64)
+                for i in range(inner - 1, -1, -1):
+                    if last and end[i] >= count:
+                        continue  # last chunk of the document
+                    if nxt[i] >= inner:
+                        leave[i] = number * block + nxt[i]
+                    else:
+                        leave[i], made[i] = leave[nxt[i]], 1 + made[nxt[i]]
+                size = min(inner, ahead + 1)
+                rows.append((doc_id, number, leave[:size], made[:size]))
+            yield pd.DataFrame(rows, columns=["doc_id", "block", "leave", "made"])
 
     def fold(key, frame: pd.DataFrame) -> pd.DataFrame:
         entry, first = 0, 0
@@ -161,42 +164,38 @@ def page_ranges(
                 break
         return pd.DataFrame(rows, columns=["doc_id", "block", "entry", "first"])
 
-    def emit(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at")
-        base, count = int(key[1]) * block, len(frame)
-        end, nxt = _page_steps(frame["n"].to_numpy(), chunk_chars, overlap_chars)
-        at, number = int(frame["entry"].iloc[0]) - base, int(frame["first"].iloc[0])
-        rows = []
-        while at < min(block, count):
-            rows.append((key[0], number, base + at + 1, base + int(end[at])))
-            if end[at] >= count and count < block + ahead:
-                break
-            at, number = int(nxt[at]), number + 1
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_no", "page_start", "page_end"])
-
-    long_docs = lengths.filter("block > 0").select("doc_id").distinct()
-    tables = (
-        spans.join(long_docs, "doc_id", "left_semi")
-        .groupBy("doc_id", "block")
-        .applyInPandas(
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc_id, number, lengths_, entry, first_ in frame.itertuples(index=False):
+                base, count = number * block, len(lengths_)
+                last = count < block + ahead
+                end, nxt = _page_steps(np.asarray(lengths_), chunk_chars, overlap_chars)
+                at = entry - base
+                while at < min(block, count):
+                    rows.append((doc_id, first_, base + at + 1, base + int(end[at])))
+                    if last and end[at] >= count:
+                        break
+                    at, first_ = int(nxt[at]), first_ + 1
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "page_start", "page_end"])
+
+    later = (
+        blocks.join(blocks.filter("block > 0").select("doc_id").distinct(), "doc_id", "left_semi")
+        .select("doc_id", "block", "lengths")
+        .mapInPandas(
             walk_table, "doc_id bigint, block bigint, leave array<bigint>, made array<bigint>"
         )
-    )
-    later = (
-        tables.groupBy("doc_id")
+        .groupBy("doc_id")
         .applyInPandas(fold, "doc_id bigint, block bigint, entry bigint, first bigint")
         .filter("block > 0")
     )
-    first = (
-        lengths.filter("at = 0")
-        .select("doc_id", "block", F.lit(0).cast("bigint").alias("entry"))
-        .withColumn("first", F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    entered = blocks.filter("block = 0").select(
+        "doc_id", "block", "lengths", zero.alias("entry"), zero.alias("first")
     )
-    entries = first.unionByName(later)
-    return (
-        spans.join(entries, ["doc_id", "block"])
-        .groupBy("doc_id", "block")
-        .applyInPandas(emit, "doc_id bigint, chunk_no bigint, page_start int, page_end int")
+    entered = entered.unionByName(blocks.join(later, ["doc_id", "block"]))
+    return entered.mapInPandas(
+        emit, "doc_id bigint, chunk_no bigint, page_start int, page_end int"
     )
 
 
@@ -325,7 +324,7 @@ def split_markdown_sections(
     heading = F.regexp_extract("piece", r"(?d)\A(.*)", 1)
     title = F.btrim(T.strip(F.ltrim(heading, F.lit("#"))), F.lit("`"))
     return (
-        docs.select("doc_id", F.posexplode(pieces).alias("section_no", "piece"))
+        docs.select("doc_id", F.posexplode_outer(pieces).alias("section_no", "piece"))
         .select(
             "doc_id",
             "section_no",
@@ -369,8 +368,9 @@ def api_reference_chunks(
     overlap: int = API_OVERLAP_CHARS,
 ) -> DataFrame:
     """Markdown reference as module chunks, keyed by (doc_id, chunk_no)."""
-    windows = F.posexplode(fixed_windows("body", size, overlap)).alias("__w", "text")
+    windows = F.posexplode_outer(fixed_windows("body", size, overlap)).alias("__w", "text")
     cut = split_markdown_sections(docs).select("doc_id", "section_no", "title", windows)
+    cut = cut.filter("text IS NOT NULL")
     order = F.col("section_no") * F.lit(1 << 31).cast("bigint") + F.col("__w")
     return cut.select(
         "doc_id",
@@ -454,7 +454,8 @@ def narrative_windows(
         full.alias("full"),
     )
     cut = rows.withColumn("parts", paragraph_windows(F.col("full"), size, overlap, separator))
-    part = cut.select("*", F.posexplode("parts").alias("chunk_no", "piece"))
+    part = cut.select("*", F.posexplode_outer("parts").alias("chunk_no", "piece"))
+    part = part.filter("piece IS NOT NULL")
     sub_id = F.when(F.col("chunk_no") == 0, F.col("section_id")).otherwise(
         F.concat("section_id", F.lit(":"), F.col("chunk_no").cast("string"))
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.functions import text as T
-from granary.runtime import let, materialize
+from granary.runtime import BROADCAST_ROWS, key_blocks, let, materialize, spread
 
 NODE_FIELDS = ("symbol_id", "qualname", "module", "kind", "owner", "tail")
 
@@ -113,7 +113,7 @@ def _node_texts(nodes: DataFrame) -> DataFrame:
         (F.lit(1), name),
         (F.lit(2), F.lower("tail")),
     )
-    return nodes.select("key", F.inline(F.concat(exact, dotted)))
+    return nodes.select("key", F.inline_outer(F.concat(exact, dotted)))
 
 
 def resolve_refs(refs: DataFrame, nodes: DataFrame, allow_spaces: bool = True) -> DataFrame:
@@ -253,12 +253,17 @@ def symbol_graph(
     )
 
 
-def query_affinity(tokens: Column) -> Column:
-    """Query tokens contained in the names of a node."""
-    names = F.lower(
+def node_names() -> Column:
+    """The text a question's tokens are looked up in."""
+    return F.lower(
         F.concat_ws(" ", *[T.blank_to_null(c) for c in ("qualname", "module", "owner", "tail")])
     )
-    return let(names, lambda text: F.size(F.filter(tokens, lambda t: F.contains(text, t))))
+
+
+def query_affinity(tokens: Column, names: Column | None = None) -> Column:
+    """Query tokens contained in the names of a node."""
+    text_of = node_names() if names is None else names
+    return let(text_of, lambda text: F.size(F.filter(tokens, lambda t: F.contains(text, t))))
 
 
 def best_related(
@@ -267,19 +272,32 @@ def best_related(
     """(question_id, group_kind, group_key, key, nth): best symbols of a group.
 
     ``asked``: question_id, tokens, group_kind, group_key. The asked groups go
-    to the symbols, and each task keeps its best ``limit`` per group before
-    anything is shuffled.
+    to the symbols in blocks of bounded size, and each task keeps its best
+    ``limit`` per group before anything is shuffled, so a group that holds
+    most symbols is scored by all tasks.
     """
     groups = group_symbols(graph.entries).filter("group_kind IN ('module', 'owner')")
     members = groups.withColumnRenamed("symbol", "key").distinct().join(graph.nodes, "key")
-    wanted = asked.dropDuplicates(["question_id", "group_kind", "group_key"])
-    scored = members.join(wanted, ["group_kind", "group_key"]).select(
+    members = spread(
+        members.select(
+            "group_kind", "group_key", "key", F.lower("tail").alias("tail"), node_names().alias("names")
+        ),
+        "key",
+    )
+    wanted = materialize(
+        asked.dropDuplicates(["question_id", "group_kind", "group_key"]), "asked-groups"
+    )
+    met = [
+        members.join(F.broadcast(block), ["group_kind", "group_key"])
+        for block in key_blocks(wanted, "question_id", BROADCAST_ROWS // 10)
+    ]
+    scored = reduce(DataFrame.unionByName, met).select(
         "question_id",
         "group_kind",
         "group_key",
         "key",
-        query_affinity(F.col("tokens")).alias("affinity"),
-        F.lower("tail").alias("tail"),
+        query_affinity(F.col("tokens"), F.col("names")).alias("affinity"),
+        "tail",
     )
     order = Window.partitionBy("question_id", "group_kind", "group_key").orderBy(
         F.desc("affinity"), F.desc("tail"), F.asc("key")
@@ -632,7 +650,7 @@ def imports_for_names(texts: DataFrame, imports: Mapping[str, str]) -> DataFrame
         ),
     )
     rows = texts.select("text_id", imported_words("text").alias("have"), names.alias("names"))
-    needed = rows.select("text_id", "have", F.inline("names")).filter(
+    needed = rows.select("text_id", "have", F.inline_outer("names")).filter(
         F.col("statement").isNotNull() & ~F.array_contains("have", F.col("name"))
     )
     first = needed.groupBy("text_id", "statement").agg(F.min("pos").alias("pos"))

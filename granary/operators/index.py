@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.runtime import let, materialize, spread
+from granary.runtime import BROADCAST_ROWS, at_most, let, materialize, spread
 
 # Terms joined by broadcast ahead of the shuffle join, most frequent first.
 HOT_TERMS = 4_096
@@ -31,14 +31,17 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
 
 
 def postings(terms: DataFrame) -> DataFrame:
-    return terms.select("chunk_id", F.inline("counts"))
+    # Outer generators: the plain ones infer a filter on the array, which is
+    # pushed to the scan and would count all terms a second time there.
+    return terms.select("chunk_id", F.inline_outer("counts")).filter("term IS NOT NULL")
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
     """Chunks per term; a chunk holds each term once, so this is a plain count
     with map-side partial sums."""
     return (
-        terms.select(F.explode("counts.term").alias("term"))
+        terms.select(F.explode_outer("counts.term").alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
@@ -57,17 +60,24 @@ def _weigh(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "term", "tf", weight.alias("w"))
 
 
-def tf_weights(terms: DataFrame, idf_table: DataFrame, hot_terms: int = 0) -> DataFrame:
+def tf_weights(
+    terms: DataFrame,
+    idf_table: DataFrame,
+    hot_terms: int = 0,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """(1 + ln tf) * idf per chunk and term.
 
-    With ``hot_terms`` the most frequent terms are joined by broadcast (their
-    number is fixed, so is the size) and only the rest meets its idf in a
-    shuffle; no single term can then fill a partition. Meant for a term table
-    that is already written, because it is read once per part.
+    With ``hot_terms`` and an idf table too long to broadcast, the most
+    frequent terms are joined by broadcast (their number is fixed, so is the
+    size) and only the rest meets its idf in a shuffle; no single term can then
+    fill a partition. Meant for written tables, which are read once per part.
     """
     rows = postings(terms)
     if not hot_terms:
         return _weigh(rows.join(idf_table.select("term", "idf"), "term"))
+    if at_most(idf_table, broadcast_rows):
+        return _weigh(rows.join(F.broadcast(idf_table.select("term", "idf")), "term"))
     hot = F.broadcast(
         idf_table.orderBy(F.desc("df"), "term").limit(hot_terms).select("term", "idf")
     )

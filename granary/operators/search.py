@@ -38,8 +38,8 @@ def take_top(scored: DataFrame, k: int, *order) -> DataFrame:
 def query_weights(queries: DataFrame, idf_table: DataFrame) -> DataFrame:
     """(query_id, term, idf, w) of known query terms, w divided by the query norm."""
     counts = queries.select(
-        "query_id", F.inline(T.term_counts(T.tokenize("text")))
-    )
+        "query_id", F.inline_outer(T.term_counts(T.tokenize("text")))
+    ).filter("term IS NOT NULL")
     weight = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
     weighted = idf_table.select("term", "idf").join(F.broadcast(counts), "term").select(
         "query_id", "term", "idf", weight.alias("w")
