@@ -151,7 +151,7 @@ def page_ranges(
                 rows.append((doc_id, number, leave[:size], made[:size]))
             yield pd.DataFrame(rows, columns=["doc_id", "block", "leave", "made"])
 
-    def fold(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         entry, first = 0, 0
         rows = []
         for number, leave, made in (
