@@ -216,7 +216,33 @@ def fixed_windows(src):
     ).filter("piece IS NOT NULL").withColumn("window_no", F.col("window_no").cast("bigint"))
 
 
-@register("narrative_windows")
+@register(
+    "narrative_windows",
+    # Follows the windows of each text: a window ends at the last line break of
+    # its second half, and the next one starts 400 characters before that.
+    """WITH RECURSIVE n AS (SELECT doc_id, 'Topic ' || source AS title, 'mod_' || lang AS module,
+           source || '.py' AS origin, 'Narrative: Topic ' || source || chr(10) || 'Module: mod_'
+             || lang || chr(10) || 'Source: ' || source || '.py' || chr(10)
+             || 'Related symbols: ref.' || lang || ', ref.all' || chr(10) || chr(10)
+             || trim(text, ' ' || chr(10)) AS body FROM {documents}
+           WHERE trim(text, ' ' || chr(10)) <> ''),
+         w(doc_id, body, start, stop) AS (
+           SELECT doc_id, body, 0, CASE WHEN length(body) <= 3500 THEN length(body) ELSE 3500
+             - coalesce(nullif(strpos(reverse(substr(body, 1751, 1750)), chr(10)), 0), 0) END FROM n
+           UNION ALL
+           SELECT doc_id, body, b, CASE WHEN length(body) <= b + 3500 THEN length(body)
+             ELSE b + 3500 - strpos(reverse(substr(body, b + 1751, 1750)), chr(10)) END
+           FROM (SELECT doc_id, body, greatest(stop - 400, start + 1) AS b FROM w
+             WHERE stop < length(body)) AS x),
+         p AS (SELECT doc_id, start, trim(substr(body, start + 1, stop - start), ' ' || chr(10))
+           AS text FROM w),
+         k AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1
+           AS chunk_no FROM p WHERE text <> '')
+       SELECT 'narrative:' || CAST(doc_id AS VARCHAR) || CASE WHEN chunk_no = 0 THEN ''
+           ELSE ':' || CAST(chunk_no AS VARCHAR) END AS symbol_id, chunk_no, k.text,
+         title AS section_title, module, origin AS file_path
+       FROM k JOIN n USING (doc_id)""",
+)
 def narrative_windows(src):
     rows = src.sql(
         """SELECT concat('narrative:', CAST(doc_id AS STRING)) AS section_id,
@@ -224,9 +250,10 @@ def narrative_windows(src):
              concat(source, '.py') AS source_file, array(concat('ref.', lang), 'ref.all')
              AS resolved_symbol_ids FROM {documents}"""
     )
-    return C.narrative_windows(rows, separator="\n").select(
+    cut = C.narrative_windows(rows, separator="\n").select(
         "symbol_id", "chunk_no", "text", "section_title", "module", "file_path"
     )
+    return cut.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
 def _sources(src) -> dict:
@@ -315,19 +342,22 @@ def split_doc_sections(src):
     )
 
 
-@register(
-    "merge_short_sections",
-    f"""WITH {SECTIONS_SQL.strip()},
-      a AS (SELECT *, length(text) >= 200 AS long,
+MERGED_SQL = """a AS (SELECT *, length(text) >= 200 AS long,
           min(CASE WHEN text <> '' THEN no END) OVER (PARTITION BY doc_id) AS first
         FROM sections),
       b AS (SELECT *, sum(CASE WHEN (long AND no >= first) OR no = first THEN 1 ELSE 0 END)
           OVER (PARTITION BY doc_id ORDER BY no) AS g FROM a),
       c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY no) AS nth FROM b
-        WHERE g > 0)
-      SELECT doc_id, arg_min(title, no) AS title, trim(string_agg(CASE WHEN nth = 1 THEN text
-          WHEN text = '' THEN title ELSE title || chr(10) || text END,
-          chr(10) || chr(10) ORDER BY no), ' ' || chr(10)) AS text
+        WHERE g > 0)"""
+MERGED_TEXT = """trim(string_agg(CASE WHEN nth = 1 THEN text WHEN text = '' THEN title
+          ELSE title || chr(10) || text END, chr(10) || chr(10) ORDER BY no), ' ' || chr(10))"""
+
+
+@register(
+    "merge_short_sections",
+    f"""WITH {SECTIONS_SQL.strip()},
+      {MERGED_SQL}
+      SELECT doc_id, arg_min(title, no) AS title, {MERGED_TEXT} AS text
       FROM c GROUP BY doc_id, g""",
 )
 def merge_short_sections(src):
@@ -461,6 +491,10 @@ def extract_module_docs(src):
     return docs.select("module", T.strip("docstring").alias("docstring"))
 
 
-@register("extraction_errors")
+@register(
+    "extraction_errors",
+    """SELECT concat('root/', lang, '/d', CAST(doc_id AS VARCHAR), '.py') AS path
+       FROM {documents} WHERE doc_id % 10 = 4""",
+)
 def extraction_errors(src):
-    return X.extraction_errors(X.scan_sources(source_files(src)))
+    return X.extraction_errors(X.scan_sources(source_files(src))).select("path")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary import vocab
 from granary.catalog.base import CHECK_ONLY, VIEWS, register
-from granary.catalog.ranking import length_scorer
-from granary.catalog.routes import NAMES, registry
+from granary.catalog.chunks import MERGED_SQL, MERGED_TEXT, SECTIONS_SQL
+from granary.catalog.ranking import feature_views, length_scorer
+from granary.catalog.routes import NAMES, any_of, registry
 from granary.catalog.search import index_of, long, quota_sql
 from granary.functions import text as T
 from granary.operators import extract as X
@@ -224,19 +226,6 @@ def read_index(src):
 
 # ---- plans ----------------------------------------------------------------------------
 
-# Lexical retrieval of the expanded queries, in SQL.
-CHECK_ONLY["v_sub_queries"] = """
-    SELECT question_id, sub_no, query AS text, dense_rank() OVER (ORDER BY query) AS query_id,
-      count(*) OVER (PARTITION BY question_id) AS queries FROM (
-      SELECT question_id, 0 AS sub_no, base AS query FROM {v_selected_asks}
-      UNION ALL SELECT question_id, 1, concat_ws(' ', base, 'quarry', workflow_title,
-        array_to_string(preferred_symbols, ' ')) FROM {v_selected_asks} WHERE workflow_id <> ''
-      UNION ALL SELECT question_id, 2, concat_ws(' ', base, 'quarry', sym) FROM {v_selected_asks}
-        WHERE workflow_id <> '' AND focus > 0
-      UNION ALL SELECT question_id, 1, concat_ws(' ', base, 'quarry', family_name)
-        FROM {v_selected_asks} WHERE workflow_id = '' AND family_id <> '') AS e"""
-
-
 def lexical_sql(queries: str, fetch: int) -> str:
     """Ranked TF-IDF results of (query_id, text) rows."""
     return f"""
@@ -253,69 +242,114 @@ def lexical_sql(queries: str, fetch: int) -> str:
         GROUP BY query_id, chunk_id) AS s WHERE score > 0) AS r WHERE rank <= {fetch}"""
 
 
-# Short questions (keyword phrases of the nations), some with a workflow.
-VIEWS["v_short_asks"] = """
-    SELECT item_id AS question_id, text FROM {benchmark}"""
-CHECK_ONLY["v_short_hits"] = """
-    SELECT question_id, w.workflow_no AS no, w.id, w.family_id, w.title, w.preferred_symbols,
-      sum(CASE WHEN contains(q, k) THEN 4 + CASE WHEN contains(k, ' ') THEN 1 ELSE 0 END
+def _points(weight: int) -> str:
+    return f"""CASE WHEN contains(q, k) THEN {weight} + CASE WHEN contains(k, ' ') THEN 1 ELSE 0 END
         WHEN contains(k, ' ') AND len(list_filter(string_split(k, ' '),
-          lambda x: NOT contains(q, x))) = 0 THEN 4 END) AS score
-    FROM (SELECT question_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q
-        FROM {v_short_asks}) AS a
-      CROSS JOIN (SELECT workflow_no, id, family_id, title, preferred_symbols,
-        unnest(keywords) AS k FROM {v_workflows}) AS w
-    GROUP BY question_id, w.workflow_no, w.id, w.family_id, w.title, w.preferred_symbols"""
-CHECK_ONLY["v_short_families"] = """
-    SELECT * FROM (SELECT question_id, f.id, f.name, row_number() OVER (PARTITION BY question_id
-        ORDER BY sum(CASE WHEN contains(q, k) THEN 3 + CASE WHEN contains(k, ' ') THEN 1 ELSE 0 END
-          WHEN contains(k, ' ') AND len(list_filter(string_split(k, ' '),
-            lambda x: NOT contains(q, x))) = 0 THEN 3 ELSE 0 END) DESC, f.family_no) AS n,
-        sum(CASE WHEN contains(q, k) THEN 1 WHEN contains(k, ' ') AND len(list_filter(
-          string_split(k, ' '), lambda x: NOT contains(q, x))) = 0 THEN 1 ELSE 0 END) AS hits
-      FROM (SELECT question_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q
-          FROM {v_short_asks}) AS a
-        CROSS JOIN (SELECT family_no, id, name, unnest(keywords) AS k FROM {v_families}) AS f
-      GROUP BY question_id, f.family_no, f.id, f.name) AS r WHERE n = 1 AND hits > 0"""
-CHECK_ONLY["v_selected_asks"] = """
-    SELECT a.question_id, trim(a.text, ' ' || chr(10)) AS base, coalesce(w.id, '') AS workflow_id,
+          lambda x: NOT contains(q, x))) = 0 THEN {weight} ELSE 0 END"""
+
+
+def flow_views(name: str, asks: str) -> None:
+    """Check views of multi-query retrieval (lexical) of an ask view.
+
+    ``asks``: question_id, text, forced (family id or ''). No text of the given
+    tables trips a gate. The last view is ``v_<name>_top``.
+    """
+    v = lambda part: f"v_{name}_{part}"
+    CHECK_ONLY[v("plain")] = f"""
+    SELECT question_id, forced, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q,
+      trim(text, ' ' || chr(10)) AS base FROM {{{asks}}}"""
+    CHECK_ONLY[v("workflow")] = f"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, no)
+        AS n FROM (SELECT question_id, q, forced, w.no, w.id, w.family_id, w.title,
+          w.preferred_symbols, sum({_points(4)}) AS score FROM {{{v("plain")}}} CROSS JOIN (
+          SELECT workflow_no AS no, id, family_id, title, preferred_symbols, unnest(keywords) AS k
+          FROM {{v_workflows}}) AS w WHERE forced = '' OR forced = family_id
+        GROUP BY question_id, q, forced, w.no, w.id, w.family_id, w.title, w.preferred_symbols) AS s
+      WHERE score > 0) AS r WHERE n = 1"""
+    CHECK_ONLY[v("family")] = f"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, no)
+        AS n FROM (SELECT question_id, forced, f.no, f.id, f.name, sum({_points(3)}) AS score
+        FROM {{{v("plain")}}} CROSS JOIN (SELECT family_no AS no, id, name, unnest(keywords) AS k
+          FROM {{v_families}}) AS f GROUP BY question_id, forced, f.no, f.id, f.name) AS s
+      WHERE CASE WHEN forced = '' THEN score > 0 ELSE id = forced END) AS r WHERE n = 1"""
+    CHECK_ONLY[v("focus")] = f"""
+    SELECT question_id, arg_max(sym, score * 1000 - pos) AS sym, max(score) AS focus FROM (
+      SELECT question_id, pos, sym, CASE WHEN contains(q, tail) THEN 4 ELSE 0 END
+        + len(list_filter(regexp_split_to_array(tail, '[^a-z0-9]+'),
+          lambda t: length(t) > 2 AND contains(q, t))) AS score
+      FROM (SELECT question_id, q, pos, sym, lower(split_part(sym, '.', -1)) AS tail FROM (
+          SELECT question_id, q, unnest(range(len(preferred_symbols))) AS pos,
+            unnest(preferred_symbols) AS sym FROM {{{v("workflow")}}}) AS u) AS t) AS z
+    GROUP BY question_id"""
+    CHECK_ONLY[v("selected")] = f"""
+    SELECT a.question_id, a.base, coalesce(w.id, '') AS workflow_id,
       coalesce(w.title, '') AS workflow_title, coalesce(w.preferred_symbols, []) AS preferred_symbols,
-      coalesce(w.family_id, f.id, '') AS family_id, coalesce(f.name, '') AS family_name,
-      s.sym, coalesce(s.focus, 0) AS focus
-    FROM {v_short_asks} AS a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY question_id
-        ORDER BY score DESC, no) AS n FROM {v_short_hits} WHERE score > 0) AS w
-        ON w.question_id = a.question_id AND w.n = 1
-      LEFT JOIN {v_short_families} AS f ON f.question_id = a.question_id
-      LEFT JOIN (SELECT question_id, arg_max(sym, score * 1000 - pos) AS sym, max(score) AS focus
-        FROM (SELECT question_id, pos, sym, CASE WHEN contains(q, tail) THEN 4 ELSE 0 END
-            + len(list_filter(regexp_split_to_array(tail, '[^a-z0-9]+'),
-              lambda t: length(t) > 2 AND contains(q, t))) AS score
-          FROM (SELECT h.question_id, trim(regexp_replace(lower(a.text), '\\s+', ' ', 'g')) AS q,
-              pos, sym, lower(split_part(sym, '.', -1)) AS tail FROM (SELECT question_id,
-                unnest(range(len(preferred_symbols))) AS pos, unnest(preferred_symbols) AS sym
-              FROM (SELECT question_id, preferred_symbols, row_number() OVER (
-                  PARTITION BY question_id ORDER BY score DESC, no) AS n FROM {v_short_hits}
-                WHERE score > 0) AS t WHERE n = 1) AS h JOIN {v_short_asks} AS a
-              ON a.question_id = h.question_id) AS p) AS z GROUP BY question_id) AS s
-        ON s.question_id = a.question_id"""
-CHECK_ONLY["v_deep_50"] = lexical_sql("v_sub_queries", 50)
-CHECK_ONLY["v_deep_30"] = "SELECT * FROM {v_deep_50} WHERE rank <= 30"
-CHECK_ONLY["v_lists"] = f"""
-    SELECT s.question_id, s.sub_no, d.chunk_id, d.rank, d.score FROM {{v_sub_queries}} AS s
-      JOIN ({quota_sql("v_deep_50", 10, 8, 2)}) AS d ON d.query_id = s.query_id AND s.queries > 1
+      coalesce(w.family_id, f.id, '') AS family_id, coalesce(f.name, '') AS family_name, s.sym,
+      coalesce(s.focus, 0) AS focus
+    FROM {{{v("plain")}}} AS a LEFT JOIN {{{v("workflow")}}} AS w ON w.question_id = a.question_id
+      LEFT JOIN {{{v("family")}}} AS f ON f.question_id = a.question_id
+      LEFT JOIN {{{v("focus")}}} AS s ON s.question_id = a.question_id"""
+    own = "{" + v("selected") + "}"
+    CHECK_ONLY[v("queries")] = f"""
+    SELECT question_id, sub_no, query AS text, dense_rank() OVER (ORDER BY query) AS query_id,
+      count(*) OVER (PARTITION BY question_id) AS queries FROM (
+      SELECT question_id, 0 AS sub_no, base AS query FROM {own}
+      UNION ALL SELECT question_id, 1, concat_ws(' ', base, 'quarry', workflow_title,
+        array_to_string(preferred_symbols, ' ')) FROM {own} WHERE workflow_id <> ''
+      UNION ALL SELECT question_id, 2, concat_ws(' ', base, 'quarry', sym) FROM {own}
+        WHERE workflow_id <> '' AND focus > 0
+      UNION ALL SELECT question_id, 1, concat_ws(' ', base, 'quarry', family_name)
+        FROM {own} WHERE workflow_id = '' AND family_id <> '') AS e"""
+    CHECK_ONLY[v("deep")] = lexical_sql(v("queries"), 50)
+    CHECK_ONLY[v("shallow")] = f"SELECT * FROM {{{v('deep')}}} WHERE rank <= 30"
+    CHECK_ONLY[v("lists")] = f"""
+    SELECT s.question_id, s.sub_no, d.chunk_id, d.rank, d.score FROM {{{v("queries")}}} AS s
+      JOIN ({quota_sql(v("deep"), 10, 8, 2)}) AS d ON d.query_id = s.query_id AND s.queries > 1
     UNION ALL SELECT s.question_id, s.sub_no, d.chunk_id, d.rank, d.score
-    FROM {{v_sub_queries}} AS s
-      JOIN ({quota_sql("v_deep_30", 6, 4, 2)}) AS d ON d.query_id = s.query_id AND s.queries = 1"""
-CHECK_ONLY["v_merged"] = """
+    FROM {{{v("queries")}}} AS s
+      JOIN ({quota_sql(v("shallow"), 6, 4, 2)}) AS d ON d.query_id = s.query_id AND s.queries = 1"""
+    CHECK_ONLY[v("merged")] = f"""
     SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id
         ORDER BY hits DESC, score DESC, best, s, r) AS rank FROM (
       SELECT question_id, chunk_id, count(*) AS hits, max(score) AS score, min(rank) AS best,
         max(CASE WHEN nth = 1 THEN sub_no END) AS s, max(CASE WHEN nth = 1 THEN rank END) AS r
       FROM (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY sub_no, rank)
-          AS nth FROM {v_lists}) AS f GROUP BY question_id, chunk_id) AS g"""
+          AS nth FROM {{{v("lists")}}}) AS f GROUP BY question_id, chunk_id) AS g"""
+    CHECK_ONLY[v("asked")] = f"""
+    SELECT question_id, text, CASE WHEN len(preferred_symbols) = 0 THEN [''] ELSE preferred_symbols
+      END AS preferred FROM {{{asks}}} JOIN {own} USING (question_id)"""
+    feature_views(f"{name}_", v("merged"), v("asked"))
+    off = "preferred[1] = ''"
+    CHECK_ONLY[v("top")] = f"""
+    SELECT * FROM (SELECT question_id, p.chunk_id, p.score, row_number() OVER (
+        PARTITION BY question_id ORDER BY CASE WHEN {off} THEN 0 ELSE level END DESC,
+          CASE WHEN {off} THEN 0 ELSE a.affinity END DESC,
+          CASE WHEN {off} THEN 0 ELSE m.pos END ASC, CASE WHEN {off} THEN 0 ELSE overlap END DESC,
+          CASE WHEN NOT {off} AND source_type = 'generated' THEN 1 ELSE 0 END DESC,
+          CASE WHEN NOT {off} AND (qualname <> '' OR symbol_id <> '') THEN 1 ELSE 0 END DESC,
+          CASE WHEN {off} THEN 0 ELSE score END DESC, p.rank) AS rank
+      FROM {{v_{name}_pairs}} AS p JOIN {{v_{name}_all_matches}} AS m USING (question_id, chunk_id)
+        JOIN {{v_{name}_preferred_affinity}} AS a USING (question_id, chunk_id)
+        JOIN {{v_{name}_overlap}} AS o USING (question_id, chunk_id)
+        JOIN {{v_{name}_asked}} AS q USING (question_id)) AS t WHERE rank <= 6"""
+
+
+VIEWS["v_short_asks"] = """
+    SELECT item_id AS question_id, text, '' AS forced FROM {benchmark}"""
+flow_views("flow", "v_short_asks")
+
 
+def short_asks(src):
+    return src.view("v_short_asks").drop("forced")
 
-@register("workflow_retrieve")
+
+@register(
+    "workflow_retrieve",
+    """SELECT t.question_id, rank, chunk_id, round(score, 6) AS score,
+         CASE WHEN queries > 1 THEN 'lexical+workflow' ELSE 'lexical' END AS mode_label
+       FROM {v_flow_top} AS t JOIN (SELECT question_id, max(queries) AS queries
+         FROM {v_flow_queries} GROUP BY question_id) AS n ON n.question_id = t.question_id""",
+)
 def workflow_retrieve(src):
     found = A.workflow_retrieve(
         short_asks(src), index_of(src, dense=False), registry(src), A.Settings(names=NAMES)
@@ -323,10 +357,6 @@ def workflow_retrieve(src):
     return long(found.withColumn("score", F.round("score", 6)), "rank")
 
 
-def short_asks(src):
-    return src.view("v_short_asks")
-
-
 @register("workflow_retrieve_graph")
 def workflow_retrieve_graph(src):
     graph = G.symbol_graph(
@@ -341,7 +371,7 @@ def workflow_retrieve_graph(src):
 
 @register(
     "workflow_merge",
-    """SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM {v_merged}""",
+    """SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM {v_flow_merged}""",
 )
 def workflow_merge(src):
     """The merged lists of all retrieval queries, before any rerank."""
@@ -375,12 +405,45 @@ def collect_passes(src):
     return long(kept, "rank")
 
 
-@register("retry_retrieve")
+def collected_sql(passes: str) -> str:
+    """First occurrence of each chunk over the passes, capped at ten."""
+    return f"""
+    SELECT question_id, rank, chunk_id, round(score, 6) AS score, step_id FROM (
+      SELECT question_id, chunk_id, score, step_id, row_number() OVER (PARTITION BY question_id
+          ORDER BY pass_no, rank) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY pass_no, rank)
+          AS n FROM ({passes}) AS p) AS f WHERE n = 1) AS c WHERE rank <= 10"""
+
+
+CHECK_ONLY["v_second_asks"] = (
+    """SELECT question_id, '' AS forced, trim(concat_ws(' ', text, 'related_apis: ' || hints,
+        CASE WHEN """
+    + any_of("lower(text)", vocab.DOCUMENT_MARKERS)
+    + """ THEN 'user guide documentation section' ELSE 'runnable example quarry' END)) AS text
+    FROM {v_short_asks} LEFT JOIN (SELECT question_id, string_agg(hint, ' ' ORDER BY n) AS hints
+      FROM (SELECT question_id, hint, row_number() OVER (PARTITION BY question_id ORDER BY min(rank))
+          AS n FROM (SELECT question_id, rank, coalesce(nullif(qualname, ''), symbol_id) AS hint
+          FROM {v_flow_top} JOIN {v_chunks} USING (chunk_id) WHERE source_type = 'generated') AS r
+        GROUP BY question_id, hint) AS h WHERE n <= 2 GROUP BY question_id) AS g USING (question_id)
+    WHERE question_id % 2 = 1"""
+)
+flow_views("again", "v_second_asks")
+
+
+@register(
+    "retry_retrieve",
+    collected_sql(
+        """SELECT question_id, chunk_id, score, rank, 1 AS pass_no, 1 AS step_id FROM {v_flow_top}
+        UNION ALL SELECT question_id, chunk_id, score, rank, 2, 2 FROM {v_again_top}"""
+    ),
+)
 def retry_retrieve(src):
+    """Odd questions have a budget of one retry."""
     asks = short_asks(src).withColumn("retries", (F.col("question_id") % 2).cast("int"))
-    return A.retry_retrieve(
+    found = A.retry_retrieve(
         asks, index_of(src, dense=False), registry(src), 1, A.Settings(names=NAMES)
     )
+    return long(found.withColumn("score", F.round("score", 6)), "rank")
 
 
 # Plans of three steps per question with decisions on some of them.
@@ -398,27 +461,40 @@ VIEWS["v_step_decisions"] = """
     FROM {v_steps} WHERE position < 3"""
 
 
-@register(
-    "effective_steps",
-    """SELECT question_id, position, step_id, family_id, CASE WHEN action = 'refine_query'
-           AND trim(next_query) <> '' THEN trim(next_query)
-           ELSE coalesce(nullif(retrieval_query, ''), nullif(instruction, ''), title) END AS query
-       FROM (SELECT s.*, d.action, d.next_query, coalesce(max(CASE WHEN lower(trim(d.action)) = 'stop'
-             THEN 1 ELSE 0 END) OVER (PARTITION BY s.question_id ORDER BY s.position
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped
-         FROM {v_steps} AS s LEFT JOIN {v_step_decisions} AS d
-           ON d.question_id = s.question_id AND d.position = s.position) AS t WHERE stopped = 0""",
-)
+CHECK_ONLY["v_run_steps"] = """
+    SELECT question_id, position, step_id, family_id, CASE WHEN action = 'refine_query'
+        AND trim(next_query) <> '' THEN trim(next_query)
+        ELSE coalesce(nullif(retrieval_query, ''), nullif(instruction, ''), title) END AS query
+    FROM (SELECT s.*, d.action, d.next_query, coalesce(max(CASE WHEN lower(trim(d.action)) = 'stop'
+          THEN 1 ELSE 0 END) OVER (PARTITION BY s.question_id ORDER BY s.position
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped
+      FROM {v_steps} AS s LEFT JOIN {v_step_decisions} AS d
+        ON d.question_id = s.question_id AND d.position = s.position) AS t WHERE stopped = 0"""
+CHECK_ONLY["v_step_asks"] = """
+    SELECT question_id * 10 + position AS question_id, query AS text, upper(family_id) AS forced
+    FROM {v_run_steps}"""
+flow_views("plan", "v_step_asks")
+
+
+@register("effective_steps", "SELECT question_id, position, step_id, family_id, query FROM {v_run_steps}")
 def effective_steps(src):
     return A.effective_steps(src.view("v_steps"), src.view("v_step_decisions"))
 
 
-@register("plan_retrieve")
+@register(
+    "plan_retrieve",
+    collected_sql(
+        """SELECT r.question_id, t.chunk_id, t.score, t.rank, r.position AS pass_no, r.step_id
+        FROM {v_plan_top} AS t JOIN {v_run_steps} AS r
+          ON t.question_id = r.question_id * 10 + r.position"""
+    ),
+)
 def plan_retrieve(src):
-    return A.plan_retrieve(
+    found = A.plan_retrieve(
         src.view("v_steps"), src.view("v_step_decisions"), index_of(src, dense=False),
         registry(src), A.Settings(names=NAMES),
     )
+    return long(found.withColumn("score", F.round("score", 6)), "rank")
 
 
 @register(
@@ -435,7 +511,19 @@ def build_index(src):
     return index.chunks.groupBy("source_type").agg(F.count("*").alias("chunks"))
 
 
-@register("narrative_sections")
+@register(
+    "narrative_sections",
+    f"""WITH {SECTIONS_SQL.strip()},
+      {MERGED_SQL},
+      t AS (SELECT doc_id, arg_min(title, no) AS section_title, {MERGED_TEXT} AS text
+        FROM c GROUP BY doc_id, g)
+      SELECT module, 'x.py' AS source_file, section_title, t.text, 'narrative:' || module || ':'
+        || CASE WHEN slug = '' THEN 'untitled' ELSE substr(slug, 1, 60) END AS section_id
+      FROM (SELECT *, trim(regexp_replace(lower(section_title), '[^a-z0-9]+', '_', 'g'), '_')
+          AS slug FROM t) AS t
+        JOIN (SELECT doc_id, module, text AS doc FROM {{v_headed}}) AS h USING (doc_id)
+      WHERE length(doc) >= 300""",
+)
 def narrative_sections(src):
     docs = src.view("v_headed").select(
         "module", F.col("text").alias("docstring"), F.lit("x.py").alias("source_file")

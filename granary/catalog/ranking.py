@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from granary import vocab
@@ -25,10 +27,6 @@ def plain(expr: str) -> str:
     return f"trim(regexp_replace(lower({expr}), '\\s+', ' ', 'g'))"
 
 
-CHECK_ONLY["v_ask_tokens"] = f"""
-    SELECT question_id, t, {singular("t")} AS s FROM (SELECT DISTINCT question_id,
-        unnest(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*')) AS t FROM {{v_asks}}) AS a
-    WHERE length(t) > 1 AND t NOT IN ({sql_list(vocab.RERANK_STOPWORDS)})"""
 SEARCH_TEXT = plain(
     "concat_ws(' ', nullif(qualname, ''), nullif(symbol_id, ''), nullif(module, ''), "
     "nullif(signature, ''), nullif(summary, ''), nullif(text, ''))"
@@ -37,7 +35,12 @@ WORDS = (
     "list_transform(regexp_extract_all(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', "
     "'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda w: lower(w))"
 )
-CHECK_ONLY["v_pairs"] = f"""
+FEATURE_VIEWS: dict[str, str] = {}
+FEATURE_VIEWS["v_ask_tokens"] = f"""
+    SELECT question_id, t, {singular("t")} AS s FROM (SELECT DISTINCT question_id,
+        unnest(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*')) AS t FROM {{v_asks}}) AS a
+    WHERE length(t) > 1 AND t NOT IN ({sql_list(vocab.RERANK_STOPWORDS)})"""
+FEATURE_VIEWS["v_pairs"] = f"""
     SELECT r.question_id, r.chunk_id, r.rank, r.score, c.source_type, c.qualname, c.symbol_id,
       c.kind, {SEARCH_TEXT.replace("text", "c.text")} AS search_text,
       lower(split_part(c.qualname, '.', -1)) AS tail,
@@ -47,15 +50,15 @@ CHECK_ONLY["v_pairs"] = f"""
       {WORDS.format("lower(split_part(c.symbol_id, '.', -1))")} AS id_words,
       {WORDS.format("c.module")} AS module_words
     FROM {{v_results}} AS r JOIN {{v_chunks}} AS c ON r.chunk_id = c.chunk_id"""
-CHECK_ONLY["v_overlap"] = """
+FEATURE_VIEWS["v_overlap"] = """
     SELECT p.question_id, p.chunk_id, count(t) FILTER (WHERE contains(search_text, t)
         OR contains(search_text, s)) AS overlap
     FROM {v_pairs} AS p LEFT JOIN {v_ask_tokens} AS k ON p.question_id = k.question_id
     GROUP BY p.question_id, p.chunk_id"""
-CHECK_ONLY["v_preferred"] = """
+FEATURE_VIEWS["v_preferred"] = """
     SELECT question_id, unnest(range(len(preferred))) AS pos, lower(unnest(preferred)) AS sym
     FROM {v_asks}"""
-CHECK_ONLY["v_matches"] = """
+FEATURE_VIEWS["v_matches"] = """
     SELECT question_id, chunk_id, coalesce(arg_min(level, pos), 0) AS level,
       coalesce(min(pos), 1000000) AS pos, coalesce(arg_min(sym, pos), '') AS matched FROM (
       SELECT p.question_id, p.chunk_id, f.pos, f.sym, CASE
@@ -65,18 +68,18 @@ CHECK_ONLY["v_matches"] = """
       FROM {v_pairs} AS p LEFT JOIN (SELECT * FROM {v_preferred} WHERE sym <> '') AS f
         ON f.question_id = p.question_id) AS m
     WHERE level IS NOT NULL GROUP BY question_id, chunk_id"""
-CHECK_ONLY["v_all_matches"] = """
+FEATURE_VIEWS["v_all_matches"] = """
     SELECT question_id, chunk_id, coalesce(level, 0) AS level, coalesce(m.pos, 1000000) AS pos,
       coalesce(matched, '') AS matched
     FROM {v_results} LEFT JOIN {v_matches} AS m USING (question_id, chunk_id)"""
-CHECK_ONLY["v_preferred_affinity"] = f"""
+FEATURE_VIEWS["v_preferred_affinity"] = f"""
     SELECT m.question_id, m.chunk_id, count(t) FILTER (WHERE matched <> '' AND (
         list_contains(words, t) OR list_contains(words, s))) AS affinity
     FROM (SELECT *, list_concat([split_part(matched, '.', -1)],
         {WORDS.format("split_part(matched, '.', -1)")}) AS words FROM {{v_all_matches}}) AS m
       LEFT JOIN {{v_ask_tokens}} AS k ON m.question_id = k.question_id
     GROUP BY m.question_id, m.chunk_id"""
-CHECK_ONLY["v_symbol_affinity"] = """
+FEATURE_VIEWS["v_symbol_affinity"] = """
     SELECT question_id, chunk_id, hits + CASE WHEN kind = 'class' THEN 2 * helper + 2 * class
         WHEN kind = 'method' THEN method ELSE 0 END AS affinity FROM (
       SELECT p.question_id, p.chunk_id, p.kind, count(t) FILTER (WHERE
@@ -90,6 +93,23 @@ CHECK_ONLY["v_symbol_affinity"] = """
       GROUP BY p.question_id, p.chunk_id, p.kind) AS a"""
 
 
+def feature_views(prefix: str, results: str, asks: str) -> None:
+    """Check views of the rerank features of a result view and its questions.
+
+    ``results``: question_id, chunk_id, rank, score; ``asks``: question_id, text,
+    preferred (a list, blank first entry for none).
+    """
+    own = {v: f"v_{prefix}{v[2:]}" for v in FEATURE_VIEWS}
+    own |= {"v_results": results, "v_asks": asks}
+    for view, text in FEATURE_VIEWS.items():
+        CHECK_ONLY[own[view]] = re.sub(
+            r"\{(\w+)\}", lambda m: "{" + own.get(m.group(1), m.group(1)) + "}", text
+        )
+
+
+feature_views("", "v_results", "v_asks")
+
+
 def pairs(src):
     """Result rows with chunk columns, question and preferred symbols."""
     asks = src.view("v_asks").select(
