@@ -191,7 +191,13 @@ def check_sql(text: str) -> str:
         return re.sub(r"\{(\w+)\}", r"\1", part).strip()
 
     need(text)
-    heads = [f"{n} AS ({plain(CHECK_ONLY.get(n) or VIEWS[n])})" for n in ordered]
+    # A view that several others read is computed once.
+    everything = " ".join([text, *[CHECK_ONLY.get(n) or VIEWS[n] for n in ordered]])
+    once = {n for n in ordered if everything.count("{" + n + "}") > 1}
+    heads = [
+        f"{n} AS {'MATERIALIZED ' if n in once else ''}({plain(CHECK_ONLY.get(n) or VIEWS[n])})"
+        for n in ordered
+    ]
     body = plain(text)
     if not heads:
         return body
