@@ -86,33 +86,42 @@ def read_narratives_jsonl(src):
     )
 
 
+FILE_DOCS = 1_000  # documents per file; a file is read as one text
+END = "\x02"
+
+
 @register("read_markdown", "SELECT text, length(text) AS chars FROM {v_markdown}")
 def read_markdown(src):
-    """Every document as a markdown file of its own, read back whole."""
+    """Documents written to markdown files, read back as whole files."""
     path = scratch_path(src.spark, "markdown")
     docs = src.view("v_markdown").select(F.col("text").alias("value"))
-    docs.write.option("maxRecordsPerFile", 1).option("lineSep", "\x02").text(path)
-    read = records.read_markdown(src.spark, f"{path}/*.txt")
-    text = F.rtrim("text", F.lit("\x02"))
-    return long(read.select(text.alias("text"), F.length(text).alias("chars")), "chars")
+    docs.write.option("maxRecordsPerFile", FILE_DOCS).option("lineSep", END).text(path)
+    files = records.read_markdown(src.spark, f"{path}/*.txt")
+    parts = F.split(F.rtrim("text", F.lit(END)), END)
+    read = files.select(F.explode_outer(parts).alias("text")).filter("text IS NOT NULL")
+    return long(read.withColumn("chars", F.length("text")), "chars")
 
 
 @register(
     "scan_source_tree",
-    """SELECT lang, count(*) AS files, sum(length(text) + 1) AS chars FROM {documents}
+    """SELECT lang, count(*) AS docs, sum(length(text)) AS chars FROM {documents}
        GROUP BY lang""",
 )
 def scan_source_tree(src):
-    """One file per document below a folder per language."""
+    """Documents in files below a folder per language."""
     path = scratch_path(src.spark, "tree")
     docs = src.table("documents").select("lang", F.col("text").alias("value"))
-    docs.write.option("maxRecordsPerFile", 1).partitionBy("lang").text(f"{path}/src")
+    writer = docs.write.option("maxRecordsPerFile", FILE_DOCS).option("lineSep", END)
+    writer.partitionBy("lang").text(f"{path}/src")
     found = records.scan_source_tree(src.spark, path, "TXT, .md")
-    kept = found.select(
+    parts = F.split(F.rtrim("source", F.lit(END)), END)
+    read = found.select(
         F.regexp_extract("path", r"\Asrc/lang=([a-z]+)/", 1).alias("lang"),
-        F.length("source").alias("n"),
+        F.explode_outer(parts).alias("text"),
+    )
+    return read.groupBy("lang").agg(
+        F.count("text").alias("docs"), F.sum(F.length("text")).alias("chars")
     )
-    return kept.groupBy("lang").agg(F.count("*").alias("files"), F.sum("n").alias("chars"))
 
 
 def _write_registry(src, path: str) -> None:

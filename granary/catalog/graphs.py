@@ -71,11 +71,10 @@ def group_symbols(src):
 
 @register(
     "resolve_refs",
-    f"""SELECT ref, key, row_number() OVER (PARTITION BY ref ORDER BY priority, key) AS pos
-        FROM ({_MATCHES.format(refs="{v_refs}").replace("{{", "{").replace("}}", "}")}) AS m""",
+    f"""SELECT ref, key, priority FROM ({_MATCHES.format(refs="{v_refs}").replace("{{", "{").replace("}}", "}")}) AS m""",
 )
 def resolve_refs(src):
-    return long(G.resolve_refs(src.view("v_refs"), nodes(src)), "pos")
+    return G.resolve_refs(src.view("v_refs"), nodes(src))
 
 
 CHECK_ONLY["v_index"] = """

@@ -23,11 +23,18 @@ class BestRows:
         self.scores = [np.empty(0) for _ in range(queries)]
         self.ids = [np.empty(0, dtype=np.int64) for _ in range(queries)]
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, positive_only: bool) -> None:
-        """``scores`` is (rows, queries)."""
+    def add(
+        self,
+        scores: np.ndarray,
+        ids: np.ndarray,
+        positive_only: bool,
+        places: np.ndarray | None = None,
+    ) -> None:
+        """``scores`` is (rows, queries); ``places`` says which queries."""
         scores = np.round(scores, self.digits)
-        for q in range(scores.shape[1]):
-            column = scores[:, q]
+        for at in range(scores.shape[1]):
+            q = at if places is None else places[at]
+            column = scores[:, at]
             known = self.scores[q]
             keep = np.ones(len(column), dtype=bool) if not positive_only else column > 0
             if len(known) == self.k:
@@ -71,32 +78,74 @@ def dense_kernel(
     return run
 
 
+class QueryGroup:
+    """Some queries of a block with their terms and dense weights."""
+
+    def __init__(self, places: np.ndarray, terms: list[str], weights: np.ndarray):
+        self.places, self.weights = places, weights
+        self.terms = pa.array(terms, pa.string())
+
+
+def query_groups(
+    queries: np.ndarray, terms: np.ndarray, weights: np.ndarray, cells: int = BLOCK_CELLS
+) -> Iterator[QueryGroup]:
+    """Cut (query place, term, weight) triplets, sorted by query, into groups
+    whose dense weight matrix has at most ``cells`` cells (or one query)."""
+    bounds = np.flatnonzero(np.diff(queries, prepend=-1, append=-2))
+    at = 0
+    while at < len(bounds) - 1:
+        seen: dict[str, int] = {}
+        last = at
+        while last < len(bounds) - 1:
+            fresh = [t for t in terms[bounds[last] : bounds[last + 1]] if t not in seen]
+            if last > at and (len(seen) + len(fresh)) * (last - at + 1) > cells:
+                break
+            for term in fresh:
+                seen[term] = len(seen)
+            last += 1
+        part = slice(bounds[at], bounds[last])
+        places = queries[bounds[at:last]]
+        dense = np.zeros((len(seen), len(places)))
+        rows = np.fromiter((seen[t] for t in terms[part]), np.int64, bounds[last] - bounds[at])
+        dense[rows, np.searchsorted(places, queries[part])] = weights[part]
+        yield QueryGroup(places, list(seen), dense)
+        at = last
+
+
 def sparse_kernel(
-    query_ids: np.ndarray, terms: list[str], weights: np.ndarray, k: int, digits: int
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    terms: np.ndarray,
+    weights: np.ndarray,
+    k: int,
+    digits: int,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Cosine of (chunk_id, norm, terms, tfs) batches with a query block.
 
-    ``weights`` is (query terms, queries): query weight over query norm, times
-    the idf of the chunk side. Only counts of query terms enter the block.
+    The block comes as triplets: place of the query in ``query_ids``, term, and
+    query weight over query norm times the idf of the chunk side. Only counts
+    of query terms enter the dense blocks.
     """
-    vocabulary = pa.array(terms, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestRows(len(query_ids), k, digits)
-        step = max(1, BLOCK_CELLS // max(1, len(terms), len(query_ids)))
+        groups = list(query_groups(queries, terms, weights))
         for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                norms = batch.column(1).to_numpy(zero_copy_only=False)
-                sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-                rows = np.repeat(np.arange(len(ids)), sizes)
-                found = pc.index_in(batch.column(2).flatten(), value_set=vocabulary)
-                known = pc.is_valid(found).to_numpy(zero_copy_only=False)
-                block = np.zeros((len(ids), len(terms)))
-                counts = batch.column(3).flatten().to_numpy(zero_copy_only=False)[known]
-                block[rows[known], found.drop_null().to_numpy()] = 1.0 + np.log(counts)
-                best.add((block @ weights) / norms[:, None], ids, True)
+            for group in groups:
+                step = max(1, BLOCK_CELLS // max(1, *group.weights.shape))
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    ids = batch.column(0).to_numpy(zero_copy_only=False)
+                    norms = batch.column(1).to_numpy(zero_copy_only=False)
+                    sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+                    rows = np.repeat(np.arange(len(ids)), sizes)
+                    found = pc.index_in(batch.column(2).flatten(), value_set=group.terms)
+                    known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+                    block = np.zeros((len(ids), len(group.terms)))
+                    counts = batch.column(3).flatten().to_numpy(zero_copy_only=False)[known]
+                    block[rows[known], found.drop_null().to_numpy()] = 1.0 + np.log(counts)
+                    scores = (block @ group.weights) / norms[:, None]
+                    best.add(scores, ids, True, group.places)
         yield best.batch(query_ids)
 
     return run

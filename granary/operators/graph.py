@@ -117,11 +117,12 @@ def _node_texts(nodes: DataFrame) -> DataFrame:
 
 
 def resolve_refs(refs: DataFrame, nodes: DataFrame, allow_spaces: bool = True) -> DataFrame:
-    """(ref, key, pos): symbols a reference names, best match first.
+    """(ref, key, priority): symbols a reference names; order by priority, key.
 
-    Exact id, then exact qualified name, then equal tail (plain references) or
-    any qualified name that ends with the reference (dotted ones). Suffixes are
-    exploded on the symbol side, so all of it is one equi join.
+    Exact id (0), exact qualified name (1), then equal tail (plain references)
+    or any qualified name that ends with the reference (dotted ones). Suffixes
+    are exploded on the symbol side, so all of it is one equi join. Matches are
+    not numbered, since a common tail may name most symbols.
     """
     wanted = refs.select(F.col("ref"), key_of("ref").alias("text")).distinct()
     wanted = wanted.filter(F.col("text") != "")
@@ -129,9 +130,7 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame, allow_spaces: bool = True) -
         wanted = wanted.filter(~F.contains("text", F.lit(" ")))
     found = _node_texts(nodes).join(wanted, "text")
     # A dotted reference never equals a tail, a plain one never a dotted suffix.
-    best = found.groupBy("ref", "key").agg(F.min("priority").alias("priority"))
-    order = Window.partitionBy("ref").orderBy("priority", "key")
-    return best.withColumn("pos", F.row_number().over(order)).select("ref", "key", "pos")
+    return found.groupBy("ref", "key").agg(F.min("priority").alias("priority"))
 
 
 def first_resolved(refs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.functions.kernels import dense_kernel, sparse_kernel
 from granary.operators.index import LexicalIndex
-from granary.runtime import QUERY_BLOCK_ROWS, key_blocks
+from granary.runtime import QUERY_BLOCK_PAIRS, QUERY_BLOCK_ROWS, key_blocks
 
 RESULT = "query_id bigint, chunk_id bigint, score double"
 SCORE_DIGITS = 9
@@ -49,25 +49,30 @@ def query_weights(queries: DataFrame, idf_table: DataFrame) -> DataFrame:
 
 
 def lexical_search(
-    queries: DataFrame, index: LexicalIndex, k: int, block_rows: int = QUERY_BLOCK_ROWS
+    queries: DataFrame, index: LexicalIndex, k: int, block_pairs: int = QUERY_BLOCK_PAIRS
 ) -> DataFrame:
-    """TF-IDF cosine, scores above zero, best k per query, ties by chunk_id."""
+    """TF-IDF cosine, scores above zero, best k per query, ties by chunk_id.
+
+    Blocks are bounded by their (query, term) pairs, so many short questions
+    and few long ones are both cut to size.
+    """
+    weights = query_weights(queries, index.idf)
     parts = []
-    for block in key_blocks(queries, "query_id", block_rows):
-        rows = query_weights(block, index.idf).toPandas()  # terms of one block
-        terms = sorted(rows["term"].unique())
-        ids = np.sort(rows["query_id"].unique()).astype(np.int64)
-        if not len(ids):
+    for block in key_blocks(weights, "query_id", block_pairs, "term"):
+        rows = block.toPandas().sort_values(["query_id", "term"])
+        if not len(rows):
             continue
-        weights = np.zeros((len(terms), len(ids)))
-        weights[
-            np.searchsorted(np.array(terms, dtype=object), rows["term"].to_numpy(dtype=object)),
-            np.searchsorted(ids, rows["query_id"]),
-        ] = rows["w"] * rows["idf"]
-        local = index.vectors.select("chunk_id", "norm", "terms", "tfs").mapInArrow(
-            sparse_kernel(ids, terms, weights, k, SCORE_DIGITS), RESULT
+        ids, places = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
+        kernel = sparse_kernel(
+            ids,
+            places,
+            rows["term"].to_numpy(dtype=object),
+            (rows["w"] * rows["idf"]).to_numpy(),
+            k,
+            SCORE_DIGITS,
         )
-        parts.append(local)
+        vectors = index.vectors.select("chunk_id", "norm", "terms", "tfs")
+        parts.append(vectors.mapInArrow(kernel, RESULT))
     return take_top(_union(parts, queries), k)
 
 

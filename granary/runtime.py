@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 # Rows of a question table scored in one pass over the chunk vectors.
 QUERY_BLOCK_ROWS = 2_048
+# The same for lexical search, in (question, term) pairs.
+QUERY_BLOCK_PAIRS = 400_000
 
 
 def get_spark(app: str = "granary", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -101,16 +103,20 @@ def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def key_blocks(df: DataFrame, key: str, rows: int = QUERY_BLOCK_ROWS) -> Iterator[DataFrame]:
-    """Split ``df`` by ``key`` into blocks that hold about ``rows`` keys each.
+def key_blocks(
+    df: DataFrame, key: str, rows: int = QUERY_BLOCK_ROWS, inner: str | None = None
+) -> Iterator[DataFrame]:
+    """Split ``df`` by hashes of ``key`` into blocks of about ``rows`` rows.
 
-    One block (the table itself) whenever the table is small.
+    One block (the table itself) whenever the table is small. Blocks aim at
+    half the bound, which leaves room for uneven hashes; ``inner`` names a
+    column to count instead of the key, for tables with many rows per key.
     """
     if at_most(df, rows):
         yield df
         return
-    keys = df.select(key).distinct().count()
-    blocks = max(1, -(-keys // rows))
+    total = df.select(inner or key).count()
+    blocks = max(1, -(-2 * total // rows))
     for number in range(blocks):
         yield df.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == number)
 

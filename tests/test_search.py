@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions.kernels import TokenHashEncoder
+from granary.functions.kernels import TokenHashEncoder, query_groups
 from granary.operators import graph as G
 from granary.operators import index as I
 from granary.operators import rerank as R
@@ -51,16 +51,31 @@ def lexical_by_hand(texts, query, k):
     return [(i, -s) for s, i in sorted(scored)[:k]]
 
 
-@pytest.mark.parametrize("block", [2, 1000])
+@pytest.mark.parametrize("block", [3, 1000])
 def test_lexical_search(spark, corpus, block):
     texts, chunks, queries = corpus
-    rows = S.lexical_search(queries, I.lexical_index(chunks), 5, block_rows=block).collect()
+    rows = S.lexical_search(queries, I.lexical_index(chunks), 5, block_pairs=block).collect()
     for q in queries.collect():
         got = sorted((r["rank"], r["chunk_id"], r["score"]) for r in rows if r["query_id"] == q["query_id"])
         want = lexical_by_hand(texts, q["text"], 5)
         assert [(c, pytest.approx(s, abs=1e-8)) for _, c, s in got] == want
 
 
+def test_query_groups_keep_every_weight():
+    places = np.array([0, 0, 1, 2, 2, 2])
+    terms = np.array(["a", "b", "a", "c", "d", "a"], dtype=object)
+    weights = np.arange(1.0, 7.0)
+    for cells in (1, 4, 100):
+        got = {}
+        for group in query_groups(places, terms, weights, cells):
+            assert group.weights.size <= cells or len(group.places) == 1
+            for i, term in enumerate(group.terms.to_pylist()):
+                for j, place in enumerate(group.places):
+                    if group.weights[i, j]:
+                        got[(int(place), term)] = group.weights[i, j]
+        assert got == {(int(p), t): w for p, t, w in zip(places, terms, weights)}
+
+
 def test_hot_terms_change_nothing(spark, corpus):
     _, chunks, _ = corpus
     terms = materialize(I.chunk_terms(chunks), "t")
@@ -211,7 +226,7 @@ def test_resolution_order(spark):
         "key string, qualname string, tail string",
     )
     refs = spark.createDataFrame([("GO",), ("a.go",), ("no such",), ("",)], "ref string")
-    out = G.resolve_refs(refs, nodes).orderBy("ref", "pos").collect()
+    out = G.resolve_refs(refs, nodes).orderBy("ref", "priority", "key").collect()
     found = {}
     for r in out:
         found.setdefault(r["ref"], []).append(r["key"])
