@@ -7,9 +7,11 @@ shuffle carries (tasks x questions x k) rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,16 @@ def query_weights(queries: DataFrame, idf_table: DataFrame) -> DataFrame:
     return weighted.withColumn("w", F.col("w") / norm)
 
 
+def _weight_blocks(weights: DataFrame, block_pairs: int) -> Iterator[pd.DataFrame]:
+    """Query weights in frames of bounded size; one job if a single one does."""
+    head = weights.limit(block_pairs + 1).toPandas()
+    if len(head) <= block_pairs:
+        yield head
+        return
+    for block in key_blocks(weights, "query_id", block_pairs, "term"):
+        yield block.toPandas()
+
+
 def lexical_search(
     queries: DataFrame, index: LexicalIndex, k: int, block_pairs: int = QUERY_BLOCK_PAIRS
 ) -> DataFrame:
@@ -58,10 +70,10 @@ def lexical_search(
     """
     weights = query_weights(queries, index.idf)
     parts = []
-    for block in key_blocks(weights, "query_id", block_pairs, "term"):
-        rows = block.toPandas().sort_values(["query_id", "term"])
+    for rows in _weight_blocks(weights, block_pairs):
         if not len(rows):
             continue
+        rows = rows.sort_values(["query_id", "term"])
         ids, places = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
         kernel = sparse_kernel(
             ids,
