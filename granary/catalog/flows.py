@@ -104,7 +104,7 @@ def read_markdown(src):
 
 @register(
     "scan_source_tree",
-    """SELECT lang, count(*) AS docs, sum(length(text)) AS chars FROM {documents}
+    """SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM {documents}
        GROUP BY lang""",
 )
 def scan_source_tree(src):

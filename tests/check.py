@@ -23,6 +23,9 @@ TABLES = (
 ).split()
 
 
+STRICT = False  # compare doubles by their exact text
+
+
 def connect(folder: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -37,7 +40,7 @@ def cell(value):
     if isinstance(value, bool):
         return value
     if isinstance(value, float):
-        return round(value, 6) + 0.0
+        return repr(value) if STRICT else round(value, 6) + 0.0
     return value
 
 
@@ -71,9 +74,11 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
-    parser.add_argument("--plain", action="store_true")
+    parser.add_argument("--strict", action="store_true", help="compare doubles exactly")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
+    global STRICT
+    STRICT = args.strict
     spark = get_spark("check", 8, **{"spark.ui.showConsoleProgress": "false"})
     con = connect(args.sf)
     checks, bad = oracle_sql(), 0
