@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.functions import text as T
-from granary.runtime import let, materialize, with_position
+from granary.runtime import let, materialize, ship_package, with_position
 from granary.schemas import CHUNK_COLUMNS, chunk_row
 
 CHUNK_CHARS = 3500
@@ -110,6 +110,7 @@ def page_ranges(
     fold over these small tables gives the true entries, and the blocks emit
     their chunks in parallel.
     """
+    ship_package()
     ahead = math.ceil(chunk_chars / PAGE_COST) + 2
     block = max(block, 2 * ahead)
     lengths = pages.select(
@@ -420,6 +421,7 @@ def paragraph_windows(
             lambda v: None if v is None else _windows_at_breaks(v, size, overlap, separator)
         )
 
+    ship_package()
     long = F.length(text) > size
     return F.when(long, cut(F.when(long, text))).otherwise(F.array(text))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.runtime import BROADCAST_ROWS, at_most, let, materialize, spread
+from granary.runtime import BROADCAST_ROWS, at_most, let, materialize, ship_package, spread
 
 # Terms joined by broadcast ahead of the shuffle join, most frequent first.
 HOT_TERMS = 4_096
@@ -155,6 +155,7 @@ def embed_chunks(
             unit = np.divide(vectors, norms, out=vectors.copy(), where=norms > 0)
             yield pd.DataFrame({key: frame[key], "embedding": list(unit)})
 
+    ship_package()
     source = spread(chunks.select(key, "text"), key)
     return source.mapInPandas(run, f"{key} bigint, embedding array<double>")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.functions import text as T
-from granary.runtime import let
+from granary.runtime import let, ship_package
 
 NO_MATCH = 10**6
 TOP_N = 20
@@ -217,6 +217,7 @@ def topn_rerank(
         except Exception:
             return pd.Series([None] * len(queries), dtype="float64")
 
+    ship_package()
     text = candidate_text()
     head = rows.filter(F.col("rank") <= top_n).withColumn("__text", text)
     head = head.withColumn("__score", score("question", "__text"))

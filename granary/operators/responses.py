@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators.routing import Registry, normalize_family_id
+from granary.runtime import ship_package
 
 ACTIONS = ("continue", "refine_query", "stop")
 FENCE = re.compile(r"```json\s*(\{.*?\})\s*```", re.DOTALL | re.IGNORECASE)
@@ -88,6 +89,7 @@ def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
             [_object_json(t) for t in texts], columns=["payload", "error"], dtype=object
         )
 
+    ship_package()
     return responses.withColumn("__p", parse(raw)).withColumns(
         {"payload": F.col("__p.payload"), "error": F.col("__p.error")}
     ).drop("__p")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.functions.kernels import dense_kernel, sparse_kernel
 from granary.operators.index import LexicalIndex
-from granary.runtime import QUERY_BLOCK_PAIRS, QUERY_BLOCK_ROWS, key_blocks
+from granary.runtime import QUERY_BLOCK_PAIRS, QUERY_BLOCK_ROWS, key_blocks, ship_package
 
 RESULT = "query_id bigint, chunk_id bigint, score double"
 SCORE_DIGITS = 9
@@ -68,6 +68,7 @@ def lexical_search(
     Blocks are bounded by their (query, term) pairs, so many short questions
     and few long ones are both cut to size.
     """
+    ship_package()
     weights = query_weights(queries, index.idf)
     parts = []
     for rows in _weight_blocks(weights, block_pairs):
@@ -92,6 +93,7 @@ def dense_search(
     query_vectors: DataFrame, vectors: DataFrame, k: int, block_rows: int = QUERY_BLOCK_ROWS
 ) -> DataFrame:
     """Exact inner-product search over unit vectors, best k per query."""
+    ship_package()
     parts = []
     for block in key_blocks(query_vectors, "query_id", block_rows):
         rows = block.select("query_id", F.col("embedding").cast("array<double>")).collect()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import pathlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +40,24 @@ def get_spark(app: str = "granary", cpus: int | str = "*", **conf: str) -> Spark
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package() -> None:
+    """Make this package importable in the Python workers of the application.
+
+    The driver hands a zip of it to Spark, which serves it to the executors.
+    Done once per application, by every operator that runs Python in tasks.
+    """
+    sc = SparkSession.active().sparkContext
+    root = pathlib.Path(__file__).resolve().parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="granary-package-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read, as named by ``spark.checkpoint.dir``.
 
