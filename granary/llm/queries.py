@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granary.llm import decontaminate
+from granary.llm import decontaminate, kdtree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +61,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS
   coalesce(covered.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
+
+
+@query
+def op7_kdtree_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard of 24, of near equal bytes."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    placed = kdtree.kd_shards(docs, shards=24)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
