@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, kdtree
+from granary.llm import decontaminate, kdtree, mixing
+from granary.runtime import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +78,106 @@ def op7_kdtree_shards(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+# Target weights of the tree; nodes that are not named weigh 1.
+MIX_WEIGHTS = (
+    (0, "domain0", 5),
+    (0, "domain1", 3),
+    (0, "domain2", 2),
+    (1, "en", 4),
+    (1, "de", 3),
+    (1, "fr", 2),
+    (2, "src0", 2),
+)
+MIX_BUDGET = 0.6
+MIX_EPOCHS = 3
+MIX_SEED = 7
+
+
+def mix_levels() -> dict:
+    """Domain, language and source of a document; the source number names the domain."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    domain = F.when(number != "", F.concat(F.lit("domain"), (F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT)") % 3).cast("string")))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mix_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MIX_WEIGHTS), "level int, name string, weight long")
+
+
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents chosen for a mix of 60 percent of all words, up to 3 epochs a source."""
+    docs = table(spark, folder, "documents")
+    counted = materialize(
+        docs.select("doc_id", "lang", "source", mixing.n_words(F.col("text")).alias("n_tokens")), "counted"
+    )
+    return mixing.mix(
+        counted,
+        mix_levels(),
+        mix_weights(spark),
+        MIX_BUDGET,
+        MIX_EPOCHS,
+        MIX_SEED,
+        tokens=F.col("n_tokens"),
+    )
+
+
+def _share_sql(children: str, parent: str) -> str:
+    """Split each parent's budget among rows (name, weight, cap, given)."""
+    return f"""(
+  SELECT *, CASE WHEN is_full THEN cap ELSE share + CASE WHEN is_open AND row_number() OVER (
+      PARTITION BY {parent} ORDER BY rest DESC, name) <= open_b - sum(share) OVER (PARTITION BY {parent})
+    THEN 1 ELSE 0 END END AS budget
+  FROM (SELECT *, CASE WHEN is_open THEN (open_b * weight) // open_w ELSE 0 END AS share,
+      CASE WHEN is_open THEN (open_b * weight) % open_w ELSE -1 END AS rest
+    FROM (SELECT *, NOT is_full AND open_w > 0 AS is_open
+      FROM (SELECT *, given - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY {parent}) AS open_b,
+          sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY {parent}) AS open_w
+        FROM (SELECT *, cap * left_w <= greatest(left_b, 0) * weight AS is_full
+          FROM (SELECT *, sum(weight) OVER (PARTITION BY {parent})
+              - coalesce(sum(weight) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / weight, name
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_w,
+              given - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / weight, name
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_b
+            FROM {children}))))))"""
+
+
+_WEIGHTS_SQL = ", ".join(f"({level}, '{name}', {weight})" for level, name, weight in MIX_WEIGHTS)
+
+ORACLES["op3_mixing"] = f"""
+WITH w AS (SELECT * FROM (VALUES {_WEIGHTS_SQL}) AS t(level, node, weight)
+), d AS (
+  SELECT doc_id, coalesce('domain' || CAST(TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 3 AS VARCHAR), 'none') AS domain,
+    coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS HUGEINT) AS n_tokens
+  FROM documents
+), leaf AS (
+  SELECT domain, lang, source, source AS name, sum(n_tokens) AS tokens, sum(n_tokens) * {MIX_EPOCHS} AS cap,
+    coalesce(max(weight), 1) AS weight
+  FROM d LEFT JOIN w ON level = 2 AND node = source GROUP BY ALL
+), mid AS (
+  SELECT domain, lang, lang AS name, sum(cap) AS cap, coalesce(max(w.weight), 1) AS weight
+  FROM leaf LEFT JOIN w ON level = 1 AND node = lang GROUP BY domain, lang
+), top AS (
+  SELECT 0 AS root, domain, domain AS name, sum(cap) AS cap, coalesce(max(w.weight), 1) AS weight,
+    (SELECT CAST(floor({MIX_BUDGET} * sum(tokens)) AS HUGEINT) FROM leaf) AS given
+  FROM mid LEFT JOIN w ON level = 0 AND node = domain GROUP BY domain
+), top_b AS (SELECT * FROM {_share_sql("top", "root")}
+), mid_b AS (SELECT * FROM {_share_sql("(SELECT mid.*, top_b.budget AS given FROM mid JOIN top_b USING (domain))", "domain")}
+), leaf_b AS (SELECT * FROM {_share_sql("(SELECT leaf.*, mid_b.budget AS given FROM leaf JOIN mid_b USING (domain, lang))", "domain, lang")}
+), plan AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs,
+    budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest
+  FROM leaf_b
+), ordered AS (
+  SELECT doc_id, domain, lang, source, n_tokens, epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY md5('{MIX_SEED}:' || CAST(epochs AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR))) AS reach,
+    sum(n_tokens) OVER (PARTITION BY domain, lang, source) AS tokens
+  FROM d JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens,
+  CAST(epochs + CASE WHEN reach <= rest AND tokens > 0 THEN 1 ELSE 0 END AS INT) AS copies
+FROM ordered WHERE epochs + CASE WHEN reach <= rest AND tokens > 0 THEN 1 ELSE 0 END > 0
+"""
