@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, kdtree, mixing
+from granary.llm import decontaminate, kdtree, mixing, simhash
 from granary.runtime import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,9 @@ SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens,
   CAST(epochs + CASE WHEN reach <= rest AND tokens > 0 THEN 1 ELSE 0 END AS INT) AS copies
 FROM ordered WHERE epochs + CASE WHEN reach <= rest AND tokens > 0 THEN 1 ELSE 0 END > 0
 """
+
+
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-copy component of every document."""
+    return simhash.simhash_groups(table(spark, folder, "documents"))
