@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, kdtree, mixing, simhash
+from granary.llm import decontaminate, kdtree, mixing, simhash, toxicity
+from granary.llm.common import held_out
 from granary.runtime import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +188,19 @@ FROM ordered WHERE epochs + CASE WHEN reach <= rest AND tokens > 0 THEN 1 ELSE 0
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-copy component of every document."""
     return simhash.simhash_groups(table(spark, folder, "documents"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document; a fifth of the ids is never learned from."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    learn = docs.filter(~held_out("doc_id", 5, 0))
+    model = toxicity.train(learn, table(spark, folder, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "spans",
+    )

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import map_texts
 from granary.llm.components import connected_components
 from granary.runtime import materialize, ship_package
 
@@ -63,15 +64,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (fp as a signed long) of every row. NULL and blank texts get 0."""
-    ship_package()
+    def kernel():
+        def make(texts: list[str | None]) -> list[np.ndarray]:
+            made = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
+            return [made.view(np.int64)]
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = np.fromiter((fingerprint(t, shingle) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": made.view(np.int64)})
+        return make
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(make, "doc_id long, fp long")
+    return map_texts(rows, ["doc_id"], "text", kernel, "fp long")
 
 
 # -- candidate blocks ------------------------------------------------------
