@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,6 +16,25 @@ ROWS = 2_048
 CHARACTERS = 16_000_000
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table held in the plan itself, so that no executor runs Python for it."""
+    fields = StructType.fromDDL(schema).fields
+
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(float(value)) + "D" if isinstance(value, float) else str(value)
+
+    lines = [f"({', '.join(map(literal, row))})" for row in rows]
+    empty = f"({', '.join(['NULL'] * len(fields))})"
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    casts = ", ".join(f"CAST(c{i} AS {f.dataType.simpleString()}) AS `{f.name}`" for i, f in enumerate(fields))
+    table = spark.sql(f"SELECT {casts} FROM VALUES {', '.join(lines or [empty])} AS t({names})")
+    return table if rows else table.limit(0)
+
+
 def held_out(doc_id: str, parts: int, part: int) -> Column:
     """Whether the CRC-32 of the id as text leaves this remainder; never for a NULL id."""
     crc = F.crc32(F.col(doc_id).cast("string").cast("binary"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm.common import local_rows
 from granary.runtime import materialize
 
 # Bins of one histogram pass of a weighted median, per node.
@@ -133,7 +134,8 @@ def _medians(placed: DataFrame, wanted: list[dict], shard_bytes: float, names: l
     found: dict[int, int] = {}
     order = Window.partitionBy("node").orderBy("bin")
     while todo:
-        ask = spark.createDataFrame(
+        ask = local_rows(
+            spark,
             [tuple(t[n] for n in ("node", "axis", "lo", "hi", "want", "base")) for t in todo.values()],
             schema,
         )
@@ -200,9 +202,9 @@ def _leaves(points: DataFrame, shards: int, shard_bytes: float, names: list[str]
             following[free + 1] = Node(node.first + half, node.shards - half)
             free += 2
         if level:
-            cuts.append(spark.createDataFrame(level, "node int, axis int, cut long, left int, right int"))
+            cuts.append(local_rows(spark, level, "node int, axis int, cut long, left int, right int"))
         nodes = following
-    firsts = spark.createDataFrame([(k, n.first) for k, n in nodes.items()], "node int, shard int")
+    firsts = local_rows(spark, [(k, n.first) for k, n in nodes.items()], "node int, shard int")
     return _route(points, cuts, names).join(F.broadcast(firsts), "node").select("__group", "piece", "shard")
 
 
