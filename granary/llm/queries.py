@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, kdtree, mixing, simhash, toxicity
-from granary.llm.common import held_out
+from granary.llm import decontaminate, kdtree, mixing, perplexity, simhash, toxicity
+from granary.llm.common import held_out, local_rows
 from granary.runtime import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,7 +104,7 @@ def mix_levels() -> dict:
 
 
 def mix_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(MIX_WEIGHTS), "level int, name string, weight long")
+    return local_rows(spark, list(MIX_WEIGHTS), "level int, name string, weight long")
 
 
 @query
@@ -204,3 +204,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "spans",
     )
+
+
+@query
+def op1_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and perplexity band of every document."""
+    return perplexity.quality(table(spark, folder, "documents"))
