@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, kdtree, mixing, perplexity, simhash, toxicity
+from granary.llm import decontaminate, kdtree, langid, mixing, perplexity, simhash, toxicity
 from granary.llm.common import held_out, local_rows
 from granary.runtime import materialize
 
@@ -210,3 +210,12 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op1_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and perplexity band of every document."""
     return perplexity.quality(table(spark, folder, "documents"))
+
+
+@query
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; a third of the ids is never learned from."""
+    docs = table(spark, folder, "documents")
+    profiles = langid.learn(docs.filter(~held_out("doc_id", 3, 1)).select("text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), profiles, keep=["doc_id"])
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
