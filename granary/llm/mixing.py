@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from granary.runtime import at_most, materialize
 
 SPACES = "[ \\t-\\r]+"
-# Documents of a leaf that are sorted together when its prefix is cut.
-SORTED_TOGETHER = 4_096
 # Leaves handed to every executor when documents look up their share.
 BROADCAST_LEAVES = 50_000
 
@@ -112,8 +110,9 @@ def _order_key(seed: int, epoch: Column, row: Column) -> Column:
 
 
 def _bin(key: Column, docs: Column) -> Column:
-    """Slice of the seeded order, about SORTED_TOGETHER documents each."""
-    bins = F.floor(docs / SORTED_TOGETHER) + 1
+    """Slice of the seeded order: as many slices of a leaf as documents in each,
+    so that both stay the square root of the leaf."""
+    bins = F.floor(F.sqrt(docs.cast("double"))) + 1
     head = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
     return F.floor(head * bins / F.lit(float(1 << 32))).cast("long")
 
