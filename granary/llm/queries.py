@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, kdtree, langid, mixing, perplexity, simhash, toxicity
+from granary.llm import decontaminate, kdtree, langid, mixing, perplexity, simhash, tokencount, toxicity
 from granary.llm.common import held_out, local_rows
 from granary.runtime import materialize
 
@@ -219,3 +219,13 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     profiles = langid.learn(docs.filter(~held_out("doc_id", 3, 1)).select("text", "lang"))
     found = langid.identify(docs.select("doc_id", "text"), profiles, keep=["doc_id"])
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+# Rank file of a public byte-level vocabulary.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document."""
+    return tokencount.token_counts(table(spark, folder, "documents"), VOCABULARY, keep=["doc_id"])
