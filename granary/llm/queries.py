@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, kdtree, langid, mixing, perplexity, simhash, tokencount, toxicity
+from granary.llm import decontaminate, kdtree, langid, mixing, perplexity, simhash, tokencount, toxicity, warc
 from granary.llm.common import held_out, local_rows
-from granary.runtime import materialize
+from granary.runtime import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -229,3 +229,18 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Pre-tokens and unigram tokens of every document."""
     return tokencount.token_counts(table(spark, folder, "documents"), VOCABULARY, keep=["doc_id"])
+
+
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written to archives and read back from them."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    records = materialize(warc.read_archives(spark, path, with_payload=False).drop("payload"), "records")
+    return warc.resolve_revisits(records).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
