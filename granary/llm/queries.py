@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, kdtree, langid, mixing, perplexity, simhash, tokencount, toxicity, warc
+from granary.llm import decontaminate, fuzzy_lines, kdtree, langid, mixing, perplexity, simhash, tokencount, toxicity, warc
 from granary.llm.common import held_out, local_rows
 from granary.runtime import materialize, scratch_path
 
@@ -244,3 +244,9 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op4_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every line of every document; one line of a class is kept."""
+    return fuzzy_lines.line_classes(table(spark, folder, "documents")).drop("row")
