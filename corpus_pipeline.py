@@ -1,4 +1,4 @@
-"""Corpus pipeline: toxicity, near-duplicates, decontamination, mixing, sharding."""
+"""Corpus pipeline: toxicity, near copies, decontamination, mixing, sharding."""
 
 from __future__ import annotations
 
@@ -6,27 +6,62 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontaminate
+from granary.llm import decontaminate, kdtree, mixing, simhash, toxicity
+from granary.llm.queries import mix_levels, mix_weights, table
+from granary.runtime import materialize
 
-# SQL cannot express the sequence model and the fingerprints.
+# SQL expresses neither the sequence model nor the fingerprints.
 ORACLE_SQL = None
+# The mix is 80 percent of the words that are left, from one epoch: no document
+# comes twice.
+MIX_BUDGET = 0.8
+SHARDS = 24
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the sequence model scores below one half."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts (five words, similarity 0.8)."""
+    return simhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return decontaminate.remove_documents(docs, benchmark)
+    """Documents without a window of ten words of a benchmark item."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents chosen so that domains, languages and sources meet their weights."""
+    mixed = mixing.mix(
+        docs,
+        {f"__{k}_level": v for k, v in mix_levels().items()},
+        mix_weights(spark),
+        MIX_BUDGET,
+        max_epochs=1,
+    )
+    return mixed.select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the shard and the place in it that they are written to."""
+    return kdtree.kd_shards(docs, shards=SHARDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each written and read again."""
-    from granary.runtime import materialize
-
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
