@@ -109,7 +109,11 @@ def learn(
             settle(name)
         for name, (codes, times) in known.items():
             yield pa.RecordBatch.from_pydict(
-                {"lang": [name] * len(codes), "code": codes.astype(np.int32), "n": times.astype(np.int64)}
+                {
+                    "lang": pa.array([name] * len(codes), pa.string()),
+                    "code": codes.astype(np.int32),
+                    "n": times.astype(np.int64),
+                }
             )
 
     counts = rows.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
