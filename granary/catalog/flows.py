@@ -16,6 +16,7 @@ from granary.operators import graph as G
 from granary.plans import answer as A
 from granary.plans import build as B
 from granary.runtime import scratch_path
+from granary.schemas import NARRATIVE_SCHEMA
 from granary.sources import config, records, tables
 
 # ---- files -----------------------------------------------------------------------------
@@ -37,10 +38,23 @@ def _flat(df):
     )
 
 
+def odd_lines(rows, *more: str):
+    """Records as JSON lines, each followed by lines that a reader has to skip."""
+    return rows.select(
+        F.explode(F.array(F.to_json(F.struct("*")), *(F.lit(m) for m in ("[1, 2]", "5", "  ", *more)))).alias("value")
+    )
+
+
+def loose(rows):
+    """The same records with their line numbers written as text."""
+    return rows.withColumn("line", F.concat(F.lit(" "), F.col("line").cast("string")))
+
+
 @register("read_symbols_jsonl", _RECORDS)
 def read_symbols_jsonl(src):
+    """Records between lines that are no objects, with numbers as text."""
     path = scratch_path(src.spark, "symbols")
-    records.write_symbols_jsonl(symbol_records(src), path)
+    odd_lines(loose(symbol_records(src))).write.text(path)
     return _flat(records.read_symbols_jsonl(src.spark, path))
 
 
@@ -55,37 +69,51 @@ def write_symbols_jsonl(src):
 def read_symbols_jsonl_drop(src):
     """Records with a broken line after each of them, which the reader drops."""
     path = scratch_path(src.spark, "broken")
-    lines = symbol_records(src).select(
-        F.explode(F.array(F.to_json(F.struct("*")), F.lit('{"id": "x", "line": '))).alias("value")
-    )
-    lines.write.text(path)
+    odd_lines(loose(symbol_records(src)), '{"id": "x", "line": ').write.text(path)
     return _flat(records.read_symbols_jsonl(src.spark, path, mode="drop"))
 
 
-@register(
-    "read_narratives_jsonl",
-    """SELECT section_id, module, section_title, len(resolved_symbol_ids) AS resolved_count,
-         array_to_string(resolved_symbol_ids, '|') AS resolved FROM {v_narratives}""",
-)
-def read_narratives_jsonl(src):
-    path = scratch_path(src.spark, "narratives")
-    rows = src.view("v_narratives").select(
-        "*",
-        F.lit("").alias("text"),
-        F.lit("").alias("source_file"),
-        F.array().cast("array<string>").alias("raw_refs"),
-    )
-    records.write_narratives_jsonl(rows, path)
-    read = records.read_narratives_jsonl(src.spark, path)
+VIEWS["v_sections"] = """
+    SELECT concat('s', CAST(doc_id AS STRING)) AS section_id, concat('mod_', lang) AS module,
+      concat('Part ', CAST(doc_id % 40 AS STRING)) AS section_title, text, source AS source_file,
+      split(concat(source, '|', lang, '|x'), '[|]') AS raw_refs,
+      split(concat('mod_', lang, '|op_', CAST(doc_id % 50 AS STRING)), '[|]') AS resolved_symbol_ids
+    FROM {documents}"""
+CHECK_ONLY["v_sections"] = VIEWS["v_sections"].replace("STRING", "VARCHAR").replace("'[|]'", "'|'")
+_SECTIONS = """SELECT section_id, module, section_title, text, source_file,
+    array_to_string(raw_refs, '|') AS refs, array_to_string(resolved_symbol_ids, '|') AS resolved,
+    CAST(len(resolved_symbol_ids) AS BIGINT) AS resolved_count FROM {v_sections}"""
+
+
+def _flat_sections(rows):
     return long(
-        read.select(
-            "section_id", "module", "section_title", "resolved_count",
+        rows.select(
+            "section_id", "module", "section_title", "text", "source_file",
+            F.array_join("raw_refs", "|").alias("refs"),
             F.array_join("resolved_symbol_ids", "|").alias("resolved"),
+            "resolved_count",
         ),
         "resolved_count",
     )
 
 
+@register("write_narratives_jsonl", _SECTIONS)
+def write_narratives_jsonl(src):
+    """Whole texts written as sections and read by Spark's own reader."""
+    path = scratch_path(src.spark, "written")
+    records.write_narratives_jsonl(src.view("v_sections"), path)
+    return _flat_sections(src.spark.read.schema(NARRATIVE_SCHEMA).json(path))
+
+
+@register("read_narratives_jsonl", _SECTIONS)
+def read_narratives_jsonl(src):
+    """Whole texts as sections between lines that are no objects; counts as text."""
+    path = scratch_path(src.spark, "narratives")
+    rows = src.view("v_sections").withColumn("resolved_count", F.size("resolved_symbol_ids").cast("string"))
+    odd_lines(rows, '{"module": "no id"}').write.text(path)
+    return _flat_sections(records.read_narratives_jsonl(src.spark, path))
+
+
 FILE_DOCS = 1_000  # documents per file; a file is read as one text
 END = "\x02"
 

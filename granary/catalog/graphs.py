@@ -463,7 +463,7 @@ VIEWS["v_ask_code"] = """
     SELECT question_id, concat('x = Cls1(op_1)', chr(10), 'from m import (Cls2, op_9)', chr(10),
       '  import Cls4', chr(10), 'def op_3(a): pass', chr(10), 'class Cls5: pass', chr(10),
       ' op_5 = 2', chr(10), 'éop_6 ', 'Cls', CAST(question_id % 7 AS STRING), '.run(op_',
-      CAST(question_id % 50 AS STRING), ', op_0, op_5, Cls3, Cls0)') AS text
+      CAST(question_id % 50 AS STRING), ', op_0, op_5, Cls3, Cls0)', chr(10), text) AS text
     FROM {v_asks}"""
 _IMPORT_ROWS = """
     SELECT question_id, rank, 'pack.' || module AS module, CASE WHEN kind = 'method'

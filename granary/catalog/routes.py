@@ -283,7 +283,8 @@ def evidence_type(src):
     return src.view("v_hinted").select("question_id", R.evidence_type("text").alias("evidence"))
 
 
-CHECK_ONLY["v_complexity"] = f"""
+def complexity_sql(asked: str) -> str:
+    return f"""
     SELECT question_id, text, words, refs, goals, limits, asked,
       least(refs, 3) + CASE WHEN words > 20 THEN 1 ELSE 0 END + CASE WHEN words > 40 THEN 1
         ELSE 0 END + least(goals, 2) + least(limits, 2) AS score,
@@ -297,8 +298,14 @@ CHECK_ONLY["v_complexity"] = f"""
         {count_of("' ' || lower(trim(text)) || ' '", vocab.GOAL_MARKERS)} AS goals,
         {count_of("' ' || lower(trim(text)) || ' '", vocab.CONSTRAINT_MARKERS)} AS limits,
         length(text) - length(replace(text, '?', '')) AS asked
-      FROM (SELECT question_id, concat(text, ' The recurrence and annihilator? Or with MainThing?')
-          AS text FROM {{v_asked}}) AS a) AS f"""
+      FROM ({asked}) AS a) AS f"""
+
+
+CHECK_ONLY["v_complexity"] = complexity_sql(
+    """SELECT question_id, concat(text, ' The recurrence and annihilator? Or with MainThing?')
+          AS text FROM {v_asked}"""
+)
+CHECK_ONLY["v_ask_complexity"] = complexity_sql("SELECT question_id, text FROM {v_asks}")
 
 
 @register(
@@ -326,7 +333,7 @@ def complexity_score(src):
     )
 
 
-# Results of the questions, some questions without any.
+# Results of the questions.
 CHECK_ONLY["v_confidence"] = """
     SELECT q.question_id, coalesce(CASE WHEN symbols >= 2 THEN least(1.0::DOUBLE, mean + 0.03::DOUBLE)
         ELSE mean END, 0.0::DOUBLE) AS confidence, coalesce(has_pdf, FALSE) AS has_pdf
@@ -336,7 +343,7 @@ CHECK_ONLY["v_confidence"] = """
         count(*) FILTER (WHERE rank <= 4 AND source_type = 'generated') AS symbols,
         bool_or(source_type = 'pdf') AS has_pdf
       FROM {v_results} JOIN {v_chunks} USING (chunk_id)
-      WHERE rank <= 5 AND question_id % 7 <> 3 GROUP BY question_id) AS r
+      WHERE rank <= 5 GROUP BY question_id) AS r
       ON r.question_id = q.question_id"""
 
 
@@ -344,9 +351,7 @@ def confidence(src):
     results = src.view("v_results").join(
         src.view("v_chunks").select("chunk_id", "source_type"), "chunk_id"
     )
-    return R.retrieval_confidence(
-        src.view("v_asks"), results.filter("question_id % 7 <> 3")
-    )
+    return R.retrieval_confidence(src.view("v_asks"), results)
 
 
 @register(
@@ -364,9 +369,10 @@ _ROUTED = f"""SELECT question_id, mode, CASE WHEN no_pdf THEN 'plan'
       WHEN score <= 3 AND confidence >= 0.60 THEN '{vocab.ROUTE_REASONS["auto_fast"]}'
       WHEN score <= 6 AND confidence >= 0.30 THEN '{vocab.ROUTE_REASONS["auto"]}'
       ELSE '{vocab.ROUTE_REASONS["plan"]}' END AS reason
-  FROM (SELECT question_id, confidence, CAST(question_id * 3 % 9 AS BIGINT) AS score,
+  FROM (SELECT question_id, confidence, score,
       CASE question_id % 3 WHEN 0 THEN 'fast' ELSE 'auto' END AS mode,
-      question_id % 4 = 1 AND NOT has_pdf AS no_pdf FROM {{v_confidence}}) AS c"""
+      {any_of("lower(text)", vocab.DOCUMENT_MARKERS)} AND NOT has_pdf AS no_pdf
+    FROM {{v_confidence}} JOIN {{v_ask_complexity}} USING (question_id)) AS c"""
 
 
 @register(
@@ -375,10 +381,9 @@ _ROUTED = f"""SELECT question_id, mode, CASE WHEN no_pdf THEN 'plan'
           WHEN route = 'auto_fast' THEN 0 ELSE 1 END AS retries FROM ({_ROUTED}) AS r""",
 )
 def route(src):
-    rows = confidence(src)
-    evidence = F.when(F.col("question_id") % 4 == 1, "symbol+pdf").otherwise("symbol-only")
+    rows = confidence(src).join(src.view("v_asks").select("question_id", "text"), "question_id")
     mode, why = R.route(
-        F.col("question_id") * 3 % 9, F.col("confidence"), evidence, F.col("has_pdf")
+        R.complexity_score("text", NAMES)["score"], F.col("confidence"), R.evidence_type("text"), F.col("has_pdf")
     )
     asked = F.when(F.col("question_id") % 3 == 0, "fast").otherwise("auto")
     routed = rows.select("question_id", mode.alias("route"), why.alias("reason"), asked.alias("m"))

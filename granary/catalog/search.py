@@ -144,14 +144,14 @@ def idf(src):
 def tf_weights(src):
     terms = I.chunk_terms(chunks(src))
     table = I.idf(I.document_frequency(terms), chunks(src))
-    return long(I.tf_weights(terms, table).withColumn("w", F.round("w", 6)), "tf")
+    return long(I.tf_weights(terms, table, I.HOT_TERMS).withColumn("w", F.round("w", 6)), "tf")
 
 
 @register("doc_norms", "SELECT chunk_id, round(norm, 6) AS norm FROM {v_norms}")
 def doc_norms(src):
     terms = I.chunk_terms(chunks(src))
     table = I.idf(I.document_frequency(terms), chunks(src))
-    norms = I.doc_norms(chunks(src), I.tf_weights(terms, table))
+    norms = I.doc_norms(chunks(src), I.tf_weights(terms, table, I.HOT_TERMS))
     return norms.withColumn("norm", F.round("norm", 6))
 
 

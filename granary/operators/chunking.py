@@ -454,6 +454,7 @@ def narrative_windows(
         module.alias("module"),
         origin.alias("origin"),
         full.alias("full"),
+        *(["position"] if "position" in narratives.columns else []),
     )
     cut = rows.withColumn("parts", paragraph_windows(F.col("full"), size, overlap, separator))
     part = cut.select("*", F.posexplode_outer("parts").alias("chunk_no", "piece"))
@@ -463,6 +464,7 @@ def narrative_windows(
     )
     return part.select(
         "chunk_no",
+        *(["position"] if "position" in narratives.columns else []),
         *chunk_row(
             text=F.col("piece"),
             source=F.lit(source),

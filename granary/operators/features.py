@@ -95,6 +95,7 @@ IDEALS = (
     "groebner basis", "gröbner basis", "fglm", "left ideal", "annihilating ideal", "eliminate",
     "elimination", "intersection of the left ideal",
 )
+# Methods, help texts and override rules by feature.
 FEATURE_METHODS = {
     "associated_commutative_algebra": ("associated_commutative_algebra", "{constructor}"),
     "change_constant_ring": ("change_constant_ring", "{constructor}"),

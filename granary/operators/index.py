@@ -112,12 +112,13 @@ def chunk_vectors(terms: DataFrame, norms: DataFrame) -> DataFrame:
 
 
 def lexical_index(chunks: DataFrame) -> LexicalIndex:
-    """Index of a chunk table. The two tables that several consumers read
-    (term counts, idf) are written once to the shared folder."""
+    """Index of a chunk table. What searches read (term vectors, idf) is written
+    once to the shared folder, so that no search weighs the corpus again."""
     terms = materialize(chunk_terms(chunks), "terms")
     table = materialize(idf(document_frequency(terms), chunks), "idf")
     weights = tf_weights(terms, table, HOT_TERMS)
-    return LexicalIndex(idf=table, vectors=chunk_vectors(terms, doc_norms(chunks, weights)))
+    vectors = chunk_vectors(terms, doc_norms(chunks, weights))
+    return LexicalIndex(idf=table, vectors=materialize(vectors, "term-vectors"))
 
 
 def l2_normalize(c: Column | str) -> Column:

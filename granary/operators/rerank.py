@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -203,37 +204,46 @@ def topn_rerank(
     rows: DataFrame,
     scorer: Callable[[Sequence[str], Sequence[str]], Sequence[float]],
     top_n: int = TOP_N,
+    report: bool = False,
 ) -> DataFrame:
     """Reorder the first ``top_n`` results of each question by a pair scorer.
 
-    Only these rows reach the scorer. Ties keep their order, and a question
-    keeps its whole order if it is blank or any of its pairs failed to score.
+    Only these rows reach the scorer, question by question. Ties keep their
+    order, and a question keeps its whole order if it is blank or any of its
+    pairs failed to score; other questions are not touched by that. With
+    ``report`` the column ``rerank_error`` tells what the scorer raised.
     """
 
-    @F.pandas_udf("double")
-    def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series([float(v) for v in scorer(list(queries), list(texts))])
-        except Exception:
-            return pd.Series([None] * len(queries), dtype="float64")
+    @F.pandas_udf("struct<value:double,problem:string>")
+    def score(ids: pd.Series, queries: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"value": np.nan, "problem": None}, index=texts.index, dtype=object)
+        asked = texts.notna()
+        for _, own in texts[asked].groupby(ids[asked], dropna=False):
+            try:
+                out.loc[own.index, "value"] = [float(v) for v in scorer(list(queries[own.index]), list(own))]
+            except Exception as problem:
+                out.loc[own.index, "problem"] = f"{type(problem).__name__}: {problem}"
+        return out.astype({"value": "float64"})
 
     ship_package()
-    text = candidate_text()
-    head = rows.filter(F.col("rank") <= top_n).withColumn("__text", text)
-    head = head.withColumn("__score", score("question", "__text"))
-    tail = rows.filter(F.col("rank") > top_n).withColumn("__text", F.lit("x"))
-    both = head.unionByName(tail.withColumn("__score", F.lit(0.0)))
-    question = Window.partitionBy("question_id")
     in_head = F.col("rank") <= top_n
+    # Rows below the head pass as NULL, so the plan above runs once.
+    scored = rows.withColumn("__text", F.when(in_head, candidate_text())).withColumn(
+        "__score", score(F.col("question_id"), F.col("question"), F.col("__text"))
+    )
+    question = Window.partitionBy("question_id")
     usable = (
         (T.strip("question") != "")
-        & F.every(F.col("__score").isNotNull()).over(question)
+        & F.every(~in_head | F.col("__score.value").isNotNull()).over(question)
         & F.some(in_head & (F.col("__text") != "")).over(question)
     )
-    both = both.withColumn("__usable", usable)
-    first = F.when(F.col("__usable") & in_head, F.col("__score"))
+    problem = F.max("__score.problem").over(question)
+    both = scored.withColumn("__usable", usable).withColumn("rerank_error", problem)
+    first = F.when(F.col("__usable") & in_head, F.col("__score.value"))
     order = Window.partitionBy("question_id").orderBy(
         F.asc(~in_head), F.desc_nulls_last(first), F.asc("rank")
     )
-    kept = [c for c in rows.columns if c != "rank"]
+    kept = [c for c in rows.columns if c not in ("rank", "rerank_error")]
+    if report:
+        kept.append("rerank_error")
     return both.select(*kept, F.row_number().over(order).alias("rank"))

@@ -13,6 +13,7 @@ from granary.functions import text as T
 from granary.operators.routing import Registry, normalize_family_id
 from granary.runtime import ship_package
 
+# The patterns of published response parsing.
 ACTIONS = ("continue", "refine_query", "stop")
 FENCE = re.compile(r"```json\s*(\{.*?\})\s*```", re.DOTALL | re.IGNORECASE)
 BAD_ESCAPE = re.compile(r'\\(?!["\\/bfnrt]|u[0-9a-fA-F]{4})')

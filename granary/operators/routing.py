@@ -2,7 +2,7 @@
 
 Everything that depends on one question alone is a Column expression, so it
 needs no join, no shuffle, and runs on streaming tables as well. Registries
-and rules are configuration of checked size and enter as constants.
+and rules are configuration, written by hand, and enter as constants.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from granary import vocab
 from granary.functions import text as T
 from granary.runtime import let
 
-MAX_REGISTRY_ROWS = 2_000
 DEFAULT_NAMES = vocab.Names()
 
 
@@ -48,15 +47,12 @@ class Registry:
 
     @classmethod
     def of(cls, families: DataFrame, workflows: DataFrame | None = None) -> Registry:
-        """Registry tables as configuration; refuses tables of data size."""
+        """Registry tables as configuration: written by hand, so read whole."""
 
         def rows(table: DataFrame | None, order: str) -> list:
             if table is None:
                 return []
-            found = table.limit(MAX_REGISTRY_ROWS + 1).collect()
-            if len(found) > MAX_REGISTRY_ROWS:
-                raise ValueError("a registry is configuration, this table is too long")
-            return sorted(found, key=lambda r: r[order])
+            return sorted(table.collect(), key=lambda r: r[order])
 
         def words(row, name: str) -> tuple[str, ...]:
             return tuple(row[name] or ())
@@ -640,9 +636,6 @@ _RULE_ROW = "struct<message:string,line:string,scope:string,needles:array<string
 
 
 def rules_of(table: DataFrame) -> tuple[Rule, ...]:
-    rows = table.limit(MAX_REGISTRY_ROWS + 1).collect()
-    if len(rows) > MAX_REGISTRY_ROWS:
-        raise ValueError("a rule table is configuration, this table is too long")
     return tuple(
         Rule(
             r["message"],
@@ -650,7 +643,7 @@ def rules_of(table: DataFrame) -> tuple[Rule, ...]:
             r["scope"],
             r["id"] or f"rule_{r['rule_no']}",
         )
-        for r in sorted(rows, key=lambda r: r["rule_no"])
+        for r in sorted(table.collect(), key=lambda r: r["rule_no"])
     )
 
 

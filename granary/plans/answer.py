@@ -21,7 +21,7 @@ from granary.operators import search as S
 from granary.operators.context import chunk_results
 from granary.operators.graph import SymbolGraph, graph_expand
 from granary.plans.retrieve import CorpusIndex, pick_mode, retrieve
-from granary.runtime import materialize
+from granary.runtime import materialize, with_position
 
 MULTI_QUERY_K = 10
 CONTEXT_CAP = 10
@@ -67,12 +67,14 @@ def retrieved_lists(
             "question_id",
             "sub_no",
             "query",
-            F.xxhash64("query").alias("query_id"),
             F.count("*").over(several).alias("queries"),
         ),
         "asked",
     )
-    # Equal queries are searched once, whoever asks them.
+    # Equal queries are searched once, whoever asks them; they are numbered, as
+    # hashes of their text could meet.
+    numbers = with_position(wanted.select("query").distinct(), ["query"], "query_id")
+    wanted = materialize(wanted.join(numbers, "query"), "asked-numbered")
     depths = {options.k: F.col("queries") == 1, max(options.k, MULTI_QUERY_K): F.col("queries") > 1}
     lists = []
     for depth, test in depths.items():
@@ -233,15 +235,14 @@ def plan_retrieve(
     """Results of all steps of each question's plan as one capped list."""
     steps = effective_steps(subtasks, decisions)
     # Each step is a question of its own to the retrieval plan.
-    asked = steps.withColumn("__step", F.xxhash64("question_id", "position")).select(
+    steps = materialize(with_position(steps, ["question_id", "position", "step_id"], "__step"), "steps")
+    asked = steps.select(
         F.col("__step").alias("question_id"),
         F.col("query").alias("text"),
         F.col("family_id").alias("family_hint"),
     )
     found = workflow_retrieve(asked, index, registry, options)
-    back = steps.select(
-        F.xxhash64("question_id", "position").alias("__step"), "question_id", "position", "step_id"
-    )
+    back = steps.select("__step", "question_id", "position", "step_id")
     rows = (
         found.withColumnRenamed("question_id", "__step")
         .join(back, "__step")

@@ -19,6 +19,15 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return with_position(rows, order, "doc_id").withColumn("chunk_no", F.lit(0).cast("bigint"))
 
 
+def numbered_narratives(cut: DataFrame) -> DataFrame:
+    """Narrative chunks in file order, else by module and section, and by window."""
+    place = ["position"] if "position" in cut.columns else ["module", "section"]
+    section = F.regexp_replace("symbol_id", ":[0-9]+$", "")
+    own = F.when(F.col("window") == 0, F.col("symbol_id")).otherwise(section)
+    rows = cut.withColumnRenamed("chunk_no", "window").withColumn("section", own)
+    return numbered(rows, [*place, "window"]).drop("window", "section", "position")
+
+
 def build_index(
     mode: str,
     symbols: DataFrame | None = None,
@@ -30,7 +39,8 @@ def build_index(
 ) -> CorpusIndex:
     """Chunks of all sources with contiguous ids, term tables and vectors.
 
-    ``pages``: doc_id, page, text, source; ``api_docs``: doc_id, text.
+    ``pages``: doc_id, page, text, source; ``api_docs``: doc_id, text. Narratives
+    keep the order of their ``position``, which the reader of their file gives.
     """
     parts: dict[str, DataFrame] = {}
     if symbols is not None:
@@ -40,8 +50,7 @@ def build_index(
     if api_docs is not None:
         parts["api"] = C.api_reference_chunks(api_docs, F.lit("API_REFERENCE.md"))
     if narratives is not None:
-        cut = C.narrative_windows(narratives).drop("chunk_no")
-        parts["narrative"] = numbered(cut, ["module", "symbol_id", "text"])
+        parts["narrative"] = numbered_narratives(C.narrative_windows(narratives))
     if pages is not None:
         titled = C.carry_forward_section(
             pages.withColumn("section_title", C.detect_section_title("text"))
@@ -54,7 +63,10 @@ def build_index(
     if not chunks.take(1):
         raise RuntimeError("no chunks were produced for indexing")
     lexical = I.lexical_index(chunks)
-    vectors = None if make_encoder is None else I.embed_chunks(chunks, make_encoder)
+    # Written here, whatever becomes of the index: encoding is the costly part.
+    vectors = None
+    if make_encoder is not None:
+        vectors = materialize(I.embed_chunks(chunks, make_encoder), "chunk-vectors")
     if path is not None:
         tables.write_index(path, chunks, lexical, vectors, sources=sorted(parts))
         chunks, lexical, vectors, _ = tables.read_index(chunks.sparkSession, path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import search as S
 from granary.operators.index import LexicalIndex, embed_chunks
+from granary.runtime import materialize
 
 MODES = ("auto", "lexical", "dense", "hybrid")
 
@@ -64,7 +65,8 @@ def retrieve(
     if used == "lexical":
         found = S.lexical_search(queries, index.lexical, fetch)
     else:
-        vectors = embed_chunks(queries, index.make_encoder, key="query_id")
+        # Encoded once, however many blocks the search reads them in.
+        vectors = materialize(embed_chunks(queries, index.make_encoder, key="query_id"), "query-vectors")
         if used == "dense":
             found = S.dense_search(vectors, index.vectors, fetch)
         else:

@@ -118,11 +118,6 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if the table is proven small, else leave the join to AQE."""
-    return F.broadcast(df) if at_most(df, rows) else df
-
-
 def key_blocks(
     df: DataFrame, key: str, rows: int = QUERY_BLOCK_ROWS, inner: str | None = None
 ) -> Iterator[DataFrame]:

@@ -19,12 +19,6 @@ NARRATIVE_SCHEMA = """
     section_id string, module string, section_title string, text string, source_file string,
     raw_refs array<string>, resolved_symbol_ids array<string>, resolved_count int
 """
-FAMILY_SCHEMA = "family_no int, id string, name string, summary string, keywords array<string>"
-WORKFLOW_SCHEMA = """
-    workflow_no int, id string, family_id string, title string, summary string,
-    keywords array<string>, preferred_symbols array<string>, prompt_rules array<string>,
-    tuning_params array<string>
-"""
 RULE_SCHEMA = "rule_no int, id string, scope string, when_any array<string>, message string"
 
 CHUNK_COLUMNS = tuple(part.split()[0] for part in CHUNK_SCHEMA.split(","))
@@ -41,7 +35,3 @@ def chunk_row(**given: Column) -> list[Column]:
     return [
         given.get(name, defaults[name]).cast(types[name]).alias(name) for name in CHUNK_COLUMNS
     ]
-
-
-def keep_chunk_columns(df: DataFrame) -> DataFrame:
-    return df.select(*CHUNK_COLUMNS)

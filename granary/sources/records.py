@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -18,26 +18,67 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(system.globStatus(jvm_path))
 
 
+def _objects(spark: SparkSession, path: str, fail: bool) -> DataFrame:
+    """JSON lines as ``record`` (variant), in file order by ``position``.
+
+    Blank lines and lines that are no object are skipped. A line that is no
+    JSON is an error that names it, or is skipped as well.
+    """
+    lines = spark.read.text(path).select(
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("position"),
+        F.col("value").alias("__raw"),
+    )
+    parsed = lines.filter(T.strip("__raw") != "").withColumn("record", F.try_parse_json("__raw"))
+    if fail:
+        message = F.concat(F.lit("invalid JSON in "), F.col("position.file"), F.lit(": "), F.left("__raw", F.lit(120)))
+        broken = F.when(F.col("record").isNull(), F.raise_error(message))
+        parsed = parsed.withColumn("record", F.coalesce("record", broken.cast("variant")))
+    kind = F.schema_of_variant("record")
+    return parsed.filter(F.startswith(kind, F.lit("OBJECT"))).select("position", "record")
+
+
+def _fields(ddl: str) -> list[Column]:
+    """Typed fields of a record; what does not fit its type is NULL.
+
+    Integers may be written as text, and any scalar serves as text.
+    """
+    columns = []
+    for part in ddl.split(","):
+        name, kind = part.split()
+        value = F.try_variant_get("record", f"$.{name}", kind)
+        if kind == "int":
+            text = F.try_variant_get("record", f"$.{name}", "string")
+            value = F.coalesce(value, T.strip(text).try_cast("int"))
+        columns.append(value.alias(name))
+    return columns
+
+
 def read_symbols_jsonl(spark: SparkSession, path: str, mode: str = "fail") -> DataFrame:
     """Symbol records of JSON lines.
 
-    ``fail``: a malformed line or a file without records is an error;
-    ``drop``: malformed lines are skipped.
+    Lines that are no objects are skipped, numbers may be text, and a number
+    that is none is NULL. ``fail``: a line that is no JSON or a file without
+    records is an error; ``drop``: such lines are skipped too.
     """
     if mode not in ("fail", "drop"):
         raise ValueError(f"unsupported mode: {mode}")
-    option = "FAILFAST" if mode == "fail" else "DROPMALFORMED"
-    lines = spark.read.schema(SYMBOL_SCHEMA).option("mode", option).json(path)
-    if mode == "fail" and not lines.take(1):
+    rows = _objects(spark, path, mode == "fail").select(*_fields(SYMBOL_SCHEMA))
+    if mode == "fail" and not rows.take(1):
         raise RuntimeError(f"no symbol records in {path}")
-    return lines
+    return rows
 
 
 def read_narratives_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Narrative sections; a missing file is an empty table."""
+    """Narrative sections with their ``position`` in the file; a missing file
+    is an empty table. Lines are read as leniently as those of symbols."""
     if not path_exists(spark, path):
-        return spark.createDataFrame([], NARRATIVE_SCHEMA)
-    rows = spark.read.schema(NARRATIVE_SCHEMA).option("mode", "FAILFAST").json(path)
+        place = "position struct<file string, start long, line long>"
+        return spark.createDataFrame([], f"{NARRATIVE_SCHEMA}, {place}")
+    rows = _objects(spark, path, True).select(*_fields(NARRATIVE_SCHEMA), "position")
     return rows.filter(T.strip("section_id") != "")
 
 

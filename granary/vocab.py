@@ -81,6 +81,7 @@ SYMBOL_FOCUS_ALIASES = {
 # ---- fixed values: routing ----------------------------------------------------
 OUT_OF_SCOPE = (
     "favorite color", "write a poem", "poem about", "what this app can do", "install {package}",
+    "install {package_words}",
 )
 PROOF_SUBJECTS = ("theorem", "conjecture", "new result")
 CONCEPTUAL = ("conceptually", "at a high level", "high level")
@@ -157,6 +158,7 @@ class Names:
     def fill(self, text: str) -> str:
         return (
             text.replace("{package}", self.package)
+            .replace("{package_words}", self.package.replace("_", " "))
             .replace("{constructor}", self.constructor)
             .replace("{constructor_lower}", self.constructor.lower())
             .replace("{algebra}", self.algebra)
