@@ -93,18 +93,21 @@ def group_symbols(entries: DataFrame) -> DataFrame:
 # ---- references -----------------------------------------------------------------
 
 
-def _node_texts(nodes: DataFrame) -> DataFrame:
-    """Every text a reference can match, with the priority of the match."""
+def _node_texts(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every text one of the ``wanted`` references can match, with its priority.
+
+    Of a dotted name only endings are made that are as long as some dotted
+    reference, however long the names are.
+    """
     name = F.lower("qualname")
+    asked = wanted.filter(F.contains("text", F.lit("."))).agg(F.collect_set(F.length("text"))).scalar()
+    tail = F.length(F.substring_index(name, ".", -1))
+    nodes = nodes.withColumn("__asked", asked)
+    lengths = F.filter("__asked", lambda n: (n > tail) & (n <= F.length(name)))
     dotted = F.when(
         F.contains(name, F.lit(".")),
         F.transform(
-            F.sequence(
-                F.lit(1), F.length(name) - F.length(F.substring_index(name, ".", -1))
-            ),
-            lambda i: F.struct(
-                F.lit(2).alias("priority"), F.substring(name, i, F.length(name)).alias("text")
-            ),
+            lengths, lambda n: F.struct(F.lit(2).alias("priority"), F.right(name, n).alias("text"))
         ),
     ).otherwise(F.array().cast("array<struct<priority:int,text:string>>"))
     exact = T.row_array(
@@ -120,15 +123,15 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame, allow_spaces: bool = True) -
     """(ref, key, priority): symbols a reference names; order by priority, key.
 
     Exact id (0), exact qualified name (1), then equal tail (plain references)
-    or any qualified name that ends with the reference (dotted ones). Suffixes
-    are exploded on the symbol side, so all of it is one equi join. Matches are
+    or any qualified name that ends with the reference (dotted ones). Endings
+    are made on the symbol side, so all of it is one equi join. Matches are
     not numbered, since a common tail may name most symbols.
     """
     wanted = refs.select(F.col("ref"), key_of("ref").alias("text")).distinct()
     wanted = wanted.filter(F.col("text") != "")
     if not allow_spaces:
         wanted = wanted.filter(~F.contains("text", F.lit(" ")))
-    found = _node_texts(nodes).join(wanted, "text")
+    found = _node_texts(nodes, wanted).join(wanted, "text")
     # A dotted reference never equals a tail, a plain one never a dotted suffix.
     return found.groupBy("ref", "key").agg(F.min("priority").alias("priority"))
 
@@ -136,7 +139,7 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame, allow_spaces: bool = True) -
 def first_resolved(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(ref, key): the best match only, by aggregation instead of ranking."""
     wanted = refs.select("ref", key_of("ref").alias("text")).distinct().filter("text <> ''")
-    found = _node_texts(nodes).join(wanted, "text")
+    found = _node_texts(nodes, wanted).join(wanted, "text")
     return found.groupBy("ref").agg(F.min(F.struct("priority", "key"))["key"].alias("key"))
 
 
