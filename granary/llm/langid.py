@@ -30,19 +30,21 @@ LEARN_CHARACTERS = 2_000_000
 
 @lru_cache(1)
 def letter_classes() -> np.ndarray:
-    """Class of each code point below 65,536; the last one stands for all above."""
+    """Class of each code point below 65,536."""
     table = np.full(1 << 16, 32, np.int32)
     for c in range(1 << 16):
         if chr(c).isalpha():
             table[c] = c if c < 768 else 768 + c % 256
-    table[-1] = 1023
     return table
 
 
 def classes_of(text: str) -> np.ndarray:
     """Classes of the lower-cased text, with one blank at each end and between words."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    classes = np.concatenate(([32], letter_classes()[np.minimum(points, 65_535)], [32])).astype(np.int32)
+    inner = letter_classes()[np.minimum(points, 65_535)]
+    for i in np.nonzero(points > 65_535)[0]:  # rare scripts and pictures
+        inner[i] = 768 + points[i] % 256 if chr(points[i]).isalpha() else 32
+    classes = np.concatenate(([32], inner, [32])).astype(np.int32)
     blank = classes == 32
     return classes[~(blank & np.concatenate(([False], blank[:-1])))]
 

@@ -121,6 +121,9 @@ def test_language(docs, nothing):
         assert (by_id[i]["lang_pred"], by_id[i]["score"]) == ("und", 0.0)
     assert by_id[5]["lang_pred"] == "de" and 0 <= by_id[5]["score"] <= 1
     assert langid.learn(nothing) == {}
+    ranker = langid.Ranker(profiles)
+    assert ranker.predict("\U0001f600 \u2603 5") == ("und", 0.0)
+    assert ranker.predict("\U00020000")[0] != "und"  # a letter beyond the basic plane
     assert {r["lang_pred"] for r in langid.identify(docs, {}).collect()} == {"und"}
     assert langid.identify(nothing, profiles).count() == 0
 
