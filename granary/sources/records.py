@@ -34,7 +34,7 @@ def _objects(spark: SparkSession, path: str, fail: bool) -> DataFrame:
     )
     parsed = lines.filter(T.strip("__raw") != "").withColumn("record", F.try_parse_json("__raw"))
     if fail:
-        message = F.concat(F.lit("invalid JSON in "), F.col("position.file"), F.lit(": "), F.left("__raw", F.lit(120)))
+        message = F.concat(F.lit("malformed JSON in "), F.col("position.file"), F.lit(": "), F.left("__raw", F.lit(120)))
         broken = F.when(F.col("record").isNull(), F.raise_error(message))
         parsed = parsed.withColumn("record", F.coalesce("record", broken.cast("variant")))
     kind = F.schema_of_variant("record")

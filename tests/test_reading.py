@@ -33,7 +33,7 @@ def test_records_are_read_leniently(spark, tmp_path):
 
 def test_broken_json_is_fatal_or_dropped(spark, tmp_path):
     path = written(tmp_path, GOOD, '{"id": "x", "line": ')
-    with pytest.raises(PySparkException, match="invalid JSON"):
+    with pytest.raises(PySparkException, match="malformed JSON"):
         records.read_symbols_jsonl(spark, path).collect()
     assert [r["id"] for r in records.read_symbols_jsonl(spark, path, "drop").collect()] == ["m.f"]
     with pytest.raises(RuntimeError):
