@@ -375,6 +375,16 @@ def test_shards(spark):
     assert all(len(s) == 1 for t, s in groups.items() if weights[t] * (len(t.encode()) + 8) <= mean / 16)
 
 
+def test_slots_from_several_bins(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SLOT_ROWS", 5)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    slots = collections.defaultdict(list)
+    for r in kdtree.kd_shards(docs.unionAll(docs), shards=4).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == 400 and len(slots) == 4
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_tree_against_sorting(spark):
     """With points of one byte a cut is the plain median of the widest dimension."""
     draw = np.random.default_rng(4)
