@@ -18,12 +18,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import map_texts
 from granary.llm.components import connected_components
-from granary.runtime import materialize, ship_package
+from granary.runtime import at_most, materialize, ship_package
 
 SHINGLE = 4
 RADIUS = 4
@@ -342,28 +342,42 @@ def simhash_groups(
 
 # -- similarity of word sets -----------------------------------------------
 
-# Words of 64 bits in a fingerprint that stands for a similarity.
+# Words of 64 bits in a fingerprint that names candidates of a similarity.
 WIDE = 8
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
 # Chance that two texts of just the similarity share a block.
-RECALL = 0.98
+RECALL = 0.999
+# Standard deviations that the distance of a candidate may lie above its mean.
+DEVIATIONS = 3.5
 WIDE_BLOCK_ROWS = 512
+# Fingerprints of few shingles say little: texts of so many meet by their rarest
+# shingles instead, which leaves out no pair.
+FEW = 32
+# Candidate texts handed to every executor to fetch their shingles.
+BROADCAST_TEXTS = 2_000_000
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> bytes:
-    """Fingerprint of ``words`` times 64 bits over the distinct shingles of a text."""
+def shingle_hashes(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text; none without a word."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return bytes(8 * words)
+        return np.empty(0, np.uint64)
     n = max(1, len(tokens) - shingle + 1)
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    base = np.unique(
-        np.fromiter((digest(line[i:j], SEED) for i, j in zip(starts, ends[-n:].tolist())), np.uint64, n)
-    )
+    return np.unique(np.fromiter((digest(line[i:j], SEED) for i, j in zip(starts, ends[-n:].tolist())), np.uint64, n))
+
+
+def set_name(base: np.ndarray) -> bytes:
+    """128-bit name of a shingle set."""
+    return xxhash.xxh3_128_digest(base.tobytes(), SEED)
+
+
+def wide_fingerprint(base: np.ndarray, words: int = WIDE) -> bytes:
+    """Fingerprint of ``words`` times 64 bits over the distinct shingles of a text."""
     ones = np.zeros(BITS * words, np.int64)
     step = HASH_ROWS // words
     for at in range(0, len(base), step):
@@ -392,33 +406,48 @@ def sampled_bits(rows: int, similarity: float, words: int = WIDE, block_rows: in
     return np.stack([draw.choice(BITS * words, bits, replace=False) for _ in range(tables)])
 
 
-def _wide_compare(first_radius: int, radius: int):
-    """Bit-sliced comparison of the first 64 bits, then all bits of the pairs that remain."""
+def _wide_compare(first_radius: int, radius: int, similarity: float, stars: bool):
+    """Bit-sliced comparison of the first 64 bits, then all bits of the pairs that remain.
+
+    With ``stars`` a block returns each text with the first of its neighbours,
+    else all pairs of neighbours whose roots differ.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(rows: list[pd.DataFrame]) -> pd.DataFrame | None:
-            block = pd.concat(rows)
-            names = block["wide"].to_numpy()
-            fps = np.frombuffer(b"".join(names), np.uint64).reshape(len(names), -1)
+        def pairs(rows: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block = pd.concat(rows).sort_values(["second", "node"])
             second = block["second"].to_numpy(bool)
-            if len(fps) < 2 or second.all():
-                return None
-            order = np.argsort(second, kind="stable")
-            fps, names = fps[order], names[order]
+            if len(block) < 2 or second.all():
+                return
+            roots = pd.factorize(block["root"])[0]
+            if not roots.any():
+                return
+            names, sizes = block["node"].to_numpy(), block["size"].to_numpy(np.int64)
+            fps = np.frombuffer(b"".join(block["wide"]), np.uint64).reshape(len(names), -1)
             split = int((~second).sum()) if second.any() else 0
             n, width = len(fps), -(-len(fps) // 64) * 64
             lanes, used = np.zeros((1, width), np.uint64), np.zeros((1, width), bool)
             lanes[0, :n] = fps[:, 0]
             used[0, split:n] = True
             queries = fps[: split or n, 0]
-            label = np.arange(n)
+            rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+            first = np.full(n, n)
             for q, lane in near(queries, np.zeros(len(queries), np.int64), lanes, used, first_radius):
-                close = q != lane
+                small, large = np.minimum(sizes[q], sizes[lane]), np.maximum(sizes[q], sizes[lane])
+                asked = (roots[q] != roots[lane]) & (small >= similarity * large - 1e-9)
+                if not split:  # each pair comes twice
+                    asked &= q < lane
+                q, lane = q[asked], lane[asked]
+                close = np.bitwise_count(fps[q] ^ fps[lane]).sum(axis=1) <= radius
                 q, lane = q[close], lane[close]
-                far = np.bitwise_count(fps[q] ^ fps[lane]).sum(axis=1) > radius
-                label = absorb(label, q[~far], lane[~far])
-            joined = np.nonzero(label != np.arange(n))[0]
-            return pd.DataFrame({"a": names[joined], "b": names[label[joined]]}) if len(joined) else None
+                if stars:
+                    np.minimum.at(first, q, rank[lane])
+                    np.minimum.at(first, lane, rank[q])
+                elif len(q):
+                    yield pd.DataFrame({"a": names[q], "b": names[lane]})
+            found = np.nonzero(first < n)[0]
+            if len(found):
+                yield pd.DataFrame({"a": names[found], "b": names[np.argsort(rank)[first[found]]]})
 
         last, rows = None, []
         for batch in batches:
@@ -426,53 +455,172 @@ def _wide_compare(first_radius: int, radius: int):
             cuts = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
             for i, j in zip([0, *cuts], [*cuts, len(keys)]):
                 if last is not None and tuple(keys[i]) != last:
-                    made = links(rows)
-                    if made is not None:
-                        yield made
+                    yield from pairs(rows)
                     rows = []
                 last = tuple(keys[i])
                 rows.append(batch.iloc[i:j])
-        made = links(rows) if rows else None
-        if made is not None:
-            yield made
+        if rows:
+            yield from pairs(rows)
 
     return run
 
 
-def similar_links(
-    wides: DataFrame, similarity: float = SIMILARITY, words: int = WIDE, tile_rows: int = TILE_ROWS
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def wide_pairs(
+    rooted: DataFrame,
+    positions: np.ndarray,
+    similarity: float,
+    stars: bool,
+    words: int = WIDE,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Links ``a, b`` that connect distinct fingerprints (``wide``) of the similarity."""
+    """Candidate pairs ``a, b`` of texts (``node, root, size, wide``) by their fingerprints."""
     ship_package()
-    positions = sampled_bits(wides.count(), similarity, words)
     part = differing_part(similarity)
 
-    def radius_of(bits: int, deviations: float) -> int:
-        return int(bits * part + deviations * math.sqrt(bits * part * (1 - part)))
+    def radius_of(bits: int) -> int:
+        return int(bits * part + DEVIATIONS * math.sqrt(bits * part * (1 - part)))
 
     def name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.uint64(1) << np.arange(positions.shape[1], dtype=np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            wide = batch.column(0)
+            node, wide = batch.column(0), batch.column(1)
             raw = np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.uint64)
             for t, chosen in enumerate(positions):
                 keys = (bits[:, chosen] * weights).sum(axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [wide, pa.array(np.full(len(keys), t, np.int32)), pa.array(keys)], names=["wide", "t", "key"]
+                    [node, pa.array(np.full(len(keys), t, np.int32)), pa.array(keys)], names=["node", "t", "key"]
                 )
 
-    keyed = wides.select("wide").mapInArrow(name_blocks, "wide binary, t int, key long")
+    keyed = rooted.select("node", "wide").mapInArrow(name_blocks, "node binary, t int, key long")
     block = ["t", "key", "lo", "hi"]
-    n = int(wides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        _tiled(keyed, "wide", tile_rows)
+    n = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = (
+        _tiled(keyed, "node", tile_rows)
+        .join(rooted, "node")
         .repartition(n, *block)
         .sortWithinPartitions(*block)
-        .mapInPandas(_wide_compare(radius_of(BITS, 3.5), radius_of(BITS * words, 1.65)), "a binary, b binary")
+        .mapInPandas(
+            _wide_compare(radius_of(BITS), radius_of(BITS * words), similarity, stars), "a binary, b binary"
+        )
+    )
+    return _ordered(found)
+
+
+def rarest_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """``key, node, size`` of the rarest shingles of ``sets`` (node, size, hashes).
+
+    Of a set of n as many as n minus the least that a similar set shares, and
+    one: in any one order of all shingles, two similar sets share one of these.
+    """
+    each = sets.select("node", "size", F.explode("hashes").alias("key"))
+    times = each.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = F.ceil(similarity * F.col("size") - 1e-9).cast("int")
+    # A shingle of one text comes before all others and meets nobody.
+    ranked = (
+        each.join(times, "key")
+        .groupBy("node", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("known"))
+        .withColumn("left", F.col("size") - shared + 1 - (F.col("size") - F.size("known")))
+        .filter("left > 0")
+    )
+    return ranked.select("node", "size", F.explode(F.slice("known", F.lit(1), F.col("left"))).alias("k")).select(
+        F.col("k.key").alias("key"), "node", "size"
+    )
+
+
+def _alike_sizes(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def similar_sets(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets (``node, hashes``) have the Jaccard similarity."""
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), F.col("hashes").alias(f"set_{name}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    whole = F.size("set_a") + F.size("set_b")
+    # The common part of the union, without a division that rounds.
+    return both.filter(common >= similarity * (whole - common) - 1e-9).select("a", "b")
+
+
+def similar_links(
+    docs: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """Links ``a, b`` that connect distinct texts (``node, row, size, wide``) of the similarity.
+
+    Fingerprints and rare shingles only name candidates; every link is
+    verified on its shingle sets. First each text meets one neighbour of each
+    block, then those that this left in different components meet each other.
+    """
+
+    def kernel():
+        def make(texts: list[str | None]) -> list[list]:
+            bases = [shingle_hashes(t, shingle) for t in texts]
+            return [[set_name(b) for b in bases], [b.view(np.int64) for b in bases]]
+
+        return make
+
+    def sets_of(rows: DataFrame, name: str) -> DataFrame:
+        """``node, hashes`` of the texts in ``rows``, read again from the documents."""
+        wanted = rows.select(F.col("row").alias("__row"))
+        few = at_most(wanted, BROADCAST_TEXTS)
+        own = docs.select(F.xxhash64(F.col("doc_id"), F.col(text)).alias("__row"), F.col(text).alias("text")).join(
+            F.broadcast(wanted) if few else wanted, "__row", "left_semi"
+        )
+        made = map_texts(own, [], "text", kernel, "node binary, hashes array<long>")
+        return materialize(made.dropDuplicates(["node"]), name)
+
+    reach = math.floor(FEW / similarity + 1e-9)
+    short = nodes.filter((F.col("size") > 0) & (F.col("size") <= reach))
+    brief = sets_of(short, "brief-sets").withColumn("size", F.size("hashes"))
+    members = materialize(rarest_shingles(brief, similarity), "rare-shingles")
+    heads = members.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"))
+    members = materialize(members.join(heads.filter("n > 1").drop("n"), "key"), "rare-buckets")
+    sizes = nodes.select(F.col("node").alias("head"), F.col("size").alias("size_head"))
+    exact = members.filter("head <> node").join(sizes, "head").filter(_alike_sizes("size", "size_head", similarity))
+
+    long = nodes.filter(F.col("size") > FEW)
+    positions = sampled_bits(long.count(), similarity)
+    alone = long.select("node", F.col("node").alias("root"), "size", "wide")
+    wide = materialize(wide_pairs(alone, positions, similarity, True, tile_rows=tile_rows), "wide-stars")
+    stars = materialize(
+        _ordered(exact.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(wide)), "near-stars"
+    )
+    met = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    # A text whose bucket's head is of another size has not met it, but may meet others.
+    met = materialize(met.union(members.select("node")).distinct(), "met")
+    sets = sets_of(nodes.join(met, "node", "left_semi"), "near-sets")
+    first = materialize(similar_sets(stars, sets, similarity), "first-links")
+    roots = materialize(connected_components(first), "first-roots")
+
+    def rooted(rows: DataFrame, node: str, name: str) -> DataFrame:
+        known = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+        joined = rows.join(known, F.col(node) == F.col("__n"), "left")
+        return joined.withColumn(name, F.coalesce("__r", node)).drop("__n", "__r")
+
+    again = rooted(long.join(met, "node", "left_semi").select("node", "size", "wide"), "node", "root")
+    second = wide_pairs(again, positions, similarity, False, tile_rows=tile_rows)
+    placed = rooted(rooted(members, "node", "root"), "head", "head_root")
+    apart = placed.filter("root <> head_root").select(
+        "key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a")
     )
+    others = placed.select(
+        "key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b")
+    )
+    met_again = (
+        apart.join(others, "key").filter("root_a <> root_b").filter(_alike_sizes("size_a", "size_b", similarity))
+    )
+    rest = _ordered(second.unionByName(met_again.select("a", "b"))).join(stars, ["a", "b"], "left_anti")
+    return first.unionByName(materialize(similar_sets(rest, sets, similarity), "second-links"))
 
 
 def similarity_groups(
@@ -482,31 +630,42 @@ def similarity_groups(
     shingle: int = WIDE_SHINGLE,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """``doc_id, row, component_id, stays`` of texts whose shingle sets are about as similar.
+    """``doc_id, row, component_id, stays`` of texts linked by the similarity of their shingle sets.
 
-    The estimate is made on 512 bits: a pair of just the similarity is linked
-    with a chance of about 0.93, one well above it almost surely, and one
-    0.15 below it hardly ever. NULL and blank texts are one group. ``row`` is
-    a hash of id and text; in each group the row of the smallest id stays,
-    rows without an id come last. Repeated rows have the same ``row``.
+    Every link has the Jaccard similarity. Pairs of texts of up to ``FEW``
+    shingles are all found, longer ones of just the similarity with a chance
+    of ``RECALL``. NULL and blank texts are one group. ``row`` is a hash of id
+    and text; in each group the row of the smallest id stays, rows without an
+    id come last. Repeated rows have the same ``row``.
     """
     def kernel():
-        return lambda texts: [[wide_fingerprint(t, shingle) for t in texts]]
+        def make(texts: list[str | None]) -> list[list]:
+            bases = [shingle_hashes(t, shingle) for t in texts]
+            return [[set_name(b) for b in bases], [len(b) for b in bases], [wide_fingerprint(b) for b in bases]]
+
+        return make
 
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.xxhash64(F.col(doc_id), F.col(text)).alias("row"),
         F.col(text).alias("text"),
     )
-    marked = materialize(map_texts(rows, ["doc_id", "row"], "text", kernel, "wide binary"), "wide-fingerprints")
+    made = "node binary, size long, wide binary"
+    marked = materialize(map_texts(rows, ["doc_id", "row"], "text", kernel, made), "wide-fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    distinct = materialize(marked.groupBy("wide").agg(F.min(place).alias("first")), "distinct-wides")
-    links = materialize(similar_links(distinct, similarity), "wide-links")
-    roots = connected_components(links).withColumnRenamed("node", "wide")
-    placed = distinct.join(roots, "wide", "left").select("wide", "first", F.coalesce("root", "wide").alias("root"))
+    # One name has one size and fingerprint.
+    distinct = materialize(
+        marked.groupBy("node").agg(F.min(place).alias("first"), F.min("size").alias("size"), F.min("wide").alias("wide")),
+        "distinct-sets",
+    )
+    named_rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    nodes = distinct.select("node", F.col("first.row").alias("row"), "size", "wide")
+    links = similar_links(named_rows, nodes, "text", shingle, similarity)
+    roots = connected_components(links)
+    placed = distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     heads = placed.groupBy("root").agg(F.min("first").alias("head"))
-    named = placed.join(heads, "root").select("wide", "head")
-    return marked.join(named, "wide").select(
+    named = placed.join(heads, "root").select("node", "head")
+    return marked.join(named, "node").select(
         "doc_id", "row", F.col("head.doc_id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("stays")
     )
 

@@ -177,6 +177,61 @@ def test_near_copies_by_similarity(spark, texts):
     assert all(i in kept for i in texts if alike[i] < 0.6)
 
 
+def test_near_copies_against_sets(spark):
+    """Pairs of exactly 0.8 are linked, whatever their length; pairs just below never."""
+    draw = np.random.default_rng(5)
+
+    def text(n):
+        return [f"w{i}" for i in draw.integers(0, 1 << 40, n)]
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    rows = []
+    for n in (*[4] * 20, *[8] * 10, *[12] * 20, 28, 32, 36, *[40] * 20, *[120] * 20, *[400] * 20):
+        whole = text(n * 5 // 4 + 4)
+        rows += [whole, whole[: n + 4]]  # a beginning of n of 5 n / 4 shingles: similarity 0.8
+        other = text(n * 5 // 4 + 4)
+        near_miss = other[: n + 3]  # one shingle less
+        rows += [other, near_miss]
+    for n in [100] * 100:  # 0.70 to 0.79
+        whole = text(n + 4)
+        rows += [whole, whole[: int(draw.integers(74, 84))]]
+    rows += [["same"], ["same"], [], []]
+    frame = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    sets = [shingles(r) if r else frozenset() for r in rows]
+    close = [
+        (a, b)
+        for a, b in itertools.combinations(range(len(rows)), 2)
+        if (sets[a] == sets[b]) or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similarity_groups(frame).collect()}
+    assert found == union(range(len(rows)), close)
+
+
+def test_near_copies_in_one_block(spark, monkeypatch):
+    """A hub that is similar to few, and chains that its links alone would miss."""
+    draw = np.random.default_rng(6)
+    words = [f"w{i}" for i in draw.integers(0, 1 << 40, 400)]
+    rows = [words[k * 10 : k * 10 + 104] for k in range(29)]  # neighbours share 90 of 110
+    rows += [r[2:34] for r in rows]  # 28 shingles; neighbours share 18 of 38
+    rows += [r[:33] for r in rows[29:]] + [rows[30][:30]]
+    def shingles(r):
+        return {tuple(r[i : i + 5]) for i in range(len(r) - 4)}
+
+    sets = [shingles(r) for r in rows]
+    close = [
+        (a, b)
+        for a, b in itertools.combinations(range(len(rows)), 2)
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    frame = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    for tile_rows in (4_096, 8):
+        monkeypatch.setattr(simhash.similar_links, "__defaults__", (tile_rows,))
+        found = {r["doc_id"]: r["component_id"] for r in simhash.similarity_groups(frame).collect()}
+        assert found == union(range(len(rows)), close)
+
+
 def test_components(spark):
     draw = np.random.default_rng(7)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 400)]
