@@ -31,6 +31,11 @@ SEGMENT = 64
 STEPS = 80
 # Scored documents of about the same length that step together.
 TOGETHER = 256
+# ... and their words, padded to the longest; longer texts than these step alone,
+# so many steps at a time.
+CELLS = 1 << 21
+LONE_WORDS = 1 << 16
+LONE_STEPS = 1 << 16
 # Distinct words whose scores a task keeps.
 CACHE_WORDS = 400_000
 OFFENDING = 0.5
@@ -235,12 +240,47 @@ def fit(texts: list[str | None], toxic: np.ndarray, steps: int = STEPS) -> dict:
     return {"keys": keys[used], "weights": weights[used], "bias": bias, "scores": scores, "beta": beta}
 
 
+def _marginals_alone(odds: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Marginals of one very long text, step by step in segments of numbers."""
+    (stay, enter), (leave, keep) = moves.tolist()
+    ahead, out = np.empty(len(odds)), np.empty(len(odds))
+    last = None
+    for at in range(0, len(odds), LONE_STEPS):
+        steps = []
+        for o in odds[at : at + LONE_STEPS].tolist():
+            last = o * enter / stay if last is None else o * (enter + keep * last) / (stay + leave * last)
+            steps.append(last)
+        ahead[at : at + len(steps)] = steps
+    back = 1.0
+    for at in range((len(odds) - 1) // LONE_STEPS * LONE_STEPS, -1, -LONE_STEPS):
+        steps = []
+        for o in odds[at : at + LONE_STEPS][::-1].tolist():
+            steps.append(back)
+            after = o * back
+            back = (leave + keep * after) / (stay + enter * after)
+        joint = ahead[at : at + len(steps)] * steps[::-1]
+        out[at : at + len(steps)] = joint / (1.0 + joint)
+    return out
+
+
 def _marginals_of(odds: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
-    """Marginals of texts of any length; texts of similar length step together."""
+    """Marginals of texts of any length; texts of similar length step together.
+
+    What steps together is bounded by its padded size, so one long text does
+    not stretch the others; a very long one steps alone.
+    """
     out: list[np.ndarray] = [np.empty(0)] * len(odds)
     order = sorted((i for i in range(len(odds)) if len(odds[i])), key=lambda i: len(odds[i]))
-    for at in range(0, len(order), TOGETHER):
-        own = order[at : at + TOGETHER]
+    while order and len(odds[order[-1]]) > LONE_WORDS:
+        i = order.pop()
+        out[i] = _marginals_alone(odds[i], moves)
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < TOGETHER and (end - at + 1) * len(odds[order[end]]) <= CELLS:
+            end += 1
+        own = order[at:end]
+        at = end
         longest = len(odds[own[-1]])
         grid, real = np.ones((longest, len(own))), np.zeros((longest, len(own)), bool)
         for j, i in enumerate(own):

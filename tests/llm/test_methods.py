@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from base64 import b32encode
 
@@ -15,7 +16,7 @@ import xxhash
 from check import compare, connect
 
 import corpus_pipeline
-from granary.llm import ORACLES, QUERIES, components, fuzzy_lines, kdtree, mixing, perplexity, simhash, tokencount
+from granary.llm import ORACLES, QUERIES, components, fuzzy_lines, kdtree, mixing, perplexity, simhash, tokencount, toxicity
 from granary.llm.queries import VOCABULARY
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -352,6 +353,21 @@ def test_toxicity_accuracy(spark):
     assert sum(toxic) >= 0.8 * len(toxic)
 
 
+def test_long_text_does_not_stretch_others():
+    draw = np.random.default_rng(8)
+    odds = [np.exp(draw.normal(-2, 2, n)) for n in (150_000, 70_000, 65_536, 3_000, *draw.integers(0, 60, 250))]
+    moves = np.exp(np.array([[0.0, -2.0], [-1.0, 1.5]]))
+    tracemalloc.start()
+    found = toxicity._marginals_of(odds, moves)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20  # padded to the longest they took 305 MB an array
+    for o, p in zip(odds, found):
+        assert len(p) == len(o)
+        if len(o):
+            assert np.allclose(p, toxicity.marginals(o[:, None], moves)[:, 0], rtol=1e-12)
+
+
 def test_marginals_by_enumeration():
     from granary.llm import toxicity
 
