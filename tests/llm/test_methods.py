@@ -319,6 +319,24 @@ def test_lines(spark, texts):
     assert wrong <= 0.02 * len(near) + 1  # the bands' recall
 
 
+def test_long_lines_of_few_shingles(spark):
+    """Rulers, table rows and phrases of different length have equal or similar sets."""
+    parts = ["-", "=-", "| cell ", "0123456789abc", "to be continued on the next page, "]
+    parts += [" ".join(f"{a}{b}" for b in "klmnopqrst") + " " for a in "uvwxyz"]
+    lines = [(part * size)[:size] for part in parts for size in (200, 2_000, 2_017, 10_000)]
+    sets = []
+    for line in lines:
+        sets.append({line.strip()[j : j + 8] for j in range(len(line.strip()) - 7)})
+    near = [
+        (a, b)
+        for a, b in itertools.combinations(range(len(lines)), 2)
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_doc"] for r in fuzzy_lines.line_classes(frame).collect()}
+    assert found == union(range(len(lines)), near)
+
+
 def test_star_leaves_no_link_out(spark):
     words = [f"word{i:03d}" for i in range(40)]
     rows = []
