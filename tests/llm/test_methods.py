@@ -84,6 +84,24 @@ def test_kneser_ney_sums_to_one(texts):
     assert (np.diff(keys) > 0).all()
 
 
+def test_languages_are_not_mixed(spark, texts):
+    """en and ro, whose CRC-32 agree in the last six bits, have models and bands of their own."""
+    draw = np.random.default_rng(3)
+    vocabulary = ["".join(draw.choice(list("aeioutrnsl"), 5)) for _ in range(300)]
+    other = [" ".join(draw.choice(vocabulary, 60)) for _ in range(40)]
+    own = [(i, t, "en") for i, t in texts.items()]
+    schema = "doc_id long, text string, lang string"
+    fields = ["doc_id", "base_failed", "perplexity", "kept"]
+
+    def judged(rows):
+        found = perplexity.quality(spark.createDataFrame(rows, schema)).filter("lang = 'en'").select(*fields)
+        return sorted(map(tuple, found.collect()))
+
+    alone = judged(own)
+    assert judged(own + [(10_000 + i, t, "ro") for i, t in enumerate(other)]) == alone
+    assert judged(own + [(10_000 + i, other[0], f"x{i}") for i in range(40)]) == alone
+
+
 def test_kneser_ney_by_hand():
     codes, counts = np.unique(perplexity.gram_codes(perplexity.code_points("abab")), return_counts=True)
     model = perplexity.kneser_ney(codes, counts)
