@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, fuzzy_lines, kdtree, langid, mixing, perplexity, simhash, tokencount, toxicity, warc
+from granary.llm import (
+    decontaminate,
+    fuzzy_lines,
+    kdtree,
+    langid,
+    lshforest,
+    mixing,
+    perplexity,
+    prefixtrie,
+    simhash,
+    spelling,
+    tokencount,
+    toxicity,
+    warc,
+)
 from granary.llm.common import held_out, local_rows
 from granary.runtime import materialize, scratch_path
 
@@ -250,3 +264,134 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op4_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Class of every line of every document; one line of a class is kept."""
     return fuzzy_lines.line_classes(table(spark, folder, "documents")).drop("row")
+
+
+def _crc32_sql(codes: str) -> str:
+    """CRC-32 of a list of bytes."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    step = f"lambda a, b: xor(a >> 8, CAST({table} AS BIGINT[])[1 + (xor(a, b) & 255)])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {step}), 4294967295)"
+
+
+# Letters beyond ASCII are U+00C0 to U+00FF here: two bytes, the first always C3.
+_BYTES_SQL = """flatten(list_transform(string_split(named, ''),
+      lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END))"""
+
+
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with the more usual word that each is a variant of."""
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
+ORACLES["op11_spelling"] = f"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, word, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) AS word FROM documents)
+  WHERE length(word) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT word, n, {_crc32_sql(_BYTES_SQL)} AS h
+  FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || word AS named FROM run)
+), word AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 31 = 0
+          THEN left(word, CAST(h % length(word) AS INT)) || substr(word, CAST(h % length(word) AS INT) + 2) ELSE word END AS word
+        FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS (
+  SELECT word, p, left(word, p - 1) || substr(word, p + 1) AS rest
+  FROM (SELECT word, unnest(generate_series(1, CAST(length(word) AS INT))) AS p FROM word)
+), near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT less.word, word.word FROM less JOIN word ON less.rest = word.word
+  UNION SELECT word.word, less.word FROM less JOIN word ON less.rest = word.word
+), ranked AS (
+  SELECT near.word, other, word.n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY word.n DESC, other) AS place
+  FROM near JOIN word ON word.word = other
+), formed AS (
+  SELECT word.word, word.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN ranked.n >= 10 * word.n THEN other END AS form, CASE WHEN ranked.n >= 10 * word.n THEN ranked.n END AS form_n
+  FROM word LEFT JOIN ranked ON ranked.word = word.word AND place = 1
+), led AS (
+  SELECT word, word AS last, 0 AS steps FROM formed
+  UNION ALL SELECT led.word, formed.form, steps + 1 FROM led JOIN formed ON formed.word = led.last WHERE formed.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n
+FROM formed JOIN (SELECT word, arg_max(last, steps) AS root FROM led GROUP BY word) USING (word)
+"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations, with sums over its subtree."""
+    return prefixtrie.prefix_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+  WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT conv_id, {_crc32_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS d
+  FROM (SELECT conv.conv_id, 0 AS own, p, role, text FROM conv
+          JOIN turns ON turns.conv_id = conv.conv_id - conv.conv_id % 100 AND p <= h
+        UNION ALL SELECT conv.conv_id, 1, p, role, text FROM conv JOIN turns ON turns.conv_id = conv.conv_id AND p > h)
+), path AS (
+  SELECT conv_id, d, length(text) AS size,
+    string_agg(md5(md5(role) || md5(text)), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d) AS key,
+    coalesce(string_agg(md5(md5(role) || md5(text)), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS above
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM conv
+), node AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size, min(above) AS above FROM path GROUP BY key, d
+), child AS (SELECT above AS key, count(*) AS n_children FROM node WHERE d > 0 GROUP BY above
+), below AS (
+  SELECT path.key, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves,
+    sum((node.n_convs - 1) * node.size) AS saved
+  FROM node LEFT JOIN child USING (key) JOIN path ON path.conv_id = node.conv_id AND path.d <= node.d GROUP BY path.key
+), ends AS (
+  SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM path JOIN (SELECT conv_id, max(d) AS d FROM path GROUP BY conv_id) USING (conv_id, d) GROUP BY key
+)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs,
+  CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node LEFT JOIN node up ON up.key = node.above LEFT JOIN child ON child.key = node.key
+  JOIN below ON below.key = node.key LEFT JOIN ends ON ends.key = node.key
+"""
+
+
+@query
+def op13_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-copy component of every document by sets of two-word shingles."""
+    return lshforest.forest_groups(table(spark, folder, "documents"))
+
+
+ORACLES["op13_lsh_forest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS p FROM d WHERE len(w) > 0)
+), size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, b FROM reach JOIN edge ON a = r
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
