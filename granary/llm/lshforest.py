@@ -8,6 +8,7 @@ whole shingle sets.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import map_texts
 from granary.llm.components import connected_components
-from granary.llm.simhash import rarest_shingles
 from granary.runtime import at_most, materialize, ship_package
 
 SHINGLE = 2
@@ -27,12 +27,15 @@ SHINGLE = 2
 PERCENT = 80
 # Orders of a signature, and the values of an order that a branch may share. Two
 # texts of similarity 0.8 share three values of one order of 24 with a chance of
-# 1 - 3e-8, and six with 0.9993.
+# 1 - 3e-8, and five with 0.99993.
 TREES = 24
 LEAST_DEPTH = 3
-DEPTH = 6
+DEPTH = 5
 # Pairs of texts of different components that a branch may name; larger ones go deeper.
 BRANCH_PAIRS = 1_024
+# Texts of a side of a tile of a large branch, and their shingles.
+TILE_TEXTS = 2_048
+TILE_SHINGLES = 1 << 21
 # Texts whose sets are fetched by a broadcast of their names.
 BROADCAST_TEXTS = 2_000_000
 SEED = 42
@@ -169,6 +172,118 @@ def _across(regions: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
+def _neighbours(regions: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of each text and one other text of its branch, if of another component."""
+    head = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "root")).alias("head")
+    met = regions.join(regions.groupBy("key").agg(head), "key").filter("root <> head.root")
+    return met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+
+
+def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of sets of similar sizes."""
+
+    def side(name: str) -> DataFrame:
+        return sizes.select(F.col("id").alias(name), F.col("size").alias(f"size_{name}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(_alike("size_a", "size_b", percent)).select("a", "b")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def spanning_links(texts: list[tuple[int, int, np.ndarray]], others: list[tuple[int, int, np.ndarray]], percent: int) -> list:
+    """Links ``(other, text)`` that join the components of similar sets.
+
+    Both lists have (id, root, sorted set). The sets of ``texts`` are laid out in one
+    sorted array, so each other set is counted against all of them at once; a link is
+    given only if it joins two components that earlier links have not joined.
+    """
+    owner = np.repeat(np.arange(len(texts)), [len(x) for _, _, x in texts])
+    every = np.concatenate([x for _, _, x in texts])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    sizes = np.array([len(x) for _, _, x in texts])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    made = []
+    for name, root, own in others:
+        first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        times = last - first
+        places = np.arange(times.sum()) + np.repeat(first - np.cumsum(times) + times, times)
+        common = np.bincount(owner[places], minlength=len(texts))
+        for i in np.nonzero(100 * common >= percent * (len(own) + sizes - common))[0]:
+            a, b = find(root), find(texts[i][1])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                made.append((name, texts[i][0]))
+    return made
+
+
+def tile_links(
+    regions: DataFrame, sets: DataFrame, percent: int, tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES
+) -> DataFrame:
+    """Links ``a, b`` that connect the similar texts of branches of any size.
+
+    The texts outside of the main component of a branch, and all its texts, are dealt
+    into tiles by a hash; each two tiles meet in a task, which counts what the whole
+    sets have in common and returns fewer links than it has components.
+    """
+    ship_package()
+    sized = materialize(regions.join(sets.select("id", F.size("hashes").alias("size")), "id"), "large-branches")
+    apart = F.col("root") != F.col("main")
+
+    def tiles(condition: Column) -> Column:
+        rows = F.sum(F.when(condition, 1).otherwise(0)) / tile_texts
+        return F.greatest(F.ceil(rows), F.ceil(F.sum(F.when(condition, F.col("size")).otherwise(0)) / tile_shingles)).cast("int")
+
+    counts = sized.groupBy("key").agg(tiles(F.lit(True)).alias("wide"), tiles(apart).alias("high"))
+    dealt = sized.select("key", "id", "root", "main").join(counts, "key")
+
+    def own(parts: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+
+    def every(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    rows = dealt.select("key", every("high").alias("i"), own("wide").alias("j"), F.lit(False).alias("other"), "id", "root")
+    others = dealt.filter(apart).select(
+        "key", own("high").alias("i"), every("wide").alias("j"), F.lit(True).alias("other"), "id", "root"
+    )
+    n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile = ["key", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            made = spanning_links(*sides, percent) if all(sides) else []
+            a, b = zip(*made) if made else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            names = [c.to_pylist() for c in batch.columns[:-1]]
+            for *own_tile, other, name, root, hashes in zip(*names, batch.column(batch.num_columns - 1)):
+                if own_tile != last:
+                    if last is not None:
+                        yield done()
+                    last, sides = own_tile, ([], [])
+                # Sets are sorted as unsigned numbers.
+                sides[other].append((name, root, hashes.values.to_numpy().view(np.uint64)))
+        if last is not None:
+            yield done()
+
+    met = rows.unionByName(others).join(sets, "id").select(*tile, "other", "id", "root", "hashes")
+    return met.repartition(n, *tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long")
+
+
 def near_links(
     docs: DataFrame,
     nodes: DataFrame,
@@ -182,10 +297,11 @@ def near_links(
     """Links ``a, b`` that connect similar texts (``id, row, size, sig``).
 
     First each text meets one neighbour, the least text of a branch that it shares in
-    most orders; this joins large groups without naming their pairs. What still lies
-    in different components of a branch meets there if the branch is small. Larger
-    branches go on at the next depth. Texts of branches that are large at the last
-    depth meet by their rarest shingles instead, which leaves out no pair.
+    most orders; this joins large groups without naming their pairs. In branches that
+    are still large, each text then meets one neighbour of every deeper branch it lies
+    in, so those with the longest common prefixes. What lies in different components of
+    a branch after that meets there if the branch is small. Larger branches go on at
+    the next depth; those that are large at the last depth are compared tile by tile.
     """
     keyed = _branches(nodes, least_depth, trees, depth)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1").drop("n")
@@ -206,40 +322,44 @@ def near_links(
     orders = members.filter("head < id").groupBy("id", "head").agg(F.count("*").alias("orders"))
     least = orders.groupBy("id").agg(F.max(F.struct("orders", (-F.col("head")).alias("less"))).alias("best"))
     stars = least.select((-F.col("best.less")).alias("a"), F.col("id").alias("b"))
-    side = sizes.select(F.col("id").alias("a"), F.col("size").alias("size_a"))
-    stars = stars.join(side, "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("size_b")), "b")
-    stars = stars.filter(_alike("size_a", "size_b", percent)).select("a", "b")
-    first = materialize(confirmed(stars, sets, percent), "first-links")
+    first = materialize(confirmed(_sized(stars, sizes, percent), sets, percent), "first-links")
     roots = materialize(connected_components(first), "first-roots")
 
-    rows = _with_roots(members.select("key", "id"), roots)
-    found = []
+    small = F.col("n") * F.col("others") <= branch_pairs
+
+    def deeper(regions: DataFrame, level: int) -> DataFrame:
+        tree = F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("tree")
+        rows = regions.select("id", tree).join(nodes.select("id", "sig"), "id").select("id", "sig", "tree")
+        return _with_roots(_branches(rows, level, trees, depth), roots)
+
+    rows = members.select("key", "id")
+    regions = _regions(_with_roots(rows, roots)).filter(~small)
+    met_below = []
+    for level in range(least_depth + 1, depth + 1):
+        regions = materialize(_regions(deeper(regions, level)), "prefix-regions")
+        if not regions.limit(1).count():
+            break
+        met_below.append(_neighbours(regions))
+    if met_below:
+        stars = _union(met_below).distinct()
+        first = first.unionByName(materialize(confirmed(_sized(stars, sizes, percent), sets, percent), "prefix-links"))
+        roots = materialize(connected_components(first), "prefix-roots")
+
+    rows, found = _with_roots(rows, roots), []
     for level in range(least_depth, depth + 1):
         regions = materialize(_regions(rows), "regions")
-        small = F.col("n") * F.col("others") <= branch_pairs
         found.append(materialize(_across(regions.filter(small), sizes, percent), "branch-pairs"))
         large = regions.filter(~small)
         if not large.limit(1).count():
             large = None
             break
         if level < depth:
-            deeper = large.select("id", F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("tree"))
-            deeper = deeper.join(nodes.select("id", "sig"), "id").select("id", "sig", "tree")
-            rows = _with_roots(_branches(deeper, level + 1, trees, depth), roots)
+            rows = deeper(large, level + 1)
+    second = materialize(confirmed(_union(found).distinct(), sets, percent), "second-links")
+    links = first.unionByName(second)
     if large is not None:
-        left = sets.join(large.select("id").distinct(), "id", "left_semi").withColumn("size", F.size("hashes"))
-        rare = rarest_shingles(left.withColumnRenamed("id", "node"), percent / 100).select("key", F.col("node").alias("id"), "size")
-        # Similar sets lie in the same or the next class of sizes.
-        band = F.floor(F.log("size") / math.log(100 / percent)).cast("long") if percent < 100 else F.col("size")
-        placed = rare.select("id", F.explode(F.array(band, band + 1)).alias("band"), "key").select(
-            F.xxhash64("key", "band").alias("key"), "id"
-        )
-        found.append(materialize(_across(_regions(_with_roots(placed, roots)), sizes, percent), "rare-pairs"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    second = materialize(confirmed(pairs.distinct(), sets, percent), "second-links")
-    return first.unionByName(second)
+        links = links.unionByName(materialize(tile_links(large, sets, percent), "tile-links"))
+    return links
 
 
 def forest_groups(

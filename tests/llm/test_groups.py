@@ -252,6 +252,41 @@ def test_forest_at_the_limit(spark):
     assert forest(frame, branch_pairs=0, depth=3) == wanted
 
 
+def test_tiles(spark):
+    """Links of tiles join the same components as all pairs, whatever the tiles."""
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 1 << 62, 60)
+    rows = []
+    for i in range(80):
+        own = base.copy()
+        own[draw.choice(60, i % 9, replace=False)] = draw.integers(0, 1 << 62, i % 9)
+        rows.append((i, np.unique(own.astype(np.uint64)).view(np.int64).tolist()))
+    sets = spark.createDataFrame(rows, "id long, hashes array<long>")
+    roots = {i: i % 4 if i < 20 else i for i, _ in rows}
+    links = {(i, r) for i, r in roots.items()}
+    for i, a in rows:
+        links |= {(i, j) for j, b in rows if i < j and 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b})}
+
+    def components(pairs):
+        label = dict.fromkeys(roots)
+        for i in label:
+            label[i] = i
+        changed = True
+        while changed:
+            changed = False
+            for a, b in pairs:
+                least = min(label[a], label[b])
+                changed |= label[a] != least or label[b] != least
+                label[a] = label[b] = least
+        return label
+
+    wanted = components(links)
+    frame = spark.createDataFrame([(7, i, r, 0) for i, r in roots.items()], "key long, id long, root long, main long")
+    for tile in (2, 1_000):
+        found = lshforest.tile_links(frame, sets, 80, tile_texts=tile, tile_shingles=200 * tile).collect()
+        assert components([(r["a"], r["b"]) for r in found] + list(roots.items())) == wanted
+
+
 def test_forest_edges(spark):
     long = " ".join(f"word{i % 9_000}" for i in range(300_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "one two"), (7, long), (8, long + " more")]
