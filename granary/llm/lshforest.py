@@ -32,7 +32,7 @@ TREES = 24
 LEAST_DEPTH = 3
 DEPTH = 5
 # Pairs of texts of different components that a branch may name; larger ones go deeper.
-BRANCH_PAIRS = 1_024
+BRANCH_PAIRS = 256
 # Texts of a side of a tile of a large branch, their shingles, and the shingles in
 # common that are counted at a time.
 TILE_TEXTS = 2_048
