@@ -129,7 +129,7 @@ def _branches(rows: DataFrame, depth: int, trees: int, whole: int) -> DataFrame:
     return rows.select("id", "sig", *(["tree"] if one else [])).mapInArrow(run, "key long, id long")
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
+def _alike(a: Column | str, b: Column | str, percent: int) -> Column:
     """Sets of too different sizes cannot be similar."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -143,7 +143,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     union = F.size("set_a") + F.size("set_b") - common
-    return both.filter(100 * common >= percent * union).select("a", "b")
+    near = _alike(F.size("set_a"), F.size("set_b"), percent) & (100 * common >= percent * union)
+    return both.filter(near).select("a", "b")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -351,7 +352,7 @@ def near_links(
         met_below.append(_neighbours(regions))
     if met_below:
         stars = _union(met_below).distinct()
-        first = first.unionByName(materialize(confirmed(_sized(stars, sizes, percent), sets, percent), "prefix-links"))
+        first = first.unionByName(materialize(confirmed(stars, sets, percent), "prefix-links"))
         roots = materialize(connected_components(first), "prefix-roots")
 
     rows, found = _with_roots(rows, roots), []
