@@ -152,6 +152,20 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after further links ``a, b``; only links of different components are followed."""
+    for end in ("a", "b"):
+        known = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        links = links.join(known, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    apart = links.filter("root_a <> root_b").select(
+        F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")
+    )
+    more = connected_components(materialize(apart.distinct(), "component-links"))
+    moved = more.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(old.unionByName(more.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
 def _regions(rows: DataFrame) -> DataFrame:
     """``key, id, root`` of branches with several components, with the ``main`` one,
     the number of texts ``n`` and of those ``others`` outside of the main one."""
@@ -294,7 +308,7 @@ def tile_links(
     return met.repartition(n, *tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long")
 
 
-def near_links(
+def near_components(
     docs: DataFrame,
     nodes: DataFrame,
     shingle: int = SHINGLE,
@@ -304,7 +318,7 @@ def near_links(
     depth: int = DEPTH,
     branch_pairs: int = BRANCH_PAIRS,
 ) -> DataFrame:
-    """Links ``a, b`` that connect similar texts (``id, row, size, sig``).
+    """``node, root`` of the texts (``id, row, size, sig``) that are linked with others.
 
     First each text meets one neighbour, the least text of a branch that it shares in
     most orders; this joins large groups without naming their pairs. In branches that
@@ -332,8 +346,8 @@ def near_links(
     orders = members.filter("head < id").groupBy("id", "head").agg(F.count("*").alias("orders"))
     least = orders.groupBy("id").agg(F.max(F.struct("orders", (-F.col("head")).alias("less"))).alias("best"))
     stars = least.select((-F.col("best.less")).alias("a"), F.col("id").alias("b"))
-    first = materialize(confirmed(_sized(stars, sizes, percent), sets, percent), "first-links")
-    roots = materialize(connected_components(first), "first-roots")
+    first = confirmed(_sized(stars, sizes, percent), sets, percent)
+    roots = connected_components(materialize(first, "first-links"))
 
     small = F.col("n") * F.col("others") <= branch_pairs
 
@@ -352,8 +366,7 @@ def near_links(
         met_below.append(_neighbours(regions))
     if met_below:
         stars = _union(met_below).distinct()
-        first = first.unionByName(materialize(confirmed(stars, sets, percent), "prefix-links"))
-        roots = materialize(connected_components(first), "prefix-roots")
+        roots = _joined(roots, confirmed(stars, sets, percent))
 
     rows, found = _with_roots(rows, roots), []
     for level in range(least_depth, depth + 1):
@@ -365,11 +378,10 @@ def near_links(
             break
         if level < depth:
             rows = deeper(large, level + 1)
-    second = materialize(confirmed(_union(found).distinct(), sets, percent), "second-links")
-    links = first.unionByName(second)
+    links = confirmed(_union(found).distinct(), sets, percent)
     if large is not None:
-        links = links.unionByName(materialize(tile_links(large, sets, percent), "tile-links"))
-    return links
+        links = links.unionByName(tile_links(large, sets, percent))
+    return _joined(roots, links)
 
 
 def forest_groups(
@@ -420,10 +432,9 @@ def forest_groups(
         .withColumn("id", F.monotonically_increasing_id())
     )
     nodes = materialize(nodes, "distinct-sets")
-    links = near_links(
+    roots = near_components(
         rows.select("row", "text"), nodes, shingle, percent, trees, least_depth, depth, branch_pairs
     )
-    roots = connected_components(links)
     placed = _with_roots(nodes.select("id", "node", "least"), roots)
     heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(heads, "root").select("node", "component_id")
