@@ -8,6 +8,7 @@ from granary.catalog.base import CHECK_ONLY, VIEWS, register
 from granary.functions.kernels import TokenHashEncoder
 from granary.operators import index as I
 from granary.operators import search as S
+from granary.runtime import materialize
 
 TOKEN_ROWS = (
     "unnest(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), "
@@ -140,17 +141,21 @@ def idf(src):
     return table.withColumn("idf", F.round("idf", 6))
 
 
+def term_tables(src):
+    """Terms of the chunks and their idf, written once."""
+    terms = materialize(I.chunk_terms(chunks(src)), "terms")
+    return terms, materialize(I.idf(I.document_frequency(terms), chunks(src)), "idf")
+
+
 @register("tf_weights", "SELECT chunk_id, term, tf, round(w, 6) AS w FROM {v_weights}")
 def tf_weights(src):
-    terms = I.chunk_terms(chunks(src))
-    table = I.idf(I.document_frequency(terms), chunks(src))
+    terms, table = term_tables(src)
     return long(I.tf_weights(terms, table, I.HOT_TERMS).withColumn("w", F.round("w", 6)), "tf")
 
 
 @register("doc_norms", "SELECT chunk_id, round(norm, 6) AS norm FROM {v_norms}")
 def doc_norms(src):
-    terms = I.chunk_terms(chunks(src))
-    table = I.idf(I.document_frequency(terms), chunks(src))
+    terms, table = term_tables(src)
     norms = I.doc_norms(chunks(src), I.tf_weights(terms, table, I.HOT_TERMS))
     return norms.withColumn("norm", F.round("norm", 6))
 

@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 BLOCK_CELLS = 4_000_000
 
@@ -23,20 +22,13 @@ class BestRows:
         self.scores = [np.empty(0) for _ in range(queries)]
         self.ids = [np.empty(0, dtype=np.int64) for _ in range(queries)]
 
-    def add(
-        self,
-        scores: np.ndarray,
-        ids: np.ndarray,
-        positive_only: bool,
-        places: np.ndarray | None = None,
-    ) -> None:
-        """``scores`` is (rows, queries); ``places`` says which queries."""
+    def add(self, scores: np.ndarray, ids: np.ndarray, positive_only: bool = False) -> None:
+        """``scores`` is (rows, queries)."""
         scores = np.round(scores, self.digits)
-        for at in range(scores.shape[1]):
-            q = at if places is None else places[at]
-            column = scores[:, at]
+        for q in range(scores.shape[1]):
+            column = scores[:, q]
             known = self.scores[q]
-            keep = np.ones(len(column), dtype=bool) if not positive_only else column > 0
+            keep = column > 0 if positive_only else np.ones(len(column), dtype=bool)
             if len(known) == self.k:
                 keep &= column >= known[-1]
             if not keep.any():
@@ -58,95 +50,86 @@ class BestRows:
         )
 
 
-def dense_kernel(
-    query_ids: np.ndarray, matrix: np.ndarray, k: int, digits: int
+def range_kernel(
+    width: int, k: int, digits: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Inner products of (chunk_id, embedding) batches with a query block."""
+    """Best scores of questions in ranges of ``width`` chunk ids.
+
+    Rows (block, part, ids, weights, queries, w) come sorted by block and part: the
+    postings of a term in a range and the weights of the term in the questions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestRows(len(query_ids), k, digits)
-        step = max(1, BLOCK_CELLS // max(1, len(query_ids)))
-        width = matrix.shape[1]
+        place, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            names = np.unique(np.concatenate([row[2] for row in rows]))
+            scores = np.zeros((width, len(names)))
+            for ids, weights, queries, w in rows:
+                cells = np.ix_(ids - place[0] * width, np.searchsorted(names, queries))
+                scores[cells] += np.outer(weights, w)
+            best = BestRows(len(names), k, digits)
+            best.add(scores, place[0] * width + np.arange(width), True)
+            return best.batch(names)
+
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            block = values.astype(np.float64).reshape(len(ids), width)
-            for at in range(0, len(ids), step):
-                best.add(block[at : at + step] @ matrix.T, ids[at : at + step], False)
-        yield best.batch(query_ids)
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            lists = [
+                (c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py()).tolist())
+                for c in batch.columns[2:]
+            ]
+            for i, own in enumerate(keys):
+                if own != place:
+                    if rows:
+                        yield done()
+                    place, rows = own, []
+                rows.append([values[at[i] : at[i + 1]] for values, at in lists])
+        if rows:
+            yield done()
 
     return run
 
 
-class QueryGroup:
-    """Some queries of a block with their terms and dense weights."""
-
-    def __init__(self, places: np.ndarray, terms: list[str], weights: np.ndarray):
-        self.places, self.weights = places, weights
-        self.terms = pa.array(terms, pa.string())
-
-
-def query_groups(
-    queries: np.ndarray, terms: np.ndarray, weights: np.ndarray, cells: int = BLOCK_CELLS
-) -> Iterator[QueryGroup]:
-    """Cut (query place, term, weight) triplets, sorted by query, into groups
-    whose dense weight matrix has at most ``cells`` cells (or one query)."""
-    bounds = np.flatnonzero(np.diff(queries, prepend=-1, append=-2))
-    at = 0
-    while at < len(bounds) - 1:
-        seen: dict[str, int] = {}
-        last = at
-        while last < len(bounds) - 1:
-            fresh = [t for t in terms[bounds[last] : bounds[last + 1]] if t not in seen]
-            if last > at and (len(seen) + len(fresh)) * (last - at + 1) > cells:
-                break
-            for term in fresh:
-                seen[term] = len(seen)
-            last += 1
-        part = slice(bounds[at], bounds[last])
-        places = queries[bounds[at:last]]
-        dense = np.zeros((len(seen), len(places)))
-        rows = np.fromiter((seen[t] for t in terms[part]), np.int64, bounds[last] - bounds[at])
-        dense[rows, np.searchsorted(places, queries[part])] = weights[part]
-        yield QueryGroup(places, list(seen), dense)
-        at = last
-
-
-def sparse_kernel(
-    query_ids: np.ndarray,
-    queries: np.ndarray,
-    terms: np.ndarray,
-    weights: np.ndarray,
-    k: int,
-    digits: int,
+def dense_kernel(
+    k: int, digits: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cosine of (chunk_id, norm, terms, tfs) batches with a query block.
+    """Best inner products of question blocks with chunk shards.
 
-    The block comes as triplets: place of the query in ``query_ids``, term, and
-    query weight over query norm times the idf of the chunk side. Only counts
-    of query terms enter the dense blocks.
+    Rows (shard, block, side, id, embedding) come sorted: the questions of a
+    block (side 0) before the chunks it meets (side 1).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestRows(len(query_ids), k, digits)
-        groups = list(query_groups(queries, terms, weights))
-        for whole in batches:
-            for group in groups:
-                step = max(1, BLOCK_CELLS // max(1, *group.weights.shape))
-                for at in range(0, whole.num_rows, step):
-                    batch = whole.slice(at, step)
-                    ids = batch.column(0).to_numpy(zero_copy_only=False)
-                    norms = batch.column(1).to_numpy(zero_copy_only=False)
-                    sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-                    rows = np.repeat(np.arange(len(ids)), sizes)
-                    found = pc.index_in(batch.column(2).flatten(), value_set=group.terms)
-                    known = pc.is_valid(found).to_numpy(zero_copy_only=False)
-                    block = np.zeros((len(ids), len(group.terms)))
-                    counts = batch.column(3).flatten().to_numpy(zero_copy_only=False)[known]
-                    block[rows[known], found.drop_null().to_numpy()] = 1.0 + np.log(counts)
-                    scores = (block @ group.weights) / norms[:, None]
-                    best.add(scores, ids, True, group.places)
-        yield best.batch(query_ids)
+        place, ids, rows, best = None, [], [], None
+        matrix = np.empty((0, 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(keys)]):
+                own = tuple(keys[at, :2])
+                if own != place:
+                    if best is not None:
+                        yield best.batch(np.concatenate(ids))
+                    place, ids, rows, best = own, [], [], None
+                part = batch.slice(at, end - at)
+                names = part.column(3).to_numpy()
+                values = part.column(4).flatten().to_numpy().reshape(len(names), -1)
+                if keys[at, 2] == 0:
+                    ids.append(names)
+                    rows.append(values)
+                    continue
+                if not ids:
+                    continue
+                if best is None:
+                    matrix = np.concatenate(rows).T
+                    best = BestRows(matrix.shape[1], k, digits)
+                step = max(1, BLOCK_CELLS // matrix.shape[1])
+                for first in range(0, len(names), step):
+                    best.add(values[first : first + step] @ matrix, names[first : first + step])
+        if best is not None:
+            yield best.batch(np.concatenate(ids))
 
     return run
 

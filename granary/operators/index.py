@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -13,14 +13,21 @@ from granary.runtime import BROADCAST_ROWS, at_most, let, materialize, ship_pack
 
 # Terms joined by broadcast ahead of the shuffle join, most frequent first.
 HOT_TERMS = 4_096
+# Neighbouring chunk ids whose postings of a term share a row.
+POSTING_BLOCK = 2_048
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """idf(term, df, idf) and vectors(chunk_id, norm, terms, tfs)."""
+    """idf(term, df, idf) and postings(term, block, top, ids, weights).
+
+    A posting row holds the chunks of one id range that have the term, with
+    their weights over their norms, and the largest of these.
+    """
 
     idf: DataFrame
-    vectors: DataFrame
+    postings: DataFrame
+    width: int = POSTING_BLOCK
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -97,28 +104,38 @@ def doc_norms(chunks: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def chunk_vectors(terms: DataFrame, norms: DataFrame) -> DataFrame:
-    """One row per chunk: norm and its parallel term and count arrays.
+def unit_weights(terms: DataFrame, idf_table: DataFrame) -> DataFrame:
+    """(chunk_id, term, u): term weights divided by the norm of their chunk.
+
+    The terms of a chunk are brought together before they are taken apart, so
+    the norm needs no shuffle of single postings where idf is broadcast.
+    """
+    together = terms.repartition("chunk_id")
+    weights = tf_weights(together, idf_table, HOT_TERMS)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("chunk_id")))
+    return weights.select("chunk_id", "term", (F.col("w") / norm).alias("u"))
+
+
+def posting_blocks(weights: DataFrame, width: int = POSTING_BLOCK) -> DataFrame:
+    """Postings by term and id range, sorted by term inside the files.
 
-    Weights follow from the counts and the idf of the terms asked for, so
-    the arrays are never taken apart to be weighted and packed again.
+    A frequent term has one row per id range, never one long list, and its rows
+    spread over the files.
     """
-    return terms.join(norms, "chunk_id").select(
-        "chunk_id",
-        "norm",
-        F.col("counts.term").alias("terms"),
-        F.col("counts.tf").alias("tfs"),
+    block = F.floor(F.col("chunk_id") / width).alias("block")
+    packed = weights.groupBy("term", block).agg(
+        F.max("u").alias("top"), F.collect_list("chunk_id").alias("ids"), F.collect_list("u").alias("weights")
     )
+    return packed.sortWithinPartitions("term", "block")
 
 
-def lexical_index(chunks: DataFrame) -> LexicalIndex:
-    """Index of a chunk table. What searches read (term vectors, idf) is written
-    once to the shared folder, so that no search weighs the corpus again."""
+def lexical_index(chunks: DataFrame, width: int = POSTING_BLOCK) -> LexicalIndex:
+    """Index of a chunk table. Texts are read and tokenised once; what searches
+    read (posting blocks, idf) is written to the shared folder."""
     terms = materialize(chunk_terms(chunks), "terms")
     table = materialize(idf(document_frequency(terms), chunks), "idf")
-    weights = tf_weights(terms, table, HOT_TERMS)
-    vectors = chunk_vectors(terms, doc_norms(chunks, weights))
-    return LexicalIndex(idf=table, vectors=materialize(vectors, "term-vectors"))
+    postings = posting_blocks(unit_weights(terms, table), width)
+    return LexicalIndex(table, materialize(postings, "postings"), width)
 
 
 def l2_normalize(c: Column | str) -> Column:

@@ -1,33 +1,31 @@
 """Top-k search of a question table over a chunk index.
 
-Chunks never move: each task scores its own chunks against a block of
-questions of bounded size and emits k rows per question at most, so the only
-shuffle carries (tasks x questions x k) rows.
+Lexical search reads posting blocks by term and leaves out id ranges that cannot
+hold a result. Dense search compares blocks of questions with shards of the chunk
+vectors, each of which keeps k rows per question. No question passes through the
+driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.functions.kernels import dense_kernel, sparse_kernel
+from granary.functions.kernels import dense_kernel, range_kernel
 from granary.operators.index import LexicalIndex
-from granary.runtime import QUERY_BLOCK_PAIRS, QUERY_BLOCK_ROWS, key_blocks, ship_package
+from granary.runtime import at_most, materialize, ship_package
 
 RESULT = "query_id bigint, chunk_id bigint, score double"
 SCORE_DIGITS = 9
-
-
-def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
-    if not parts:
-        return like.sparkSession.createDataFrame([], RESULT)
-    return reduce(DataFrame.unionByName, parts)
+# Ranges of a question that are scored first, beyond those that k chunks fill.
+FIRST_BLOCKS = 8
+# Questions that meet the postings of a range together.
+QUESTIONS = 512
+# Cells of the question matrix of a dense block.
+QUESTION_CELLS = 4_000_000
 
 
 def take_top(scored: DataFrame, k: int, *order) -> DataFrame:
@@ -38,74 +36,135 @@ def take_top(scored: DataFrame, k: int, *order) -> DataFrame:
 
 
 def query_weights(queries: DataFrame, idf_table: DataFrame) -> DataFrame:
-    """(query_id, term, idf, w) of known query terms, w divided by the query norm."""
+    """(query_id, term, w) of known query terms, w divided by the query norm."""
     counts = queries.select(
         "query_id", F.inline_outer(T.term_counts(T.tokenize("text")))
     ).filter("term IS NOT NULL")
     weight = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    weighted = idf_table.select("term", "idf").join(F.broadcast(counts), "term").select(
-        "query_id", "term", "idf", weight.alias("w")
+    weighted = counts.join(idf_table.select("term", "idf"), "term").select(
+        "query_id", "term", weight.alias("w")
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
     return weighted.withColumn("w", F.col("w") / norm)
 
 
-def _weight_blocks(weights: DataFrame, block_pairs: int) -> Iterator[pd.DataFrame]:
-    """Query weights in frames of bounded size; one job if a single one does."""
-    head = weights.limit(block_pairs + 1).toPandas()
-    if len(head) <= block_pairs:
-        yield head
-        return
-    for block in key_blocks(weights, "query_id", block_pairs, "term"):
-        yield block.toPandas()
+def block_bounds(weights: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(query_id, block, bound): no chunk of the id range scores higher.
+
+    Reads the maxima of the blocks of the terms asked for, not their postings.
+    """
+    heads = index.postings.select("term", "block", "top").join(weights, "term")
+    return heads.groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+
+
+def score_blocks(asked: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
+    """Best k (query_id, chunk_id, score) of every question in every range it asks.
+
+    ``asked`` has (term, query_id, w, part) and, unless all ranges are asked, block;
+    ``part`` deals the questions into parts of bounded number. The postings that a
+    part of the questions asks for in a range meet in one task, which adds up a
+    matrix of questions by chunks.
+    """
+    ship_package()
+    keys = [c for c in ("term", "block", "part") if c in asked.columns]
+    packed = asked.groupBy(*keys).agg(F.collect_list("query_id").alias("queries"), F.collect_list("w").alias("w"))
+    met = index.postings.join(packed, keys[:-1]).select("block", "part", "ids", "weights", "queries", "w")
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartition(n, "block", "part").sortWithinPartitions("block", "part")
+    return dealt.mapInArrow(range_kernel(index.width, k, SCORE_DIGITS), RESULT)
+
+
+@dataclass(frozen=True)
+class BlockSearch:
+    """A lexical search cut into the ranges scored first, the best of these per
+    question, and the ranges that may still hold better chunks."""
+
+    weights: DataFrame
+    first: DataFrame
+    best: DataFrame
+    rest: DataFrame
+
+
+def _parts(weights: DataFrame) -> DataFrame:
+    """Deals the questions into parts of about ``QUESTIONS`` by a hash."""
+    count = weights.agg(F.approx_count_distinct("query_id")).first()[0]
+    parts = max(1, -(-2 * count // QUESTIONS))
+    return weights.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+
+
+def plan_blocks(
+    weights: DataFrame, index: LexicalIndex, k: int, first_blocks: int = FIRST_BLOCKS
+) -> BlockSearch:
+    """Stop early: the k-th score of the most promising ranges bounds the others."""
+    bounds = materialize(block_bounds(weights, index), "block-bounds")
+    promising = take_top(bounds, first_blocks, F.desc("bound"), F.asc("block"))
+    first = materialize(promising.select("query_id", "block"), "first-blocks")
+    best = materialize(take_top(score_blocks(first.join(weights, "query_id"), index, k), k), "first-scores")
+    least = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    # Rounding moves a score by half of the last digit at most.
+    open_ = F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-SCORE_DIGITS)
+    rest = bounds.join(first, ["query_id", "block"], "left_anti")
+    rest = rest.join(least, "query_id", "left").filter(open_)
+    return BlockSearch(weights, first, best, rest.select("query_id", "block"))
 
 
 def lexical_search(
-    queries: DataFrame, index: LexicalIndex, k: int, block_pairs: int = QUERY_BLOCK_PAIRS
+    queries: DataFrame, index: LexicalIndex, k: int, first_blocks: int = FIRST_BLOCKS
 ) -> DataFrame:
     """TF-IDF cosine, scores above zero, best k per query, ties by chunk_id.
 
-    Blocks are bounded by their (query, term) pairs, so many short questions
-    and few long ones are both cut to size.
+    Results do not depend on the blocks: a range is left out only if the sum of
+    its block maxima lies below the k-th score already found. An index of no
+    more than ``first_blocks`` ranges is scored as it is.
     """
-    ship_package()
-    weights = query_weights(queries, index.idf)
-    parts = []
-    for rows in _weight_blocks(weights, block_pairs):
-        if not len(rows):
-            continue
-        rows = rows.sort_values(["query_id", "term"])
-        ids, places = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
-        kernel = sparse_kernel(
-            ids,
-            places,
-            rows["term"].to_numpy(dtype=object),
-            (rows["w"] * rows["idf"]).to_numpy(),
-            k,
-            SCORE_DIGITS,
-        )
-        vectors = index.vectors.select("chunk_id", "norm", "terms", "tfs")
-        parts.append(vectors.mapInArrow(kernel, RESULT))
-    return take_top(_union(parts, queries), k)
+    weights = materialize(_parts(query_weights(queries, index.idf)), "query-weights")
+    if at_most(index.postings.select("block").distinct(), first_blocks):
+        return take_top(score_blocks(weights, index, k), k)
+    plan = plan_blocks(weights, index, k, first_blocks)
+    rest = take_top(score_blocks(plan.rest.join(weights, "query_id"), index, k), k)
+    return take_top(plan.best.drop("rank").unionByName(rest.drop("rank")), k)
 
 
 def dense_search(
-    query_vectors: DataFrame, vectors: DataFrame, k: int, block_rows: int = QUERY_BLOCK_ROWS
+    query_vectors: DataFrame, vectors: DataFrame, k: int, cells: int = QUESTION_CELLS
 ) -> DataFrame:
-    """Exact inner-product search over unit vectors, best k per query."""
+    """Exact inner-product search over unit vectors, best k per query.
+
+    Questions are cut into blocks whose matrix has at most about ``cells`` cells, and
+    chunks into shards; a block and a shard meet in one task, which holds the
+    matrix and k rows per question while the chunks stream by. Chunks are
+    shuffled once per block of questions.
+    """
     ship_package()
-    parts = []
-    for block in key_blocks(query_vectors, "query_id", block_rows):
-        rows = block.select("query_id", F.col("embedding").cast("array<double>")).collect()
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        if not len(ids):
-            continue
-        matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        local = vectors.select("chunk_id", "embedding").mapInArrow(
-            dense_kernel(ids, matrix, k, SCORE_DIGITS), RESULT
-        )
-        parts.append(local)
-    return take_top(_union(parts, query_vectors), k)
+    asked = query_vectors.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    blocks = max(1, -(-2 * size["n"] * (size["width"] or 1) // (2 * cells)))
+    shards = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    def hashed(key: str, count: int):
+        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+    questions = asked.select(
+        every(shards).alias("shard"),
+        hashed("query_id", blocks).alias("block"),
+        F.lit(0).alias("side"),
+        F.col("query_id").cast("long").alias("id"),
+        "embedding",
+    )
+    chunks = vectors.select(
+        hashed("chunk_id", shards).alias("shard"),
+        every(blocks).alias("block"),
+        F.lit(1).alias("side"),
+        F.col("chunk_id").cast("long").alias("id"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    place = ["shard", "block"]
+    met = questions.unionByName(chunks).repartition(shards, *place).sortWithinPartitions(*place, "side")
+    found = met.mapInArrow(dense_kernel(k, SCORE_DIGITS), RESULT)
+    return take_top(found, k)
 
 
 def minmax_normalize(results: DataFrame, out: str = "score") -> DataFrame:

@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 # Largest table handed to every executor, in rows. Callers that need more
 # rows than this work in blocks or shuffle.
 BROADCAST_ROWS = 200_000
-# Rows of a question table scored in one pass over the chunk vectors.
+# Rows of a question table handled in one pass.
 QUERY_BLOCK_ROWS = 2_048
-# The same for lexical search, in (question, term) pairs.
-QUERY_BLOCK_PAIRS = 400_000
 
 
 def get_spark(app: str = "granary", cpus: int | str = "*", **conf: str) -> SparkSession:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,30 @@ def coerce_chunks(rows: DataFrame) -> DataFrame:
     )
 
 
+POINTER = "current"
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version that readers see; a finished version is named by the
+    pointer table, so one that was left half way is never read."""
+    if not path_exists(spark, f"{path}/{POINTER}"):
+        return None
+    marks = spark.read.schema("version long, folder string").json(f"{path}/{POINTER}")
+    last = marks.orderBy(F.desc("version")).first()
+    return None if last is None else f"{path}/{last['folder']}"
+
+
+def _publish(spark: SparkSession, path: str, folder: str) -> None:
+    """Append the version to the pointer table: one small file, committed by rename."""
+    known = 0
+    if path_exists(spark, f"{path}/{POINTER}"):
+        known = spark.read.schema("version long, folder string").json(f"{path}/{POINTER}").agg(
+            F.coalesce(F.max("version"), F.lit(0))
+        ).first()[0]
+    mark = spark.range(1).select(F.lit(known + 1).alias("version"), F.lit(folder).alias("folder"))
+    mark.coalesce(1).write.mode("append").json(f"{path}/{POINTER}")
+
+
 def write_index(
     path: str,
     chunks: DataFrame,
@@ -60,33 +86,46 @@ def write_index(
     vectors: DataFrame | None = None,
     sources: list[str] | None = None,
     created_at: str | None = None,
-) -> None:
-    """Chunks partitioned by source type, term tables, vectors and metadata."""
+) -> str:
+    """Chunks partitioned by source type, term tables, vectors and metadata.
+
+    All tables go to a folder of their own, and readers see it when its name is
+    written last: they read the old index until then, and go on reading it if the
+    build stops half way. Chunks and vectors are clustered by id, so results
+    meet few of their files. The folder of the version is returned; folders of
+    earlier versions stay for readers that have them open.
+    """
     if not chunks.take(1):
         raise RuntimeError("no chunks were produced for indexing")
-    chunks.write.mode("overwrite").partitionBy("source_type").parquet(f"{path}/chunks")
-    lexical.idf.write.mode("overwrite").parquet(f"{path}/idf")
-    lexical.vectors.write.mode("overwrite").parquet(f"{path}/terms")
+    spark = chunks.sparkSession
+    folder = f"index-{uuid.uuid4().hex}"
+    to = f"{path}/{folder}"
+    clustered = chunks.repartitionByRange("source_type", "chunk_id").sortWithinPartitions("source_type", "chunk_id")
+    clustered.write.partitionBy("source_type").parquet(f"{to}/chunks")
+    lexical.idf.write.parquet(f"{to}/idf")
+    lexical.postings.write.parquet(f"{to}/postings")
     if vectors is not None:
-        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    index_meta(chunks.sparkSession, sources or [], created_at).write.mode("overwrite").parquet(
-        f"{path}/meta"
-    )
+        vectors.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{to}/vectors")
+    meta = index_meta(spark, sources or [], created_at).withColumn("posting_block", F.lit(lexical.width))
+    meta.write.parquet(f"{to}/meta")
+    _publish(spark, path, folder)
+    return to
 
 
 def read_index(
     spark: SparkSession, path: str
 ) -> tuple[DataFrame, LexicalIndex, DataFrame | None, DataFrame]:
-    """(chunks, lexical index, vectors or None, metadata)."""
-    if not path_exists(spark, f"{path}/chunks"):
+    """(chunks, lexical index, vectors or None, metadata) of the current version."""
+    at = _current(spark, path)
+    if at is None:
         raise FileNotFoundError(f"index not found: {path}")
-    chunks = coerce_chunks(spark.read.parquet(f"{path}/chunks"))
-    lexical = LexicalIndex(
-        spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/terms")
-    )
-    has_vectors = path_exists(spark, f"{path}/vectors")
-    vectors = spark.read.parquet(f"{path}/vectors") if has_vectors else None
-    return chunks, lexical, vectors, spark.read.parquet(f"{path}/meta")
+    chunks = coerce_chunks(spark.read.parquet(f"{at}/chunks"))
+    meta = spark.read.parquet(f"{at}/meta")
+    width = meta.select("posting_block").first()[0]
+    lexical = LexicalIndex(spark.read.parquet(f"{at}/idf"), spark.read.parquet(f"{at}/postings"), width)
+    has_vectors = path_exists(spark, f"{at}/vectors")
+    vectors = spark.read.parquet(f"{at}/vectors") if has_vectors else None
+    return chunks, lexical, vectors, meta
 
 
 def write_graph(path: str, graph: SymbolGraph) -> None:

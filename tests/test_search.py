@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions.kernels import TokenHashEncoder, query_groups
+from granary.functions.kernels import TokenHashEncoder
 from granary.operators import graph as G
 from granary.operators import index as I
 from granary.operators import rerank as R
@@ -51,29 +51,39 @@ def lexical_by_hand(texts, query, k):
     return [(i, -s) for s, i in sorted(scored)[:k]]
 
 
-@pytest.mark.parametrize("block", [3, 1000])
-def test_lexical_search(spark, corpus, block):
+@pytest.mark.parametrize("width, first", [(1, 1), (3, 2), (1000, 8)])
+def test_lexical_search(spark, corpus, width, first):
     texts, chunks, queries = corpus
-    rows = S.lexical_search(queries, I.lexical_index(chunks), 5, block_pairs=block).collect()
+    rows = S.lexical_search(queries, I.lexical_index(chunks, width), 5, first_blocks=first).collect()
     for q in queries.collect():
         got = sorted((r["rank"], r["chunk_id"], r["score"]) for r in rows if r["query_id"] == q["query_id"])
         want = lexical_by_hand(texts, q["text"], 5)
         assert [(c, pytest.approx(s, abs=1e-8)) for _, c, s in got] == want
 
 
-def test_query_groups_keep_every_weight():
-    places = np.array([0, 0, 1, 2, 2, 2])
-    terms = np.array(["a", "b", "a", "c", "d", "a"], dtype=object)
-    weights = np.arange(1.0, 7.0)
-    for cells in (1, 4, 100):
-        got = {}
-        for group in query_groups(places, terms, weights, cells):
-            assert group.weights.size <= cells or len(group.places) == 1
-            for i, term in enumerate(group.terms.to_pylist()):
-                for j, place in enumerate(group.places):
-                    if group.weights[i, j]:
-                        got[(int(place), term)] = group.weights[i, j]
-        assert got == {(int(p), t): w for p, t, w in zip(places, terms, weights)}
+def test_lexical_search_stops_early(spark):
+    """Ranges that cannot hold a result are not read, and leave no result out."""
+    draw = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(4_000)]
+    texts = [" ".join(draw.choice(words, 30)) + " the of and" for _ in range(600)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    asked = [(i, texts[i * 31]) for i in range(10)] + [(98, "nothing known"), (99, "")]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    index = I.lexical_index(chunks, 4)
+    weights = S.query_weights(queries, index.idf).withColumn("part", F.lit(0))
+    plan = S.plan_blocks(weights, index, 3)
+    read = plan.first.select("query_id", "block").union(plan.rest).join(plan.weights, "query_id").select("query_id", "term", "block")
+    sizes = index.postings.select("term", "block", F.size("ids").alias("n"))
+    stored = sizes.agg(F.sum("n")).first()[0]
+    searched = read.join(sizes, ["term", "block"]).groupBy("query_id").agg(F.sum("n").alias("n")).collect()
+    asked_of = plan.weights.join(sizes, "term").groupBy("query_id").agg(F.sum("n").alias("n")).collect()
+    whole = {r["query_id"]: r["n"] for r in asked_of}
+    assert len(searched) == 10
+    assert all(r["n"] < whole[r["query_id"]] / 2 < stored for r in searched), (searched, whole, stored)
+    rows = S.lexical_search(queries, index, 3).collect()
+    for query_id, text in asked:
+        got = sorted((r["rank"], r["chunk_id"]) for r in rows if r["query_id"] == query_id)
+        assert [c for _, c in got] == [c for c, _ in lexical_by_hand(texts, text, 3)]
 
 
 def test_hot_terms_change_nothing(spark, corpus):
@@ -88,7 +98,8 @@ def test_hot_terms_change_nothing(spark, corpus):
     assert plain == split and plain
 
 
-def test_dense_search_blocks_and_ties(spark):
+@pytest.mark.parametrize("cells", [8, 1_000])
+def test_dense_search_blocks_and_ties(spark, cells):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(50, 8))
     vectors[10] = vectors[20] = vectors[30]
@@ -97,7 +108,7 @@ def test_dense_search_blocks_and_ties(spark):
         [(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id long, embedding array<double>"
     )
     queries = table.filter("chunk_id in (30, 1, 2)").withColumnRenamed("chunk_id", "query_id")
-    rows = S.dense_search(queries, table.repartition(3), 4, block_rows=2).collect()
+    rows = S.dense_search(queries, table.repartition(3), 4, cells=cells).collect()
     for q in (30, 1, 2):
         got = [r["chunk_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q]
         scores = np.round(vectors @ vectors[q], 9)
