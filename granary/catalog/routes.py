@@ -170,7 +170,26 @@ def selected(src):
        FROM {v_selected}""",
 )
 def choose_workflow(src):
-    return selected(src).select(
+    return selection_fields(selected(src))
+
+
+register(
+    "choose_workflow_tables",
+    """SELECT question_id, family_id, family_name, workflow_id, workflow_title,
+         round(confidence, 6) AS confidence, matched,
+         array_to_string(preferred_symbols, '|') AS symbols
+       FROM {v_selected}""",
+)(
+    lambda src: selection_fields(
+        R.choose_workflow(
+            src.view("v_hinted"), R.RegistryTables(src.view("v_families"), src.view("v_workflows")), NAMES
+        )
+    )
+)
+
+
+def selection_fields(rows):
+    return rows.select(
         "question_id",
         "family_id",
         "family_name",
@@ -701,9 +720,7 @@ _RULE_ROWS = ", ".join(
 )
 
 
-@register(
-    "match_rules",
-    f"""WITH h AS (SELECT question_id, lower(text) AS q, coalesce(context, '') AS c,
+RULE_LINES_SQL = f"""WITH h AS (SELECT question_id, lower(text) AS q, coalesce(context, '') AS c,
             lower(text) || chr(10) || coalesce(context, '') AS b
           FROM {{v_asks}} LEFT JOIN (SELECT question_id, string_agg(lower(title || chr(10) || location
               || chr(10) || shown), chr(10) ORDER BY rank) AS context FROM {{v_items}}
@@ -717,9 +734,11 @@ _RULE_ROWS = ", ".join(
               PARTITION BY question_id ORDER BY no) AS place FROM m WHERE seen = 1)
         SELECT question_id, line FROM k WHERE place <= 6
         UNION ALL SELECT question_id, unnest(['- Prefer explicit names.', '- Test the result.'])
-        FROM {{v_asks}}""",
-)
-def match_rules(src):
+        FROM {{v_asks}}"""
+
+
+def rule_questions(src):
+    """Questions with the text of their context."""
     shown = items(src).withColumn(
         "t", F.concat("title", F.lit("\n"), "location", F.lit("\n"), "text")
     )
@@ -727,9 +746,23 @@ def match_rules(src):
     context = shown.groupBy("question_id").agg(
         F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("context")
     )
-    rows = src.view("v_asks").join(context, "question_id", "left")
+    return src.view("v_asks").join(context, "question_id", "left")
+
+
+@register("match_rules", RULE_LINES_SQL)
+def match_rules(src):
     lines = R.match_rules(F.col("text"), F.col("context"), RULES, GLOBALS)
-    return rows.select("question_id", F.explode(lines).alias("line"))
+    return rule_questions(src).select("question_id", F.explode(lines).alias("line"))
+
+
+@register("match_rule_table", RULE_LINES_SQL)
+def match_rule_table(src):
+    rows = [(n, r.id, r.scope, list(r.when_any), r.message) for n, r in enumerate(RULES, start=1)]
+    rules = src.spark.createDataFrame(
+        rows, "rule_no long, id string, scope string, when_any array<string>, message string"
+    )
+    found = R.match_rule_table(rule_questions(src), rules, GLOBALS)
+    return found.select("question_id", F.explode("lines").alias("line"))
 
 
 # Generated texts that meet some of what their method asks for.

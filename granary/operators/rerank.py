@@ -208,42 +208,53 @@ def topn_rerank(
 ) -> DataFrame:
     """Reorder the first ``top_n`` results of each question by a pair scorer.
 
-    Only these rows reach the scorer, question by question. Ties keep their
-    order, and a question keeps its whole order if it is blank or any of its
-    pairs failed to score; other questions are not touched by that. With
-    ``report`` the column ``rerank_error`` tells what the scorer raised.
+    The rows of a question are packed into one, so the scorer is always given a
+    whole list, however rows are cut into batches. Ties keep their order, and a
+    question keeps its whole order if it is blank or any of its pairs failed to
+    score; other questions are not touched by that. With ``report`` the column
+    ``rerank_error`` tells what the scorer raised.
     """
 
-    @F.pandas_udf("struct<value:double,problem:string>")
-    def score(ids: pd.Series, queries: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"value": np.nan, "problem": None}, index=texts.index, dtype=object)
-        asked = texts.notna()
-        for _, own in texts[asked].groupby(ids[asked], dropna=False):
+    @F.pandas_udf("struct<values:array<double>,problem:string>")
+    def score(queries: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for query, own in zip(queries, texts):
             try:
-                out.loc[own.index, "value"] = [float(v) for v in scorer(list(queries[own.index]), list(own))]
+                values = [float(v) for v in scorer([query] * len(own), list(own))]
+                if len(values) != len(own):
+                    raise ValueError(f"{len(values)} scores for {len(own)} texts")
+                out.append((values, None))
             except Exception as problem:
-                out.loc[own.index, "problem"] = f"{type(problem).__name__}: {problem}"
-        return out.astype({"value": "float64"})
+                out.append((None, f"{type(problem).__name__}: {problem}"))
+        return pd.DataFrame(out, columns=["values", "problem"])
 
     ship_package()
     in_head = F.col("rank") <= top_n
-    # Rows below the head pass as NULL, so the plan above runs once.
-    scored = rows.withColumn("__text", F.when(in_head, candidate_text())).withColumn(
-        "__score", score(F.col("question_id"), F.col("question"), F.col("__text"))
+    texts = rows.withColumn("__text", F.when(in_head, candidate_text()))
+    # At most top_n texts a question; a question has one row.
+    packed = texts.filter(in_head).groupBy("question_id").agg(
+        F.first("question").alias("__question"),
+        F.sort_array(F.collect_list(F.struct("rank", "__text"))).alias("__head"),
     )
-    question = Window.partitionBy("question_id")
-    usable = (
-        (T.strip("question") != "")
-        & F.every(~in_head | F.col("__score.value").isNotNull()).over(question)
-        & F.some(in_head & (F.col("__text") != "")).over(question)
+    listed = F.transform("__head", lambda r: F.coalesce(r["__text"], F.lit("")))
+    scored = packed.withColumn("__scored", score(F.col("__question"), listed)).select(
+        F.col("question_id").alias("__id"),
+        F.transform("__head", lambda r: r["rank"]).alias("__ranks"),
+        F.col("__scored.values").alias("__values"),
+        F.col("__scored.problem").alias("rerank_error"),
+        F.exists("__head", lambda r: r["__text"] != "").alias("__some"),
+        (T.strip("__question") != "").alias("__asked"),
     )
-    problem = F.max("__score.problem").over(question)
-    both = scored.withColumn("__usable", usable).withColumn("rerank_error", problem)
-    first = F.when(F.col("__usable") & in_head, F.col("__score.value"))
+    kept = [c for c in rows.columns if c not in ("rank", "rerank_error")]
+    both = rows.drop("rerank_error").join(scored, F.col("question_id").eqNullSafe(F.col("__id")), "left")
+    value = F.try_element_at("__values", F.array_position("__ranks", F.col("rank")).cast("int"))
+    whole = F.forall("__values", lambda v: v.isNotNull() & ~F.isnan(v))
+    usable = F.coalesce(F.col("__asked") & F.col("__some") & whole, F.lit(False))
+    both = both.withColumn("__usable", usable).withColumn("__value", F.when(in_head, value))
+    first = F.when(F.col("__usable") & in_head, F.col("__value"))
     order = Window.partitionBy("question_id").orderBy(
         F.asc(~in_head), F.desc_nulls_last(first), F.asc("rank")
     )
-    kept = [c for c in rows.columns if c not in ("rank", "rerank_error")]
     if report:
         kept.append("rerank_error")
     return both.select(*kept, F.row_number().over(order).alias("rank"))

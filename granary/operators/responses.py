@@ -18,22 +18,54 @@ ACTIONS = ("continue", "refine_query", "stop")
 FENCE = re.compile(r"```json\s*(\{.*?\})\s*```", re.DOTALL | re.IGNORECASE)
 BAD_ESCAPE = re.compile(r'\\(?!["\\/bfnrt]|u[0-9a-fA-F]{4})')
 COMMAND_ESCAPE = re.compile(r"\\([tnrbf])(?=[A-Za-z])")
-_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*("|\Z)', re.DOTALL)
+_MARK = re.compile(r'[{}"\\]')
+# What can begin an object: told before parsing, whose errors cost the length of the text.
+_OBJECT = re.compile(r'\{[ \t\n\r]*["}]')
+_DECODE = json.JSONDecoder().raw_decode
 
 
-def _balanced_end(text: str, start: int) -> int:
-    """Index after the brace that closes the one at ``start``, or -1."""
-    depth, at = 0, start
-    while at < len(text):
-        char = text[at]
-        if char == '"':
-            at = _QUOTED.match(text, at).end()
-            continue
-        depth += (char == "{") - (char == "}")
-        at += 1
-        if char == "}" and depth == 0:
-            return at
-    return -1
+def _join(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+    """Open braces of two readings that go on alike, level by level from the innermost."""
+    if len(a) < len(b):
+        a, b = b, a
+    for i in range(1, len(b) + 1):
+        a[-i] += b[-i]
+    return a
+
+
+def _spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of the object at each opening brace that is closed, by start.
+
+    A reading begins at every opening brace outside of quotes. Readings differ only in
+    whether they are inside quotes now, so all of them are followed at once: by the open
+    braces of those outside, of those inside, and of those past a backslash.
+    """
+    found: list[tuple[int, int]] = []
+    outside: list[list[int]] = []
+    inside: list[list[int]] | None = None
+    escaped: list[list[int]] | None = None
+    skipped = -1  # the place whose mark the escaped readings do not see
+    for mark in _MARK.finditer(text):
+        at, char = mark.start(), mark.group()
+        past = None
+        if escaped is not None:
+            if at == skipped:
+                past = escaped
+            else:
+                inside = escaped if inside is None else _join(inside, escaped)
+            escaped = None
+        if char == "{":
+            outside.append([at])
+        elif char == "}":
+            if outside:
+                found += [(start, at + 1) for start in outside.pop()]
+        elif char == '"':
+            outside, inside = [] if inside is None else inside, outside or None
+        elif inside is not None:
+            escaped, inside, skipped = inside, None, at + 1
+        if past is not None:
+            inside = past if inside is None else _join(inside, past)
+    return sorted(found)
 
 
 def _candidate(text: str) -> str:
@@ -41,21 +73,15 @@ def _candidate(text: str) -> str:
     fenced = FENCE.search(text)
     if fenced:
         return fenced.group(1).strip()
-    spans = (
-        text[m.start() : end].strip()
-        for m in re.finditer(r"\{", text)
-        if (end := _balanced_end(text, m.start())) > 0
-    )
-    first = None
-    for span in spans:
-        first = span if first is None else first
+    spans = _spans(text)
+    for start, end in spans:
         try:
-            json.loads(span)
-            return span
-        except json.JSONDecodeError:
+            if _OBJECT.match(text, start) and _DECODE(text, start)[1] == end:
+                return text[start:end]
+        except (json.JSONDecodeError, RecursionError):
             continue
-    if first is not None:
-        return first
+    if spans:
+        return text[slice(*spans[0])]
     start, end = text.find("{"), text.rfind("}")
     return (text[start : end + 1] if 0 <= start < end else text).strip()
 
@@ -73,7 +99,7 @@ def _object_json(text: str | None) -> tuple[str | None, str | None]:
         if not isinstance(value, dict):
             return None, "Expected a JSON object."
         return json.dumps(value), None
-    except ValueError as problem:
+    except (ValueError, RecursionError) as problem:
         return None, str(problem)
 
 

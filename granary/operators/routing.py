@@ -2,7 +2,8 @@
 
 Everything that depends on one question alone is a Column expression, so it
 needs no join, no shuffle, and runs on streaming tables as well. Registries
-and rules are configuration, written by hand, and enter as constants.
+and rules of a bounded length enter as constants; longer ones stay tables that
+questions are joined with.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.functions import text as T
-from granary.runtime import let
+from granary.operators.matching import occurrences
+from granary.runtime import at_most, let, materialize
 
 DEFAULT_NAMES = vocab.Names()
+# Rows of a registry or rule table that are written into expressions.
+CONSTANT_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -46,13 +50,17 @@ class Registry:
     workflows: tuple[Workflow, ...] = ()
 
     @classmethod
-    def of(cls, families: DataFrame, workflows: DataFrame | None = None) -> Registry:
-        """Registry tables as configuration: written by hand, so read whole."""
-
-        def rows(table: DataFrame | None, order: str) -> list:
+    def of(
+        cls, families: DataFrame, workflows: DataFrame | None = None, rows: int = CONSTANT_ROWS
+    ) -> Registry | RegistryTables:
+        """The registry as constants, or as tables if one has more than ``rows`` rows."""
+        if any(t is not None and not at_most(t, rows) for t in (families, workflows)):
+            return RegistryTables(families, workflows)
+
+        def sorted_rows(table: DataFrame | None, order: str) -> list:
             if table is None:
                 return []
-            return sorted(table.collect(), key=lambda r: r[order])
+            return sorted(table.limit(rows).collect(), key=lambda r: r[order])
 
         def words(row, name: str) -> tuple[str, ...]:
             return tuple(row[name] or ())
@@ -60,7 +68,7 @@ class Registry:
         return cls(
             tuple(
                 Family(r["id"], r["name"], r["summary"], words(r, "keywords"))
-                for r in rows(families, "family_no")
+                for r in sorted_rows(families, "family_no")
             ),
             tuple(
                 Workflow(
@@ -73,11 +81,21 @@ class Registry:
                         for name in ("keywords", "preferred_symbols", "prompt_rules", "tuning_params")
                     ],
                 )
-                for r in rows(workflows, "workflow_no")
+                for r in sorted_rows(workflows, "workflow_no")
             ),
         )
 
 
+@dataclass(frozen=True)
+class RegistryTables:
+    """A registry of any length: families(family_no, id, name, summary, keywords) and
+    workflows(workflow_no, id, family_id, title, keywords, preferred_symbols,
+    prompt_rules, tuning_params)."""
+
+    families: DataFrame
+    workflows: DataFrame | None = None
+
+
 def _plain(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -218,15 +236,17 @@ def _scored(row: Column, asked: Column, seen: Column) -> Column:
     )
 
 
-def _selection(q: Column, c: Column, forced: Column, gates: dict, registry: Registry) -> Column:
+def _selection(
+    q: Column, c: Column, forced: Column, gates: dict, family_rows: Column, workflow_rows: Column
+) -> Column:
     """The selection struct of one question; every part is evaluated once."""
     families = F.transform(
-        _family_table(registry),
+        family_rows,
         lambda f: _scored(f, _matches(q, f["keywords"], 3), _matches(c, f["keywords"], 1)),
     )
     workflows = F.transform(
         F.filter(
-            _workflow_table(registry), lambda w: (forced == "") | (w["family_id"] == forced)
+            workflow_rows, lambda w: (forced == "") | (w["family_id"] == forced)
         ),
         lambda w: _scored(
             w,
@@ -301,26 +321,32 @@ SELECTION_FIELDS = (
 )
 
 
+def _gates(names: vocab.Names) -> dict:
+    return {
+        name: (lambda q, name=name: scope_gates(q, names)[name])
+        for name in ("out_of_scope", "conceptual", "family_meta")
+    }
+
+
 def choose_workflow(
-    questions: DataFrame, registry: Registry, names: vocab.Names = DEFAULT_NAMES
+    questions: DataFrame, registry: Registry | RegistryTables, names: vocab.Names = DEFAULT_NAMES
 ) -> DataFrame:
     """Adds the selected family and workflow to question rows.
 
     ``questions``: text, and optionally context (normalized or not) and
     family_hint.
     """
+    if isinstance(registry, RegistryTables):
+        return _choose_from_tables(questions, registry, names)
     context = T.normalize_text("context") if "context" in questions.columns else F.lit("")
     hinted = "family_hint" in questions.columns
     forced = normalize_family_id("family_hint", registry) if hinted else F.lit("")
-    gates = {
-        name: (lambda q, name=name: scope_gates(q, names)[name])
-        for name in ("out_of_scope", "conceptual", "family_meta")
-    }
+    families, workflows = _family_table(registry), _workflow_table(registry)
     selection = let(
         T.normalize_text("text"),
         lambda q: let(
             context,
-            lambda c: let(forced, lambda f: _selection(q, c, f, gates, registry)),
+            lambda c: let(forced, lambda f: _selection(q, c, f, _gates(names), families, workflows)),
         ),
     )
     chosen = questions.withColumn("__s", selection)
@@ -329,6 +355,123 @@ def choose_workflow(
     )
 
 
+def _keywords_of(words: Column) -> Column:
+    """Registry keywords with their normalized form and its words; blank ones go."""
+    rows = F.transform(
+        F.coalesce(words, F.array().cast("array<string>")),
+        lambda k: F.struct(
+            k.alias("keyword"),
+            T.normalize_text(k).alias("plain"),
+            F.split(T.normalize_text(k), " ").alias("words"),
+        ),
+    )
+    return F.filter(rows, lambda k: F.coalesce(k["plain"] != "", F.lit(False)))
+
+
+def _table_rows(registry: RegistryTables) -> tuple[DataFrame, DataFrame | None]:
+    """Families and workflows as (no, row) with the struct that selection reads."""
+    none, blank = F.array().cast("array<string>"), F.lit("")
+    no_keys = F.array().cast(f"array<{_KEYWORD}>")
+
+    def packed(table: DataFrame, **fields: Column) -> DataFrame:
+        row = F.struct(*(value.alias(name) for name, value in fields.items())).cast(_ROW)
+        return table.select(fields["no"].cast("long").alias("no"), row.alias("row"))
+
+    families = packed(
+        registry.families,
+        no=F.col("family_no"), id=F.col("id"), family_id=F.col("id"), name=F.col("name"), title=blank,
+        keywords=_keywords_of(F.col("keywords")), symbols=no_keys,
+        preferred_symbols=none, prompt_rules=none, tuning_params=none,
+    )
+    if registry.workflows is None:
+        return families, None
+    home = registry.families.select(F.col("id").alias("family_id"), F.col("name").alias("__name"))
+    known = registry.workflows.join(home.dropDuplicates(["family_id"]), "family_id", "left")
+    lists = {n: F.coalesce(F.col(n), none) for n in ("preferred_symbols", "prompt_rules", "tuning_params")}
+    workflows = packed(
+        known,
+        no=F.col("workflow_no"), id=F.col("id"),
+        family_id=F.when(F.col("__name").isNotNull(), F.col("family_id")).otherwise(blank),
+        name=F.coalesce("__name", blank), title=F.col("title"),
+        keywords=_keywords_of(F.col("keywords")), symbols=_keywords_of(F.col("preferred_symbols")),
+        **lists,
+    )
+    return families, workflows
+
+
+def _choose_from_tables(
+    questions: DataFrame, registry: RegistryTables, names: vocab.Names
+) -> DataFrame:
+    """Selection with a registry of any length.
+
+    Questions are joined with the rows of which a keyword occurs in them, and
+    selection then reads these rows only: all others score nothing. A hinted family
+    is joined by its id or name.
+    """
+    none = F.array().cast(f"array<{_ROW}>")
+    hint = F.col("family_hint") if "family_hint" in questions.columns else F.lit("")
+    context = T.normalize_text("context") if "context" in questions.columns else F.lit("")
+    raw = T.strip(hint)
+    head = F.substring_index(T.normalize_text(F.replace(F.upper(raw), F.lit("."), F.lit(" "))), " ", 1)
+    asked = materialize(
+        questions.select("*", F.monotonically_increasing_id().alias("__key")).select(
+            "*",
+            T.normalize_text("text").alias("__q"),
+            context.alias("__c"),
+            F.array(F.upper(raw), F.upper(head), F.lower(raw)).alias("__hints"),
+        ),
+        "asked",
+    )
+    families, workflows = (None if t is None else materialize(t, "registry") for t in _table_rows(registry))
+    # An id counts before the first word, and both before a name; the first row of equals.
+    keys = families.select(
+        "no",
+        "row",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("kind"), F.col("row.id").alias("hint")),
+                F.struct(F.lit(1).alias("kind"), F.col("row.id").alias("hint")),
+                F.struct(F.lit(2).alias("kind"), F.lower("row.name").alias("hint")),
+            )
+        ).alias("k"),
+    ).select("no", "row", "k.*")
+    hints = asked.select("__key", F.posexplode("__hints").alias("kind", "hint")).filter("hint <> ''")
+    least = F.min(F.struct("kind", "no", "row.id")).alias("f")
+    forced = hints.join(keys, ["kind", "hint"]).groupBy("__key").agg(least).select("__key", F.col("f.id").alias("__forced"))
+    asked = asked.join(forced, "__key", "left").withColumn("__forced", F.coalesce("__forced", F.lit("")))
+    texts = asked.select(F.col("__key").alias("key"), F.concat_ws("\n", "__q", "__c").alias("hay"))
+    texts = materialize(texts, "asked-texts")
+
+    def candidates(table: DataFrame | None, name: str, forced_too: bool) -> DataFrame:
+        """__key and the rows that may score, in registry order."""
+        words = F.explode(F.concat("row.keywords", "row.symbols")).alias("k")
+        needles = table.select("no", words).select("no", F.col("k.words").alias("words"))
+        needles = needles.select(F.struct("no", "words").alias("needle"), "words").distinct()
+        met = occurrences(texts, needles).select(F.col("key").alias("__key"), F.col("needle.no").alias("no")).distinct()
+        met = met.join(table, "no")
+        if forced_too:
+            own = table.select("no", "row", F.col("row.id").alias("__forced"))
+            met = met.unionByName(asked.join(own, "__forced").select("__key", "no", "row")).dropDuplicates(["__key", "no"])
+        listed = F.transform(F.sort_array(F.collect_list(F.struct("no", "row"))), lambda r: r["row"])
+        return met.groupBy("__key").agg(listed.alias(name))
+
+    rows = asked.join(candidates(families, "__families", True), "__key", "left")
+    if workflows is None:
+        rows = rows.withColumn("__workflows", none)
+    else:
+        rows = rows.join(candidates(workflows, "__workflows", False), "__key", "left")
+    selection = let(
+        F.col("__q"),
+        lambda q: _selection(
+            q, F.col("__c"), F.col("__forced"), _gates(names),
+            F.coalesce("__families", none), F.coalesce("__workflows", none),
+        ),
+    )
+    return rows.withColumn("__s", selection).select(
+        *questions.columns, *[F.col(f"__s.{field}") for field in SELECTION_FIELDS]
+    )
+
+
 # ---- query expansion ----------------------------------------------------------------------
 
 
@@ -635,7 +778,10 @@ RULE_LINES = 8
 _RULE_ROW = "struct<message:string,line:string,scope:string,needles:array<string>>"
 
 
-def rules_of(table: DataFrame) -> tuple[Rule, ...]:
+def rules_of(table: DataFrame, rows: int = CONSTANT_ROWS) -> tuple[Rule, ...]:
+    """Rules as constants; a longer table is for ``match_rule_table``."""
+    if not at_most(table, rows):
+        raise ValueError(f"more than {rows} rules: use match_rule_table")
     return tuple(
         Rule(
             r["message"],
@@ -643,7 +789,7 @@ def rules_of(table: DataFrame) -> tuple[Rule, ...]:
             r["scope"],
             r["id"] or f"rule_{r['rule_no']}",
         )
-        for r in sorted(table.collect(), key=lambda r: r["rule_no"])
+        for r in sorted(table.limit(rows).collect(), key=lambda r: r["rule_no"])
     )
 
 
@@ -710,3 +856,51 @@ def match_rules(
         ),
     )
     return F.concat(head, F.transform(F.slice(found, 1, room), lambda r: r["line"]))
+
+
+def match_rule_table(
+    questions: DataFrame,
+    rules: DataFrame,
+    global_messages: Sequence[str] = (),
+    limit: int = RULE_LINES,
+) -> DataFrame:
+    """Adds ``lines``, as ``match_rules`` gives them, with a rule table of any length.
+
+    ``questions``: text, context; ``rules``: rule_no, id, scope, when_any, message.
+    Questions meet the rules of which a trigger occurs in them. A question keeps the
+    first rule of each message and no more than ``limit`` rows of these.
+    """
+    fixed = list(dict.fromkeys(m.strip() for m in global_messages if m.strip()))
+    message, scope = T.strip(F.col("message")), F.lower(T.strip(F.col("scope")))
+    ident = F.coalesce(T.blank_to_null(T.strip("id")), F.concat(F.lit("rule_"), F.col("rule_no").cast("string")))
+    known = rules.select(
+        F.col("rule_no").cast("long").alias("rule_no"),
+        message.alias("message"),
+        F.concat(F.lit("- ["), ident, F.lit("] "), message).alias("line"),
+        F.when(scope.isin("question", "context"), scope).otherwise("all").alias("scope"),
+        F.explode("when_any").alias("trigger"),
+    ).filter((F.col("message") != "") & (T.strip("trigger") != "") & ~F.col("message").isin(fixed))
+    known = materialize(known.withColumn("trigger", F.lower("trigger")), "rules")
+    asked = materialize(
+        questions.select(
+            "*",
+            F.monotonically_increasing_id().alias("__key"),
+            F.lower(T.or_empty("text")).alias("__q"),
+            F.lower(T.or_empty("context")).alias("__c"),
+        ),
+        "asked",
+    )
+    texts = asked.select(F.col("__key").alias("key"), F.concat_ws("\n", "__q", "__c").alias("hay"))
+    needles = known.select(F.col("trigger").alias("needle")).distinct().withColumn("words", F.array("needle"))
+    met = occurrences(materialize(texts, "asked-texts"), needles).withColumnRenamed("needle", "trigger")
+    met = met.join(known, "trigger").join(asked.select(F.col("__key").alias("key"), "__q", "__c"), "key")
+    place = F.when(F.col("scope") == "question", F.col("__q")).when(F.col("scope") == "context", F.col("__c"))
+    hit = met.filter(F.col("scope").eqNullSafe("all") | F.contains(place, "trigger"))
+    first = hit.groupBy("key", "message").agg(F.min(F.struct("rule_no", "line")).alias("r"))
+    room = max(limit - len(fixed), 1)
+    order = Window.partitionBy("key").orderBy("r")
+    kept = first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= room)
+    lines = kept.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_list("r")).alias("__r"))
+    head = T.strings([f"- {m}" for m in fixed])
+    rest = F.coalesce(F.transform("__r", lambda r: r["line"]), F.array().cast("array<string>"))
+    return asked.join(lines, "__key", "left").select(*questions.columns, F.concat(head, rest).alias("lines"))

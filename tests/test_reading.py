@@ -1,15 +1,19 @@
 """Lenient records, order of narratives, caps and work done once."""
 
+import time
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from granary import vocab
+from granary.operators import index as I
 from granary.operators import rerank as R
-from granary.operators import routing
+from granary.operators import responses, routing
+from granary.operators import search as S
 from granary.plans.build import build_index
 from granary.plans.retrieve import retrieve
-from granary.sources import records
+from granary.sources import records, tables
 
 
 def written(tmp_path, *lines):
@@ -63,7 +67,8 @@ def test_long_registries_are_no_error(spark):
         F.lit("").alias("summary"),
         F.array(F.concat(F.lit("needle"), F.col("id").cast("string"), F.lit("x"))).alias("keywords"),
     )
-    registry = routing.Registry.of(families)
+    assert isinstance(routing.Registry.of(families), routing.RegistryTables)
+    registry = routing.Registry.of(families, rows=3_000)
     assert len(registry.families) == 3_000
     rules = spark.range(3_000).select(
         F.col("id").cast("int").alias("rule_no"),
@@ -72,9 +77,110 @@ def test_long_registries_are_no_error(spark):
         F.array(F.concat(F.lit("needle"), F.col("id").cast("string"), F.lit("x"))).alias("when_any"),
         F.concat(F.lit("message "), F.col("id").cast("string")).alias("message"),
     )
-    asked = spark.createDataFrame([("about needle2999x and needle5x",)], "question string")
-    lines = asked.select(routing.match_rules(F.col("question"), F.lit(""), routing.rules_of(rules))).first()[0]
+    asked = spark.createDataFrame([("about needle2999x and needle5x", None)], "text string, context string")
+    constants = routing.rules_of(rules, rows=3_000)
+    lines = asked.select(routing.match_rules(F.col("text"), F.lit(""), constants)).first()[0]
     assert lines == ["- [r5] message 5", "- [r2999] message 2999"]
+    assert routing.match_rule_table(asked, rules).first()["lines"] == lines
+    with pytest.raises(ValueError):
+        routing.rules_of(rules)
+
+
+def test_long_registry_equals_constants(spark):
+    """Ten thousand rows joined select what the same rows as constants do."""
+    words = ["ring", "ideal", "of the", "a b", "é", "x"]
+
+    def keywords(i):
+        return [f"key{i}z", f"{words[i % 6]} key{i % 97}z", "" if i % 5 else "  Odd  Case%d" % (i % 50)]
+
+    families = [(i, f"F{i}", f"Family {i % 4_000}", "", keywords(i) if i % 7 else None) for i in range(6_000)]
+    flows = [
+        (i, f"W{i}", f"F{i % 6_500}", f"t{i}", "", keywords(3 * i), [f"m.sym{i}", "Tail"], ["r"], None)
+        for i in range(4_000)
+    ]
+    texts = ["about key12z and key5z of the ring", "prove key3z", "odd case7 a key96z b", "nothing", None, "é key40z x"]
+    rows = [
+        (i, texts[i % 6], ["", "uses m.sym77 and key300z", None][i % 3], ["", "f12", "F5. more", "family 3999", "none"][i % 5])
+        for i in range(30)
+    ]
+    asked = spark.createDataFrame(rows, "n int, text string, context string, family_hint string")
+    f = spark.createDataFrame(families, "family_no int, id string, name string, summary string, keywords array<string>")
+    w = spark.createDataFrame(
+        flows,
+        "workflow_no int, id string, family_id string, title string, summary string, keywords array<string>, "
+        "preferred_symbols array<string>, prompt_rules array<string>, tuning_params array<string>",
+    )
+    few_f, few_w = f.filter("family_no % 40 IN (3, 5, 12, 19)"), w.filter("workflow_no % 40 IN (1, 4, 37, 12)")
+    constants = routing.Registry.of(few_f, few_w, rows=1_000)
+    assert isinstance(constants, routing.Registry)
+    by_constants = routing.choose_workflow(asked, constants).orderBy("n").collect()
+    joined = routing.choose_workflow(asked, routing.RegistryTables(few_f, few_w)).orderBy("n").collect()
+    assert joined == by_constants
+    whole = routing.choose_workflow(asked, routing.Registry.of(f, w)).orderBy("n").collect()
+    assert len(whole) == 30 and {r["family_id"] for r in whole} > {""}
+    alone = routing.choose_workflow(asked.drop("context", "family_hint"), routing.RegistryTables(few_f))
+    assert alone.count() == 30
+
+
+def test_a_build_that_stops_leaves_the_old_index(spark, tmp_path):
+    chunks = spark.createDataFrame(
+        [(i, f"text number{i}", "s", "generated", *[""] * 7, None, None, None, 0) for i in range(20)],
+        "chunk_id long, text string, source string, source_type string, section_title string, symbol_id string, "
+        "module string, qualname string, signature string, kind string, file_path string, page_start int, "
+        "page_end int, line int, example_count int",
+    ).withColumn("summary", F.lit(""))
+    path = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        tables.read_index(spark, path)
+    index = I.lexical_index(chunks)
+    tables.write_index(path, chunks, index, vectors=chunks.select("chunk_id", F.array(F.lit(1.0)).alias("embedding")))
+    broken = chunks.select("chunk_id", F.raise_error(F.lit("stop")).cast("array<double>").alias("embedding"))
+    with pytest.raises(Exception, match="stop"):
+        tables.write_index(path, chunks.limit(3), index, vectors=broken)
+    old, lexical, vectors, meta = tables.read_index(spark, path)
+    assert (old.count(), vectors.count(), meta.first()["posting_block"]) == (20, 20, lexical.width)
+    tables.write_index(path, chunks.limit(3), index)
+    new, lexical, vectors, _ = tables.read_index(spark, path)
+    assert new.count() == 3 and vectors is None and old.count() == 20
+    asked = spark.createDataFrame([(1, "number7")], "query_id long, text string")
+    assert [r["chunk_id"] for r in S.lexical_search(asked, lexical, 3).collect()] == [7]
+
+
+def test_responses_in_one_pass():
+    """Each brace is looked at once: braces without end, and objects inside quotes."""
+    began = time.time()
+    assert responses._object_json("{" * 1_000_000)[0] is None
+    assert responses._object_json("{" * 300_000 + "}" * 300_000)[0] == "{}"
+    assert time.time() - began < 5
+    for text, wanted in (
+        ('say {not json} then {"a": {"b": "}"}} and {"c": 1}', '{"a": {"b": "}"}}'),
+        ('he said "{"a": 1}" twice', '{"a": 1}'),
+        ('{"a": "\\"} {"}', '{"a": "\\"}'),
+        ('{"a": "\""} tail', '{"a": "\""}'),
+    ):
+        assert responses._object_json(text) == (wanted, None)
+
+
+def test_list_scorer_sees_whole_questions(spark):
+    """A scorer that ranks against the rest of its list answers alike for any batch size."""
+    rows = [(q, f"question {q}", i, f"s{(i * 7 + q) % 23}") for q in range(40) for i in range(1, 24)]
+    frame = spark.createDataFrame(rows, "question_id long, question string, rank int, symbol_id string")
+    frame = frame.select("*", *(F.lit("").alias(c) for c in ("qualname", "signature", "summary", "text")))
+
+    def scorer(queries, texts):
+        return [sum(t > other for other in texts) for t in texts]
+
+    def answer(size):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found = R.topn_rerank(frame.repartition(3), scorer, 20).collect()
+        return sorted((r["question_id"], r["rank"], r["symbol_id"]) for r in found)
+
+    try:
+        one = answer("7")
+        assert one == answer("10000") and len(one) == len(rows)
+        assert one[:2] == [(0, 1, "s8"), (0, 2, "s7")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_a_failing_question_leaves_others_ranked(spark):
