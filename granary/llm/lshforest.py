@@ -90,13 +90,13 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(base: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> bytes:
-    """Least values of a shingle set under ``trees`` times ``depth`` permutations."""
+    """Least values of a shingle set under ``trees`` times ``depth`` permutations, 16 bits each."""
     factor, shift = _permutations(trees * depth)
     least = np.full(trees * depth, 0xFFFFFFFF, np.uint32)
     short = (base >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(short), ROWS):
         np.minimum(least, (short[at : at + ROWS, None] * factor ^ shift).min(axis=0), out=least)
-    return least.tobytes()
+    return least.astype(np.uint16).tobytes()
 
 
 def branch_keys(signatures: np.ndarray, depth: int) -> np.ndarray:
@@ -117,7 +117,7 @@ def _branches(rows: DataFrame, depth: int, trees: int, whole: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32)
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16)
             ids = batch.column(0).to_numpy()
             keys = branch_keys(raw.reshape(len(ids), trees, whole), depth)
             if one:
@@ -351,16 +351,14 @@ def near_components(
 
     small = F.col("n") * F.col("others") <= branch_pairs
 
-    def deeper(regions: DataFrame, level: int) -> DataFrame:
-        tree = F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("tree")
-        rows = regions.select("id", tree).join(nodes.select("id", "sig"), "id").select("id", "sig", "tree")
-        return _with_roots(_branches(rows, level, trees, depth), roots)
-
-    rows = members.select("key", "id")
-    regions = _regions(_with_roots(rows, roots)).filter(~small)
+    tree = F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("tree")
+    levels = {least_depth: members.select("key", "id")}
+    regions = _regions(_with_roots(levels[least_depth], roots)).filter(~small)
     met_below = []
     for level in range(least_depth + 1, depth + 1):
-        regions = materialize(_regions(deeper(regions, level)), "prefix-regions")
+        rows = regions.select("id", tree).join(nodes.select("id", "sig"), "id").select("id", "sig", "tree")
+        levels[level] = materialize(_branches(rows, level, trees, depth), "branches")
+        regions = materialize(_regions(_with_roots(levels[level], roots)), "prefix-regions")
         if not regions.limit(1).count():
             break
         met_below.append(_neighbours(regions))
@@ -368,16 +366,14 @@ def near_components(
         stars = _union(met_below).distinct()
         roots = _joined(roots, confirmed(stars, sets, percent))
 
-    rows, found = _with_roots(rows, roots), []
+    found = []
     for level in range(least_depth, depth + 1):
-        regions = materialize(_regions(rows), "regions")
+        regions = materialize(_regions(_with_roots(levels[level], roots)), "regions")
         found.append(materialize(_across(regions.filter(small), sizes, percent), "branch-pairs"))
         large = regions.filter(~small)
         if not large.limit(1).count():
             large = None
             break
-        if level < depth:
-            rows = deeper(large, level + 1)
     links = confirmed(_union(found).distinct(), sets, percent)
     if large is not None:
         links = links.unionByName(tile_links(large, sets, percent))
