@@ -155,8 +155,8 @@ def test_responses_in_one_pass():
     for text, wanted in (
         ('say {not json} then {"a": {"b": "}"}} and {"c": 1}', '{"a": {"b": "}"}}'),
         ('he said "{"a": 1}" twice', '{"a": 1}'),
-        ('{"a": "\\"} {"}', '{"a": "\\"}'),
-        ('{"a": "\""} tail', '{"a": "\""}'),
+        (r'{"a": "\\"} {"}', r'{"a": "\\"}'),
+        (r'{"a": "\""} tail', r'{"a": "\""}'),
     ):
         assert responses._object_json(text) == (wanted, None)
 
