@@ -32,7 +32,7 @@ TREES = 24
 LEAST_DEPTH = 3
 DEPTH = 5
 # Pairs of texts of different components that a branch may name; larger ones go deeper.
-BRANCH_PAIRS = 256
+BRANCH_PAIRS = 128
 # Texts of a side of a tile of a large branch, their shingles, and the shingles in
 # common that are counted at a time.
 TILE_TEXTS = 2_048
@@ -322,8 +322,8 @@ def near_components(
 
     First each text meets one neighbour, the least text of a branch that it shares in
     most orders; this joins large groups without naming their pairs. In branches that
-    are still large, each text then meets one neighbour of every deeper branch it lies
-    in, so those with the longest common prefixes. What lies in different components of
+    are still large, each text then meets one neighbour of every branch of the last
+    depth that it lies in, so those with the longest common prefixes. What lies in different components of
     a branch after that meets there if the branch is small. Larger branches go on at
     the next depth; those that are large at the last depth are compared tile by tile.
     """
@@ -354,16 +354,16 @@ def near_components(
     tree = F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("tree")
     levels = {least_depth: members.select("key", "id")}
     regions = _regions(_with_roots(levels[least_depth], roots)).filter(~small)
-    met_below = []
+    deepest = None
     for level in range(least_depth + 1, depth + 1):
         rows = regions.select("id", tree).join(nodes.select("id", "sig"), "id").select("id", "sig", "tree")
         levels[level] = materialize(_branches(rows, level, trees, depth), "branches")
         regions = materialize(_regions(_with_roots(levels[level], roots)), "prefix-regions")
         if not regions.limit(1).count():
             break
-        met_below.append(_neighbours(regions))
-    if met_below:
-        stars = _union(met_below).distinct()
+        deepest = regions
+    if deepest is not None:
+        stars = _neighbours(deepest)
         roots = _joined(roots, confirmed(stars, sets, percent))
 
     found = []
