@@ -32,7 +32,7 @@ TREES = 24
 LEAST_DEPTH = 3
 DEPTH = 5
 # Pairs of texts of different components that a branch may name; larger ones go deeper.
-BRANCH_PAIRS = 128
+BRANCH_PAIRS = 256
 # Texts of a side of a tile of a large branch, their shingles, and the shingles in
 # common that are counted at a time.
 TILE_TEXTS = 2_048
@@ -299,8 +299,8 @@ def tile_links(
                     if last is not None:
                         yield done()
                     last, sides = own_tile, ([], [])
-                # Sets are sorted as unsigned numbers.
-                sides[other].append((name, root, hashes.values.to_numpy().view(np.uint64)))
+                # Sets are sorted as unsigned numbers. A copy lets the batch go.
+                sides[other].append((name, root, hashes.values.to_numpy().view(np.uint64).copy()))
         if last is not None:
             yield done()
 
