@@ -374,9 +374,9 @@ def filter_short_docs(src):
     return X.filter_short_docs(src.table("documents")).select("doc_id", "n_chars")
 
 
-@register(
-    "extract_refs",
-    r"""WITH t AS (SELECT doc_id, text,
+# References of texts (doc_id, text) in order; ``o`` holds each once with n = 1.
+REFS_SQL = r"""
+      t AS (SELECT doc_id, text,
           regexp_extract_all(text, ':(?:meth|func|class|mod|attr|obj|data|exc):`~?([^`]+)`', 1)
             AS roles,
           regexp_extract_all(text, 'sage:\s*from\s+([\w.]+)\s+import\s+([^\n]+)', 1) AS mods,
@@ -403,7 +403,12 @@ def filter_short_docs(src):
           AND NOT (kind = 2 AND ref LIKE '\_%' ESCAPE '\')
           AND NOT (kind = 3 AND NOT regexp_matches(ref, '^[A-Z]'))),
       o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(ref) ORDER BY kind, i, j)
-          AS n FROM f)
+          AS n FROM f)"""
+
+
+@register(
+    "extract_refs",
+    "WITH " + REFS_SQL.strip() + """
       SELECT doc_id, coalesce(string_agg(ref, ' ' ORDER BY kind, i, j), '') AS refs
       FROM {documents} LEFT JOIN (SELECT * FROM o WHERE n = 1) AS k USING (doc_id)
       GROUP BY doc_id""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.catalog.base import CHECK_ONLY, VIEWS, register
-from granary.catalog.chunks import MERGED_SQL, MERGED_TEXT, SECTIONS_SQL
+from granary.catalog.chunks import MERGED_SQL, MERGED_TEXT, REFS_SQL, SECTIONS_SQL
 from granary.catalog.ranking import feature_views, length_scorer
 from granary.catalog.routes import NAMES, any_of, registry
 from granary.catalog.search import index_of, long, quota_sql
@@ -15,6 +15,7 @@ from granary.operators import extract as X
 from granary.operators import graph as G
 from granary.plans import answer as A
 from granary.plans import build as B
+from granary.plans import narratives as N
 from granary.runtime import scratch_path
 from granary.schemas import NARRATIVE_SCHEMA
 from granary.sources import config, records, tables
@@ -565,4 +566,88 @@ def narrative_sections(src):
     docs = src.view("v_headed").select(
         "module", F.col("text").alias("docstring"), F.lit("x.py").alias("source_file")
     )
-    return X.narrative_sections(docs, "quarry")
+    return X.narrative_sections(docs, "quarry").drop("section_no")
+
+
+# Module texts with headings and references to the symbols of the chunks.
+VIEWS["v_modules"] = r"""
+    SELECT doc_id, concat(lang, '.d', CAST(doc_id AS STRING)) AS module,
+      concat('root/', lang, '/d', CAST(doc_id AS STRING), '.py') AS path,
+      concat('Module ', replace(replace(replace(replace(replace(replace(replace(replace(replace(text,
+        chr(34), ''), chr(92), ''),
+        '. ', concat('.', chr(10))),
+        ' the ', concat(chr(10), 'sage: obj.op_', CAST(doc_id % 60 AS STRING), ' (x) ')),
+        ' and ', concat(chr(10), '.. rubric:: And ')),
+        ' de ', concat(chr(10), chr(10), 'De', chr(10), '===', chr(10))),
+        ' la ', concat(' :class:`~Cls1.op_', CAST(doc_id % 50 AS STRING),
+          '` :meth:` MOD_EN.Cls2.op_9() ` ')),
+        ' die ', concat(chr(10), 'sage: from pack.mod import Cls3, op_3, * ', chr(10))),
+        ' und ', concat(chr(10), 'sage: Cls5 (2) '))) AS text
+    FROM {documents}"""
+_MODULE_ROWS = f"""WITH {SECTIONS_SQL.strip().replace("{v_headed}", "{v_modules}")},
+      {MERGED_SQL},
+      merged AS (SELECT doc_id * 100000 + g AS doc_id, doc_id AS module_id,
+          arg_min(title, no) AS section_title, {MERGED_TEXT} AS text FROM c GROUP BY doc_id, g),
+      kept AS (SELECT s.*, d.module, path FROM merged AS s JOIN {{v_modules}} AS d
+          ON d.doc_id = module_id WHERE length(d.text) >= 300 AND module_id % 10 <> 4),
+      {REFS_SQL.strip().replace("{v_narrative_text}", "kept")},
+      records AS (SELECT seq, symbol_id, qualname FROM {{v_pre}}),
+      exact AS (SELECT text, arg_max(symbol_id, seq * 2 + nth) AS symbol_id FROM (
+          SELECT seq, 0 AS nth, lower(symbol_id) AS text, symbol_id FROM records
+          UNION ALL SELECT seq, 1, lower(qualname), symbol_id FROM records) AS i GROUP BY text),
+      ends AS (SELECT DISTINCT lower(split_part(qualname, '.', -1)) AS tail, symbol_id FROM records),
+      places AS (SELECT symbol_id, min(seq) AS seq FROM records GROUP BY symbol_id),
+      one AS (SELECT doc_id, ref, row_number() OVER (PARTITION BY doc_id ORDER BY kind, i, j) AS pos,
+          lower(regexp_replace(trim(ref), '\\(\\)$', '')) AS whole FROM o WHERE n = 1),
+      hits AS (SELECT doc_id, pos, symbol_id FROM one JOIN exact ON exact.text = whole
+        UNION ALL SELECT doc_id, pos, symbol_id FROM one
+          JOIN ends ON tail = split_part(whole, '.', -1) WHERE whole NOT IN (SELECT text FROM exact)),
+      found AS (SELECT doc_id, string_agg(symbol_id, '|' ORDER BY pos, seq) AS resolved,
+          count(*) AS resolved_count FROM (SELECT doc_id, symbol_id, min(pos) AS pos FROM hits
+            GROUP BY doc_id, symbol_id) AS h JOIN places USING (symbol_id) GROUP BY doc_id),
+      said AS (SELECT doc_id, string_agg(ref, '|' ORDER BY pos) AS refs FROM one GROUP BY doc_id)
+      SELECT 'narrative:' || module || ':' || CASE WHEN slug = '' THEN 'untitled'
+          ELSE substr(slug, 1, 60) END AS section_id, module, section_title, text,
+        path AS source_file, coalesce(refs, '') AS refs, coalesce(resolved, '') AS resolved,
+        coalesce(resolved_count, 0) AS resolved_count
+      FROM (SELECT *, trim(regexp_replace(lower(section_title), '[^a-z0-9]+', '_', 'g'), '_')
+          AS slug FROM kept) AS k LEFT JOIN said USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def module_files(src):
+    """Source files whose docstrings are the module texts; some do not parse."""
+    rows = src.view("v_modules")
+    broken = F.when(F.col("doc_id") % 10 == 4, "def broken(:\n").otherwise("")
+    quotes = F.lit('"""')
+    return rows.select(
+        "doc_id", "path", F.concat(broken, quotes, "text", quotes, F.lit("\n\nx = 1\n")).alias("source")
+    )
+
+
+def chunk_records(src):
+    return G.chunk_symbols(src.view("v_chunks"))
+
+
+@register("extract_narratives", _MODULE_ROWS)
+def extract_narratives(src):
+    """Whole documents as module docstrings: parsed, cut, merged, referenced, resolved."""
+    made = N.extract_narratives(module_files(src), chunk_records(src), "pack", "root", "root")
+    return _flat_sections(made)
+
+
+@register("refresh_narratives", _MODULE_ROWS)
+def refresh_narratives(src):
+    """The same from a store that saw two thirds of the files before, some of them
+    with other texts, and files that are gone since."""
+    path = scratch_path(src.spark, "narratives")
+    now = module_files(src).withColumn("modificationTime", F.timestamp_seconds(F.col("doc_id") % 5 + 100))
+    gone = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("root/gone/"), "doc_id")).otherwise("")
+    old = F.col("doc_id") % 5 == 1
+    before = now.filter("doc_id % 3 <> 0").select(
+        F.when(gone != "", F.concat(gone, F.lit(".py"))).otherwise(F.col("path")).alias("path"),
+        F.when(old, F.replace("source", F.lit("e"), F.lit("E"))).otherwise(F.col("source")).alias("source"),
+        F.when(old, F.timestamp_seconds(F.lit(50))).otherwise(F.col("modificationTime")).alias("modificationTime"),
+    )
+    for files in (before, now.drop("doc_id")):
+        N.refresh_narratives(files, path, "pack", "root", "root")
+    return _flat_sections(N.read_narratives(src.spark, path, chunk_records(src)))

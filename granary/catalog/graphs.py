@@ -77,6 +77,26 @@ def resolve_refs(src):
     return G.resolve_refs(src.view("v_refs"), nodes(src))
 
 
+@register(
+    "resolve_ref_classes",
+    f"""WITH m AS ({_MATCHES.format(refs="{v_refs}").replace("{{", "{").replace("}}", "}")})
+       SELECT 'asked' AS part, ref AS name, lower(trim(ref)) AS value, -1 AS priority FROM {{v_refs}}
+       WHERE trim(ref) <> ''
+       UNION ALL SELECT 'member', lower(trim(ref)), key, min(priority) FROM m GROUP BY 2, 3""",
+)
+def resolve_ref_classes(src):
+    """References by the text they spell, and the symbols of every text once."""
+    asked, members = G.ref_classes(src.view("v_refs"), nodes(src))
+    return asked.select(
+        F.lit("asked").alias("part"), F.col("ref").alias("name"), F.col("text").alias("value"),
+        F.lit(-1).alias("priority"),
+    ).unionByName(
+        members.select(
+            F.lit("member").alias("part"), F.col("text").alias("name"), F.col("key").alias("value"), "priority"
+        )
+    )
+
+
 CHECK_ONLY["v_index"] = """
     SELECT text, arg_max(symbol_id, seq * 2 + nth) AS symbol_id FROM (
       SELECT seq, 0 AS nth, lower(symbol_id) AS text, symbol_id FROM {v_records}
@@ -344,7 +364,13 @@ def read_graph(src):
     from granary.sources import tables
 
     path = scratch_path(src.spark, "graph")
-    tables.write_graph(path, graph_of(src))
+    made = graph_of(src)
+
+    def stray(rows):
+        """Rows of symbols that no node has, which reading drops."""
+        return rows.unionByName(rows.withColumn("key", F.concat(F.lit("gone:"), "key")))
+
+    tables.write_graph(path, G.SymbolGraph(stray(made.entries), made.nodes, stray(made.seeds), made.edges))
     graph = tables.read_graph(src.spark, path)
     kept = [
         graph.nodes.select(F.lit("node").alias("part"), F.col("key").alias("a"), F.col("symbol_id").alias("b")),
@@ -435,6 +461,50 @@ def methods_of(src):
     return G.methods_of(names, pre_entries(src))
 
 
+@register(
+    "read_precondition_graph",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY seq DESC) AS last,
+           min(seq) OVER (PARTITION BY symbol_id) AS first_seq FROM {v_pre})
+       SELECT 'node' AS part, symbol_id AS name, first_seq AS seq, qualname || '|' || module || '|'
+           || kind || '|' || owner_class || '|' || tail || '|' || coalesce(statement, '') AS value
+         FROM n LEFT JOIN {v_imports} AS i ON i.name = split_part(qualname, '.', 1) WHERE last = 1
+       UNION ALL SELECT 'tail', ' ' || tail, seq, symbol_id FROM {v_pre}
+       UNION ALL SELECT 'method', owner_class, seq, symbol_id FROM {v_pre} WHERE kind = 'method'
+       UNION ALL SELECT 'class', name, -1, arg_min(symbol_id, first_seq) FROM (
+         SELECT DISTINCT CASE seq % 2 WHEN 0 THEN qualname ELSE tail END AS name FROM {v_pre}) AS k
+       JOIN n ON last = 1 AND kind = 'class'
+         AND (qualname = k.name OR ends_with(qualname, '.' || k.name)) GROUP BY 2""",
+)
+def read_precondition_graph(src):
+    """The stored graph: its nodes, and what its three lookups give."""
+    from granary.runtime import scratch_path
+    from granary.sources import tables
+
+    path = scratch_path(src.spark, "preconditions")
+    tables.write_precondition_graph(path, pre_entries(src), "symbols.jsonl")
+    graph = tables.read_precondition_graph(src.spark, path)
+    fields = ("qualname", "module", "kind", "owner_class", "tail", "import_statement")
+    classes = graph.class_node(
+        graph.tails.join(graph.nodes.select("symbol_id", "qualname"), "symbol_id").select(
+            F.when(F.col("seq") % 2 == 0, F.col("qualname")).otherwise(F.col("tail")).alias("name")
+        )
+    )
+    owners = src.sql(
+        "SELECT DISTINCT concat('Cls', CAST(chunk_id % 9 AS STRING)) AS name FROM {v_chunks}"
+    )
+    ends = tails(src).select(F.concat(F.lit(" "), F.col("name")).alias("name"))
+    parts = {
+        "node": graph.nodes.select(
+            F.col("symbol_id").alias("name"), F.col("first_seq").alias("seq"), F.concat_ws("|", *fields).alias("value")
+        ),
+        "tail": graph.lookup_by_tail(ends).withColumnRenamed("symbol_id", "value"),
+        "method": graph.methods_of(owners).withColumnRenamed("symbol_id", "value"),
+        "class": classes.select("name", F.lit(-1).cast("long").alias("seq"), F.col("symbol_id").alias("value")),
+    }
+    rows = [df.select(F.lit(part).alias("part"), "name", "seq", "value") for part, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 # Texts that import one of the names in some documents.
 VIEWS["v_code"] = """
     SELECT doc_id AS text_id, concat(CASE doc_id % 3 WHEN 0 THEN concat('from pack import the',

@@ -101,25 +101,34 @@ def normalize_extensions(raw: str | Iterable[str]) -> list[str]:
     return sorted({c if c.startswith(".") else f".{c}" for c in clean})
 
 
+def _below(files: DataFrame, root: str, extensions: str | Iterable[str]) -> DataFrame:
+    """Files with one of the suffixes, and their ``path`` below the root for ``full``."""
+    wanted = F.lit(False)
+    for suffix in normalize_extensions(extensions):
+        wanted = wanted | F.endswith(F.lower("full"), F.lit(suffix))
+    base = root.rstrip("/").split("://")[-1].lstrip("/")
+    return files.filter(wanted).withColumn("path", F.substring_index("full", base + "/", -1))
+
+
 def scan_source_tree(
     spark: SparkSession, root: str, extensions: str | Iterable[str] = (".py", ".pyx", ".spyx")
 ) -> DataFrame:
     """(path, source, modificationTime) of the files under a root, path relative."""
-    suffixes = normalize_extensions(extensions)
-    files = (
-        spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-        .select(
-            F.col("_metadata.file_path").alias("full"),
-            F.col("_metadata.file_modification_time").alias("modificationTime"),
-            F.col("value").alias("source"),
-        )
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("full"),
+        F.col("_metadata.file_modification_time").alias("modificationTime"),
+        F.col("value").alias("source"),
     )
-    wanted = F.lit(False)
-    for suffix in suffixes:
-        wanted = wanted | F.endswith(F.lower("full"), F.lit(suffix))
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    relative = F.substring_index("full", base + "/", -1)
-    return files.filter(wanted).select(relative.alias("path"), "source", "modificationTime")
+    return _below(files, root, extensions).select("path", "source", "modificationTime")
+
+
+def list_source_tree(
+    spark: SparkSession, root: str, extensions: str | Iterable[str] = (".py", ".pyx", ".spyx")
+) -> DataFrame:
+    """(path, modificationTime) of the same files, none of which is opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.load(root).select(F.col("path").alias("full"), "modificationTime")
+    return _below(files, root, extensions).select("path", "modificationTime")
 
 
 SYMBOL_FIELDS = (

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.operators.graph import SymbolGraph
+from granary.operators.graph import (
+    SymbolGraph,
+    class_node,
+    lookup_by_tail,
+    methods_of,
+    precondition_nodes,
+)
 from granary.operators.index import LexicalIndex
 from granary.schemas import chunk_row
 from granary.sources.records import path_exists
@@ -58,7 +65,7 @@ def coerce_chunks(rows: DataFrame) -> DataFrame:
 POINTER = "current"
 
 
-def _current(spark: SparkSession, path: str) -> str | None:
+def current_version(spark: SparkSession, path: str) -> str | None:
     """Folder of the version that readers see; a finished version is named by the
     pointer table, so one that was left half way is never read."""
     if not path_exists(spark, f"{path}/{POINTER}"):
@@ -68,7 +75,7 @@ def _current(spark: SparkSession, path: str) -> str | None:
     return None if last is None else f"{path}/{last['folder']}"
 
 
-def _publish(spark: SparkSession, path: str, folder: str) -> None:
+def publish_version(spark: SparkSession, path: str, folder: str) -> None:
     """Append the version to the pointer table: one small file, committed by rename."""
     known = 0
     if path_exists(spark, f"{path}/{POINTER}"):
@@ -108,7 +115,7 @@ def write_index(
         vectors.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{to}/vectors")
     meta = index_meta(spark, sources or [], created_at).withColumn("posting_block", F.lit(lexical.width))
     meta.write.parquet(f"{to}/meta")
-    _publish(spark, path, folder)
+    publish_version(spark, path, folder)
     return to
 
 
@@ -116,7 +123,7 @@ def read_index(
     spark: SparkSession, path: str
 ) -> tuple[DataFrame, LexicalIndex, DataFrame | None, DataFrame]:
     """(chunks, lexical index, vectors or None, metadata) of the current version."""
-    at = _current(spark, path)
+    at = current_version(spark, path)
     if at is None:
         raise FileNotFoundError(f"index not found: {path}")
     chunks = coerce_chunks(spark.read.parquet(f"{at}/chunks"))
@@ -128,21 +135,131 @@ def read_index(
     return chunks, lexical, vectors, meta
 
 
-def write_graph(path: str, graph: SymbolGraph) -> None:
-    graph.entries.write.mode("overwrite").parquet(f"{path}/entries")
-    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    graph.seeds.write.mode("overwrite").parquet(f"{path}/seeds")
+def write_graph(path: str, graph: SymbolGraph) -> str:
+    """All tables of a graph as one version; readers see it once it is complete."""
+    folder = f"graph-{uuid.uuid4().hex}"
+    to = f"{path}/{folder}"
+    graph.entries.write.parquet(f"{to}/entries")
+    graph.nodes.write.parquet(f"{to}/nodes")
+    graph.seeds.write.parquet(f"{to}/seeds")
     if graph.edges is not None:
-        graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
+        graph.edges.write.parquet(f"{to}/edges")
+    publish_version(graph.nodes.sparkSession, path, folder)
+    return to
 
 
 def read_graph(spark: SparkSession, path: str) -> SymbolGraph:
     """Graph tables; seeds and group members of unknown symbols are dropped."""
-    nodes = spark.read.parquet(f"{path}/nodes")
+    at = current_version(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"graph not found: {path}")
+    nodes = spark.read.parquet(f"{at}/nodes")
     known = nodes.select("key")
-    entries = spark.read.parquet(f"{path}/entries").join(known, "key", "left_semi")
-    seeds = spark.read.parquet(f"{path}/seeds").join(known, "key", "left_semi")
+    entries = spark.read.parquet(f"{at}/entries").join(known, "key", "left_semi")
+    seeds = spark.read.parquet(f"{at}/seeds").join(known, "key", "left_semi")
     edges = None
-    if path_exists(spark, f"{path}/edges"):
-        edges = spark.read.parquet(f"{path}/edges")
+    if path_exists(spark, f"{at}/edges"):
+        edges = spark.read.parquet(f"{at}/edges")
     return SymbolGraph(entries, nodes, seeds, edges)
+
+
+# ---- precondition graph ---------------------------------------------------------------
+
+# Folders that a table of names is dealt to, and files that share one of them, so
+# that a name which most records have is not written by one task.
+NAME_BUCKETS = 64
+BUCKET_FILES = 4
+
+
+@dataclass(frozen=True)
+class PreconditionGraph:
+    """Stored tables of symbol preconditions.
+
+    ``nodes`` (one row per symbol) and ``tails`` (one per record) lie in folders by
+    their tail, ``methods`` by their class; a lookup reads the folders of its names.
+    """
+
+    nodes: DataFrame
+    tails: DataFrame
+    methods: DataFrame
+    meta: DataFrame
+    buckets: int
+
+    def _of(self, table: DataFrame, names: DataFrame, key: Column) -> DataFrame:
+        """The folders of a table that can hold one of the names; the driver sees
+        their numbers only, of which there are at most ``buckets``."""
+        wanted = names.select(_bucket(key, self.buckets).alias("bucket")).distinct().collect()
+        return table.filter(F.col("bucket").isin([row["bucket"] for row in wanted]))
+
+    def lookup_by_tail(self, names: DataFrame) -> DataFrame:
+        """(name, seq, symbol_id): every record that ends in the name."""
+        return lookup_by_tail(names, self._of(self.tails, names, T.strip("name")))
+
+    def class_node(self, names: DataFrame) -> DataFrame:
+        """(name, symbol_id): the first class whose dotted name ends in the name.
+        Such a class has the tail of the name, so it lies in that folder."""
+        return class_node(names, self._of(self.nodes, names, T.tail_of("name")))
+
+    def methods_of(self, names: DataFrame) -> DataFrame:
+        """(name, seq, symbol_id): methods of a class."""
+        return methods_of(names, self._of(self.methods, names, T.strip("name")))
+
+
+def _bucket(name: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(name, F.lit(""))), F.lit(buckets)).cast("int")
+
+
+def write_precondition_graph(
+    path: str,
+    entries: DataFrame,
+    source_path: str = "",
+    created_at: str | None = None,
+    buckets: int = NAME_BUCKETS,
+) -> str:
+    """Nodes, tails and class methods of ``precondition_entries`` as one version.
+
+    An interrupted write is never read. Records without a class are in no method
+    table; an empty table of entries gives an empty graph.
+    """
+    spark = entries.sparkSession
+    folder = f"preconditions-{uuid.uuid4().hex}"
+    to = f"{path}/{folder}"
+
+    def store(rows: DataFrame, name: str, key: str) -> None:
+        dealt = rows.withColumn("bucket", _bucket(F.col(key), buckets)).withColumn(
+            "__file", F.pmod(F.xxhash64("symbol_id", F.lit("file")), F.lit(BUCKET_FILES))
+        )
+        spread_rows = dealt.repartition("bucket", "__file").drop("__file")
+        spread_rows.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{to}/{name}")
+
+    store(precondition_nodes(entries), "nodes", "tail")
+    store(entries.select("tail", "seq", "symbol_id"), "tails", "tail")
+    methods = entries.filter("kind = 'method' AND owner_class <> ''")
+    store(methods.select("owner_class", "kind", "seq", "symbol_id"), "methods", "owner_class")
+    meta = index_meta(spark, [source_path], created_at).select(
+        "version", "created_at", F.lit(source_path).alias("source_path"), F.lit(buckets).alias("buckets")
+    )
+    meta.write.parquet(f"{to}/meta")
+    publish_version(spark, path, folder)
+    return to
+
+
+_NODES = (
+    "first_seq long, symbol_id string, qualname string, module string, kind string, "
+    "owner_class string, owner_qualname string, tail string, import_statement string, bucket int"
+)
+_TAILS = "tail string, seq long, symbol_id string, bucket int"
+_METHODS = "owner_class string, kind string, seq long, symbol_id string, bucket int"
+
+
+def read_precondition_graph(spark: SparkSession, path: str) -> PreconditionGraph:
+    """The current version of a stored precondition graph."""
+    at = current_version(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"precondition graph not found: {path}")
+    meta = spark.read.parquet(f"{at}/meta")
+    nodes, tails, methods = (
+        spark.read.schema(ddl).parquet(f"{at}/{name}")
+        for name, ddl in (("nodes", _NODES), ("tails", _TAILS), ("methods", _METHODS))
+    )
+    return PreconditionGraph(nodes, tails, methods, meta, meta.select("buckets").first()[0])
