@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import local_rows
-from granary.runtime import materialize
+from granary.runtime import BROADCAST_ROWS, at_most, materialize, with_position
 
-# Bins of one histogram pass of a weighted median, per node.
-BINS = 256
+# Bins of one histogram pass of a weighted median, per node. Every pass reads all
+# points, and the bins of a node are few rows of one window.
+BINS = 4_096
 # A cut is good enough once its bin weighs less than this part of a shard.
 TOLERANCE = 1 / 500
 # Groups above this part of a shard are dealt as several points.
@@ -37,10 +38,22 @@ class Node:
     shards: int
 
 
-def text_rank(value: Column) -> Column:
-    """First seven bytes of a text as a number, in text order; NULL ranks lowest."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(value, F.lit("")), "utf-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def with_ranks(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Text columns replaced by their places among the distinct values, in text order.
+
+    Whole values are compared, so names with a common beginning stay apart; NULL
+    ranks with the empty text. Places are broadcast while they are few, and a long
+    list is numbered by range partitions and joined.
+    """
+    for name in names:
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        rows = rows.withColumn(name, value)
+        values = materialize(rows.select(name).distinct(), "values")
+        few = at_most(values, BROADCAST_ROWS)
+        ranks = with_position(values, [name], "__rank", partitions=1 if few else None)
+        joined = rows.join(F.broadcast(ranks) if few else ranks, name)
+        rows = joined.withColumn(name, F.col("__rank").cast("long")).drop("__rank")
+    return rows
 
 
 def measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -105,20 +118,15 @@ def _points(rows: DataFrame, dims: list[Column], limit: int) -> tuple[DataFrame,
     return materialize(points.select("__group", "piece", "bytes", *coordinates), "points"), big
 
 
-def _route(points: DataFrame, cuts: list[DataFrame], names: list[str]) -> DataFrame:
-    """Points with the node they belong to after the given levels of cuts."""
-    placed = points.withColumn("node", F.lit(0))
-    axis = F.array(*names)
-    for level in cuts:  # one row per node, so bounded by the number of shards
-        side = F.get(axis, F.col("axis")) > F.col("cut")
-        placed = (
-            placed.join(F.broadcast(level), "node", "left")
-            .withColumn(
-                "node", F.when(side, F.col("right")).otherwise(F.coalesce("left", F.col("node")))
-            )
-            .drop("axis", "cut", "left", "right")
-        )
-    return placed
+def _below(placed: DataFrame, level: DataFrame, names: list[str]) -> DataFrame:
+    """Points with the node they belong to after one more level of cuts."""
+    side = F.get(F.array(*names), F.col("axis")) > F.col("cut")
+    # One row per node, so bounded by the number of shards.
+    return (
+        placed.join(F.broadcast(level), "node", "left")
+        .withColumn("node", F.when(side, F.col("right")).otherwise(F.coalesce("left", F.col("node"))))
+        .drop("axis", "cut", "left", "right")
+    )
 
 
 def _medians(placed: DataFrame, wanted: list[dict], shard_bytes: float, names: list[str]) -> dict[int, int]:
@@ -169,12 +177,12 @@ def _medians(placed: DataFrame, wanted: list[dict], shard_bytes: float, names: l
 
 def _leaves(points: DataFrame, shards: int, shard_bytes: float, names: list[str]) -> DataFrame:
     """(group, piece, shard) of every point. The tree itself has a few numbers
-    per shard and is the only thing the driver holds."""
+    per shard and is the only thing the driver holds. Points are written with
+    their node at every level, so no pass repeats the levels above it."""
     spark = points.sparkSession
     nodes = {0: Node(0, shards)}
-    cuts: list[DataFrame] = []
+    placed = points.withColumn("node", F.lit(0))
     while any(n.shards > 1 for n in nodes.values()):
-        placed = _route(points, cuts, names)
         extents = (
             placed.groupBy("node")
             .agg(F.sum("bytes").alias("bytes"), *(F.struct(F.min(n), F.max(n)).alias(n) for n in names))
@@ -202,10 +210,11 @@ def _leaves(points: DataFrame, shards: int, shard_bytes: float, names: list[str]
             following[free + 1] = Node(node.first + half, node.shards - half)
             free += 2
         if level:
-            cuts.append(local_rows(spark, level, "node int, axis int, cut long, left int, right int"))
+            cuts = local_rows(spark, level, "node int, axis int, cut long, left int, right int")
+            placed = materialize(_below(placed, cuts, names), "placed")
         nodes = following
     firsts = local_rows(spark, [(k, n.first) for k, n in nodes.items()], "node int, shard int")
-    return _route(points, cuts, names).join(F.broadcast(firsts), "node").select("__group", "piece", "shard")
+    return placed.join(F.broadcast(firsts), "node").select("__group", "piece", "shard")
 
 
 def kd_shards(
@@ -228,16 +237,17 @@ def kd_shards(
     """
     given = docs.drop("size", "text_crc32", "shard", "slot")
     rows = measured(given, doc_id, text)
+    ranked = [f"__d{i}" for i in range(len(dims))]
     narrow = materialize(
-        rows.select(
-            "__size", "__group", "__deal", *(text_rank(F.col(d)).alias(f"__d{i}") for i, d in enumerate(dims))
+        with_ranks(
+            rows.select("__size", "__group", "__deal", *(F.col(d).alias(n) for d, n in zip(dims, ranked))), ranked
         ),
         "sizes",
     )
     total, count = narrow.agg(F.sum("__size"), F.count("*")).first()
     shards = shards or max(1, -(-(total or 0) // (target_bytes or total or 1)))
     shard_bytes = max(1.0, (total or 0) / shards)
-    axes = [F.col("__size"), *(F.col(f"__d{i}") for i in range(len(dims)))]
+    axes = [F.col("__size"), *map(F.col, ranked)]
     points, big = _points(narrow, axes, max(1, int(shard_bytes * PIECE)))
     leaves = materialize(_leaves(points, shards, shard_bytes, [f"d{i}" for i in range(len(axes))]), "leaves")
     # Groups are cut into pieces before the join, so no key is heavy.

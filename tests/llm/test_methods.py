@@ -579,3 +579,25 @@ def test_pipeline_is_its_stages(spark):
         "mixing",
         "sharding",
     ]
+
+
+def test_names_with_a_common_beginning_are_split(spark):
+    """Sixteen sources that differ after 20 letters, equal sizes: each shard holds few of them."""
+    rows = [(i, f"{i:08d}", "en", f"commoncrawl-archive-{i % 16:02d}") for i in range(640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    held = {}
+    for r in kdtree.kd_shards(docs, shards=16).collect():
+        held.setdefault(r["shard"], set()).add(r["source"])
+    assert len(held) == 16
+    assert max(map(len, held.values())) <= 2
+
+
+@pytest.mark.parametrize("few", [1, 1_000])
+def test_ranks_of_whole_values(spark, monkeypatch, few):
+    monkeypatch.setattr(kdtree, "BROADCAST_ROWS", few)
+    values = ["b", None, "", "abcdefgh2", "abcdefgh1", "ä", "b", "aaaaaaaaaaaaaaaaaaaab", "aaaaaaaaaaaaaaaaaaaaa"]
+    docs = spark.createDataFrame([(i, v, "x") for i, v in enumerate(values)], "i long, a string, b string")
+    got = {r["i"]: (r["a"], r["b"]) for r in kdtree.with_ranks(docs, ["a", "b"]).collect()}
+    order = sorted({(v or "").encode() for v in values})
+    assert got == {i: (order.index((v or "").encode()), 0) for i, v in enumerate(values)}
+    assert kdtree.with_ranks(docs.limit(0), ["a"]).count() == 0
