@@ -8,7 +8,7 @@ from granary import vocab
 from granary.catalog.base import CHECK_ONLY, VIEWS, register
 from granary.catalog.chunks import MERGED_SQL, MERGED_TEXT, REFS_SQL, SECTIONS_SQL
 from granary.catalog.ranking import feature_views, length_scorer
-from granary.catalog.routes import NAMES, any_of, registry
+from granary.catalog.routes import NAMES, any_of, complexity_sql, registry
 from granary.catalog.search import index_of, long, quota_sql
 from granary.functions import text as T
 from granary.operators import extract as X
@@ -484,6 +484,56 @@ def retry_retrieve(src):
     return long(found.withColumn("score", F.round("score", 6)), "rank")
 
 
+CHECK_ONLY["v_short_complexity"] = complexity_sql("SELECT question_id, text FROM {v_short_asks}")
+CHECK_ONLY["v_states"] = f"""
+    SELECT *, CASE WHEN route_mode IN ('plan', 'auto_fast') THEN 0 ELSE 1 END AS budget FROM (
+      SELECT question_id, text, confidence, CASE WHEN mode <> 'auto' THEN mode WHEN no_pdf THEN 'plan'
+          WHEN score <= 3 AND confidence >= 0.60 THEN 'auto_fast'
+          WHEN score <= 6 AND confidence >= 0.30 THEN 'auto' ELSE 'plan' END AS route_mode,
+        CASE WHEN mode = 'fast' THEN '{vocab.ROUTE_REASONS["fast_asked"]}'
+          WHEN mode = 'plan' THEN '{vocab.ROUTE_REASONS["plan_asked"]}'
+          WHEN no_pdf THEN '{vocab.ROUTE_REASONS["plan_pdf"]}'
+          WHEN score <= 3 AND confidence >= 0.60 THEN '{vocab.ROUTE_REASONS["auto_fast"]}'
+          WHEN score <= 6 AND confidence >= 0.30 THEN '{vocab.ROUTE_REASONS["auto"]}'
+          ELSE '{vocab.ROUTE_REASONS["plan"]}' END AS reason
+      FROM (SELECT q.question_id, q.text, score, coalesce(CASE WHEN symbols >= 2
+            THEN least(1.0::DOUBLE, mean + 0.03::DOUBLE) ELSE mean END, 0.0::DOUBLE) AS confidence,
+          {any_of("lower(q.text)", vocab.DOCUMENT_MARKERS)} AND NOT coalesce(has_pdf, FALSE) AS no_pdf,
+          CASE q.question_id % 5 WHEN 0 THEN 'fast' WHEN 1 THEN 'plan' ELSE 'auto' END AS mode
+        FROM {{v_short_asks}} AS q JOIN {{v_short_complexity}} AS c ON c.question_id = q.question_id
+          LEFT JOIN (SELECT question_id,
+              avg(CASE WHEN rank > 4 THEN NULL WHEN score <= 0 THEN 0.0::DOUBLE WHEN score <= 1
+                THEN score ELSE score / (score + 1) END) AS mean,
+              count(*) FILTER (WHERE rank <= 4 AND source_type = 'generated') AS symbols,
+              bool_or(source_type = 'pdf') AS has_pdf
+            FROM {{v_flow_top}} JOIN {{v_chunks}} USING (chunk_id) WHERE rank <= 5
+            GROUP BY question_id) AS r ON r.question_id = q.question_id) AS f) AS s"""
+CHECK_ONLY["v_open_asks"] = CHECK_ONLY["v_second_asks"].replace(
+    "WHERE question_id % 2 = 1", "WHERE question_id IN (SELECT question_id FROM {v_states} WHERE budget > 0)"
+)
+flow_views("open", "v_open_asks")
+
+
+@register(
+    "route_questions",
+    f"""SELECT c.*, route_mode, reason, round(confidence, 6) AS confidence, budget,
+          CASE WHEN budget > 0 THEN 2 ELSE 1 END AS passes FROM ({collected_sql(
+              """SELECT question_id, chunk_id, score, rank, 1 AS pass_no, '1' AS step_id FROM {v_flow_top}
+              UNION ALL SELECT question_id, chunk_id, score, rank, 2, '2' FROM {v_open_top}"""
+          )}) AS c JOIN {{v_states}} AS s ON s.question_id = c.question_id""",
+)
+def route_questions(src):
+    """Whole benchmark texts as fast, planned and automatic questions, each with its state."""
+    mode = F.when(F.col("question_id") % 5 == 0, "fast").when(F.col("question_id") % 5 == 1, " Plan")
+    asks = short_asks(src).withColumn("mode", mode)
+    states, results = A.route_questions(
+        asks, index_of(src, dense=False), registry(src), A.Settings(names=NAMES)
+    )
+    rows = results.join(states.drop("mode", "escalated"), "question_id")
+    rows = rows.withColumn("score", F.round("score", 6)).withColumn("confidence", F.round("confidence", 6))
+    return long(rows, "rank", "budget", "passes")
+
+
 # Plans of three steps per question with decisions on some of them.
 VIEWS["v_steps"] = """
     SELECT item_id AS question_id, position, position * 10 AS step_id,

@@ -249,3 +249,139 @@ def plan_retrieve(
         .withColumnRenamed("position", "pass_no")
     )
     return collect_passes(rows, cap)
+
+
+STATE_COLUMNS = (
+    "question_id", "mode", "route_mode", "reason", "confidence", "budget", "passes", "escalated",
+)
+
+
+def route_states(
+    questions: DataFrame,
+    first: DataFrame,
+    index: CorpusIndex,
+    options: Settings = Settings(),
+    max_retries: int = 1,
+) -> DataFrame:
+    """One state row per question: ``STATE_COLUMNS``, the text and what was asked last.
+
+    ``questions``: question_id, text, mode (fast, plan, or auto for anything else);
+    ``first``: results of the first pass, which decide how an ``auto`` question goes
+    on. ``budget`` counts the passes that may follow; a planned question has none.
+    """
+    top = first.select("question_id", "rank", "chunk_id", "score")
+    typed = chunk_results(top, index.chunks, ("source_type",))
+    facts = routing.retrieval_confidence(questions, typed)
+    asked = F.lower(T.strip("mode"))
+    mode = F.when(asked.isin("fast", "plan"), asked).otherwise("auto")
+    found, why = routing.route(
+        routing.complexity_score("text", options.names)["score"],
+        F.col("confidence"),
+        routing.evidence_type("text"),
+        F.col("has_pdf"),
+    )
+    reasons = vocab.ROUTE_REASONS
+    rows = questions.select("question_id", "text", mode.alias("mode")).join(facts, "question_id")
+    routed = rows.select(
+        "*",
+        F.when(F.col("mode") == "auto", found).otherwise(F.col("mode")).alias("route_mode"),
+        F.when(F.col("mode") == "fast", reasons["fast_asked"])
+        .when(F.col("mode") == "plan", reasons["plan_asked"])
+        .otherwise(why)
+        .alias("reason"),
+    )
+    budget = routing.retry_budget(F.col("mode"), F.col("route_mode"), max_retries)
+    return routed.select(
+        "*",
+        F.when(F.col("route_mode") == "plan", 0).otherwise(budget).alias("budget"),
+        F.lit(1).alias("passes"),
+        F.lit(False).alias("escalated"),
+        F.col("text").alias("asked"),
+    )
+
+
+def route_questions(
+    questions: DataFrame,
+    index: CorpusIndex,
+    registry: routing.Registry,
+    options: Settings = Settings(),
+    max_retries: int = 1,
+    subtasks: DataFrame | None = None,
+    decisions: DataFrame | None = None,
+    cap: int = CONTEXT_CAP,
+) -> tuple[DataFrame, DataFrame]:
+    """(states, results) of a table of questions that each go their own way.
+
+    All questions are searched once. Each further pass reads the states that are
+    still open (a pass left in the budget, and asked in the pass before), asks their
+    rewritten queries in one batch and writes the states back, so a pass costs what
+    is open and not what was asked. A query that stays the same closes its question.
+    Planned questions take the results of their steps if ``subtasks`` and
+    ``decisions`` have any, else those of the first pass. ``results``: question_id,
+    rank, chunk_id, score, step_id. ``questions``: question_id, text, mode.
+    """
+    columns = ["question_id", "rank", "chunk_id", "score"]
+    texts = questions.select("question_id", "text")
+    first = materialize(workflow_retrieve(texts, index, registry, options).select(*columns), "pass-1")
+    states = materialize(route_states(questions, first, index, options, max_retries), "states")
+    passes, last = [first.withColumn("pass_no", F.lit(1))], first
+    for number in range(2, max_retries + 2):
+        open_ = states.filter((F.col("passes") == number - 1) & (F.col("budget") >= number - 1))
+        named = chunk_results(
+            last.join(open_.select("question_id"), "question_id", "left_semi"),
+            index.chunks,
+            ("source_type", "qualname", "symbol_id"),
+        )
+        again = routing.retry_query(open_.select("question_id", "text"), named, options.names)
+        changed = again.join(open_.select("question_id", "asked"), "question_id").filter(
+            (F.col("query") != "") & (F.col("query") != T.strip("asked"))
+        )
+        changed = materialize(changed.select("question_id", F.col("query").alias("text")), "open")
+        if not changed.take(1):
+            break
+        found = workflow_retrieve(changed, index, registry, options).select(*columns)
+        last = materialize(found, f"pass-{number}")
+        passes.append(last.withColumn("pass_no", F.lit(number)))
+        renewed = changed.select("question_id", F.col("text").alias("__asked"))
+        states = materialize(
+            states.join(renewed, "question_id", "left")
+            .withColumn("passes", F.when(F.col("__asked").isNotNull(), number).otherwise(F.col("passes")))
+            .withColumn("asked", F.coalesce("__asked", "asked"))
+            .drop("__asked"),
+            "states",
+        )
+    rows = reduce(DataFrame.unionByName, passes).withColumn("step_id", F.col("pass_no").cast("string"))
+    results = collect_passes(rows, cap)
+    if subtasks is not None and decisions is not None:
+        planned = states.filter("route_mode = 'plan'").select("question_id")
+        steps = materialize(subtasks.join(planned, "question_id", "left_semi"), "planned-steps")
+        by_plan = plan_retrieve(steps, decisions, index, registry, options, cap)
+        by_plan = by_plan.withColumn("step_id", F.col("step_id").cast("string"))
+        results = results.join(steps.select("question_id").distinct(), "question_id", "left_anti")
+        results = results.unionByName(by_plan)
+    return states.select(*STATE_COLUMNS), results
+
+
+def escalate_questions(states: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """States after their answers were tried: questions that need more become planned.
+
+    ``outcomes``: question_id, status, errors, missing, passed; the answers of one
+    question count together, and questions without any stay as they are. A question
+    escalates once, and only from an automatic route.
+    """
+    gap = F.coalesce(routing.evidence_gap(F.col("status"), F.col("errors")), F.lit(False))
+    tried = outcomes.groupBy("question_id").agg(
+        F.bool_or(F.coalesce("missing", F.lit(False))).alias("__missing"),
+        F.bool_or(gap).alias("__gap"),
+        F.bool_or(F.coalesce("passed", F.lit(False))).alias("__passed"),
+    )
+    needs = routing.needs_escalation(
+        F.col("route_mode"), F.col("escalated"), F.col("__missing"), F.col("__gap"), F.col("__passed")
+    )
+    rows = states.join(tried, "question_id", "left").withColumn("__up", F.coalesce(needs, F.lit(False)))
+    return rows.select(
+        *[c for c in states.columns if c not in ("route_mode", "budget", "escalated")],
+        F.when(F.col("__up"), "plan").otherwise(F.col("route_mode")).alias("route_mode"),
+        F.when(F.col("__up"), 0).otherwise(F.col("budget")).alias("budget"),
+        (F.col("escalated") | F.col("__up")).alias("escalated"),
+    ).select(*states.columns)

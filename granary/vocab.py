@@ -127,6 +127,8 @@ GENERATOR_ERRORS = (
     "unbound generator issue",
 )
 ROUTE_REASONS = {
+    "fast_asked": "User selected Fast mode.",
+    "plan_asked": "User selected Plan mode.",
     "plan_pdf": "Question appears PDF/doc-dependent but first-pass retrieval lacks PDF evidence.",
     "auto_fast": "Low complexity and high first-pass retrieval confidence.",
     "auto": "Medium complexity or moderate confidence; allow one targeted retry.",

@@ -193,3 +193,35 @@ def test_related_symbols_equal_scoring_all(spark, limit):
         order.sort(key=lambda k: -sum(x in names[k] for x in t or []))
         want |= {(q, kind, group, k, n + 1) for n, k in enumerate(order[:limit])}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_questions_escalate_once(spark):
+    """Only automatic routes, by a missing piece, a gap or no pass; no outcome leaves the state."""
+    from granary.plans import answer as A
+
+    routes = ["auto", "auto_fast", "fast", "plan", "auto", "auto", "auto"]
+    states = spark.createDataFrame(
+        [(i, "auto", r, "why", 0.5, 1, 1, i == 5) for i, r in enumerate(routes)],
+        "question_id long, mode string, route_mode string, reason string, confidence double, budget int, "
+        "passes int, escalated boolean",
+    )
+    tried = [
+        (0, "error", "NameError: x is not defined", None, False),
+        (0, "success", None, False, False),
+        (1, "success", "", True, True),
+        (2, "error", "", True, False),
+        (3, "error", "", True, False),
+        (5, "error", "", True, False),
+        (6, "success", None, None, True),
+    ]
+    outcomes = spark.createDataFrame(
+        tried, "question_id long, status string, errors string, missing boolean, passed boolean"
+    )
+    rows = A.escalate_questions(states, outcomes)
+    got = {r["question_id"]: (r["route_mode"], r["budget"], r["escalated"]) for r in rows.collect()}
+    assert rows.columns == states.columns
+    assert got == {
+        0: ("plan", 0, True), 1: ("plan", 0, True), 2: ("fast", 1, False), 3: ("plan", 1, False),
+        4: ("auto", 1, False), 5: ("auto", 1, True), 6: ("auto", 1, False),
+    }
+    assert {r["route_mode"] for r in A.escalate_questions(states, outcomes.limit(0)).collect()} == set(routes)
