@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.functions import text as T
-from granary.operators.matching import occurrences
-from granary.runtime import let, materialize
+from granary.runtime import BROADCAST_ROWS, key_blocks, let, materialize, spread
 
 NODE_FIELDS = ("symbol_id", "qualname", "module", "kind", "owner", "tail")
 
@@ -285,72 +284,46 @@ def query_affinity(tokens: Column, names: Column | None = None) -> Column:
     return let(text_of, lambda text: F.size(F.filter(tokens, lambda t: F.contains(text, t))))
 
 
-def name_hits(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(token, key): the index from ``tokens`` (token) to the nodes (key, names) whose
-    names hold them. They meet by the rarest trigram of a token, never as a product."""
-    found = occurrences(
-        nodes.select("key", F.col("names").alias("hay")),
-        tokens.select(F.col("token").alias("needle"), F.array("token").alias("words")),
-    )
-    return found.select(F.col("needle").alias("token"), "key")
-
-
 def best_related(
     asked: DataFrame, graph: SymbolGraph, limit: int
 ) -> DataFrame:
     """(question_id, group_kind, group_key, key, nth): best symbols of a group.
 
-    ``asked``: question_id, tokens, group_kind, group_key. A member is scored
-    only if it shares a token with the question that not all members of the group
-    share; such a token leaves the order as it is. Members that share none follow
-    by tail and key, and of these a question can need no more than the first
-    ``limit`` of the group, which each task cuts before the shuffle. So questions
-    meet postings and heads of their groups, not the groups. Questions without
-    tokens get the heads; groups without members nothing.
+    ``asked``: question_id, tokens, group_kind, group_key. The asked groups go
+    to the symbols in blocks of bounded size, and each task keeps its best
+    ``limit`` per group before anything is shuffled, so a group that holds
+    most symbols is scored by all tasks.
     """
-    kinds = ["group_kind", "group_key"]
     groups = group_symbols(graph.entries).filter("group_kind IN ('module', 'owner')")
-    wanted = materialize(asked.dropDuplicates(["question_id", *kinds]), "asked-groups")
-    names = graph.nodes.select("key", F.lower("tail").alias("tail"), node_names().alias("names"))
-    members = materialize(
-        groups.withColumnRenamed("symbol", "key")
-        .distinct()
-        .join(wanted.select(*kinds).distinct(), kinds, "left_semi")
-        .join(names, "key"),
-        "asked-members",
-    )
-    words = wanted.select("question_id", *kinds, F.explode("tokens").alias("token"))
-    hits = name_hits(words.select("token").distinct(), members.select("key", "names").distinct())
-    postings = materialize(
-        members.join(hits, "key").select(*kinds, "token", "key", "tail"), "group-postings"
-    )
-    sizes = members.groupBy(*kinds).agg(F.count("*").alias("size"))
-    shared = (
-        postings.groupBy(*kinds, "token")
-        .agg(F.count("*").alias("n"))
-        .join(sizes, kinds)
-        .filter("n = size")
-        .select(*kinds, "token")
-    )
-    telling = postings.join(shared, [*kinds, "token"], "left_anti")
-    scored = words.join(telling, [*kinds, "token"]).withColumn("point", F.lit(1))
-    first = Window.partitionBy(*kinds).orderBy(F.desc("tail"), F.asc("key"))
-    heads = members.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= limit)
-    filled = wanted.select("question_id", *kinds).join(heads, kinds).withColumn("point", F.lit(0))
-    columns = ["question_id", *kinds, "key", "tail"]
-    rated = (
-        scored.select(*columns, "point")
-        .unionByName(filled.select(*columns, "point"))
-        .groupBy(*columns)
-        .agg(F.sum("point").alias("affinity"))
-    )
-    order = Window.partitionBy("question_id", *kinds).orderBy(
+    members = groups.withColumnRenamed("symbol", "key").distinct().join(graph.nodes, "key")
+    members = spread(
+        members.select(
+            "group_kind", "group_key", "key", F.lower("tail").alias("tail"), node_names().alias("names")
+        ),
+        "key",
+    )
+    wanted = materialize(
+        asked.dropDuplicates(["question_id", "group_kind", "group_key"]), "asked-groups"
+    )
+    met = [
+        members.join(F.broadcast(block), ["group_kind", "group_key"])
+        for block in key_blocks(wanted, "question_id", BROADCAST_ROWS // 10)
+    ]
+    scored = reduce(DataFrame.unionByName, met).select(
+        "question_id",
+        "group_kind",
+        "group_key",
+        "key",
+        query_affinity(F.col("tokens"), F.col("names")).alias("affinity"),
+        "tail",
+    )
+    order = Window.partitionBy("question_id", "group_kind", "group_key").orderBy(
         F.desc("affinity"), F.desc("tail"), F.asc("key")
     )
     return (
-        rated.withColumn("nth", F.row_number().over(order))
+        scored.withColumn("nth", F.row_number().over(order))
         .filter(F.col("nth") <= limit)
-        .select("question_id", *kinds, "key", "nth")
+        .select("question_id", "group_kind", "group_key", "key", "nth")
     )
 
 
