@@ -563,6 +563,21 @@ def test_trie_against_library(texts):
     assert len(small.trie.best) < 1_000
 
 
+def test_long_words_leave_no_nodes(texts):
+    scores = tokencount.piece_scores(tokencount.load_ranks(VOCABULARY))
+    trie, short = tokencount.PrefixTrie(scores), tokencount.PrefixTrie(scores, long_word=0)
+    words = sorted({w for t in list(texts.values())[:40] for w in regex.findall(tokencount.PATTERN, t)})
+    words += ["".join(words)[:4_000], "a" * 3_000, "\x00" * 300, "漢字" * 500, "=" * 4_096]
+    assert [short.count(w.encode()) for w in words] == [trie.count(w.encode()) for w in words]
+    assert len(short.best) == 1
+    # Pieces that are gone from the front of a text are remembered as their scores only.
+    few = {b"ab": -1.0, b"a": -2.0, b"b": -2.0, b"abab": -1.5}
+    assert tokencount.PrefixTrie(few, long_word=0).count(b"ab" * 5_001) == 2_501
+    counts = tokencount._Counts(tokencount.PrefixTrie(scores))
+    assert counts["x" * 300_000] > 1_000
+    assert len(counts.trie.best) == 1 and not counts
+
+
 # -- pipeline --------------------------------------------------------------
 
 
