@@ -364,15 +364,16 @@ def train(
 
     Rows without an id, a text or a label of 0 or 1 are not learned from, nor
     are texts above ``sample_bytes``. An id labelled twice counts as toxic if
-    any of its labels says so. Labels are joined to ids first, so only the
-    texts of the sample move.
+    any of its labels says so, and of rows that repeat an id the smallest text
+    is learned from. Labels are joined to ids first, so only the texts of the
+    sample move.
     """
     ship_package()
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__toxic")).filter("__toxic IN (0, 1)")
     known = known.groupBy("__id").agg(F.max("__toxic").cast("int").alias("__toxic"))
     short = docs.filter(F.octet_length(F.col(text)) <= sample_bytes).select(F.col(doc_id).alias("__id"))
     turn = F.xxhash64(F.col("__id"), F.lit("sample"))
-    found = short.join(known, "__id").select("__id", "__toxic", turn.alias("turn"))
+    found = short.join(known, "__id").select("__id", "__toxic", turn.alias("turn")).distinct()
     chosen = None
     for value in (0, 1):
         part = found.filter(F.col("__toxic") == value).orderBy("turn", "__id").limit(sample_rows)
@@ -380,7 +381,13 @@ def train(
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).filter(
         F.octet_length("text") <= sample_bytes
     )
-    sample = texts.join(F.broadcast(chosen.dropDuplicates(["__id"])), "__id").select("turn", "text", "__toxic")
+    # One text of an id, told before the shuffle: a task sends on as many rows as ids are chosen.
+    sample = (
+        texts.join(F.broadcast(chosen), "__id")
+        .groupBy("__id", "turn", "__toxic")
+        .agg(F.min("text").alias("text"))
+        .select("turn", "text", "__toxic")
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
