@@ -41,6 +41,14 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(crc, F.lit(parts)) == part, F.lit(False))
 
 
+def row_name(doc_id: str, text: str) -> Column:
+    """128-bit name of a row by its id and text; rows that repeat both have the same."""
+    return F.struct(
+        F.xxhash64(F.lit(1), F.col(doc_id), F.col(text)).alias("a"),
+        F.xxhash64(F.lit(2), F.col(doc_id), F.lit(3), F.col(text)).alias("b"),
+    )
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     at = size = 0
     for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):

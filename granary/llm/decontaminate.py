@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import row_name
 from granary.runtime import materialize
 
 WINDOW = 10
@@ -140,11 +141,6 @@ def window_hits(
     )
 
 
-def _row_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows with a key that stays unambiguous if an id is NULL or repeated."""
-    return docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text)))
-
-
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -163,7 +159,20 @@ def find_contamination(
     document get a result each. Items without an id are matched but not
     listed; repeated items count once. Other columns are not read.
     """
-    rows = _row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    return _contamination(docs, benchmark, doc_id, text, item, item_text, size, broadcast_windows).drop("__row")
+
+
+def _contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    size: int = WINDOW,
+    broadcast_windows: int = BROADCAST_WINDOWS,
+) -> DataFrame:
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_name(doc_id, text).alias("__row"))
     windows = benchmark_windows(benchmark, item, item_text, size)
     hits = window_hits(rows, windows, ["__row"], "text", broadcast_windows)
     found = hits.groupBy("__row").agg(
@@ -183,6 +192,7 @@ def find_contamination(
     )
     none = F.array().cast("array<int>")
     return joined.select(
+        "__row",
         "doc_id",
         "n_words",
         F.coalesce(F.size("__covered"), F.lit(0)).cast("long").alias("n_hit"),
@@ -197,7 +207,7 @@ def remove_documents(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
 ) -> DataFrame:
     """Documents without a hit, all columns kept."""
-    rows = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text)))
+    rows = docs.withColumn("__row", row_name(doc_id, text))
     windows = benchmark_windows(
         benchmark,
         options.get("item", "item_id"),
@@ -221,14 +231,10 @@ def remove_spans(
 
     All columns are kept; texts without a hit are unchanged.
     """
-    found = find_contamination(docs, benchmark, doc_id, text, **options).filter("contaminated")
-    rows = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text)))
-    cuts = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        .join(found.select("doc_id", "hit_words").distinct(), "doc_id")
-        .select(F.xxhash64("doc_id", "text").alias("__row"), F.col("hit_words").alias("__cut"))
-        .dropDuplicates(["__row"])
-    )
+    found = _contamination(docs, benchmark, doc_id, text, **options).filter("contaminated")
+    rows = docs.withColumn("__row", row_name(doc_id, text))
+    # Rows that repeat id and text have the same hits.
+    cuts = found.groupBy("__row").agg(F.first("hit_words").alias("__cut"))
     words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
     gaps = F.split(F.col(text), WORD)
     kept = F.transform(

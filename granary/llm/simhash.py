@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_texts
+from granary.llm.common import map_texts, row_name
 from granary.llm.components import connected_components
 from granary.runtime import at_most, materialize, ship_package
 
@@ -573,7 +573,7 @@ def similar_links(
         """``node, hashes`` of the texts in ``rows``, read again from the documents."""
         wanted = rows.select(F.col("row").alias("__row"))
         few = at_most(wanted, BROADCAST_TEXTS)
-        own = docs.select(F.xxhash64(F.col("doc_id"), F.col(text)).alias("__row"), F.col(text).alias("text")).join(
+        own = docs.select(row_name("doc_id", text).alias("__row"), F.col(text).alias("text")).join(
             F.broadcast(wanted) if few else wanted, "__row", "left_semi"
         )
         made = map_texts(own, [], "text", kernel, "node binary, hashes array<long>")
@@ -634,8 +634,8 @@ def similarity_groups(
 
     Every link has the Jaccard similarity. Pairs of texts of up to ``FEW``
     shingles are all found, longer ones of just the similarity with a chance
-    of ``RECALL``. NULL and blank texts are one group. ``row`` is a hash of id
-    and text; in each group the row of the smallest id stays, rows without an
+    of ``RECALL``. NULL and blank texts are one group. ``row`` is a 128-bit
+    name of id and text; in each group the row of the smallest id stays, rows without an
     id come last. Repeated rows have the same ``row``.
     """
     def kernel():
@@ -647,7 +647,7 @@ def similarity_groups(
 
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        F.xxhash64(F.col(doc_id), F.col(text)).alias("row"),
+        row_name(doc_id, text).alias("row"),
         F.col(text).alias("text"),
     )
     made = "node binary, size long, wide binary"
@@ -677,7 +677,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     document are one, of which one row is kept.
     """
     groups = materialize(similarity_groups(docs, doc_id, text, **options).select("row", "stays"), "groups")
-    rows = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text)))
+    rows = docs.withColumn("__row", row_name(doc_id, text))
     gone = groups.filter("NOT stays").select(F.col("row").alias("__row"))
     kept = rows.join(gone, "__row", "left_anti")
     if groups.filter("stays").groupBy("row").count().filter("count > 1").limit(1).count():

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import pickle
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +165,17 @@ def test_decontamination_in_parts(docs, benchmark):
     assert sorted(map(repr, whole)) == sorted(map(repr, parts))
 
 
+def test_spans_of_rows_without_an_id_or_with_the_same(spark, benchmark):
+    texts = ["a fox jumps over the lazy dog b", "c d fox jumps over the lazy dog", "e f g", None]
+    rows = [(i, t) for i in (4, None) for t in texts]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    found = [(r["doc_id"], r["text"]) for r in decontaminate.remove_spans(docs, benchmark).collect()]
+    cut = [(i, t) for i in (4, None) for t in ["a b", "c d ", "e f g", None]]
+    assert sorted(map(repr, found)) == sorted(map(repr, cut + cut[:1]))
+    lines = fuzzy_lines.dedup_lines(docs).collect()
+    assert sum(r["text"] == "e f g" for r in lines) == 1 and len(lines) == len(rows) + 1
+
+
 def test_toxicity(docs, nothing, labels):
     model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model, keep=["doc_id"]).collect()
@@ -175,6 +188,16 @@ def test_toxicity(docs, nothing, labels):
     assert toxicity.score(docs, none).count() == len(ROWS)
 
 
+def test_repeated_ids_are_learned_once(spark):
+    rows = [(1, f"calm words of row {i:03}") for i in range(500)] + [(2, "rude words"), (3, "calm words"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, None), (9, 1)], "doc_id long, toxic int")
+    many, once = (
+        toxicity.train(d, labels) for d in (docs.repartition(3), docs.groupBy("doc_id").agg(F.min("text").alias("text")))
+    )
+    assert pickle.dumps(many) == pickle.dumps(once)
+
+
 def test_tokens(docs, nothing):
     rows = tokencount.token_counts(docs, VOCABULARY, keep=["doc_id"]).collect()
     by_id = {r["doc_id"]: r for r in rows if r["doc_id"]}
