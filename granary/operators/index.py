@@ -12,9 +12,11 @@ from granary.functions import text as T
 from granary.runtime import BROADCAST_ROWS, at_most, let, materialize, ship_package, spread
 
 # Terms joined by broadcast ahead of the shuffle join, most frequent first.
-HOT_TERMS = 4_096
+HOT_TERMS = 65_536
 # Neighbouring chunk ids whose postings of a term share a row.
 POSTING_BLOCK = 2_048
+# Id ranges that a partition of the index build holds on average, at most.
+PARTITION_BLOCKS = 4
 
 
 @dataclass(frozen=True)
@@ -62,9 +64,9 @@ def idf(df: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def _weigh(rows: DataFrame) -> DataFrame:
+def _weigh(rows: DataFrame, *keep: str) -> DataFrame:
     weight = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    return rows.select("chunk_id", "term", "tf", weight.alias("w"))
+    return rows.select(*keep, "chunk_id", "term", "tf", weight.alias("w"))
 
 
 def tf_weights(
@@ -104,26 +106,58 @@ def doc_norms(chunks: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def unit_weights(terms: DataFrame, idf_table: DataFrame) -> DataFrame:
-    """(chunk_id, term, u): term weights divided by the norm of their chunk.
+def unit_weights(
+    terms: DataFrame,
+    idf_table: DataFrame,
+    width: int = POSTING_BLOCK,
+    hot_terms: int = HOT_TERMS,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """(block, chunk_id, term, u): term weights divided by the norm of their chunk.
 
-    The terms of a chunk are brought together before they are taken apart, so
-    the norm needs no shuffle of single postings where idf is broadcast.
+    Chunks are dealt by id range while their terms are still packed, so norms and
+    posting blocks are made where the range lies and single postings are not
+    shuffled. Of an idf table too long to broadcast, ``hot_terms`` are; only the
+    postings of the others travel to their idf and on to their range.
     """
-    together = terms.repartition("chunk_id")
-    weights = tf_weights(together, idf_table, HOT_TERMS)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("chunk_id")))
-    return weights.select("chunk_id", "term", (F.col("w") / norm).alias("u"))
+    block = F.floor(F.col("chunk_id") / width).alias("block")
+    known = idf_table.select("term", F.col("idf").alias("known"))
+    none = F.lit(None).cast("double").alias("idf")
+    # A token has no blank, so the terms of a chunk travel as one text.
+    names = F.array_join("counts.term", " ").alias("names")
+    rows = terms.select(block, "chunk_id", names, F.col("counts.tf").alias("tfs"), none)
+    if not at_most(idf_table, broadcast_rows):
+        hot = materialize(idf_table.orderBy(F.desc("df"), "term").limit(hot_terms), "hot-terms")
+        rest = postings(terms).join(F.broadcast(hot.select("term")), "term", "left_anti")
+        late = rest.join(idf_table.select("term", "idf"), "term")
+        rows = rows.unionByName(
+            late.select(block, "chunk_id", F.col("term").alias("names"), F.array("tf").alias("tfs"), "idf")
+        )
+        known = hot.select("term", F.col("idf").alias("known"))
+    parts = max(
+        int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        -(-terms.count() // (PARTITION_BLOCKS * width)),
+    )
+    counts = F.zip_with(
+        F.split("names", " "), "tfs", lambda n, t: F.struct(n.alias("term"), t.alias("tf"))
+    )
+    dealt = rows.filter("names <> ''").repartition(parts, "block")
+    dealt = dealt.select("block", "chunk_id", "idf", F.inline_outer(counts))
+    found = dealt.join(F.broadcast(known), "term", "left")
+    weights = _weigh(
+        found.withColumn("idf", F.coalesce("idf", "known")).filter("idf IS NOT NULL"), "block"
+    )
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("block", "chunk_id")))
+    return weights.select("block", "chunk_id", "term", (F.col("w") / norm).alias("u"))
 
 
-def posting_blocks(weights: DataFrame, width: int = POSTING_BLOCK) -> DataFrame:
+def posting_blocks(weights: DataFrame) -> DataFrame:
     """Postings by term and id range, sorted by term inside the files.
 
     A frequent term has one row per id range, never one long list, and its rows
-    spread over the files.
+    spread over the files; the rows of a range share one.
     """
-    block = F.floor(F.col("chunk_id") / width).alias("block")
-    packed = weights.groupBy("term", block).agg(
+    packed = weights.groupBy("term", "block").agg(
         F.max("u").alias("top"), F.collect_list("chunk_id").alias("ids"), F.collect_list("u").alias("weights")
     )
     return packed.sortWithinPartitions("term", "block")
@@ -134,8 +168,8 @@ def lexical_index(chunks: DataFrame, width: int = POSTING_BLOCK) -> LexicalIndex
     read (posting blocks, idf) is written to the shared folder."""
     terms = materialize(chunk_terms(chunks), "terms")
     table = materialize(idf(document_frequency(terms), chunks), "idf")
-    postings = posting_blocks(unit_weights(terms, table), width)
-    return LexicalIndex(table, materialize(postings, "postings"), width)
+    blocks = posting_blocks(unit_weights(terms, table, width))
+    return LexicalIndex(table, materialize(blocks, "postings"), width)
 
 
 def l2_normalize(c: Column | str) -> Column:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.functions.kernels import dense_kernel, range_kernel
 from granary.operators.index import LexicalIndex
-from granary.runtime import at_most, materialize, ship_package
+from granary.runtime import BROADCAST_ROWS, at_most, materialize, ship_package
 
+MET = ["block", "part", "ids", "weights", "queries", "w"]
 RESULT = "query_id bigint, chunk_id bigint, score double"
 SCORE_DIGITS = 9
 # Ranges of a question that are scored first, beyond those that k chunks fill.
@@ -53,7 +54,8 @@ def block_bounds(weights: DataFrame, index: LexicalIndex) -> DataFrame:
 
     Reads the maxima of the blocks of the terms asked for, not their postings.
     """
-    heads = index.postings.select("term", "block", "top").join(weights, "term")
+    few = at_most(weights, BROADCAST_ROWS)
+    heads = index.postings.select("term", "block", "top").join(F.broadcast(weights) if few else weights, "term")
     return heads.groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
 
 
@@ -68,10 +70,19 @@ def score_blocks(asked: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     ship_package()
     keys = [c for c in ("term", "block", "part") if c in asked.columns]
     packed = asked.groupBy(*keys).agg(F.collect_list("query_id").alias("queries"), F.collect_list("w").alias("w"))
-    met = index.postings.join(packed, keys[:-1]).select("block", "part", "ids", "weights", "queries", "w")
     n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.repartition(n, "block", "part").sortWithinPartitions("block", "part")
-    return dealt.mapInArrow(range_kernel(index.width, k, SCORE_DIGITS), RESULT)
+    few = at_most(asked, BROADCAST_ROWS)
+    if few or "block" not in keys:
+        met = index.postings.join(F.broadcast(packed) if few else packed, keys[:-1])
+        dealt = met.select(*MET).repartition(n, "block", "part")
+    else:
+        # Both sides are dealt by range, so postings are shuffled once, and only those asked for.
+        named, terms = index.postings, asked.select("term").distinct()
+        if at_most(terms, BROADCAST_ROWS):
+            named = named.join(F.broadcast(terms), "term", "left_semi")
+        met = named.repartition(n, "block").join(packed.repartition(n, "block"), ["block", "term"])
+        dealt = met.select(*MET)
+    return dealt.sortWithinPartitions("block", "part").mapInArrow(range_kernel(index.width, k, SCORE_DIGITS), RESULT)
 
 
 @dataclass(frozen=True)
