@@ -59,7 +59,8 @@ def build_index(
             pages.select("doc_id", "source").distinct(), "doc_id"
         )
         parts["pdf"] = C.page_chunks(packed, "source")
-    chunks = materialize(C.assign_chunk_ids(C.select_sources(mode, **parts)), "chunks")
+    # Numbering writes the chunks in the order of their ids; they are read from there.
+    chunks = C.assign_chunk_ids(C.select_sources(mode, **parts))
     if not chunks.take(1):
         raise RuntimeError("no chunks were produced for indexing")
     lexical = I.lexical_index(chunks)
