@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators.routing import Registry, normalize_family_id
-from granary.runtime import ship_package
+from granary.runtime import ship_package, text_slices
 
 # The patterns of published response parsing.
 ACTIONS = ("continue", "refine_query", "stop")
@@ -110,11 +110,14 @@ def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
     then taken from the payload in the JVM.
     """
 
-    @F.pandas_udf("payload string, error string")
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
-            [_object_json(t) for t in texts], columns=["payload", "error"], dtype=object
-        )
+    @F.arrow_udf("payload string, error string")
+    def parse(texts: pa.Array) -> pa.Array:
+        parts: list[list[pa.Array]] = [[pa.array([], pa.string())] for _ in range(2)]
+        for some in text_slices(texts):
+            made = [_object_json(t) for t in some.to_pylist()]
+            for part, values in zip(parts, zip(*made)):
+                part.append(pa.array(values, pa.string()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(p) for p in parts], ["payload", "error"])
 
     ship_package()
     return responses.withColumn("__p", parse(raw)).withColumns(
