@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.functions import text as T
-from granary.runtime import BROADCAST_ROWS, key_blocks, let, materialize, spread
+from granary.runtime import BROADCAST_ROWS, at_most, key_blocks, let, materialize, spread
 
 NODE_FIELDS = ("symbol_id", "qualname", "module", "kind", "owner", "tail")
 
@@ -182,13 +182,20 @@ def symbol_lookup(symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return exact, tails, suffixes.distinct()
 
 
+def _handed_out(texts: DataFrame) -> DataFrame:
+    """A lookup table written once, and marked for broadcast if its rows are few."""
+    written = materialize(texts, "symbol-texts")
+    return F.broadcast(written) if at_most(written, BROADCAST_ROWS) else written
+
+
 def resolve_refs_tiered(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(section_id, symbol_id, pos): the first tier that hits answers.
 
     Exact id or name, else every symbol of that tail, else ids that end with
-    the tail. ``refs``: section_id, pos, ref.
+    the tail. ``refs``: section_id, pos, ref. Symbol texts that are few meet the
+    references by broadcast, so a reference that most sections have fills no task.
     """
-    exact, tails, suffixes = symbol_lookup(symbols)
+    exact, tails, suffixes = map(_handed_out, symbol_lookup(symbols))
     ref = F.regexp_replace(T.strip("ref"), r"\(\)\z", "")
     asked = refs.select(
         "section_id", "pos", F.lower(ref).alias("full"), F.lower(T.tail_of(ref)).alias("tail")

@@ -64,9 +64,10 @@ def resolve_narratives(sections: DataFrame, symbols: DataFrame) -> DataFrame:
         .groupBy("symbol_id")
         .agg(F.min("seq").alias("seq"))
     )
+    order = materialize(order, "symbol-order")
     found = (
         resolve_refs_tiered(refs, symbols)
-        .join(order, "symbol_id")
+        .join(F.broadcast(order) if at_most(order, BROADCAST_ROWS) else order, "symbol_id")
         .groupBy("section_id")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "seq", "symbol_id"))).alias("found"))
         .select("section_id.*", F.transform("found", lambda x: x["symbol_id"]).alias("found"))
