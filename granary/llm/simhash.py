@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import map_texts, row_name
 from granary.llm.components import connected_components
+from granary.llm.lshforest import BRANCH_PAIRS, across, branch_regions, tile_links
 from granary.runtime import at_most, materialize, ship_package
 
 SHINGLE = 4
@@ -406,14 +407,20 @@ def sampled_bits(rows: int, similarity: float, words: int = WIDE, block_rows: in
     return np.stack([draw.choice(BITS * words, bits, replace=False) for _ in range(tables)])
 
 
-def _wide_compare(first_radius: int, radius: int, similarity: float, stars: bool):
+def _wide_compare(first_radius: int, radius: int, similarity: float, positions: np.ndarray | None):
     """Bit-sliced comparison of the first 64 bits, then all bits of the pairs that remain.
 
-    With ``stars`` a block returns each text with the first of its neighbours,
-    else all pairs of neighbours whose roots differ.
+    Without ``positions`` a block returns each text with the first of its neighbours,
+    else its texts that have a neighbour of another root, if that pair shares no block
+    of the tables before.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stars = positions is None
+        masks = [] if stars else [
+            np.packbits(np.isin(np.arange(BITS * WIDE), bits), bitorder="little").view(np.uint64) for bits in positions
+        ]
+
         def pairs(rows: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             block = pd.concat(rows).sort_values(["second", "node"])
             second = block["second"].to_numpy(bool)
@@ -440,13 +447,15 @@ def _wide_compare(first_radius: int, radius: int, similarity: float, stars: bool
                 q, lane = q[asked], lane[asked]
                 close = np.bitwise_count(fps[q] ^ fps[lane]).sum(axis=1) <= radius
                 q, lane = q[close], lane[close]
-                if stars:
-                    np.minimum.at(first, q, rank[lane])
-                    np.minimum.at(first, lane, rank[q])
-                elif len(q):
-                    yield pd.DataFrame({"a": names[q], "b": names[lane]})
+                for mask in masks[: block["t"].iat[0]]:
+                    met = ((fps[q] ^ fps[lane]) & mask).any(axis=1)
+                    q, lane = q[met], lane[met]
+                np.minimum.at(first, q, rank[lane])
+                np.minimum.at(first, lane, rank[q])
             found = np.nonzero(first < n)[0]
-            if len(found):
+            if len(found) and not stars:
+                yield pd.DataFrame({"t": block["t"].iat[0], "key": block["key"].iat[0], "id": names[found]})
+            elif len(found):
                 yield pd.DataFrame({"a": names[found], "b": names[np.argsort(rank)[first[found]]]})
 
         last, rows = None, []
@@ -477,7 +486,12 @@ def wide_pairs(
     words: int = WIDE,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Candidate pairs ``a, b`` of texts (``node, root, size, wide``) by their fingerprints."""
+    """Candidates of texts (``node, root, size, wide``) by their fingerprints.
+
+    With ``stars`` pairs ``a, b`` of each text and one neighbour of each block, else
+    ``key, id`` of the blocks in which a text has neighbours of another root. Each
+    pair of neighbours meets in the first block that they share; it is not named.
+    """
     ship_package()
     part = differing_part(similarity)
 
@@ -507,10 +521,12 @@ def wide_pairs(
         .repartition(n, *block)
         .sortWithinPartitions(*block)
         .mapInPandas(
-            _wide_compare(radius_of(BITS), radius_of(BITS * words), similarity, stars), "a binary, b binary"
+            _wide_compare(radius_of(BITS), radius_of(BITS * words), similarity, None if stars else positions),
+            "a binary, b binary" if stars else "t int, key long, id binary",
         )
     )
-    return _ordered(found)
+    # Keys of a table are hashed with it; blocks that this made one would just meet as one.
+    return _ordered(found) if stars else found.select(F.xxhash64("t", "key").alias("key"), "id").distinct()
 
 
 def rarest_shingles(sets: DataFrame, similarity: float) -> DataFrame:
@@ -559,7 +575,9 @@ def similar_links(
 
     Fingerprints and rare shingles only name candidates; every link is
     verified on its shingle sets. First each text meets one neighbour of each
-    block, then those that this left in different components meet each other.
+    block, then those that this left in different components meet each other:
+    in small blocks pair by pair, in others as tiles of whole sets, so that no
+    list of pairs grows with the square of a block.
     """
 
     def kernel():
@@ -608,19 +626,20 @@ def similar_links(
         return joined.withColumn(name, F.coalesce("__r", node)).drop("__n", "__r")
 
     again = rooted(long.join(met, "node", "left_semi").select("node", "size", "wide"), "node", "root")
-    second = wide_pairs(again, positions, similarity, False, tile_rows=tile_rows)
-    placed = rooted(rooted(members, "node", "root"), "head", "head_root")
-    apart = placed.filter("root <> head_root").select(
-        "key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a")
-    )
-    others = placed.select(
-        "key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b")
-    )
-    met_again = (
-        apart.join(others, "key").filter("root_a <> root_b").filter(_alike_sizes("size_a", "size_b", similarity))
-    )
-    rest = _ordered(second.unionByName(met_again.select("a", "b"))).join(stars, ["a", "b"], "left_anti")
-    return first.unionByName(materialize(similar_sets(rest, sets, similarity), "second-links"))
+    open_ = wide_pairs(again, positions, similarity, False, tile_rows=tile_rows)
+    blocks = open_.unionByName(members.select("key", F.col("node").alias("id")))
+    regions = materialize(branch_regions(rooted(blocks, "id", "root")), "open-blocks")
+    # Few pairs of a block are named; larger blocks are compared tile by tile.
+    few = F.col("n") * F.col("others") <= BRANCH_PAIRS
+    percent = round(100 * similarity, 6)
+    named = across(regions.filter(few), nodes.select(F.col("node").alias("id"), "size"), percent)
+    rest = named.join(stars, ["a", "b"], "left_anti")
+    second = similar_sets(rest, sets, similarity)
+    large = regions.filter(~few)
+    if large.limit(1).count():
+        known = sets.select(F.col("node").alias("id"), "hashes")
+        second = second.unionByName(tile_links(large, known, percent))
+    return first.unionByName(materialize(second, "second-links"))
 
 
 def similarity_groups(

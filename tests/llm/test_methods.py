@@ -251,6 +251,45 @@ def test_near_copies_in_one_block(spark, monkeypatch):
         assert found == union(range(len(rows)), close)
 
 
+def test_crowd_names_no_pairs(spark, monkeypatch):
+    """Texts just below the similarity are candidates of each other; their pairs are not listed."""
+    draw = np.random.default_rng(16)
+
+    def crowd(shared, own):
+        words = [f"w{i}" for i in draw.integers(0, 1 << 40, shared)]
+        return [words + [f"w{i}" for i in draw.integers(0, 1 << 40, own)] for _ in range(200)]
+
+    long, brief = crowd(125, 14), crowd(30, 4)
+    rows = long + brief + [r[:-2] + ["x", "y"] for r in long[:9] + brief[:9]]  # similar to one only
+
+    def shingles(r):
+        return {tuple(r[i : i + 5]) for i in range(len(r) - 4)}
+
+    sets = [shingles(r) for r in rows]
+    close = [
+        (a, b)
+        for a, b in itertools.combinations(range(len(rows)), 2)
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    made, plain, wide = [], simhash.similar_sets, simhash.wide_pairs
+
+    def similar(pairs, *args):
+        made.append(pairs.count())
+        return plain(pairs, *args)
+
+    def candidates(*args, **options):
+        found = wide(*args, **options)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "similar_sets", similar)
+    monkeypatch.setattr(simhash, "wide_pairs", candidates)
+    frame = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similarity_groups(frame).collect()}
+    assert found == union(range(len(rows)), close)
+    assert max(made) < 10 * len(rows)
+
+
 def test_components(spark):
     draw = np.random.default_rng(7)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 400)]
