@@ -405,6 +405,29 @@ def test_star_leaves_no_link_out(spark):
     assert found == 1
 
 
+def test_crowd_of_lines_names_no_pairs(spark, monkeypatch):
+    """Lines that share a passage share buckets and stay apart; their pairs are not listed."""
+    draw = np.random.default_rng(17)
+
+    def letters(n):
+        return "".join(chr(97 + i) for i in draw.integers(0, 26, n))
+
+    passage = letters(120)
+    lines = [passage + letters(25) for _ in range(300)]
+    lines += [line[:-1] + "-" for line in lines[:20]]
+    made, plain = [], fuzzy_lines.verified
+
+    def verified(pairs, *args):
+        made.append(pairs.count())
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(fuzzy_lines, "verified", verified)
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_doc"] for r in fuzzy_lines.line_classes(frame).collect()}
+    assert found == union(range(len(lines)), [(i, 300 + i) for i in range(20)])
+    assert max(made) < 10 * len(lines)
+
+
 # -- op5 and op9 -----------------------------------------------------------
 
 
