@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from granary import vocab
 from granary.functions import text as T
-from granary.runtime import BROADCAST_ROWS, at_most, key_blocks, let, materialize, spread
+from granary.runtime import BROADCAST_ROWS, at_most, key_blocks, let, materialize
 
 NODE_FIELDS = ("symbol_id", "qualname", "module", "kind", "owner", "tail")
 
@@ -291,31 +291,42 @@ def query_affinity(tokens: Column, names: Column | None = None) -> Column:
     return let(text_of, lambda text: F.size(F.filter(tokens, lambda t: F.contains(text, t))))
 
 
+# Meetings of an asked group with a member that a task scores.
+RELATED_CELLS = 250_000
+
+
 def best_related(
     asked: DataFrame, graph: SymbolGraph, limit: int
 ) -> DataFrame:
     """(question_id, group_kind, group_key, key, nth): best symbols of a group.
 
-    ``asked``: question_id, tokens, group_kind, group_key. The asked groups go
-    to the symbols in blocks of bounded size, and each task keeps its best
-    ``limit`` per group before anything is shuffled, so a group that holds
-    most symbols is scored by all tasks.
+    ``asked``: question_id, tokens, group_kind, group_key. Every asked group meets
+    all of its members, and the number of tasks grows with these meetings, so a
+    task scores about ``RELATED_CELLS`` of them however many there are. Members
+    are broadcast and questions dealt to the tasks; members too long for that are
+    dealt instead, and the questions come in blocks of bounded size.
     """
+    group = ["group_kind", "group_key"]
     groups = group_symbols(graph.entries).filter("group_kind IN ('module', 'owner')")
     members = groups.withColumnRenamed("symbol", "key").distinct().join(graph.nodes, "key")
-    members = spread(
-        members.select(
-            "group_kind", "group_key", "key", F.lower("tail").alias("tail"), node_names().alias("names")
-        ),
-        "key",
-    )
-    wanted = materialize(
-        asked.dropDuplicates(["question_id", "group_kind", "group_key"]), "asked-groups"
-    )
-    met = [
-        members.join(F.broadcast(block), ["group_kind", "group_key"])
-        for block in key_blocks(wanted, "question_id", BROADCAST_ROWS // 10)
-    ]
+    members = materialize(
+        members.select(*group, "key", F.lower("tail").alias("tail"), node_names().alias("names")),
+        "group-members",
+    )
+    wanted = materialize(asked.dropDuplicates(["question_id", *group]), "asked-groups")
+    # Counts of both sides by group give the meetings without making them.
+    sizes = members.groupBy(*group).agg(F.count("*").alias("n"))
+    asks = wanted.groupBy(*group).agg(F.count("*").alias("m"))
+    cells = asks.join(sizes, group).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    least = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-cells // RELATED_CELLS))
+    if at_most(members, BROADCAST_ROWS):
+        dealt = wanted.repartition(parts, "question_id", *group)
+        met = [dealt.join(F.broadcast(members), group)]
+    else:
+        blocks = list(key_blocks(wanted, "question_id", BROADCAST_ROWS // 10))
+        dealt = members.repartition(max(least, -(-parts // len(blocks))), "key")
+        met = [dealt.join(F.broadcast(block), group) for block in blocks]
     scored = reduce(DataFrame.unionByName, met).select(
         "question_id",
         "group_kind",

@@ -195,6 +195,23 @@ def test_related_symbols_equal_scoring_all(spark, limit):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 50])
+def test_related_symbols_are_scored_in_tasks_of_bounded_size(spark, monkeypatch, broadcast):
+    """However few members there are, many questions do not meet them in one task."""
+    rows = [(i, f"mod.K{i % 2}.t{i}", f"K{i % 2}.t{i}", "mod", "method") for i in range(40)]
+    graph = graph_of(spark, rows)
+    asked = [(q, [f"t{q % 5}"], k, g) for q in range(30) for k, g in (("module", "mod"), ("owner", "K1"))]
+    asked = spark.createDataFrame(asked, "question_id long, tokens array<string>, group_kind string, group_key string")
+    whole = {tuple(r) for r in G.best_related(asked, graph, 3).collect()}
+    monkeypatch.setattr(G, "RELATED_CELLS", 50)
+    monkeypatch.setattr(G, "BROADCAST_ROWS", broadcast)
+    best = G.best_related(asked, graph, 3)
+    assert {tuple(r) for r in best.collect()} == whole and len(whole) == 30 * 2 * 3
+    if broadcast > 50:
+        # 30 questions meet 40 and 20 members.
+        assert best.rdd.getNumPartitions() == 30 * (40 + 20) // 50
+
+
 def test_questions_escalate_once(spark):
     """Only automatic routes, by a missing piece, a gap or no pass; no outcome leaves the state."""
     from granary.plans import answer as A
