@@ -291,10 +291,20 @@ def query_affinity(tokens: Column, names: Column | None = None) -> Column:
     return let(text_of, lambda text: F.size(F.filter(tokens, lambda t: F.contains(text, t))))
 
 
-# Meetings of an asked group with a member that a task scores.
+# Meetings of questions with what they are scored against that a task makes.
 RELATED_CELLS = 250_000
 
 
+def _tasks(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Least number of tasks, and that of a join whose tasks make about ``RELATED_CELLS``
+    rows. Counts of both sides by key give the rows without making them."""
+    n = left.groupBy(*keys).agg(F.count("*").alias("n"))
+    m = right.groupBy(*keys).agg(F.count("*").alias("m"))
+    cells = n.join(m, keys).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least, max(least, -(-cells // RELATED_CELLS))
+
+
 def best_related(
     asked: DataFrame, graph: SymbolGraph, limit: int
 ) -> DataFrame:
@@ -314,12 +324,7 @@ def best_related(
         "group-members",
     )
     wanted = materialize(asked.dropDuplicates(["question_id", *group]), "asked-groups")
-    # Counts of both sides by group give the meetings without making them.
-    sizes = members.groupBy(*group).agg(F.count("*").alias("n"))
-    asks = wanted.groupBy(*group).agg(F.count("*").alias("m"))
-    cells = asks.join(sizes, group).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
-    least = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-cells // RELATED_CELLS))
+    least, parts = _tasks(wanted, members, group)
     if at_most(members, BROADCAST_ROWS):
         dealt = wanted.repartition(parts, "question_id", *group)
         met = [dealt.join(F.broadcast(members), group)]
@@ -541,6 +546,44 @@ def graph_expand(
     return expanded.unionByName(same)
 
 
+def best_sections(lifted: DataFrame, referred: DataFrame, limit: int) -> DataFrame:
+    """(question_id, section, value): sections with the largest sums over their symbols.
+
+    ``lifted``: question_id, key, value; ``referred``: key, section. Sections that refer
+    to the same symbols have one value for a question, so a question meets each set of
+    symbols once; of a set only its first ``limit`` sections can be among the best.
+    """
+
+    def total(seed: int) -> Column:
+        return F.sum(F.xxhash64(F.lit(seed), F.col("key")).cast("decimal(20,0)"))
+
+    # The number of symbols and two sums of 64-bit hashes name a set, in any order.
+    sets = referred.groupBy("section").agg(F.struct(F.count("*"), total(1), total(2)).alias("symbols"))
+    same = Window.partitionBy("symbols").orderBy("section")
+    heads = materialize(
+        sets.withColumn("place", F.row_number().over(same)).filter(F.col("place") <= limit), "section-heads"
+    )
+    firsts = heads.filter("place = 1").select("symbols", F.col("section").alias("first"))
+    members = materialize(
+        referred.join(firsts, F.col("section").eqNullSafe(F.col("first"))).select("symbols", "first", "key"),
+        "section-symbols",
+    )
+    # Dealt by question, sums and orders need no further shuffle.
+    _, parts = _tasks(lifted, members, ["key"])
+    if at_most(members, BROADCAST_ROWS):
+        met = lifted.repartition(parts, "question_id").join(F.broadcast(members), "key")
+    else:
+        met = lifted.join(members, "key").repartition(parts, "question_id")
+    sums = met.groupBy("question_id", "symbols", "first").agg(F.round(F.sum("value"), 9).alias("value"))
+
+    def top(rows: DataFrame, name: str) -> DataFrame:
+        order = Window.partitionBy("question_id").orderBy(F.desc("value"), F.asc(name))
+        return rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit).drop("nth")
+
+    sections = top(sums, "first").join(heads.select("symbols", "section"), "symbols")
+    return top(sections, "section").select("question_id", "section", "value")
+
+
 def _narrative_gains(
     scored: DataFrame,
     typed: DataFrame,
@@ -562,16 +605,9 @@ def _narrative_gains(
     from_results = mapped.filter(F.col("rank") <= SEED_RESULTS).select(
         "question_id", "key", (F.col("score") * RESULT_WEIGHT).alias("value")
     )
-    sections = (
-        from_symbols.unionByName(from_results)
-        .join(referred, "key")
-        .groupBy("question_id", "section")
-        .agg(F.round(F.sum("value"), 9).alias("value"))
-    )
-    best = Window.partitionBy("question_id").orderBy(F.desc("value"), F.asc("section"))
+    lifted = materialize(from_symbols.unionByName(from_results), "lifting")
     up = (
-        sections.withColumn("nth", F.row_number().over(best))
-        .filter(F.col("nth") <= NARRATIVE_LIMIT)
+        best_sections(lifted, referred, NARRATIVE_LIMIT)
         .join(narrative_chunks(chunks), "section")
         .select("question_id", "chunk_id", "value")
     )

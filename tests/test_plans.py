@@ -212,6 +212,25 @@ def test_related_symbols_are_scored_in_tasks_of_bounded_size(spark, monkeypatch,
         assert best.rdd.getNumPartitions() == 30 * (40 + 20) // 50
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 5])
+def test_sections_of_equal_symbols_meet_a_question_once(spark, monkeypatch, broadcast):
+    sections = {f"s{i:02d}": ("a", "b") for i in range(30)} | {"s99": ("a",), "s10x": ("b", "c"), None: ("c",)}
+    referred = spark.createDataFrame([(k, s) for s, keys in sections.items() for k in keys], "key string, section string")
+    gains = [(1, "a", 1.0), (1, "b", 0.5), (1, "c", 0.5), (1, "a", 0.25), (2, "a", 1.0), (2, "z", 9.0), (3, "c", 1.0)]
+    lifted = spark.createDataFrame(gains, "question_id long, key string, value double")
+    asked = []
+    plain = G._tasks
+    monkeypatch.setattr(G, "_tasks", lambda left, right, keys: asked.append(right.count()) or plain(left, right, keys))
+    monkeypatch.setattr(G, "BROADCAST_ROWS", broadcast)
+    got = {tuple(r) for r in G.best_sections(lifted, referred, 4).collect()}
+    assert got == {
+        *[(1, f"s{i:02d}", 1.75) for i in range(4)], *[(2, f"s{i:02d}", 1.0) for i in range(4)],
+        (3, None, 1.0), (3, "s10x", 1.0),
+    }
+    # Symbols of four sets, not of 33 sections.
+    assert asked == [6]
+
+
 def test_questions_escalate_once(spark):
     """Only automatic routes, by a missing piece, a gap or no pass; no outcome leaves the state."""
     from granary.plans import answer as A
