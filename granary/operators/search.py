@@ -76,12 +76,13 @@ def score_blocks(asked: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
         met = index.postings.join(F.broadcast(packed) if few else packed, keys[:-1])
         dealt = met.select(*MET).repartition(n, "block", "part")
     else:
-        # Both sides are dealt by range, so postings are shuffled once, and only those asked for.
         named, terms = index.postings, asked.select("term").distinct()
         if at_most(terms, BROADCAST_ROWS):
             named = named.join(F.broadcast(terms), "term", "left_semi")
-        met = named.repartition(n, "block").join(packed.repartition(n, "block"), ["block", "term"])
-        dealt = met.select(*MET)
+        # A join that is not broadcast deals both sides by all of its keys, whatever they were
+        # dealt by, so what met is dealt once more: a part of a range must lie in one task.
+        met = named.join(packed.repartition(n, "block", "term"), ["block", "term"])
+        dealt = met.select(*MET).repartition(n, "block", "part")
     return dealt.sortWithinPartitions("block", "part").mapInArrow(range_kernel(index.width, k, SCORE_DIGITS), RESULT)
 
 
