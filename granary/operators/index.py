@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.functions.kernels import count_kernel, posting_kernel
 from granary.runtime import BROADCAST_ROWS, at_most, let, materialize, ship_package, spread
 
 # Terms joined by broadcast ahead of the shuffle join, most frequent first.
@@ -34,9 +37,10 @@ class LexicalIndex:
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """One row per chunk: array of (term, tf). No shuffle besides ``spread``."""
-    return spread(chunks.select("chunk_id", "text"), "chunk_id").select(
-        "chunk_id", T.term_counts(T.tokenize("text")).alias("counts")
-    )
+    ship_package()
+    rows = spread(chunks.select("chunk_id", "text"), "chunk_id")
+    key = rows.schema["chunk_id"].dataType.simpleString()
+    return rows.mapInArrow(count_kernel, f"chunk_id {key}, counts array<struct<term:string,tf:int>>")
 
 
 def postings(terms: DataFrame) -> DataFrame:
@@ -113,15 +117,17 @@ def unit_weights(
     hot_terms: int = HOT_TERMS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """(block, chunk_id, term, u): term weights divided by the norm of their chunk.
+    """(term, block, ids, weights): term weights divided by the norm of their chunk.
 
     Chunks are dealt by id range while their terms are still packed, so norms and
     posting blocks are made where the range lies and single postings are not
     shuffled. Of an idf table too long to broadcast, ``hot_terms`` are; only the
-    postings of the others travel to their idf and on to their range.
+    postings of the others travel to their idf and on to their range. A chunk
+    without an id lies in no range.
     """
+    ship_package()
     block = F.floor(F.col("chunk_id") / width).alias("block")
-    known = idf_table.select("term", F.col("idf").alias("known"))
+    known = idf_table.select("term", "idf")
     none = F.lit(None).cast("double").alias("idf")
     # A token has no blank, so the terms of a chunk travel as one text.
     names = F.array_join("counts.term", " ").alias("names")
@@ -133,34 +139,28 @@ def unit_weights(
         rows = rows.unionByName(
             late.select(block, "chunk_id", F.col("term").alias("names"), F.array("tf").alias("tfs"), "idf")
         )
-        known = hot.select("term", F.col("idf").alias("known"))
+        known = hot.select("term", "idf")
     parts = max(
         int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")),
         -(-terms.count() // (PARTITION_BLOCKS * width)),
     )
-    counts = F.zip_with(
-        F.split("names", " "), "tfs", lambda n, t: F.struct(n.alias("term"), t.alias("tf"))
+    dealt = rows.filter("names <> '' AND block IS NOT NULL").repartition(parts, "block").sortWithinPartitions("block")
+    # No longer than ``broadcast_rows`` or ``hot_terms``.
+    table = known.toArrow()
+    terms_known = pa.concat_arrays([pa.array([], pa.string()), *table["term"].cast(pa.string()).chunks])
+    kernel = posting_kernel(terms_known, np.asarray(table["idf"], dtype=np.float64))
+    return dealt.withColumn("chunk_id", F.col("chunk_id").cast("bigint")).mapInArrow(
+        kernel, "term string, block bigint, ids array<bigint>, weights array<double>"
     )
-    dealt = rows.filter("names <> ''").repartition(parts, "block")
-    dealt = dealt.select("block", "chunk_id", "idf", F.inline_outer(counts))
-    found = dealt.join(F.broadcast(known), "term", "left")
-    weights = _weigh(
-        found.withColumn("idf", F.coalesce("idf", "known")).filter("idf IS NOT NULL"), "block"
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("block", "chunk_id")))
-    return weights.select("block", "chunk_id", "term", (F.col("w") / norm).alias("u"))
 
 
 def posting_blocks(weights: DataFrame) -> DataFrame:
-    """Postings by term and id range, sorted by term inside the files.
+    """Postings by term and id range, with the largest weight of each.
 
     A frequent term has one row per id range, never one long list, and its rows
-    spread over the files; the rows of a range share one.
+    spread over the files; the rows of a range share one, sorted by term.
     """
-    packed = weights.groupBy("term", "block").agg(
-        F.max("u").alias("top"), F.collect_list("chunk_id").alias("ids"), F.collect_list("u").alias("weights")
-    )
-    return packed.sortWithinPartitions("term", "block")
+    return weights.select("term", "block", F.array_max("weights").alias("top"), "ids", "weights")
 
 
 def lexical_index(chunks: DataFrame, width: int = POSTING_BLOCK) -> LexicalIndex:

@@ -20,7 +20,7 @@ from granary.operators import routing
 from granary.operators import search as S
 from granary.operators.context import chunk_results
 from granary.operators.graph import SymbolGraph, graph_expand
-from granary.plans.retrieve import CorpusIndex, pick_mode, retrieve
+from granary.plans.retrieve import CorpusIndex, candidates, pick_mode, retrieve
 from granary.runtime import materialize, with_position
 
 MULTI_QUERY_K = 10
@@ -43,7 +43,9 @@ class Settings:
     scorer: Scorer | None = None
 
 
-def _retrieve(queries: DataFrame, index: CorpusIndex, k: int, options: Settings) -> DataFrame:
+def _retrieve(
+    queries: DataFrame, index: CorpusIndex, k: int, options: Settings, found: DataFrame | None = None
+) -> DataFrame:
     return retrieve(
         queries,
         index,
@@ -53,6 +55,7 @@ def _retrieve(queries: DataFrame, index: CorpusIndex, k: int, options: Settings)
         options.priority,
         options.symbols_ratio,
         options.max_pdf_extras,
+        found,
     )
 
 
@@ -76,13 +79,19 @@ def retrieved_lists(
     numbers = with_position(wanted.select("query").distinct(), ["query"], "query_id")
     wanted = materialize(wanted.join(numbers, "query"), "asked-numbered")
     depths = {options.k: F.col("queries") == 1, max(options.k, MULTI_QUERY_K): F.col("queries") > 1}
+    found = None
+    if len(depths) > 1 and pick_mode(index, options.mode) == "lexical":
+        # A shorter list is the head of a longer one, so the index is searched once.
+        texts = numbers.select("query_id", F.col("query").alias("text"))
+        deepest = S.lexical_search(texts, index.lexical, candidates(max(depths)))
+        found = materialize(deepest, "found")
     lists = []
     for depth, test in depths.items():
         asking = wanted if len(depths) == 1 else wanted.filter(test)
         distinct = asking.select("query_id", F.col("query").alias("text")).dropDuplicates(
             ["query_id"]
         )
-        lists.append(asking.join(_retrieve(distinct, index, depth, options), "query_id"))
+        lists.append(asking.join(_retrieve(distinct, index, depth, options, found), "query_id"))
     return reduce(DataFrame.unionByName, lists)
 
 

@@ -43,6 +43,11 @@ def pick_mode(index: CorpusIndex, mode: str) -> str:
     return "lexical"
 
 
+def candidates(k: int) -> int:
+    """Rows fetched per query, to which the source quotas are applied."""
+    return max(5 * k, 25)
+
+
 def retrieve(
     queries: DataFrame,
     index: CorpusIndex,
@@ -52,17 +57,21 @@ def retrieve(
     priority: str = "symbols-first",
     symbols_ratio: float = 0.75,
     max_pdf_extras: int = 2,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, rank, score, mode_used), k results per query.
 
     Fetches max(5k, 25) candidates in the mode that is available and applies
-    the source quotas to them.
+    the source quotas to them. ``found`` are the ranked results of a lexical search
+    that asked for no fewer, also for other queries; it stands in for that search.
     """
     if not 0.0 <= alpha <= 1.0:
         raise ValueError(f"alpha must be between 0 and 1, got {alpha}")
     used = pick_mode(index, mode)
-    fetch = max(5 * k, 25)
-    if used == "lexical":
+    fetch = candidates(k)
+    if used == "lexical" and found is not None:
+        found = found.filter(F.col("rank") <= fetch).join(queries.select("query_id"), "query_id", "left_semi")
+    elif used == "lexical":
         found = S.lexical_search(queries, index.lexical, fetch)
     else:
         # Encoded once, however many blocks the search reads them in.
