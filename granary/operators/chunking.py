@@ -483,12 +483,8 @@ def narrative_windows(
 SOURCE_ORDER = ("generated", "api", "narrative", "pdf")
 
 
-def select_sources(mode: str, **tables: DataFrame) -> DataFrame:
-    """Union of the chunk tables a source mode asks for.
-
-    ``tables`` maps generated, api, narrative and pdf to chunk rows with
-    ``doc_id`` and ``chunk_no``; the result carries their order.
-    """
+def chosen_sources(mode: str, tables: dict[str, DataFrame]) -> list[str]:
+    """Names of the chunk tables a source mode asks for, in the order of their chunks."""
     wanted = {
         "pdf": ("pdf",),
         "generated": ("generated", "api", "narrative"),
@@ -496,13 +492,22 @@ def select_sources(mode: str, **tables: DataFrame) -> DataFrame:
     }
     if mode not in wanted:
         raise ValueError(f"unsupported source mode: {mode}")
+    names = [name for name in wanted[mode] if name in tables]
+    if not names:
+        raise ValueError("no chunk table given for this source mode")
+    return names
+
+
+def select_sources(mode: str, **tables: DataFrame) -> DataFrame:
+    """Union of the chunk tables a source mode asks for.
+
+    ``tables`` maps generated, api, narrative and pdf to chunk rows with
+    ``doc_id`` and ``chunk_no``; the result carries their order.
+    """
     parts = [
         tables[name].withColumn("source_order", F.lit(SOURCE_ORDER.index(name)))
-        for name in wanted[mode]
-        if name in tables
+        for name in chosen_sources(mode, tables)
     ]
-    if not parts:
-        raise ValueError("no chunk table given for this source mode")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

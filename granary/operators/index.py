@@ -12,7 +12,17 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.functions.kernels import count_kernel, posting_kernel
-from granary.runtime import BROADCAST_ROWS, at_most, let, materialize, ship_package, spread
+from granary.runtime import (
+    BROADCAST_ROWS,
+    at_most,
+    let,
+    materialize,
+    materialize_all,
+    remove_table,
+    scratch,
+    ship_package,
+    spread,
+)
 
 # Terms joined by broadcast ahead of the shuffle join, most frequent first.
 HOT_TERMS = 65_536
@@ -20,6 +30,9 @@ HOT_TERMS = 65_536
 POSTING_BLOCK = 2_048
 # Id ranges that a partition of the index build holds on average, at most.
 PARTITION_BLOCKS = 4
+# Chunks whose postings are made in one job, at least, and jobs that make them, at most.
+SLICE_CHUNKS = 32_768
+SLICES = 64
 
 
 @dataclass(frozen=True)
@@ -110,20 +123,26 @@ def doc_norms(chunks: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
+def hot_table(idf_table: DataFrame, hot_terms: int = HOT_TERMS) -> DataFrame:
+    """The most frequent terms with their idf."""
+    return materialize(idf_table.orderBy(F.desc("df"), "term").limit(hot_terms), "hot-terms")
+
+
 def unit_weights(
     terms: DataFrame,
     idf_table: DataFrame,
     width: int = POSTING_BLOCK,
     hot_terms: int = HOT_TERMS,
     broadcast_rows: int = BROADCAST_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """(term, block, ids, weights): term weights divided by the norm of their chunk.
 
     Chunks are dealt by id range while their terms are still packed, so norms and
     posting blocks are made where the range lies and single postings are not
     shuffled. Of an idf table too long to broadcast, ``hot_terms`` are; only the
-    postings of the others travel to their idf and on to their range. A chunk
-    without an id lies in no range.
+    postings of the others travel to their idf and on to their range; ``hot`` is
+    the table of these if it has been made. A chunk without an id lies in no range.
     """
     ship_package()
     block = F.floor(F.col("chunk_id") / width).alias("block")
@@ -133,7 +152,7 @@ def unit_weights(
     names = F.array_join("counts.term", " ").alias("names")
     rows = terms.select(block, "chunk_id", names, F.col("counts.tf").alias("tfs"), none)
     if not at_most(idf_table, broadcast_rows):
-        hot = materialize(idf_table.orderBy(F.desc("df"), "term").limit(hot_terms), "hot-terms")
+        hot = hot or hot_table(idf_table, hot_terms)
         rest = postings(terms).join(F.broadcast(hot.select("term")), "term", "left_anti")
         late = rest.join(idf_table.select("term", "idf"), "term")
         rows = rows.unionByName(
@@ -165,11 +184,28 @@ def posting_blocks(weights: DataFrame) -> DataFrame:
 
 def lexical_index(chunks: DataFrame, width: int = POSTING_BLOCK) -> LexicalIndex:
     """Index of a chunk table. Texts are read and tokenised once; what searches
-    read (posting blocks, idf) is written to the shared folder."""
-    terms = materialize(chunk_terms(chunks), "terms")
-    table = materialize(idf(document_frequency(terms), chunks), "idf")
-    blocks = posting_blocks(unit_weights(terms, table, width))
-    return LexicalIndex(table, materialize(blocks, "postings"), width)
+    read (posting blocks, idf) is written to the shared folder.
+
+    Terms are written in slices of id ranges. A slice of them goes when its postings
+    are written, so neither they nor what is shuffled lie beside the whole index.
+    """
+    with scratch() as made:
+        slices = min(SLICES, max(1, -(-chunks.count() // SLICE_CHUNKS)))
+        own = F.coalesce(F.pmod(F.floor(F.col("chunk_id") / width), F.lit(slices)).cast("int"), F.lit(0))
+        terms = materialize(chunk_terms(chunks).withColumn("slice", own), "terms", codec="zstd", by="slice")
+        folder = made.paths[-1]
+        table = materialize(idf(document_frequency(terms), chunks), "idf", codec="zstd")
+        hot = None if at_most(table, BROADCAST_ROWS) else hot_table(table)
+
+        def blocks() -> Iterator[DataFrame]:
+            for i in range(slices):
+                rows = terms.filter(F.col("slice") == i).drop("slice")
+                yield posting_blocks(unit_weights(rows, table, width, hot=hot))
+                remove_table(chunks.sparkSession, f"{folder}/slice={i}")
+
+        found = LexicalIndex(table, materialize_all(blocks(), "postings", codec="zstd"), width)
+        made.keep(found.idf, found.postings)
+    return found
 
 
 def l2_normalize(c: Column | str) -> Column:

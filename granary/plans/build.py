@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from granary.operators import chunking as C
 from granary.operators import index as I
 from granary.plans.retrieve import CorpusIndex
-from granary.runtime import materialize, with_position
+from granary.runtime import materialize, scratch, with_position
+from granary.schemas import CHUNK_COLUMNS
 from granary.sources import tables
 
 
@@ -28,6 +30,27 @@ def numbered_narratives(cut: DataFrame) -> DataFrame:
     return numbered(rows, [*place, "window"]).drop("window", "section", "position")
 
 
+def chunk_ids(mode: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """The chunks that ``assign_chunk_ids`` gives, numbered source by source.
+
+    Records that ``numbered`` has placed are not dealt and written again.
+    """
+    names = C.chosen_sources(mode, parts)
+    if len({parts[name].schema["doc_id"].dataType for name in names}) > 1:
+        # Keys of one common type order the sources.
+        return C.assign_chunk_ids(C.select_sources(mode, **parts))
+    start, done = 0, []
+    for name in names:
+        rows = parts[name].drop("chunk_id")
+        if name in ("generated", "narrative"):
+            own = rows.withColumn("chunk_id", F.col("doc_id") + F.lit(start))
+        else:
+            own = with_position(rows, ["doc_id", "chunk_no"], "chunk_id", start)
+        start += own.count()
+        done.append(own.select(*CHUNK_COLUMNS))
+    return functools.reduce(DataFrame.unionByName, done)
+
+
 def build_index(
     mode: str,
     symbols: DataFrame | None = None,
@@ -42,25 +65,28 @@ def build_index(
     ``pages``: doc_id, page, text, source; ``api_docs``: doc_id, text. Narratives
     keep the order of their ``position``, which the reader of their file gives.
     """
-    parts: dict[str, DataFrame] = {}
-    if symbols is not None:
-        rendered = C.render_symbol_chunks(symbols)
-        order = ["module", "qualname", "kind", "file_path", "line", "symbol_id"]
-        parts["generated"] = numbered(rendered, order)
-    if api_docs is not None:
-        parts["api"] = C.api_reference_chunks(api_docs, F.lit("API_REFERENCE.md"))
-    if narratives is not None:
-        parts["narrative"] = numbered_narratives(C.narrative_windows(narratives))
-    if pages is not None:
-        titled = C.carry_forward_section(
-            pages.withColumn("section_title", C.detect_section_title("text"))
-        )
-        packed = C.pack_pages(titled).join(
-            pages.select("doc_id", "source").distinct(), "doc_id"
-        )
-        parts["pdf"] = C.page_chunks(packed, "source")
-    # Numbering writes the chunks in the order of their ids; they are read from there.
-    chunks = C.assign_chunk_ids(C.select_sources(mode, **parts))
+    with scratch() as made:
+        parts: dict[str, DataFrame] = {}
+        if symbols is not None:
+            rendered = C.render_symbol_chunks(symbols)
+            order = ["module", "qualname", "kind", "file_path", "line", "symbol_id"]
+            parts["generated"] = numbered(rendered, order)
+        if api_docs is not None:
+            parts["api"] = C.api_reference_chunks(api_docs, F.lit("API_REFERENCE.md"))
+        if narratives is not None:
+            parts["narrative"] = numbered_narratives(C.narrative_windows(narratives))
+        if pages is not None:
+            titled = C.carry_forward_section(
+                pages.withColumn("section_title", C.detect_section_title("text"))
+            )
+            packed = C.pack_pages(titled).join(
+                pages.select("doc_id", "source").distinct(), "doc_id"
+            )
+            # Written here, so that what packing shuffled is gone when the chunks are dealt.
+            parts["pdf"] = C.page_chunks(materialize(packed, "packed-pages", codec="zstd"), "source")
+        # Numbering writes the chunks in the order of their ids; they are read from there.
+        chunks = chunk_ids(mode, parts)
+        made.keep(chunks)
     if not chunks.take(1):
         raise RuntimeError("no chunks were produced for indexing")
     lexical = I.lexical_index(chunks)
